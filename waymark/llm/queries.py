@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_classifier, quality_rules
+from . import language_id, packing, quality_classifier, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+        "op3_secret_scan": secrets.op3_secret_scan,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op10_language_id": language_id.op10_language_id,
