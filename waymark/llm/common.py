@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +72,13 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def plainly(docs: DataFrame, kept: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with neutral names for all columns but ``kept``, and a function that gives a result its own names back.
+
+    Names that a stage adds then never clash with those of the table.
+    """
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{n}`").alias(n if n in kept else f"c{i}") for i, n in enumerate(names)])
+    return plain, lambda out: out.select(*[F.col(p).alias(n) for p, n in zip(plain.columns, names, strict=True)])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_classifier, quality_rules, secrets
+from . import decontamination, language_id, packing, quality_classifier, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
