@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, quality_classifier, quality_rules, secrets
+from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op10_language_id": language_id.op10_language_id,
     }
 
