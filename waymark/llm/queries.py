@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets
+from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_suffix_dedup": substring_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_near_dedup": near_dedup.op8_near_dedup,
