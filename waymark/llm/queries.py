@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup
+from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_url_filter": url_filter.op9_url_filter,
         "op10_language_id": language_id.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": url_filter.levels_sql()}
