@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filter
+from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_suffix_dedup": substring_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_warc_merkle_audit": warc.op6_warc_merkle_audit,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": url_filter.levels_sql()}
+    return {"op6_warc_merkle_audit": warc.AUDIT_SQL, "op9_url_filter": url_filter.levels_sql()}
