@@ -2,14 +2,15 @@
 
 A text's weighted shingles (five words, weight: how often) give REGISTERS ProbMinHash components: every shingle is a Poisson process with its
 weight as rate, whose arrivals fall on registers at random; only arrivals before a stop time that fills all registers are generated. Two texts
-agree in a register with the chance of their probability Jaccard similarity. BANDS bands of ROWS registers propose pairs; an exact
-computation of the similarity accepts those with THRESHOLD or more. Classes are the connected components of accepted pairs.
+agree in a register with the chance of their probability Jaccard similarity, which is the Jaccard similarity if no shingle repeats. BANDS bands of ROWS
+registers propose pairs; a pair is a link if the exact Jaccard similarity of its sets of shingles is THRESHOLD or more. Classes are the
+connected components of links.
 
 Texts with the same words are one content (a 128-bit digest), so copies never meet in a bucket. In each bucket contents are paired with its least content
 only, first through one bucket each, then through the others unless a class holds both already. Buckets whose contents still lie in different classes go to
 an exact prefix join: shingles are ordered from rare to common (by counts in hashed bins of fixed number), and two contents can only
-reach the threshold if they share one of the first shingles that hold more than a fifth of the weight. So no bucket emits all its pairs,
-and no link inside a bucket is lost. A pair of similarity 0.8 misses all buckets with a chance of 3 in a million.
+reach the threshold if the first shingle they share comes early in both. So no bucket emits all its pairs,
+and no link inside a bucket is lost. A pair of probability Jaccard similarity 0.8 misses all buckets with a chance of 3 in a million.
 
 Defined cases: null and wordless texts are classes of their own; texts of one to four words have one shingle of them all; the class id is the least doc_id of the
 class (null ids count as the lowest, -1, among themselves); repeated rows share a class, and ``keep_one`` keeps one of them; an empty
@@ -34,6 +35,9 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Hashed bins in which shingles are counted to tell common from rare ones.
 COUNT_BINS = 1 << 18
+#: Words of parity bits that tell apart sets which share too little.
+BIT_WORDS = 16
+BITS = [f"bits{k}" for k in range(BIT_WORDS)]
 #: Expected arrivals at a register before the first stop time; texts with an empty register go on to twice the time.
 ARRIVALS = float(np.log(REGISTERS)) + 3.0
 
@@ -88,15 +92,12 @@ def prob_min_hash(docs: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_d
     return present, out
 
 
-def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
-    """Exact probability Jaccard of two weighted sets with sorted hashes."""
+def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
+    """Exact probability Jaccard of two weighted sets with sorted hashes, which ``prob_min_hash`` estimates."""
     at = np.minimum(np.searchsorted(ha, hb), max(len(ha) - 1, 0))
     both = ha[at] == hb if len(ha) else np.zeros(len(hb), bool)
-    shared = int(both.sum())
-    if not shared:
+    if not both.any():
         return 0.0
-    if wa.max() == wb.max() == 1:
-        return shared / (len(ha) + len(hb) - shared)
     a, b = wa[at[both]].astype(float), wb[both].astype(float)
     ratio = b / a
     only_a, only_b = float(wa.sum() - a.sum()), float(wb.sum() - b.sum())
@@ -108,6 +109,14 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return float((below / whole).sum())
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets as sorted hashes."""
+    if not len(a) or not len(b):
+        return 0.0
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
 def digest(words: Words) -> list[bytes | None]:
     """A 128-bit digest of each text's words in order, or None without words."""
     count = np.bincount(words.doc, minlength=words.n_docs)
@@ -141,39 +150,30 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """cid, hashes, weights (packed arrays; weights are empty if all are 1) of texts that ``docs`` gives with their cid."""
+    """cid and hashes (a packed sorted array of distinct shingles) of texts that ``docs`` gives with their cid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            own, hashes, weights = weighted_shingles(split_words(texts))
+            own, hashes, _ = weighted_shingles(split_words(texts))
             bounds = np.searchsorted(own, np.arange(len(texts) + 1))
-            packed, counted = [], []
-            for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                packed.append(hashes[begin:end].tobytes())
-                counted.append(weights[begin:end].astype(np.uint32).tobytes() if end > begin and weights[begin:end].max() > 1 else b"")
-            yield pa.RecordBatch.from_arrays([column(batch, "cid"), pa.array(packed, pa.binary()), pa.array(counted, pa.binary())], names=["cid", "hashes", "weights"])
+            packed = [hashes[begin:end].tobytes() for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "cid"), pa.array(packed, pa.binary())], names=["cid", "hashes"])
 
-    return docs.select("cid", "text").mapInArrow(run, "cid binary, hashes binary, weights binary")
-
-
-def unpacked(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(hashes, U64)
-    return h, np.frombuffer(weights, np.uint32).astype(np.int64) if weights else np.ones(len(h), np.int64)
+    return docs.select("cid", "text").mapInArrow(run, "cid binary, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) of contents whose exact similarity is ``threshold`` or more."""
+    """The pairs (u, v) of contents whose exact Jaccard similarity is ``threshold`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [column(batch, n).to_pylist() for n in ("uh", "uw", "vh", "vw")]
-            good = [similarity(*unpacked(a, b), *unpacked(c, d)) >= threshold for a, b, c, d in zip(*cols, strict=True)]
+            cols = [column(batch, n).to_pylist() for n in ("uh", "vh")]
+            good = [jaccard(np.frombuffer(a, U64), np.frombuffer(b, U64)) >= threshold for a, b in zip(*cols, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    u = sets.select(F.col("cid").alias("u_cid"), F.col("hashes").alias("uh"), F.col("weights").alias("uw"))
-    v = sets.select(F.col("cid").alias("v_cid"), F.col("hashes").alias("vh"), F.col("weights").alias("vw"))
+    u, v = (sets.select(F.col("cid").alias(f"{x}_cid"), F.col("hashes").alias(f"{x}h")) for x in "uv")
     rows = pairs.join(u, F.col("u") == F.col("u_cid")).drop("u_cid").join(v, F.col("v") == F.col("v_cid"))
-    return rows.select("u", "v", "uh", "uw", "vh", "vw").mapInArrow(run, "u binary, v binary")
+    return rows.select("u", "v", "uh", "vh").mapInArrow(run, "u binary, v binary")
 
 
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -205,7 +205,11 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(cid, shingle): the rarest shingles of each content that together hold more than 1 - ``threshold`` of its weight."""
+    """(cid, shingle, place, n): the rarest shingles of each content, more than 1 - ``threshold`` of them.
+
+    ``place`` counts from 0 in the order of rarity, ``n`` is the number of the content's shingles. The words of BITS hold for each of 64 * BIT_WORDS
+    bins of hashes whether the content has an odd number of shingles there.
+    """
     spark = sets.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +227,34 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, h, w in zip(*(column(batch, n).to_pylist() for n in ("cid", "hashes", "weights")), strict=True):
-                hashes, weights = unpacked(h, w)
+            for cid, h in zip(*(column(batch, n).to_pylist() for n in ("cid", "hashes")), strict=True):
+                hashes = np.frombuffer(h, U64)
                 order = np.lexsort((hashes, shared.value[(hashes % U64(COUNT_BINS)).astype(np.int64)]))
-                before = np.cumsum(weights[order]) - weights[order]
-                kept = hashes[order][before <= (1 - threshold) * weights.sum() + 1e-9]
-                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(kept), pa.binary()), pa.array(kept.view(np.int64))], names=["cid", "shingle"])
+                kept = hashes[order][: int((1 - threshold) * len(hashes) + 1e-6) + 1]
+                parity = np.packbits(np.bincount((hashes % U64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) % 2 == 1).view(np.int64)
+                cols = [pa.array([cid] * len(kept), pa.binary()), pa.array(kept.view(np.int64)), pa.array(np.arange(len(kept))), pa.array(np.full(len(kept), len(hashes))), *[pa.array(np.full(len(kept), x)) for x in parity]]
+                yield pa.RecordBatch.from_arrays(cols, names=["cid", "shingle", "place", "n", *BITS])
+
+    return sets.mapInArrow(run, "cid binary, shingle long, place long, n long, " + ", ".join(f"{b} long" for b in BITS))
+
 
-    return sets.mapInArrow(run, "cid binary, shingle long")
+def sharing(rare: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of contents of different classes that share a rare shingle early enough to reach ``threshold``.
+
+    Sets of n and m shingles with Jaccard t share o = t / (1 + t) * (n + m), so the first shared shingle has at most n - o and m - o
+    shingles before it. Each shingle in one set only flips one bit of parity, so differing bits count no more than such shingles, n + m - 2 * o
+    at most.
+    """
+    side = lambda x: [F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "place", "n", *BITS)]]
+    a, b = rare.select("shingle", *side("u")), rare.select("shingle", *side("v"))
+    needed = (F.col("n_u") + F.col("n_v")) * (threshold / (1 + threshold)) - 1e-6
+    early = (F.col("place_u") <= F.col("n_u") - needed) & (F.col("place_v") <= F.col("n_v") - needed)
+    flipped = F.lit(0)
+    for bits in BITS:
+        flipped = flipped + F.bit_count(F.col(f"{bits}_u").bitwiseXOR(F.col(f"{bits}_v")))
+    early = early & (flipped <= F.col("n_u") + F.col("n_v") - 2 * needed)
+    apart = (F.col("label_u") != F.col("label_v")) & (F.col("u") < F.col("v"))
+    return a.join(b, ["shingle"]).where(apart & early).select("u", "v").distinct()
 
 
 def in_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -246,7 +270,7 @@ def in_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     own = met.select("cid").distinct().join(contents.select("cid", "owner"), "cid")
     # one stored text for each content that meets another
     keyed = with_content(docs.select("doc_id", "text")).join(own, ["cid", "owner"], "left_semi").select("cid", "text")
-    sets = materialize(shingle_rows(keyed).groupBy("cid").agg(F.max(F.struct("hashes", "weights")).alias("s")).select("cid", "s.hashes", "s.weights"), "sets")
+    sets = materialize(shingle_rows(keyed).groupBy("cid").agg(F.max("hashes").alias("hashes")), "sets")
     labels = met.select("cid").distinct().withColumn("label", F.col("cid"))
     first = met.groupBy(F.col("cid").alias("v")).agg(F.min("lead").alias("u")).where("u < v").select("u", "v")
     labels = components(labels, verified(first, sets, threshold))
@@ -257,8 +281,7 @@ def in_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     rare = materialize(prefixes(sets.join(open_, "cid", "left_semi"), threshold).join(labels, "cid"), "rare")
     split = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
     rare = rare.join(split, "shingle", "left_semi")
-    a, b = rare.select("shingle", F.col("cid").alias("u"), F.col("label").alias("lu")), rare.select("shingle", F.col("cid").alias("v"), F.col("label").alias("lv"))
-    rest = a.join(b, "shingle").where((F.col("lu") != F.col("lv")) & (F.col("u") < F.col("v"))).select("u", "v").distinct()
+    rest = sharing(rare, threshold)
     labels = components(labels, verified(rest, sets, threshold))
     return names, labels
 
