@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,15 +60,14 @@ def sample_rank(doc_id: Column, seed: int) -> Column:
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS, most: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), each of up to ``limit`` characters and ``most`` rows; a longer text stands alone."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        sizes = pc.fill_null(pc.utf8_length(column(batch, text)), 0).to_pylist()
         begin = held = 0
-        for i, t in enumerate(texts):
-            if i > begin and (held + len(t) > limit or i - begin >= most):
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        for i, size in enumerate([*sizes, limit + 1]):
+            if i > begin and (held + size > limit or i - begin >= most):
+                part = batch.slice(begin, i - begin)
+                yield part, [t or "" for t in column(part, text).to_pylist()]
                 begin, held = i, 0
-            held += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+            held += size
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -30,6 +30,8 @@ from .textkernel import BASE, GOLDEN, U64, mix, powers
 LENGTH, CORE, STEP = 400, 160, 25
 #: Snippets of one core that a task compares by suffix sorting; symbols it sorts at once.
 GROUP, SORT_SYMBOLS = 256, 20_000
+#: Characters of texts whose windows a task hashes at once.
+HASH_CHARS = 400_000
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 PLACE_BITS = 22
 SEGMENT = 1 << (PLACE_BITS - 1)
@@ -101,7 +103,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """A row for each anchor: document, hashes of core and snippet, first window, number of windows, place of the core after the first window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, limit=HASH_CHARS):
             whole, bounds, (own, first, windows, place, core) = anchors([t.encode() for t in texts])
             digest = xxhash.xxh3_64_intdigest
             snippet = np.fromiter((digest(whole[a:b]) for a, b in zip(first.tolist(), (first + windows + LENGTH - 1).tolist(), strict=True)), dtype=U64, count=len(first))
@@ -118,7 +120,7 @@ def snippets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.select(*keyed()).join(marks, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("k1", "k2", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, most=256):
+        for batch, texts in text_chunks(batches, limit=HASH_CHARS, most=256):
             out: list[tuple] = []
             for k1, k2, text, own in zip(column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist(), texts, column(batch, "marks").to_pylist(), strict=True):
                 raw = text.encode()
@@ -264,7 +266,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", *keyed()).join(spans, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").select("doc_id", "text", "firsts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, most=256):
+        for batch, texts in text_chunks(batches, limit=HASH_CHARS, most=256):
             out: list[tuple] = []
             for doc_id, text, firsts, ends in zip(column(batch, "doc_id").to_pylist(), texts, column(batch, "firsts").to_pylist(), column(batch, "ends").to_pylist(), strict=True):
                 raw = text.encode()
