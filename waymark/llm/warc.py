@@ -1,6 +1,6 @@
 """WARC archives of pages, and a Merkle audit that finds damaged records in a replica.
 
-``write_warc`` stores pages as response records in uncompressed WARC files, about RECORDS_PER_FILE to a file; ``read_warc`` reads such
+``write_warc`` stores pages as response records in gzipped WARC files, RECORDS_PER_FILE to a file at most (offsets count uncompressed bytes); ``read_warc`` reads such
 files as records with file, offset, length and digest. For the audit, each record's leaf is a hash of its offset range and its bytes. Records are placed
 in segments by position; each node above hashes the leaves or nodes of FANOUT places below in order and spans their offset range. Trees are
 tables, one for each level, so no task holds more than the children of one node. Two replicas are compared from the root; only the
@@ -13,6 +13,7 @@ of nothing; other columns do not matter. Payloads may hold any text; the length
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -42,11 +43,9 @@ def with_records(pages: DataFrame) -> DataFrame:
     return pages.withColumn("record", F.concat(header(F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.octet_length(body)), body))
 
 
-def write_warc(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, per_task: int = 8 * RECORDS_PER_FILE) -> None:
-    """Write the pages as WARC files under ``path``. Tasks are chosen by a hash of id and url, so equal tables get equal files; records are sorted in each."""
-    tasks = max(1, -(-pages.count() // per_task))
-    rows = with_records(pages).repartition(tasks, "page_id", "url").sortWithinPartitions("page_id", "url", "record")
-    rows.select("record").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).text(path)
+def write_warc(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
+    """Write the pages as compressed WARC files under ``path``, in the order and the tasks that the table has; nothing is shuffled."""
+    with_records(pages).select("record").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def records_of(name: str, raw: bytes) -> list[tuple]:
@@ -76,8 +75,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
-            for name, raw in zip(column(batch, "path").to_pylist(), column(batch, "content"), strict=True):
-                rows = records_of(name.rsplit("/", 1)[1], raw.as_py())
+            for name, content in zip(column(batch, "path").to_pylist(), column(batch, "content"), strict=True):
+                raw = content.as_py()
+                rows = records_of(name.rsplit("/", 1)[1], gzip.decompress(raw) if name.endswith(".gz") else raw)
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["file", "position", "offset", "length", "page_id", "sha256"])
 
@@ -147,7 +147,10 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def op6_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, archive them again with one byte of every 97th page's payload changed, and audit the second archive against the first."""
+    """Archive all pages, archive them again with one byte of every 97th page's payload changed, and audit the second archive against the first.
+
+    Both archives come from the same scan, so they have the same files.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     bad = (F.col("page_id") % 97 == 0) & (F.octet_length("html") > 0)
     harmed = pages.withColumn("html", F.when(bad & F.col("html").startswith("<"), F.concat(F.lit("("), F.substring("html", 2, 2147483647))).otherwise(F.col("html")))
