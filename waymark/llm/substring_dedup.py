@@ -5,8 +5,8 @@ anchors at equal places. All windows of one anchor form a snippet. Snippets are
 leaves one row for all equal ones: windows of a snippet that occurs again are repeated, and a core with one snippet has nothing to compare.
 The snippets of the other cores, the borders of repeats, are cut out of the texts. In a task all snippets of a core are refined by the bytes that
 up to 25 neighbouring windows share; these become one symbol, and the suffix array of the rest (Lyndon groups, see ``suffix_array``) shows by the
-common prefixes of neighbours which windows occur in another snippet. Cores with more than GROUP snippets are decided by counting
-hashes of their windows over the cluster, which has no group at all.
+common prefixes of neighbours which windows occur in another snippet. Cores with more than GROUP snippets are refined and collapsed over the cluster
+first; what still has more than GROUP is decided by counting hashes of its windows, which has no group at all.
 
 Defined cases: a null text counts as empty; texts under 400 bytes keep all bytes; null ids are carried; repeated rows are separate documents, so
 texts of 400 bytes or more that occur twice lose all bytes; an empty table gives an empty result; texts count whole; other columns do
@@ -229,6 +229,28 @@ def compared(cut: DataFrame) -> DataFrame:
     return cut.repartition("core").sortWithinPartitions("core").mapInArrow(run, SPAN)
 
 
+def narrowed(cut: DataFrame) -> DataFrame:
+    """The snippets, each as the sub-snippets of up to STEP neighbouring windows, whose shared bytes are their core."""
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                left, low = row["left"], row["left"] - row["windows"] + 1
+                for b in range(low // STEP, left // STEP + 1):
+                    near, far = max(low, STEP * b), min(left, STEP * b + STEP - 1)
+                    at = left - STEP * b
+                    raw = row["raw"][left - far : left - near + LENGTH]
+                    core = digest(row["raw"][at : at + LENGTH - STEP + 1], seed=(row["core"] + b) % (1 << 64))
+                    out.append((core, digest(raw), row["n"], row["k1"], row["k2"], row["start"] + left - far, far - near + 1, far - STEP * b, raw))
+            keys = np.array([r[:2] for r in out], dtype=U64).reshape(-1, 2).view(np.int64)
+            cols = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array([r[k] for r in out], t) for k, t in zip(range(2, 9), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["core", "snippet", "n", "k1", "k2", "start", "windows", "left", "raw"])
+
+    return cut.mapInArrow(run, "core long, snippet long, n long, k1 long, k2 long, start int, windows int, left int, raw binary")
+
+
 def counted(cut: DataFrame) -> DataFrame:
     """The same for cores with very many snippets, by counting hashes of windows."""
 
@@ -247,17 +269,30 @@ def counted(cut: DataFrame) -> DataFrame:
     return found.select("k1", "k2", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("end"))
 
 
+def met(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Stretches of the rows whose snippet occurs more than once."""
+    copied = counts.where("c > 1").select(F.col("core").alias("c1"), F.col("snippet").alias("c2"))
+    found = rows.join(copied, (F.col("core") == F.col("c1")) & (F.col("snippet") == F.col("c2")))
+    return found.select("k1", "k2", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))
+
+
+def contested(counts: DataFrame) -> DataFrame:
+    """Snippets whose core has others, with their number ``m``."""
+    cores = counts.groupBy(F.col("core").alias("c1")).agg(F.count("*").alias("m")).where("m > 1")
+    return counts.join(cores, F.col("core") == F.col("c1"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """k1, k2, first, end: stretches of bytes covered by repeated windows; they may overlap."""
     rows = materialize(anchor_rows(docs), "anchors")
-    every = rows.groupBy("core", "snippet").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "windows", "left")).alias("at"))
-    every = materialize(every, "snippets")
-    copied = every.where("n > 1").select(F.col("core").alias("c1"), F.col("snippet").alias("c2"))
-    whole = rows.join(copied, (F.col("core") == F.col("c1")) & (F.col("snippet") == F.col("c2"))).select("k1", "k2", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))
-    contested = every.groupBy(F.col("core").alias("c")).agg(F.count("*").alias("m")).where("m > 1")
-    wanted = every.join(contested, F.col("core") == F.col("c")).select("core", "n", "m", "at.*")
-    cut = materialize(snippets(docs, wanted), "cut")
-    return whole.unionByName(compared(cut.where(F.col("m") <= GROUP).drop("m"))).unionByName(counted(cut.where(F.col("m") > GROUP).drop("m")))
+    counts = materialize(rows.groupBy("core", "snippet").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "windows", "left")).alias("at")), "snippets")
+    cut = materialize(snippets(docs, contested(counts).select("core", F.col("c").alias("n"), "m", "at.*")), "cut")
+    # cores with very many snippets are split by narrower cores, and equal sub-snippets collapse again
+    parts = materialize(narrowed(cut.where(F.col("m") > GROUP)), "parts")
+    again = materialize(parts.groupBy("core", "snippet").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("k1", "k2", "start", "windows", "left", "raw")).alias("at")), "sub-snippets")
+    narrow = contested(again).select("core", F.greatest("c", "n").alias("n"), "m", "at.*")
+    compare = cut.where(F.col("m") <= GROUP).unionByName(narrow.where(F.col("m") <= GROUP)).drop("m")
+    return met(rows, counts).unionByName(met(parts, again)).unionByName(compared(compare)).unionByName(counted(narrow.where(F.col("m") > GROUP).drop("m")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
