@@ -1,9 +1,486 @@
 """Queries over the driver's tables, one for each operator, with the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geo, temporal, text
+from .operators import catalog, identity, journeys, quality, resolution, search, sequences, spatial
+from .sources import pages as page_source
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+#: The fixed time of the queries on validity.
+NOW = "1996-06-01T00:00:00Z"
+#: Metres between transfer stops; the made-up positions lie some 700 metres apart along a route.
+WALK = 1500.0
+#: SQL of a place made up from a key, of a distance to 0.1 m, and of folding.
+LAT, LNG = "(15.40e0 + ({0} * 37 % 9500) / 10000.0e0)", "(107.90e0 + ({0} * 53 % 7500) / 10000.0e0)"
+FOLD = "trim(replace(strip_accents(lower({0})), 'đ', 'd'))"
+
+
+def metres_sql(a: str, b: str, c: str, d: str) -> str:
+    h = f"(sin(radians({c} - {a}) / 2) * sin(radians({c} - {a}) / 2) + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2) * sin(radians({d} - {b}) / 2))"
+    return f"(floor(2 * 6371000.0e0 * atan2(sqrt({h}), sqrt(1 - {h})) * 10 + 0.5e0) / 10)"
+
+
+def query(sql: str | None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c: Column | str, name: str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long").alias(name)
+
+
+def at(df: DataFrame, key: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    y, x = geo.fallback_position(F.col(key))
+    return df.withColumn(lat, y).withColumn(lng, x)
+
+
+def coords(key: str) -> str:
+    return f"{LAT.format(key)} AS lat, {LNG.format(key)} AS lng"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS query_id, {coords('c_custkey')} FROM customer),
+s AS (SELECT s_suppkey AS place_id, {coords('(s_suppkey * 7 + 3)')} FROM supplier),
+d AS (SELECT query_id, place_id, {metres_sql('c.lat', 'c.lng', 's.lat', 's.lng')} AS metres FROM c, s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY metres, place_id) AS rank FROM d WHERE metres <= 3000)
+SELECT query_id, place_id, metres, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10""")
+def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = at(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id")), "query_id", "q_lat", "q_lng")
+    keyed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place_id"), (F.col("s_suppkey") * 7 + 3).alias("k"))
+    found = spatial.nearest(points, at(keyed, "k"), "query_id", "place_id", 3000.0, 10, ("q_lat", "q_lng"), ("lat", "lng"))
+    return found.select("query_id", "place_id", "metres", long("rank", "rank"))
+
+
+@query("""
+SELECT p_partkey, p_brand, p_type FROM part
+WHERE (p_brand = 'Brand#13' OR contains(p_type, 'STEEL')) AND (contains(lower(p_name), 'a') OR contains(lower(p_type), 'a') OR contains(lower(p_brand), 'a'))""")
+def q_catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    kinds = {"chosen": (F.col("p_brand") == "Brand#13") | F.col("p_type").contains("STEEL")}
+    rows = search.contains_folded(search.category_filter(part, kinds, "chosen"), ["p_name", "p_type", "p_brand"], "A")
+    return rows.select("p_partkey", "p_brand", "p_type")
+
+
+@query(f"""
+SELECT doc_id, lang FROM documents WHERE contains({FOLD.format("coalesce(text, '')")}, 'ecole') OR contains({FOLD.format("coalesce(text, '')")}, 'cion que')
+ORDER BY doc_id LIMIT 50""")
+def q_fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folded = text.fold(F.col("text"))
+    return docs.where(folded.contains(F.lit("ecole")) | folded.contains(F.lit("cion que"))).select("doc_id", "lang").orderBy("doc_id").limit(50)
+
+
+@query("""
+WITH q(query_id, token) AS (VALUES (1, 'steel'), (2, 'brass'), (3, 'large burnished tin plate'), (4, 'x'))
+SELECT query_id, p_partkey FROM q, part WHERE len(token) >= 2 AND (contains(lower(p_type), token) OR contains(lower(p_name), token) OR (len(p_type) >= 3 AND contains(token, lower(p_type))))""")
+def q_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", text.fold(F.col("p_type")).alias("kind"), text.fold(F.col("p_name")).alias("name"))
+    out = None
+    for number, token in [(1, "steel"), (2, "brass"), (3, "large burnished tin plate"), (4, "x")]:
+        if len(token) < 2:
+            continue
+        t = F.lit(token)
+        hits = part.where(text.either_contains(F.col("kind"), t) | F.col("name").contains(t)).select(F.lit(number).alias("query_id"), "p_partkey")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query("""
+WITH t AS (SELECT DISTINCT token FROM (SELECT CAST(p_partkey AS VARCHAR) AS token FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT 'none-' || p_size FROM part)),
+a AS (SELECT CAST(s_suppkey AS VARCHAR) AS code, 1 AS n, s_suppkey AS id FROM supplier),
+b AS (SELECT p_brand AS code, count(DISTINCT p_partkey) AS n, min(p_partkey) AS id FROM part GROUP BY 1),
+c AS (SELECT p_type AS code, count(DISTINCT p_partkey) AS n, min(p_partkey) AS id FROM part GROUP BY 1)
+SELECT token, CASE WHEN a.n > 0 THEN 'id' WHEN b.n > 0 THEN 'number' WHEN c.n > 0 THEN 'alias' END AS via, CAST(coalesce(a.n, b.n, c.n, 0) AS BIGINT) AS n_candidates,
+ CASE WHEN coalesce(a.n, b.n, c.n, 0) = 1 THEN coalesce(a.id, b.id, c.id) END AS id,
+ CASE WHEN coalesce(a.n, b.n, c.n, 0) = 0 THEN 'not_found' WHEN coalesce(a.n, b.n, c.n) > 1 THEN 'ambiguous' ELSE 'resolved' END AS status
+FROM t LEFT JOIN a ON token = a.code LEFT JOIN b ON token = b.code LEFT JOIN c ON token = c.code""")
+def q_alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    wanted = [F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_type"), F.concat(F.lit("none-"), F.col("p_size").cast("string"))]
+    tokens = part.select(F.explode(F.array(*wanted)).alias("token")).distinct()
+    tiers = [
+        ("id", supplier.select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_suppkey").alias("id"))),
+        ("number", part.select(F.col("p_brand").alias("code"), F.col("p_partkey").alias("id"))),
+        ("alias", part.select(F.col("p_type").alias("code"), F.col("p_partkey").alias("id"))),
+    ]
+    return identity.resolve(tokens, tiers)
+
+
+LINK = "CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN -1 ELSE c_custkey * 7 % 1009 END"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT c_custkey AS id, {LINK} AS next FROM customer),
+w AS (SELECT id AS start, id AS last, [id] AS path, 0 AS hops, CAST(NULL AS VARCHAR) AS status, false AS over FROM l
+ UNION ALL SELECT start, CASE WHEN s IS NULL THEN nx ELSE last END, CASE WHEN s IS NULL THEN list_append(path, nx) ELSE path END, CASE WHEN s IS NULL THEN hops + 1 ELSE hops END, s, s IS NOT NULL
+ FROM (SELECT w.start, w.last, w.path, w.hops, l.next AS nx, CASE WHEN l.id IS NULL THEN 'broken_successor_reference' WHEN l.next IS NULL THEN 'resolved'
+   WHEN list_contains(w.path, l.next) THEN 'cycle_detected' WHEN w.hops = 10 THEN 'max_hops_exceeded' END AS s FROM w LEFT JOIN l ON w.last = l.id WHERE NOT w.over))
+SELECT start, last, CAST(hops AS BIGINT) AS hops, status FROM w WHERE over""")
+def q_successor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    following = F.when(key % 11 == 0, F.lit(None).cast("long")).when(key % 13 == 0, F.lit(-1)).otherwise(key * 7 % 1009)
+    links = table(spark, sf_dir, "customer").select(key.alias("id"), following.alias("next"))
+    return identity.successors(links.select("id"), links).select("start", "last", long("hops", "hops"), "status")
+
+
+@query("""
+SELECT code, CAST(count(DISTINCT id) AS BIGINT) AS n_owners, min(id) AS first_owner FROM
+ (SELECT p_brand || '/' || p_size AS code, p_partkey AS id FROM part UNION ALL SELECT p_type || '/' || p_size, p_partkey FROM part) GROUP BY code HAVING count(DISTINCT id) > 1""")
+def q_dup_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    codes = part.select(F.explode(F.array(F.concat_ws("/", "p_brand", size), F.concat_ws("/", "p_type", size))).alias("code"), F.col("p_partkey").alias("id"))
+    return identity.collisions(codes).select("code", "n_owners", F.element_at("owners", 1).alias("first_owner"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'unverified' WHEN o_orderstatus = 'P' THEN 'retired' WHEN o_orderstatus = 'F' AND TIMESTAMP '1996-06-01 00:00:00' > o_orderdate + INTERVAL 90 DAY + INTERVAL 61199999 MILLISECOND THEN 'merged'
+ WHEN o_orderkey % 19 = 0 THEN 'suspended' WHEN TIMESTAMP '1996-06-01 00:00:00' < o_orderdate - INTERVAL 7 HOUR THEN 'future'
+ WHEN TIMESTAMP '1996-06-01 00:00:00' > o_orderdate + INTERVAL 90 DAY + INTERVAL 61199999 MILLISECOND THEN 'expired' ELSE 'active' END AS state
+FROM (SELECT o_orderkey, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS o_orderdate FROM orders)""")
+def q_temporal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    kind = F.when(F.col("o_orderstatus") == "P", F.lit("retired")).when(F.col("o_orderstatus") == "F", F.lit("merged")).otherwise(F.lit("active"))
+    found = temporal.state(
+        F.to_timestamp(F.lit(NOW)),
+        exists=F.lit(True),
+        status=kind,
+        is_active=F.col("o_orderkey") % 19 != 0,
+        effective_from=F.date_format(day, "yyyy-MM-dd"),
+        effective_to=F.date_format(F.date_add(day, 90), "yyyy-MM-dd"),
+        source_url=F.when(F.col("o_orderkey") % 17 != 0, F.lit("https://example.org")),
+        last_verified_at=F.lit("1996-01-01"),
+        verification_status=F.lit("verified"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("state"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT event_id, CAST(count(e.ts) AS BIGINT) AS n_windows, max(e.ts) AS last_window FROM p LEFT JOIN e ON p.user_id = e.user_id AND p.ts BETWEEN e.ts AND e.ts + INTERVAL 6 HOUR GROUP BY event_id""")
+def q_override_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    hours = F.expr("INTERVAL 6 HOURS")
+    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 21600)
+    windows = events.where(F.col("event_type") == "error").select(F.col("user_id").alias("w_user"), F.col("ts").alias("begin"))
+    # a window of six hours meets its own six-hour bucket and the next one
+    windows = windows.withColumn("bucket", F.explode(F.array(bucket(F.col("begin")), bucket(F.col("begin")) + 1)))
+    points = events.where(F.col("event_type") == "purchase").withColumn("at_bucket", bucket(F.col("ts")))
+    inside = (F.col("user_id") == F.col("w_user")) & (F.col("at_bucket") == F.col("bucket")) & (F.col("ts") >= F.col("begin")) & (F.col("ts") <= F.col("begin") + hours)
+    return points.join(windows, inside, "left").groupBy("event_id").agg(F.count("begin").alias("n_windows"), F.max("begin").alias("last_window"))
+
+
+@query("""
+SELECT event_id, (SELECT min(p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts >= e.ts) AS next_ts FROM events e WHERE event_type = 'view'""")
+def q_next_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
+    ahead = Window.partitionBy("user_id").orderBy("ts").rangeBetween(0, Window.unboundedFollowing)
+    bought = F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(ahead)
+    return rows.withColumn("next_ts", bought).where(F.col("event_type") == "view").select("event_id", "next_ts")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CAST(p_size AS INTEGER) AS h, CAST(p_partkey % 1440 AS INTEGER) AS now, p_partkey % 3 <> 0 AS exact, p_partkey % 10 = 0 AS irregular FROM part),
+s AS (SELECT *, 360 + CAST(ceil((now - 360) / h::DOUBLE) AS INTEGER) * h AS step FROM p)
+SELECT p_partkey, CASE WHEN now < 360 THEN 'before_service' WHEN now <= 1080 AND (irregular OR NOT exact OR step <= 1080) THEN 'in_service' WHEN irregular THEN 'after_service' ELSE 'next_day' END AS status,
+ CAST(CASE WHEN irregular THEN NULL WHEN now < 360 THEN 360 WHEN now <= 1080 AND NOT exact THEN NULL WHEN now <= 1080 AND step <= 1080 THEN step ELSE 360 END AS BIGINT) AS departs,
+ CAST(CASE WHEN irregular THEN NULL WHEN now < 360 THEN 360 - now WHEN now <= 1080 AND NOT exact THEN NULL WHEN now <= 1080 AND step <= 1080 THEN step - now ELSE 1800 - now END AS BIGINT) AS wait FROM s""")
+def q_headway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    found = temporal.next_departure((key % 1440).cast("int"), F.lit(None).cast("array<int>"), F.lit(360), F.lit(1080), F.col("p_size").cast("int"), key % 3 != 0, key % 10 == 0, F.lit(True))
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.status", long("f.departs", "departs"), long("f.wait", "wait"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN replace(format('{:,}', CAST(floor(p_retailprice) * 100 AS BIGINT)), ',', '.') || 'đ'
+ WHEN p_partkey % 3 = 1 THEN replace(format('{:,}', CAST(p_size * 1000 AS BIGINT)), ',', '.') || 'đ - ' || replace(format('{:,}', CAST(p_size * 1000 + 5000 AS BIGINT)), ',', '.') || 'đ'
+ ELSE 'Đang cập nhật' END AS fare FROM part""")
+def q_price_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    kind = F.when(key % 3 == 0, F.lit("flat")).when(key % 3 == 1, F.lit("distance_tiered"))
+    none = F.lit(None).cast("long")
+    fare = text.fare_text(kind, (F.floor("p_retailprice") * 100).cast("long"), size * 1000, size * 1000 + 5000, none)
+    return table(spark, sf_dir, "part").select("p_partkey", fare.alias("fare"))
+
+
+@query(f"""
+SELECT c_custkey, lat >= 15.40e0 AND lat <= 16.00e0 AND lng >= 107.90e0 AND lng <= 108.30e0 AS inside FROM (SELECT c_custkey, {coords('c_custkey')} FROM customer)""")
+def q_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = at(table(spark, sf_dir, "customer"), "c_custkey")
+    return rows.select("c_custkey", geo.in_service_area(F.col("lat"), F.col("lng"), (15.40, 16.00, 107.90, 108.30)).alias("inside"))
+
+
+STOPS_SQL = f"""
+stops AS (SELECT c_custkey // 30 AS route, c_custkey % 30 AS idx, c_custkey AS name, {LAT.format('c_custkey')} AS lat, {LNG.format('c_custkey')} AS lng FROM customer)"""
+
+
+def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stops: thirty in a row make a route, so routes grow with the table and stay short."""
+    rows, key = at(table(spark, sf_dir, "customer"), "c_custkey"), F.col("c_custkey")
+    return rows.select(F.expr("c_custkey div 30").alias("route"), (key % 30).alias("idx"), key.alias("name"), "lat", "lng")
+
+
+def edges(network: DataFrame) -> DataFrame:
+    return spatial.transfers(network, WALK)
+
+
+EDGES_SQL = f"""
+edges AS (SELECT a.route AS fr, a.idx AS fi, a.lat AS flat, a.lng AS flng, b.route AS tr, b.idx AS ti, b.lat AS tlat, b.lng AS tlng, CAST(floor({metres_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} + 0.5e0) AS BIGINT) AS m
+ FROM stops a, stops b WHERE a.route <> b.route AND {metres_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= {WALK})"""
+
+
+@query(f"WITH {STOPS_SQL}, {EDGES_SQL} SELECT fr AS from_route, fi AS from_idx, tr AS to_route, ti AS to_idx, m AS metres FROM edges")
+def q_transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(stops(spark, sf_dir)).select("from_route", "from_idx", "to_route", "to_idx", "metres")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN t = 0 OR v / t::DOUBLE >= 0.8 THEN 0.0e0 WHEN v / t::DOUBLE >= 0.6 THEN 2.5e0 ELSE 5.0e0 END AS penalty FROM
+ (SELECT o_orderkey, count(l_orderkey) AS t, count(*) FILTER (l_quantity >= 10) AS v FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)""")
+def q_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = quality.stop_metrics(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_quantity") >= 10)
+    rows = table(spark, sf_dir, "orders").join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", geo.confidence_penalty(F.col("verified"), F.col("total")).alias("penalty"))
+
+
+def journey_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(long("n_nationkey", "query_id"))
+    rows = at(rows.withColumn("a", F.col("query_id") * 31 + 5).withColumn("b", F.col("query_id") * 31 + 25 + F.col("query_id") % 4 * 15), "a", "o_lat", "o_lng")
+    return at(rows, "b", "d_lat", "d_lng").drop("a", "b")
+
+
+RADIUS = 2500.0
+
+
+def walk_sql(m: str) -> str:
+    return f"greatest(1, CAST(floor(floor({m} + 0.5e0) / 75.0e0 + 0.5e0) AS INTEGER))"
+
+
+def end_sql(name: str, p: str) -> str:
+    return f"""
+{name} AS (SELECT query_id, route, idx, walk, lat, lng FROM (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY idx) AS k FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY walk, route, idx) AS near FROM (
+  SELECT query_id, route, idx, s.lat, s.lng, {metres_sql(f'{p}_lat', f'{p}_lng', 's.lat', 's.lng')} AS walk FROM q, stops s) WHERE walk <= {RADIUS}) WHERE near <= 15) WHERE k = 1)"""
+
+
+JOURNEYS_SQL = f"""
+q AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, {LAT.format('(n_nationkey * 31 + 5)')} AS o_lat, {LNG.format('(n_nationkey * 31 + 5)')} AS o_lng, {LAT.format('(n_nationkey * 31 + 25 + n_nationkey % 4 * 15)')} AS d_lat, {LNG.format('(n_nationkey * 31 + 25 + n_nationkey % 4 * 15)')} AS d_lng FROM nation),
+{STOPS_SQL}, {EDGES_SQL}, {end_sql('bo', 'o')}, {end_sql('al', 'd')},
+far AS (SELECT query_id, {metres_sql('o_lat', 'o_lng', 'd_lat', 'd_lng')} AS straight FROM q),
+j0 AS (SELECT b.query_id, 0 AS transfers, [b.route] AS routes, [b.idx, a.idx] AS places, {walk_sql('b.walk')} + {walk_sql('a.walk')} AS wm, greatest((a.idx - b.idx) * 2, 5) AS rm, round(b.walk + a.walk, 1) AS walk_metres
+ FROM bo b JOIN al a ON a.query_id = b.query_id AND a.route = b.route AND a.idx > b.idx),
+p1 AS (SELECT b.query_id, straight, b.route AS r1, tr AS r2, b.idx AS i0, fi AS i1, ti AS i2, tlat, tlng, {walk_sql('b.walk')} + {walk_sql('m')} AS wm, greatest((fi - b.idx) * 2, 4) AS rm, b.walk + m AS walked,
+ b.walk + {metres_sql('b.lat', 'b.lng', 'flat', 'flng')} + m AS path FROM bo b JOIN far USING (query_id) JOIN edges ON fr = b.route AND fi > b.idx AND tr <> b.route),
+j1 AS (SELECT p.query_id, 1 AS transfers, [r1, r2] AS routes, [i0, i1, i2, a.idx] AS places, wm + {walk_sql('a.walk')} AS wm, rm + greatest((a.idx - i2) * 2, 4) AS rm, round(walked + a.walk, 1) AS walk_metres
+ FROM p1 p JOIN al a ON a.query_id = p.query_id AND a.route = r2 AND a.idx > i2 WHERE path <= 1.8 * straight AND path + {metres_sql('tlat', 'tlng', 'a.lat', 'a.lng')} + a.walk <= 1.8 * straight),
+p2 AS (SELECT p.query_id, straight, r1, r2, tr AS r3, i0, i1, i2, fi AS i3, ti AS i4, e.tlat, e.tlng, wm + {walk_sql('m')} AS wm, rm + greatest((fi - i2) * 2, 4) AS rm, walked + m AS walked, path + {metres_sql('p.tlat', 'p.tlng', 'e.flat', 'e.flng')} + m AS path
+ FROM p1 p JOIN edges e ON e.fr = r2 AND fi > i2 AND tr <> r1 AND tr <> r2 WHERE path <= 1.8 * straight),
+j2 AS (SELECT p.query_id, 2 AS transfers, [r1, r2, r3] AS routes, [i0, i1, i2, i3, i4, a.idx] AS places, wm + {walk_sql('a.walk')} AS wm, rm + greatest((a.idx - i4) * 2, 4) AS rm, round(walked + a.walk, 1) AS walk_metres
+ FROM p2 p JOIN al a ON a.query_id = p.query_id AND a.route = r3 AND a.idx > i4 WHERE path <= 1.8 * straight AND path + {metres_sql('tlat', 'tlng', 'a.lat', 'a.lng')} + a.walk <= 1.8 * straight),
+j AS (SELECT *, 'transfer' || transfers || '_' || list_aggregate(routes, 'string_agg', '_') || '_' || list_aggregate(places, 'string_agg', '_') AS journey, wm + rm + 5 * transfers AS minutes, 1.5e0 * wm + rm + 17 * transfers AS cost
+ FROM (FROM j0 UNION ALL FROM j1 UNION ALL FROM j2))"""
+JOURNEY_COLUMNS = "query_id, journey, CAST(minutes AS BIGINT) AS minutes, CAST(cost AS DOUBLE) AS cost, walk_metres"
+
+
+def journeys_of(spark: SparkSession, sf_dir: str, transfers: int) -> DataFrame:
+    network, asked = stops(spark, sf_dir), journey_queries(spark, sf_dir)
+    boards, alights = journeys.ends(asked, network, "o", RADIUS), journeys.ends(asked, network, "d", RADIUS)
+    found = journeys.direct(boards, alights) if not transfers else journeys.transferring(asked, boards, alights, edges(network), transfers)
+    return journeys.costed(found).select("query_id", "journey", long("minutes", "minutes"), F.col("cost").cast("double").alias("cost"), "walk_metres")
+
+
+@query(f"WITH {JOURNEYS_SQL} SELECT {JOURNEY_COLUMNS} FROM j WHERE transfers = 0")
+def q_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journeys_of(spark, sf_dir, 0)
+
+
+@query(f"WITH {JOURNEYS_SQL} SELECT {JOURNEY_COLUMNS} FROM j WHERE transfers = 1")
+def q_one_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journeys_of(spark, sf_dir, 1)
+
+
+@query(f"WITH {JOURNEYS_SQL} SELECT {JOURNEY_COLUMNS} FROM j WHERE transfers = 2")
+def q_two_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journeys_of(spark, sf_dir, 2)
+
+
+@query(f"""WITH {JOURNEYS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY transfers, cost, walk_metres, minutes, journey) AS rank FROM j),
+t AS (FROM r WHERE rank <= 5),
+b AS (SELECT query_id, min_by(rank, (walk_metres, rank)) AS lw, min_by(rank, (minutes, rank)) AS fa FROM t GROUP BY query_id)
+SELECT query_id, journey, CAST(rank AS BIGINT) AS rank, CASE WHEN transfers = 0 THEN 'direct' WHEN rank = lw THEN 'least_walking' WHEN rank = fa THEN 'fastest' ELSE 'option_' || rank END AS badge FROM t JOIN b USING (query_id)""")
+def q_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    network = stops(spark, sf_dir)
+    found = journeys.ranked(journeys.search(journey_queries(spark, sf_dir), network, edges(network), RADIUS))
+    return found.select("query_id", "journey", long("rank", "rank"), "badge")
+
+
+@query("""
+WITH o AS (SELECT user_id, min(event_id) AS first_at FROM events WHERE event_type = 'view' GROUP BY user_id)
+SELECT o.user_id, first_at, min(event_id) AS second_at FROM o JOIN events e ON e.user_id = o.user_id AND e.event_type = 'purchase' AND e.event_id > first_at GROUP BY o.user_id, first_at""")
+def q_ordered_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return sequences.first_ordered_pair(table(spark, sf_dir, "events"), ["user_id"], "event_id", kind == "view", kind == "purchase")
+
+
+@query("""
+SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_rows, bool_and(coalesce(up, true)) AS is_monotone FROM
+ (SELECT l_orderkey, coalesce(l_quantity, 0) < lead(coalesce(l_quantity, 0)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, coalesce(l_quantity, 0)) AS up FROM lineitem) GROUP BY l_orderkey""")
+def q_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.monotone(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", F.col("l_quantity"))
+
+
+@query("""
+WITH g AS (SELECT event_id, user_id, ts, CASE WHEN epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6 > 1800 THEN 1 ELSE 0 END AS f FROM events),
+s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS cluster FROM g)
+SELECT user_id, CAST(cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY ALL""")
+def q_gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = sequences.gap_clusters(table(spark, sf_dir, "events"), ["user_id"], seconds, 1800.0)
+    return rows.groupBy("user_id", long("cluster", "cluster")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"""
+WITH {STOPS_SQL}, s AS (SELECT *, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng FROM stops WINDOW w AS (PARTITION BY route ORDER BY idx)),
+m AS (SELECT route, 2 * 6371000.0e0 * atan2(sqrt(h), sqrt(1 - h)) AS d FROM (SELECT route, sin(radians(nlat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(nlat)) * sin(radians(nlng - lng) / 2) ** 2 AS h FROM s WHERE nlat IS NOT NULL))
+SELECT route, CAST(count(*) + 1 AS BIGINT) AS n_points, floor(sum(d)) AS metres FROM m GROUP BY route""")
+def q_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.lengths(stops(spark, sf_dir), "route", "idx").select("route", "n_points", F.floor("metres").cast("double").alias("metres"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS place_id, lower(p_type) AS place FROM part WHERE p_partkey % 20 = 0), n AS (SELECT p_partkey AS node_id, lower(p_type) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' ' || p_size END AS node FROM part),
+s AS (SELECT place_id, node_id, CASE WHEN place = node THEN 1.0e0 WHEN len(place) > 6 AND len(node) > 6 AND (starts_with(place, node) OR starts_with(node, place)) THEN 0.95e0
+ WHEN len(place) > 8 AND len(node) > 8 AND (contains(place, node) OR contains(node, place)) THEN 0.9e0 END AS score FROM p, n),
+b AS (SELECT *, max(score) OVER (PARTITION BY place_id) AS top FROM s WHERE score IS NOT NULL)
+SELECT place_id, max(score) AS score, CAST(count(*) AS BIGINT) AS n_best, min(node_id) AS node_id, CASE WHEN count(*) = 1 THEN 'verified' ELSE 'needs_review' END AS status FROM b WHERE score = top GROUP BY place_id""")
+def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    places = part.where(F.col("p_partkey") % 20 == 0).select(F.col("p_partkey").alias("place_id"), text.normalised(F.col("p_type")).alias("place"))
+    named = F.concat(F.col("p_type"), F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"))))
+    nodes = part.select(F.col("p_partkey").alias("node_id"), text.normalised(named).alias("node"))
+    return resolution.decided(resolution.candidates(places, nodes))
+
+
+@query("""
+SELECT d.doc_id, CASE WHEN coalesce(quality, 0) = 1 THEN '' ELSE 'low quality' END AS r1, concat_ws('; ', CASE WHEN coalesce(quality, 0) <> 1 THEN 'low quality' END, CASE WHEN coalesce(toxic, 1) <> 0 THEN 'toxic' END, CASE WHEN coalesce(n_chars, 0) < 500 THEN 'short' END) AS reasons,
+ coalesce(quality, 0) = 1 AND coalesce(toxic, 1) = 0 AND coalesce(n_chars, 0) >= 500 AS eligible FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rules = [(F.col("quality") == 1, "low quality"), (F.col("toxic") == 0, "toxic"), (F.col("n_chars") >= 500, "short")]
+    return quality.with_contract(rows, rules).select("doc_id", quality.reasons(rules[:1]).alias("r1"), "reasons", "eligible")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS t FROM lineitem GROUP BY 1)
+SELECT coalesce(o_orderkey, k) AS key, CASE WHEN k IS NULL THEN 'only_stored' WHEN o_orderkey IS NULL THEN 'only_computed' ELSE 'changed' END AS drift FROM orders FULL JOIN c ON o_orderkey = k
+WHERE k IS NULL OR o_orderkey IS NULL OR NOT coalesce(abs(o_totalprice - t) <= 50000, false)""")
+def q_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"))
+    computed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    return quality.drift(stored, computed, ["key"], ["total"], 50_000.0).select("key", "drift")
+
+
+@query("""
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS ready, CAST(count(*) FILTER (o_totalprice > 100000) AS BIGINT) AS large,
+ round(100.0e0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS ready_pct, round(100.0e0 * count(*) FILTER (o_totalprice > 100000) / count(*), 2) AS large_pct FROM orders GROUP BY 1""")
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.coverage(table(spark, sf_dir, "orders"), ["o_orderpriority"], {"ready": F.col("o_orderstatus") == "F", "large": F.col("o_totalprice") > 100_000})
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (c_acctbal < 0) AS BIGINT) AS in_debt FROM customer GROUP BY 1")
+def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.counts_by(table(spark, sf_dir, "customer"), "c_mktsegment", {"in_debt": F.col("c_acctbal") < 0})
+
+
+@query("""
+SELECT token, CAST(count(*) AS BIGINT) AS n, min(key) AS first_key, max(key) AS last_key FROM (SELECT DISTINCT doc_id AS key, unnest(string_split(lower(text), ' ')) AS token FROM documents) WHERE len(token) BETWEEN 2 AND 30 GROUP BY token""")
+def q_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x).between(2, 30))
+    found = catalog.inverted_index(table(spark, sf_dir, "documents"), "doc_id", words)
+    return found.select("token", "n", F.element_at("keys", 1).alias("first_key"), F.element_at("keys", -1).alias("last_key"))
+
+
+@query("SELECT name, first_at, n, CAST(row_number() OVER (ORDER BY first_at, name) AS BIGINT) AS id FROM (SELECT p_type || '|' || p_brand AS name, min(p_partkey) AS first_at, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1)")
+def q_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.directory(table(spark, sf_dir, "part"), F.concat_ws("|", "p_type", "p_brand"), "p_partkey")
+    return found.select("name", "first_at", "n", long("id", "id"))
+
+
+@query("""
+SELECT doc_id, CAST(len(names) AS BIGINT) AS n_names, array_to_string(names, '|') AS names FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '\\([^)]*\\)', '', 'g'), '\\s*(?:[-–—→]|->)\\s*'),
+ lambda x: regexp_replace(regexp_replace(x, '[\\x{00a0}\\s\\x0B]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: len(x) > 2 AND len(x) < 60) AS names FROM documents)""")
+def q_path_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.path_names(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("names")).select("doc_id", long(F.size("names"), "n_names"), F.array_join("names", "|").alias("names"))
+
+
+@query("""
+SELECT doc_id, regexp_extract(text, '([A-Za-z0-9._]+)@([a-z0-9.]+)', 1) AS mail_user, regexp_extract(text, '([A-Za-z0-9._]+)@([a-z0-9.]+)', 2) AS mail_host, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n_numbers FROM documents""")
+def q_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mail = lambda k: F.regexp_extract("text", r"([A-Za-z0-9._]+)@([a-z0-9.]+)", k)
+    return table(spark, sf_dir, "documents").select("doc_id", mail(1).alias("mail_user"), mail(2).alias("mail_host"), long(F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))), "n_numbers"))
+
+
+@query("""
+SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1)) AS BIGINT) AS n_items, CAST(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS BIGINT) AS n_links FROM pages""")
+def q_html_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_source.elements(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "title", long(F.size("items"), "n_items"), long(F.size("links"), "n_links"))
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, c_nationkey AS k, c_acctbal AS s, {LAT.format('(c_custkey % 500)')} AS lat, {LNG.format('(c_custkey % 500)')} AS lng FROM customer),
+b AS (SELECT *, row_number() OVER (PARTITION BY k, format('{{:.4f}}', lat), format('{{:.4f}}', lng) ORDER BY s DESC, c_custkey) AS f FROM c)
+SELECT k AS nation, c_custkey, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, c_custkey) AS rank FROM b WHERE f = 1) WHERE rank <= 8""")
+def q_coord_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = at(table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 500), "k")
+    best = search.one_per_point(rows, ["c_nationkey"], "lat", "lng", "c_acctbal", "c_custkey", 8)
+    return best.select(F.col("c_nationkey").alias("nation"), "c_custkey", long("rank", "rank"))
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
+def q_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+
+
+@query("""
+SELECT a.p_partkey, CAST(len(list_intersect(string_split(lower(a.p_type), ' '), string_split(lower(b.p_type), ' '))) AS BIGINT) AS shared FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def q_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", text.tokens(F.col("p_type"), 1).alias("words"))
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("words").alias("others"))
+    return part.join(following, "p_partkey").select("p_partkey", long(F.size(F.array_intersect("words", "others")), "shared"))
+
+
+@query(None)
+def q_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document against those of the next one, aligned greedily."""
+    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).select("conv_id", F.col("turn").alias("at"), "text")
+    return sequences.align_groups(rows, rows.where(F.col("at") % 3 != 0), "conv_id")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-"""Spark-native analytics for networks of places and scheduled services."""
+"""Column functions: text, places and time."""
