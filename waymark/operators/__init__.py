@@ -1 +1 @@
-"""Spark-native analytics for networks of places and scheduled services."""
+"""DataFrame operators, parameterised by columns."""

@@ -1 +1 @@
-"""Spark-native analytics for networks of places and scheduled services."""
+"""Composite plans: the journey planner and place search."""

@@ -1 +1,21 @@
-"""Spark-native analytics for networks of places and scheduled services."""
+"""Structured Streaming forms of the order-sensitive operators; extensions, as the catalog itself is static."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def sessions(events: DataFrame, key: str, at: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Gap clusters of a stream: session windows of each key, final once the watermark passes them."""
+    return events.withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def latest_only(responses: DataFrame, key: str, sequence: str, at: str, late: str = "10 minutes") -> DataFrame:
+    """One row for each (key, sequence) within the watermark: repeated responses are dropped."""
+    return responses.withWatermark(at, late).dropDuplicatesWithinWatermark([key, sequence])
+
+
+def counts(events: DataFrame, key: str, at: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events of each key in tumbling windows of event time."""
+    return events.withWatermark(at, late).groupBy(F.window(at, window), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "n")
