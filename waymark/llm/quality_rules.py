@@ -28,6 +28,7 @@ DIMS = WORD_DIMS + CHAR_DIMS
 #: Fixed thresholds of the rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, KEEP_AT = 20, 30, 8, 0.5
 SYMBOLS = "#*$%&|<>"
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -152,8 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 
 
 def judge(docs: DataFrame, model: dict | None, keep_columns: list[str] | None = None, keep_at: float = KEEP_AT) -> DataFrame:
-    """One row per document: ``keep_columns`` of the input (all by default), the statistics, base_failed, probability and kept."""
-    names = docs.columns if keep_columns is None else keep_columns
+    """One row per document: ``keep_columns`` of the input (all by default), the statistics, base_failed, probability and kept.
+
+    Columns of the input that have the name of an added one give way to it.
+    """
+    names = [n for n in docs.columns if n not in ADDED] if keep_columns is None else keep_columns
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, "text"])])
@@ -168,7 +172,7 @@ def judge(docs: DataFrame, model: dict | None, keep_columns: list[str] | None =
             p = 1 / (1 + np.exp(-np.clip(features(words) @ m["w"] + m["b"], -30, 30))) if m else np.ones(len(texts))
             out = [column(batch, n) for n in names] + [pa.array(s, pa.int64()) for s in stats]
             out += [pa.array(failed), pa.array(p.astype(np.float64)), pa.array(~failed & (p >= keep_at))]
-            yield pa.RecordBatch.from_arrays(out, names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"])
+            yield pa.RecordBatch.from_arrays(out, names=[*names, *ADDED])
 
     return source.mapInArrow(run, f"{schema}, {STATS}, base_failed boolean, probability double, kept boolean")
 
