@@ -82,3 +82,9 @@ def plainly(docs: DataFrame, kept: tuple[str, ...] = ("doc_id", "text")) -> tupl
     names = docs.columns
     plain = docs.select(*[F.col(f"`{n}`").alias(n if n in kept else f"c{i}") for i, n in enumerate(names)])
     return plain, lambda out: out.select(*[F.col(p).alias(n) for p, n in zip(plain.columns, names, strict=True)])
+
+
+def shingles_sql(table: str, key: str) -> str:
+    """SQL of (key, shingle) pairs: the distinct runs of five words of each text, or all words of a shorter one, as joined texts."""
+    words = f"SELECT {key}, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS shingle FROM ({words}) WHERE len(w) > 0"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialize, plainly, text_chunks
+from .common import column, materialize, plainly, shingles_sql, text_chunks
 from .textkernel import GOLDEN, U64, mix, shingles, split_words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -178,3 +178,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The exact containment of every item in every document.
+LEAKS_SQL = f"""
+WITH d AS ({shingles_sql('documents', 'doc_id')}), i AS ({shingles_sql('benchmark', 'item_id')}), n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment FROM s JOIN n USING (item_id) WHERE n_shared >= {THRESHOLD} * n_item"""

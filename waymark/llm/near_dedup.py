@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialize, plainly, text_chunks
+from .common import column, materialize, plainly, shingles_sql, text_chunks
 from .textkernel import GOLDEN, U64, Words, mix, shingles, split_words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -329,3 +329,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs by shared shingles, and the components of links.
+CLASSES_SQL = f"""
+WITH RECURSIVE s AS ({shingles_sql('documents', 'doc_id')}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= {THRESHOLD} * (a.n + b.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id"""

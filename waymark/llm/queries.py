@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_merkle_audit": warc.AUDIT_SQL, "op9_url_filter": url_filter.levels_sql()}
+    return {"op1_benchmark_decontamination": decontamination.LEAKS_SQL, "op8_near_dedup": near_dedup.CLASSES_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL, "op9_url_filter": url_filter.levels_sql()}
