@@ -28,7 +28,7 @@ SEQUENCE, END_ID = 4096, 1
 #: Hash shards that pieces of one length are ranked in.
 SHARDS = 1024
 #: Distinct words whose ids a task keeps before the older half is dropped.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 _encoders: dict[str, WordEncoder] = {}
 _lock = threading.Lock()
 
