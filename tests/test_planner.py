@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from waymark.operators import journeys
 from waymark.plans import planner
 
 NETWORK = [
@@ -30,6 +32,14 @@ def test_two_transfers(spark):
     assert (best["minutes"], best["cost"], best["walk_metres"]) == (26, 52.0, 184.8)
 
 
+def test_legs(spark):
+    found = spark.createDataFrame([(["A", "B"], [0, 3, 1, 2]), (["A"], [0, 1])], "routes array<string>, places array<long>")
+    rows = [[(x["role"], x["route"], x["board"], x["alight"]) for x in r["legs"]] for r in journeys.with_legs(found).collect()]
+    assert rows[0] == [("origin", None, None, None), ("ride", "A", 0, 3), ("transfer", None, None, None), ("ride", "B", 1, 2), ("destination", None, None, None)]
+    assert [x[0] for x in rows[1]] == ["origin", "ride", "destination"]
+    assert spark.range(1).select(journeys.fare_summary(F.array(F.lit("8.000đ"), F.lit(None), F.lit("5.000đ")))).first()[0] == "8.000đ + 5.000đ"
+
+
 def test_transfer_index(spark):
     edges = {(r["from_route"], r["from_idx"], r["to_route"], r["to_idx"], r["metres"]) for r in planner.transfer_index(planner.usable_stops(network(spark))).collect()}
     out = lambda a, i, b, j: (f"{a}_outbound", i, f"{b}_outbound", j, 77)

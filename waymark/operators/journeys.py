@@ -83,3 +83,22 @@ def search(queries: DataFrame, stops: DataFrame, edges: DataFrame, metres: float
     boards, alights = ends(queries, stops, "o", metres), ends(queries, stops, "d", metres)
     every = [direct(boards, alights), *[transferring(queries, boards, alights, edges, k) for k in range(1, transfers + 1)]]
     return costed(reduce(DataFrame.unionByName, every))
+
+
+def with_legs(found: DataFrame) -> DataFrame:
+    """Add legs: array of struct<kind, role, route, board, alight>, a walk at either end and between rides (3, 5 or 7 legs)."""
+    kind = "string" if dict(found.dtypes)["routes"] == "array<string>" else "bigint"
+
+    def leg(what: str, role: str, route: Column, board: Column, alight: Column) -> Column:
+        return F.struct(F.lit(what).alias("kind"), F.lit(role).alias("role"), route.cast(kind).alias("route"), board.cast("long").alias("board"), alight.cast("long").alias("alight"))
+
+    none = F.lit(None)
+    rides = F.transform("routes", lambda r, k: F.array(leg("ride", "ride", r, F.get("places", 2 * k), F.get("places", 2 * k + 1)), leg("walk", "transfer", none, none, none)))
+    middle = F.flatten(rides)
+    legs = F.concat(F.array(leg("walk", "origin", none, none, none)), F.slice(middle, F.lit(1), F.size(middle) - 1), F.array(leg("walk", "destination", none, none, none)))
+    return found.withColumn("legs", legs)
+
+
+def fare_summary(fares: Column) -> Column:
+    """The fare texts of a journey's rides, joined."""
+    return F.array_join(F.array_compact(fares), " + ")
