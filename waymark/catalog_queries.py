@@ -426,7 +426,7 @@ def q_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CAST(len(names) AS BIGINT) AS n_names, array_to_string(names, '|') AS names FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '\\([^)]*\\)', '', 'g'), '\\s*(?:[-–—→]|->)\\s*'),
+SELECT doc_id, CAST(len(names) AS BIGINT) AS n_names, array_to_string(names, '|') AS names FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '\\([^)]*\\)', '', 'g'), '\\s*(?:->|[-–—→])\\s*'),
  lambda x: regexp_replace(regexp_replace(x, '[\\x{00a0}\\s\\x0B]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: len(x) > 2 AND len(x) < 60) AS names FROM documents)""")
 def q_path_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.path_names(F.col("text"))

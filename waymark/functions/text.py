@@ -56,7 +56,7 @@ def expanded(text: Column) -> Column:
 def path_names(path: Column, least: int = 2, most: int = 60) -> Column:
     """Ordered distinct names of a path text: split at dashes and arrows, without parentheses, of more than ``least`` and under ``most`` characters."""
     plain = F.regexp_replace(F.coalesce(path, F.lit("")), r"\([^)]*\)", "")
-    parts = F.transform(F.split(plain, r"\s*(?:[-–—→]|->)\s*"), cleaned)
+    parts = F.transform(F.split(plain, r"\s*(?:->|[-–—→])\s*"), cleaned)
     return F.array_distinct(F.filter(parts, lambda x: (F.length(x) > least) & (F.length(x) < most)))
 
 
