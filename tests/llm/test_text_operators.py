@@ -136,6 +136,18 @@ def test_near_duplicates(odd, documents):
     assert near_dedup.classify(odd.limit(0)).count() == 0 and near_dedup.keep_one(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_differ_in_repeats(spark):
+    words = [f"w{k}" for k in range(104)]
+    rows = []
+    for k, times in enumerate([5, 10, 20, 50, 200] * 4):
+        text = [f"{k}.{w}" for w in words]
+        # the same shingles in both, 20 of them once or many times
+        rows += [(2 * k, " ".join(text + text[:24])), (2 * k + 1, " ".join(text + text[:24] * times))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_decontamination(spark, odd, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     shingled = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", t or "")) else set()

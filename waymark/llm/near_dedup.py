@@ -4,13 +4,14 @@ A text's weighted shingles (five words, weight: how often) give REGISTERS ProbMi
 weight as rate, whose arrivals fall on registers at random; only arrivals before a stop time that fills all registers are generated. Two texts
 agree in a register with the chance of their probability Jaccard similarity, which is the Jaccard similarity if no shingle repeats. BANDS bands of ROWS
 registers propose pairs; a pair is a link if the exact Jaccard similarity of its sets of shingles is THRESHOLD or more. Classes are the
-connected components of links.
+connected components of links. As links do not ask how often a shingle occurs, a text that repeats shingles also has the bands of its set (all weights 1) in
+the same buckets; a text without repeats has the same bands either way.
 
 Texts with the same words are one content (a 128-bit digest), so copies never meet in a bucket. In each bucket contents are paired with its least content
 only, first through one bucket each, then through the others unless a class holds both already. Buckets whose contents still lie in different classes go to
 an exact prefix join: shingles are ordered from rare to common (by counts in hashed bins of fixed number), and two contents can only
 reach the threshold if the first shingle they share comes early in both. So no bucket emits all its pairs,
-and no link inside a bucket is lost. A pair of probability Jaccard similarity 0.8 misses all buckets with a chance of 3 in a million.
+and no link inside a bucket is lost. A pair of sets of Jaccard similarity 0.8 misses all buckets with a chance of 3 in a million, whatever repeats.
 
 Defined cases: null and wordless texts are classes of their own; texts of one to four words have one shingle of them all; the class id is the least doc_id of the
 class (null ids count as the lowest, -1, among themselves); repeated rows share a class, and ``keep_one`` keeps one of them; an empty
@@ -125,8 +126,33 @@ def digest(words: Words) -> list[bytes | None]:
     return [hashlib.blake2b(raw[8 * (e - c) : 8 * e], digest_size=16).digest() if c else None for c, e in zip(count.tolist(), ends.tolist(), strict=True)]
 
 
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """A hash of each band with its number, for each row of registers."""
+    bands = np.zeros((len(registers), BANDS), dtype=U64) + mix(np.arange(1, BANDS + 1, dtype=U64))
+    for r in range(ROWS):
+        bands = mix(bands + registers[:, r::ROWS] + golden(r + 1))
+    return bands
+
+
+def bands_of(docs: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs: int) -> list[np.ndarray | None]:
+    """The distinct band keys of each text with shingles: by its counts and, if a shingle repeats, by its set too."""
+    present, registers = prob_min_hash(docs, hashes, weights, n_docs)
+    out: list[np.ndarray | None] = [None] * n_docs
+    for i, keys in zip(present.tolist(), band_keys(registers), strict=True):
+        out[i] = keys.view(np.int64)
+    repeats = np.zeros(n_docs, bool)
+    repeats[docs[weights > 1]] = True
+    kept = repeats[docs]
+    if not kept.any():
+        return out
+    present, registers = prob_min_hash(docs[kept], hashes[kept], np.ones(int(kept.sum()), np.int64), n_docs)
+    for i, keys in zip(present.tolist(), band_keys(registers), strict=True):
+        out[i] = np.unique(np.concatenate([out[i], keys.view(np.int64)]))
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, cid (content digest) and bands (a hash of each band) of every document."""
+    """doc_id, cid (content digest) and bands (the keys of its buckets) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -137,13 +163,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             lead[list(first.values())] = True
             own, hashes, weights = weighted_shingles(words)
             kept = lead[own]
-            present, registers = prob_min_hash(own[kept], hashes[kept], weights[kept], len(texts))
-            bands = np.zeros((len(present), BANDS), dtype=U64)
-            for r in range(ROWS):
-                bands = mix(bands + registers[:, r::ROWS] + golden(r + 1))
-            at = np.full(len(texts), -1)
-            at[present] = np.arange(len(present))
-            rows = [bands[at[i]].view(np.int64) if lead[i] else None for i in range(len(texts))]
+            rows = bands_of(own[kept], hashes[kept], weights[kept], len(texts))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(cids, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "cid", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cid binary, bands array<long>")
@@ -263,8 +283,7 @@ def in_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     names = known.select("doc_id", "cid")
     contents = known.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min(owned()).alias("owner"), F.max("bands").alias("bands"))
     contents = materialize(contents, "contents")
-    bucket = F.posexplode("bands").alias("band", "key")
-    rows = contents.select("cid", bucket).select("cid", F.xxhash64("band", "key").alias("bucket"))
+    rows = contents.select("cid", F.explode("bands").alias("bucket"))
     leads = rows.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "lead")
     met = materialize(rows.join(leads, F.col("bucket") == F.col("b")).select("bucket", "cid", "lead"), "met")
     own = met.select("cid").distinct().join(contents.select("cid", "owner"), "cid")
