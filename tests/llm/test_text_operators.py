@@ -1,5 +1,6 @@
 """Operators on Spark: brute force on small tables, and nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -248,6 +249,45 @@ def test_warc(spark, tmp_path):
     assert warc.audit(none, none).count() == 0
 
 
+def test_warc_damage_in_storage(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>é" * (i % 9 + 1)) for i in range(200)], "page_id long, url string, html string").repartition(2)
+    warc.write_warc(pages, f"file://{tmp_path}/a", per_file=20)
+    a = warc.read_warc(spark, f"file://{tmp_path}/a").cache()
+    ranges: dict[str, list] = {}
+    for r in a.orderBy("file", "position").collect():
+        ranges.setdefault(r["file"], []).append(r)
+    names = sorted(ranges)
+    assert len(names) >= 10 and all(len(gzip.decompress((tmp_path / "a" / n).read_bytes())) == sum(r["length"] for r in ranges[n]) for n in names)
+
+    def damaged(files: dict[str, bytes | None]) -> list:
+        to = tmp_path / f"b{len(list(tmp_path.iterdir()))}"
+        to.mkdir()
+        for n in names:
+            if (raw := files.get(n, (tmp_path / "a" / n).read_bytes())) is not None:
+                (to / n).write_bytes(raw)
+        found = warc.audit(a, warc.read_warc(spark, f"file://{to}")).where("damaged")
+        return sorted({r["page_id"] for r in found.collect() if r["page_id"] is not None})
+
+    files, pages_hit = {}, []
+    raws = [(tmp_path / "a" / n).read_bytes() for n in names]
+    # a byte changed in the data, the header and the extra field; a byte missing; two neighbours; the last bytes missing
+    for k, (at, cut, hit) in enumerate([(60, 0, [3]), (5, 0, [4]), (20, 0, [0]), (50, 1, [7])]):
+        begin = ranges[names[k]][hit[0]]["stored_offset"] + at
+        files[names[k]] = raws[k][:begin] + (b"" if cut else bytes([raws[k][begin] ^ 1])) + raws[k][begin + 1 :]
+        pages_hit += [ranges[names[k]][h]["page_id"] for h in hit]
+    both = bytearray(raws[4])
+    for h in (5, 6):
+        both[ranges[names[4]][h]["stored_offset"] + 70] ^= 1
+        pages_hit.append(ranges[names[4]][h]["page_id"])
+    files[names[4]] = bytes(both)
+    files[names[5]] = raws[5][:-9]
+    pages_hit.append(ranges[names[5]][-1]["page_id"])
+    assert damaged(files) == sorted(pages_hit)
+    # a task's last file is gone
+    last = max(n for n in names if n.startswith("part-00000"))
+    assert damaged({last: None}) == sorted(r["page_id"] for r in ranges[last])
+
+
 def test_pipeline(spark, documents, tmp_path):
     import corpus_pipeline
 

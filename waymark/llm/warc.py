@@ -1,7 +1,9 @@
 """WARC archives of pages, and a Merkle audit that finds damaged records in a replica.
 
-``write_warc`` stores pages as response records in gzipped WARC files, RECORDS_PER_FILE to a file at most (offsets count uncompressed bytes); ``read_warc`` reads such
-files as records with file, offset, length and digest. For the audit, each record's leaf is a hash of its offset range and its bytes. Records are placed
+``write_warc`` stores pages as response records in WARC files, RECORDS_PER_FILE to a file at most, each as a gzip member of its own whose extra field
+holds its number and offset (offsets count uncompressed bytes); ``read_warc`` reads such files as records with file, offset, length and digest, and with
+stored range and digest. Bytes that can't be decoded become unnamed records of length 0 in the places of the records they hide; reading goes on at the next member
+that is whole. For the audit, each record's leaf is a hash of its offset range, its bytes and its stored bytes. Records are placed
 in segments by position; each node above hashes the leaves or nodes of FANOUT places below in order and spans their offset range. Trees are
 tables, one for each level, so no task holds more than the children of one node. Two replicas are compared from the root; only the
 children of nodes that differ are looked at, down to the records.
@@ -13,9 +15,10 @@ of nothing; other columns do not matter. Payloads may hold any text; the length
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +32,8 @@ RECORDS_PER_FILE, FANOUT = 1000, 16
 #: Fixed values of the record format.
 BREAK, RECORD_END = "\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Start of a gzip member; name, size and layout of the extra field (number, offset, checksum of both); compression level; bytes given to a decoder at once.
+MAGIC, FIELD, PLACE, LEVEL, PIECE = b"\x1f\x8b\x08", struct.pack("<H2sH", 24, b"WM", 20), struct.Struct("<QQI"), 1, 1 << 16
 
 
 def header(page_id: Column, url: Column, length: Column) -> Column:
@@ -43,9 +48,102 @@ def with_records(pages: DataFrame) -> DataFrame:
     return pages.withColumn("record", F.concat(header(F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.octet_length(body)), body))
 
 
+def member(raw: bytes, position: int, offset: int) -> bytes:
+    """A gzip member of a record, without its last byte if that is 0, as it is under 16 MB."""
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    place = struct.pack("<QQ", position, offset)
+    head = MAGIC + b"\x04" + b"\0" * 5 + b"\xff" + FIELD + place + struct.pack("<I", zlib.crc32(place))
+    out = head + deflate.compress(raw) + deflate.flush() + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+    return out[:-1] if out[-1] == 0 else out
+
+
 def write_warc(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
     """Write the pages as compressed WARC files under ``path``, in the order and the tasks that the table has; nothing is shuffled."""
-    with_records(pages).select("record").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        position = offset = 0
+        for batch in batches:
+            out = []
+            for record in column(batch, "record"):
+                raw = record.as_py() + RECORD_END.encode()
+                if position == per_file:
+                    position = offset = 0
+                out.append(member(raw, position, offset))
+                position, offset = position + 1, offset + len(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+
+    members = with_records(pages).select(F.col("record").cast("binary").alias("record")).mapInArrow(run, "member binary")
+    # the separator is the last byte of a member, or padding that readers skip
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
+
+
+def decoded(raw: bytes, at: int) -> tuple[int, bytes] | None:
+    """(end, content) of the gzip member at a place of a file, or None if there is no whole one."""
+    if not raw.startswith(MAGIC, at):
+        return None
+    inflate, out = zlib.decompressobj(31), []
+    try:
+        while not inflate.eof:
+            if at >= len(raw):
+                return None
+            out.append(inflate.decompress(raw[at : at + PIECE]))
+            at += PIECE
+    except zlib.error:
+        return None
+    return min(at, len(raw)) - len(inflate.unused_data), b"".join(out)
+
+
+def stretches(raw: bytes) -> Iterator[tuple[int, int, bytes | None]]:
+    """(begin, end, content) of the members of a stored file in order; content is None for bytes that are no whole member."""
+    at, bad = 0, -1
+    while at < len(raw):
+        found = decoded(raw, at)
+        if not found:
+            later = raw.find(MAGIC, at + 1)
+            # zeros between members are padding, other bytes are damage
+            if bad < 0 and raw[at : later if later >= 0 else len(raw)].strip(b"\0"):
+                bad = at
+            at = later if later >= 0 else len(raw)
+            continue
+        if bad >= 0:
+            yield bad, at, None
+            bad = -1
+        yield at, found[0], found[1]
+        at = found[0]
+    if bad >= 0:
+        yield bad, at, None
+
+
+def stored_records(name: str, raw: bytes) -> list[tuple]:
+    """The rows of RECORD of a stored file. What has no place among the records (stray bytes, members out of order) follows behind the last one."""
+    if raw.startswith(b"WARC/"):
+        return [(*r, r[2], r[3], r[5]) for r in records_of(name, raw)]
+    out, extra, number, offset, hidden = [], [], 0, 0, None
+    for begin, end, content in stretches(raw):
+        stored = (begin, end - begin, hashlib.sha256(raw[begin:end]).hexdigest())
+        if content is None:
+            hidden = stored
+            continue
+        place = None
+        if raw.startswith(FIELD, begin + 10):
+            at = begin + 10 + len(FIELD)
+            position, first, check = PLACE.unpack_from(raw, at)
+            place = (position, first) if zlib.crc32(raw[at : at + 16]) == check else None
+        ahead = place[0] - number if place else 0
+        if hidden:
+            (out if ahead > 0 else extra).extend((name, number + k, offset, 0, None, hidden[2], *hidden) for k in range(max(ahead, 1)))
+            hidden = None
+        late = ahead < 0
+        if place and not late:
+            number, offset = place
+        for _, k, at, length, page, digest in records_of(name, content):
+            (extra if late else out).append((name, number + k, (place[1] if late else offset) + at, length, page, digest, *stored))
+        if not late:
+            number, offset = (out[-1][1] + 1, offset + len(content)) if out else (0, 0)
+    if hidden:
+        out.append((name, number, offset, 0, None, hidden[2], *hidden))
+        number += 1
+    return out + [(name, number + k, *row[2:]) for k, row in enumerate(extra)]
 
 
 def records_of(name: str, raw: bytes) -> list[tuple]:
@@ -66,20 +164,20 @@ def records_of(name: str, raw: bytes) -> list[tuple]:
     return out
 
 
-RECORD = "file string, position long, offset long, length long, page_id long, sha256 string"
+RECORD = "file string, position long, offset long, length long, page_id long, sha256 string, stored_offset long, stored_length long, stored_sha256 string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the WARC files under ``path``; files are of bounded size and read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             for name, content in zip(column(batch, "path").to_pylist(), column(batch, "content"), strict=True):
                 raw = content.as_py()
-                rows = records_of(name.rsplit("/", 1)[1], gzip.decompress(raw) if name.endswith(".gz") else raw)
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["file", "position", "offset", "length", "page_id", "sha256"])
+                rows = stored_records(name.rsplit("/", 1)[1], raw)
+                cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in RECORD.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, RECORD)
@@ -88,10 +186,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels of a Merkle tree as stored tables (place, first, end, digest), leaves first and the root last.
 
-    ``leaves`` has place (long, unique and dense or nearly so), offset, length and sha256.
+    ``leaves`` has place (long, unique and dense or nearly so), offset, length, sha256 and perhaps stored_sha256.
     """
     last = F.col("offset") + F.col("length")
-    level = leaves.select("place", F.col("offset").alias("first"), last.alias("end"), F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "sha256").cast("binary"), 256).alias("digest"))
+    level = leaves.select("place", F.col("offset").alias("first"), last.alias("end"), F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), *[c for c in ("sha256", "stored_sha256") if c in leaves.columns]).cast("binary"), 256).alias("digest"))
     levels = [materialize(level, "leaves")]
     top = levels[0].agg(F.max("place")).first()[0] or 0
     while top > 0 or len(levels) == 1:
@@ -123,14 +221,18 @@ def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> D
     raise ValueError("a tree has no levels")
 
 
-def placed(records: DataFrame) -> DataFrame:
-    """Add ``place``: a task's files follow each other in steps of the least power of FANOUT that holds every file, so a file is one branch of the tree."""
+def placed(*replicas: DataFrame) -> list[DataFrame]:
+    """Add ``place``: a task's files follow each other in steps of the least power of FANOUT that holds every file, so a file is one branch of the tree.
+
+    Steps and files of a task are those of all replicas together, so what one of them lost moves nothing.
+    """
     task, number = (F.regexp_extract("file", p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\.[^-]*$"))
-    most = records.agg(F.max("position").alias("position"), F.max(number).alias("number")).first()
+    most = [r.agg(F.max("position").alias("position"), F.max(number).alias("number")).first() for r in replicas]
+    last, files = (max(m[c] or 0 for m in most) for c in ("position", "number"))
     step = FANOUT
-    while step <= (most["position"] or 0):
+    while step <= last:
         step *= FANOUT
-    return records.withColumn("place", (task * ((most["number"] or 0) + 1) + number) * F.lit(step) + F.col("position"))
+    return [r.withColumn("place", (task * (files + 1) + number) * F.lit(step) + F.col("position")) for r in replicas]
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
@@ -138,7 +240,7 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
 
     Both have file, position, offset, length, page_id and sha256; a replica keeps the files of the original.
     """
-    a, b = placed(materialize(original, "original")), placed(materialize(replica, "replica"))
+    a, b = placed(materialize(original, "original"), materialize(replica, "replica"))
     found = differing(tree(a), tree(b)).select(F.col("place").alias("p"), "only")
     names = ["place", "file", "position", "offset", "length", "page_id", "sha256"]
     known = a.select(names).join(found, F.col("place") == F.col("p"), "left")
