@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Arrow tasks gather texts until they hold this many characters, then compute.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where the setting is absent, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where that is not set, a folder of this machine for a local master; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
@@ -37,14 +39,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that ``materialize`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if "waymark-" in name:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote, once nothing reads them any more. Results that are still to be computed need theirs."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/waymark-" in path:
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id: Column) -> Column:

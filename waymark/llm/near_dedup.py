@@ -7,11 +7,13 @@ registers propose pairs; a pair is a link if the exact Jaccard similarity of its
 connected components of links. As links do not ask how often a shingle occurs, a text that repeats shingles also has the bands of its set (all weights 1) in
 the same buckets; a text without repeats has the same bands either way.
 
-Texts with the same words are one content (a 128-bit digest), so copies never meet in a bucket. In each bucket contents are paired with its least content
-only, first through one bucket each, then through the others unless a class holds both already. Buckets whose contents still lie in different classes go to
-an exact prefix join: shingles are ordered from rare to common (by counts in hashed bins of fixed number), and two contents can only
-reach the threshold if the first shingle they share comes early in both. So no bucket emits all its pairs,
-and no link inside a bucket is lost. A pair of sets of Jaccard similarity 0.8 misses all buckets with a chance of 3 in a million, whatever repeats.
+Texts with the same words are one content (a 128-bit digest), so copies never meet in a bucket. In each bucket contents are paired with a few pivots only:
+first each content with the least one it meets, then, where a bucket still holds several classes, with PIVOTS contents drawn by hashes. Only contents of other
+classes count, and only those whose sizes and parity bits allow a link. This emits no more than PIVOTS rows a member. Buckets whose contents
+still lie in different classes go to an exact prefix join: shingles are ordered from rare to common (by counts in hashed bins of fixed number), and two
+contents can only reach the threshold if the first shingle they share comes early in both. What is left there are pairs of
+different classes close to the threshold. So no bucket emits all its pairs, and no link inside a bucket is lost. A pair of sets of
+Jaccard similarity 0.8 misses all buckets with a chance of 3 in a million, whatever repeats.
 
 Defined cases: null and wordless texts are classes of their own; texts of one to four words have one shingle of them all; the class id is the least doc_id of the
 class (null ids count as the lowest, -1, among themselves); repeated rows share a class, and ``keep_one`` keeps one of them; an empty
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialize, plainly, shingles_sql, text_chunks
+from .common import column, discard, materialize, plainly, shingles_sql, text_chunks
 from .textkernel import GOLDEN, U64, Words, mix, shingles, split_words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -36,6 +38,10 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Hashed bins in which shingles are counted to tell common from rare ones.
 COUNT_BINS = 1 << 18
+#: Pivots of a bucket, drawn by hashes, before the exact join.
+PIVOTS = 4
+#: Tables of up to so many rows of two digests (10 MB) are broadcast in joins on keys that one class may hold.
+BROADCAST_ROWS = 200_000
 #: Words of parity bits that tell apart sets which share too little.
 BIT_WORDS = 16
 BITS = [f"bits{k}" for k in range(BIT_WORDS)]
@@ -169,17 +175,52 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cid binary, bands array<long>")
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """BIT_WORDS words: for each of 64 * BIT_WORDS bins of hashes, whether the set has an odd number there."""
+    return np.packbits(np.bincount((hashes % U64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) % 2 == 1).view(np.int64)
+
+
+SETS = "cid binary, hashes binary, n int, " + ", ".join(f"{b} long" for b in BITS)
+
+
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """cid and hashes (a packed sorted array of distinct shingles) of texts that ``docs`` gives with their cid."""
+    """cid, hashes (a packed sorted array of distinct shingles), their number n and the parity words BITS of texts that ``docs`` gives with their cid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             own, hashes, _ = weighted_shingles(split_words(texts))
             bounds = np.searchsorted(own, np.arange(len(texts) + 1))
-            packed = [hashes[begin:end].tobytes() for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "cid"), pa.array(packed, pa.binary())], names=["cid", "hashes"])
+            sets = [hashes[begin:end] for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            bits = np.stack([parity(x) for x in sets])
+            cols = [column(batch, "cid"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), *[pa.array(bits[:, k]) for k in range(BIT_WORDS)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["cid", "hashes", "n", *BITS])
+
+    return docs.select("cid", "text").mapInArrow(run, SETS)
+
 
-    return docs.select("cid", "text").mapInArrow(run, "cid binary, hashes binary")
+def sharing_needed(n_u: Column, n_v: Column, threshold: float) -> Column:
+    """How many shingles sets of these sizes share at least if their Jaccard similarity is ``threshold``."""
+    return (n_u + n_v) * (threshold / (1 + threshold)) - 1e-6
+
+
+def similar_parity(u: str, v: str, threshold: float) -> Column:
+    """Whether sizes and parity words, columns named with the suffixes ``u`` and ``v``, allow a link.
+
+    A shingle in one set only flips one bit, so differing bits count no more than such shingles, n + m - 2 * shared at most.
+    """
+    n_u, n_v = F.col(f"n_{u}"), F.col(f"n_{v}")
+    flipped = F.lit(0)
+    for bits in BITS:
+        flipped = flipped + F.bit_count(F.col(f"{bits}_{u}").bitwiseXOR(F.col(f"{bits}_{v}")))
+    needed = sharing_needed(n_u, n_v, threshold)
+    return (F.least(n_u, n_v) >= needed) & (flipped <= n_u + n_v - 2 * needed)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose sizes and parity words allow a link."""
+    for x in "uv":
+        pairs = pairs.join(sets.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *BITS)]), x)
+    return pairs.where(similar_parity("u", "v", threshold)).select("u", "v")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -196,39 +237,59 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.select("u", "v", "uh", "vh").mapInArrow(run, "u binary, v binary")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The stored table, marked for broadcast if it has BROADCAST_ROWS rows at most. Larger ones go to sort-merge joins, whose hot keys adaptive execution splits."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(cid, label): least contents of the connected components that ``edges`` (u, v) make of the classes in ``labels``.
 
-    Each round takes the least label among neighbours and then the label's own label, as stored tables, until nothing changes.
+    Each round takes the least label among neighbours and then the label's own label, as stored tables, until nothing changes. Joins on what many
+    rows share, a hub or the label of a large class, go by ``small``; groups are aggregated before they are shuffled.
     """
+    edges = materialize(edges, "edges")
     at = labels.select(F.col("cid").alias("x"), "label")
     linked = edges.join(at.withColumnRenamed("label", "a"), F.col("u") == F.col("x")).drop("x").join(at.withColumnRenamed("label", "b"), F.col("v") == F.col("x")).where(F.col("a") != F.col("b"))
     links = materialize(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("low")), "state")
+    old = []
     while True:
-        named = state.select(F.col("node").alias("n2"), F.col("low").alias("low2"))
+        named = small(state.select(F.col("node").alias("n2"), F.col("low").alias("low2")))
         around = both.join(named, F.col("b") == F.col("n2")).groupBy(F.col("a").alias("node")).agg(F.min("low2").alias("near"))
         jumped = state.join(named, F.col("low") == F.col("n2")).select("node", "low", F.least("low", "low2").alias("jump"))
         new = materialize(jumped.join(around, "node").select("node", F.least("jump", "near").alias("low"), (F.least("jump", "near") < F.col("low")).alias("moved")), "state")
+        old.append(state)
         state = new.select("node", "low")
         if not new.where("moved").limit(1).count():
             break
-    renamed = state.select(F.col("node").alias("label"), "low")
-    return materialize(labels.join(renamed, "label", "left").select("cid", F.coalesce("low", "label").alias("label")), "labels")
+    renamed = small(state.select(F.col("node").alias("label"), "low"))
+    out = materialize(labels.join(renamed, "label", "left").select("cid", F.coalesce("low", "label").alias("label")), "labels")
+    discard(edges, links, *old, new)
+    return out
+
+
+def labelled(met: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, cid and label of all members, stored; the same of the buckets whose contents lie in different classes)."""
+    rows = materialize(met.select("bucket", "cid").join(labels, "cid"), "labelled")
+    mixed = rows.groupBy(F.col("bucket").alias("b")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("b")
+    return rows, rows.join(mixed, F.col("bucket") == F.col("b"), "left_semi")
 
 
-def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose contents lie in different classes."""
-    a, b = labels.select(F.col("cid").alias("u"), F.col("label").alias("lu")), labels.select(F.col("cid").alias("v"), F.col("label").alias("lv"))
-    return pairs.join(a, "u").join(b, "v").where(F.col("lu") != F.col("lv")).select("u", "v")
+def drawn(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs (u, v) of each bucket's pivots, the first contents by as many hashes, with its contents of other classes. ``rows`` has bucket, cid and label."""
+    first = [F.min_by(F.struct("cid", "label"), F.struct(F.xxhash64("cid", F.lit(k)), "cid")) for k in range(pivots)]
+    low, high = F.min("label").alias("low"), F.max("label").alias("high")
+    heads = rows.groupBy(F.col("bucket").alias("b")).agg(F.array_distinct(F.array(*first)).alias("heads"), low, high).where("low < high").select("b", "heads")
+    pairs = rows.join(heads, F.col("bucket") == F.col("b")).select("cid", "label", F.explode("heads").alias("head")).where(F.col("label") != F.col("head.label"))
+    return pairs.select(F.least("cid", "head.cid").alias("u"), F.greatest("cid", "head.cid").alias("v")).distinct()
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """(cid, shingle, place, n): the rarest shingles of each content, more than 1 - ``threshold`` of them.
 
-    ``place`` counts from 0 in the order of rarity, ``n`` is the number of the content's shingles. The words of BITS hold for each of 64 * BIT_WORDS
-    bins of hashes whether the content has an odd number of shingles there.
+    ``place`` counts from 0 in the order of rarity; n and BITS are those of the set.
     """
     spark = sets.sparkSession
 
@@ -247,34 +308,28 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, h in zip(*(column(batch, n).to_pylist() for n in ("cid", "hashes")), strict=True):
+            for cid, h, *bits in zip(*(column(batch, n).to_pylist() for n in ("cid", "hashes", *BITS)), strict=True):
                 hashes = np.frombuffer(h, U64)
                 order = np.lexsort((hashes, shared.value[(hashes % U64(COUNT_BINS)).astype(np.int64)]))
                 kept = hashes[order][: int((1 - threshold) * len(hashes) + 1e-6) + 1]
-                parity = np.packbits(np.bincount((hashes % U64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) % 2 == 1).view(np.int64)
-                cols = [pa.array([cid] * len(kept), pa.binary()), pa.array(kept.view(np.int64)), pa.array(np.arange(len(kept))), pa.array(np.full(len(kept), len(hashes))), *[pa.array(np.full(len(kept), x)) for x in parity]]
+                cols = [pa.array([cid] * len(kept), pa.binary()), pa.array(kept.view(np.int64)), pa.array(np.arange(len(kept))), pa.array(np.full(len(kept), len(hashes))), *[pa.array(np.full(len(kept), x)) for x in bits]]
                 yield pa.RecordBatch.from_arrays(cols, names=["cid", "shingle", "place", "n", *BITS])
 
-    return sets.mapInArrow(run, "cid binary, shingle long, place long, n long, " + ", ".join(f"{b} long" for b in BITS))
+    return sets.select("cid", "hashes", *BITS).mapInArrow(run, "cid binary, shingle long, place long, n long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def sharing(rare: DataFrame, threshold: float) -> DataFrame:
     """Pairs (u, v) of contents of different classes that share a rare shingle early enough to reach ``threshold``.
 
     Sets of n and m shingles with Jaccard t share o = t / (1 + t) * (n + m), so the first shared shingle has at most n - o and m - o
-    shingles before it. Each shingle in one set only flips one bit of parity, so differing bits count no more than such shingles, n + m - 2 * o
-    at most.
+    shingles before it.
     """
     side = lambda x: [F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "place", "n", *BITS)]]
     a, b = rare.select("shingle", *side("u")), rare.select("shingle", *side("v"))
-    needed = (F.col("n_u") + F.col("n_v")) * (threshold / (1 + threshold)) - 1e-6
+    needed = sharing_needed(F.col("n_u"), F.col("n_v"), threshold)
     early = (F.col("place_u") <= F.col("n_u") - needed) & (F.col("place_v") <= F.col("n_v") - needed)
-    flipped = F.lit(0)
-    for bits in BITS:
-        flipped = flipped + F.bit_count(F.col(f"{bits}_u").bitwiseXOR(F.col(f"{bits}_v")))
-    early = early & (flipped <= F.col("n_u") + F.col("n_v") - 2 * needed)
     apart = (F.col("label_u") != F.col("label_v")) & (F.col("u") < F.col("v"))
-    return a.join(b, ["shingle"]).where(apart & early).select("u", "v").distinct()
+    return a.join(b, ["shingle"]).where(apart & early & similar_parity("u", "v", threshold)).select("u", "v").distinct()
 
 
 def in_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -286,22 +341,24 @@ def in_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     rows = contents.select("cid", F.explode("bands").alias("bucket"))
     leads = rows.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "lead")
     met = materialize(rows.join(leads, F.col("bucket") == F.col("b")).select("bucket", "cid", "lead"), "met")
-    own = met.select("cid").distinct().join(contents.select("cid", "owner"), "cid")
+    members = materialize(met.groupBy("cid").agg(F.min("lead").alias("lead")), "members")
+    own = members.select("cid").join(contents.select("cid", "owner"), "cid")
     # one stored text for each content that meets another
     keyed = with_content(docs.select("doc_id", "text")).join(own, ["cid", "owner"], "left_semi").select("cid", "text")
-    sets = materialize(shingle_rows(keyed).groupBy("cid").agg(F.max("hashes").alias("hashes")), "sets")
-    labels = met.select("cid").distinct().withColumn("label", F.col("cid"))
-    first = met.groupBy(F.col("cid").alias("v")).agg(F.min("lead").alias("u")).where("u < v").select("u", "v")
-    labels = components(labels, verified(first, sets, threshold))
-    others = met.where("lead < cid").select(F.col("lead").alias("u"), F.col("cid").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    labels = components(labels, verified(crossing(others, labels), sets, threshold))
-    classes = met.join(labels, "cid").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = met.join(classes, "bucket", "left_semi").select("cid").distinct()
-    rare = materialize(prefixes(sets.join(open_, "cid", "left_semi"), threshold).join(labels, "cid"), "rare")
+    sets = materialize(shingle_rows(keyed).dropDuplicates(["cid"]), "sets")
+    labels = materialize(members.select("cid", F.col("cid").alias("label")), "labels")
+    pairs = members.where("lead < cid").select(F.col("lead").alias("u"), F.col("cid").alias("v"))
+    old, labels = labels, components(labels, verified(possible(pairs, sets, threshold), sets, threshold))
+    discard(old)
+    rows, _ = labelled(met, labels)
+    old, labels = labels, components(labels, verified(possible(drawn(rows), sets, threshold), sets, threshold))
+    discard(old, rows)
+    rows, open_ = labelled(met, labels)
+    rare = materialize(prefixes(sets.join(open_.select("cid").distinct(), "cid", "left_semi"), threshold).join(labels, "cid"), "rare")
     split = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    rare = rare.join(split, "shingle", "left_semi")
-    rest = sharing(rare, threshold)
-    labels = components(labels, verified(rest, sets, threshold))
+    rest = sharing(rare.join(split, "shingle", "left_semi"), threshold)
+    old, labels = labels, components(labels, verified(rest, sets, threshold))
+    discard(old, rows, met, rare, sets, members, contents)
     return names, labels
 
 
