@@ -10,7 +10,10 @@ first; what still has more than GROUP is decided by counting hashes of its windo
 
 Defined cases: a null text counts as empty; texts under 400 bytes keep all bytes; null ids are carried; repeated rows are separate documents, so
 texts of 400 bytes or more that occur twice lose all bytes; an empty table gives an empty result; texts count whole; other columns do
-not matter.
+not matter. Rows that share id and text are cut and compared once, so very many of them cost no more than their number.
+
+Hashes decide that snippets are equal only where their cores are: two snippets count as one if the 64-bit hashes of their cores and the 64-bit
+hashes of their bytes, which differ in kind, both agree.
 """
 
 from __future__ import annotations
@@ -114,10 +117,21 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select(*keyed()).mapInArrow(run, ANCHOR)
 
 
-def snippets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the snippets that ``wanted`` names by document and place."""
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """k1, k2 and text of the documents, equal rows (which share their key) once. A document of LENGTH bytes has one anchor whose first window is at 0."""
+    keys = rows.where("start = 0").groupBy(F.col("k1").alias("r1"), F.col("k2").alias("r2")).agg(F.count("*").alias("c")).where("c > 1").select("r1", "r2")
+    keys = materialize(keys, "repeated-rows")
+    texts = docs.select(*keyed())
+    if not keys.limit(1).count():
+        return texts
+    same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))
+    return texts.join(keys, same, "left_anti").unionByName(texts.join(keys, same, "left_semi").dropDuplicates(["k1", "k2"]))
+
+
+def snippets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the snippets that ``wanted`` names by document and place; ``texts`` has k1, k2 and text, each key once."""
     marks = wanted.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_list(F.struct("core", "n", "m", "start", "windows", "left")).alias("marks"))
-    rows = docs.select(*keyed()).join(marks, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("k1", "k2", "text", "marks")
+    rows = texts.join(marks, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("k1", "k2", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, limit=HASH_CHARS, most=256):
@@ -286,7 +300,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """k1, k2, first, end: stretches of bytes covered by repeated windows; they may overlap."""
     rows = materialize(anchor_rows(docs), "anchors")
     counts = materialize(rows.groupBy("core", "snippet").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "windows", "left")).alias("at")), "snippets")
-    cut = materialize(snippets(docs, contested(counts).select("core", F.col("c").alias("n"), "m", "at.*")), "cut")
+    cut = materialize(snippets(one_of_each(docs, rows), contested(counts).select("core", F.col("c").alias("n"), "m", "at.*")), "cut")
     # cores with very many snippets are split by narrower cores, and equal sub-snippets collapse again
     parts = materialize(narrowed(cut.where(F.col("m") > GROUP)), "parts")
     again = materialize(parts.groupBy("core", "snippet").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("k1", "k2", "start", "windows", "left", "raw")).alias("at")), "sub-snippets")
@@ -297,7 +311,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans and removed (first:end of each run) of every document."""
-    spans = repeated_spans(docs).groupBy(F.col("k1").alias("s1"), F.col("k2").alias("s2")).agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
+    # equal rows share a key: a set holds their spans once
+    spans = repeated_spans(docs).groupBy(F.col("k1").alias("s1"), F.col("k2").alias("s2")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    spans = spans.select("s1", "s2", F.col("spans.first").alias("firsts"), F.col("spans.end").alias("ends"))
     rows = docs.select("doc_id", *keyed()).join(spans, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").select("doc_id", "text", "firsts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
