@@ -3,16 +3,17 @@
 Texts are tokenised in Arrow batches and cut into pieces. Only the histogram of piece lengths (as many entries as a sequence has tokens)
 reaches the driver, which runs best-fit decreasing on it: a segment tree over the remaining capacities finds the tightest
 open bin in logarithmic time, and equal pieces go in by runs, exactly as one by one. The runs come back as a table of bounded size, and each
-piece finds its place by its length and its rank among equal lengths. Ranks come from counts by (length, hash shard) and their running
+piece finds its place by its length and its rank among equal lengths. Ranks come from counts by (length, shard) and their running
 sums, so no task holds all pieces of a length.
 
 Defined cases: a null text counts as empty, so it has the end mark alone; ids are carried and never used as keys, so null ids and repeated rows
 are pieces like others; an empty table gives an empty result; very long texts are cut into full pieces and a rest; ties among equal
-lengths are broken by a hash of id and piece; other columns do not matter.
+lengths are broken by the order in which pieces were stored; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 import zlib
 from collections.abc import Iterator
@@ -25,10 +26,19 @@ from pyspark.sql import functions as F
 from .common import column, materialize, text_chunks
 
 SEQUENCE, END_ID = 4096, 1
-#: Hash shards that pieces of one length are ranked in.
+#: Shards that pieces of one length are ranked in.
 SHARDS = 1024
 #: Distinct words whose ids a task keeps before the older half is dropped.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: The normaliser and the splitter for which a text's ids are those of its words. Files with others go to the tokenizer whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _encoders: dict[str, WordEncoder] = {}
 _lock = threading.Lock()
 
@@ -43,7 +53,7 @@ def byte_symbols() -> list[str]:
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words. Words between ASCII white space are kept in
+    A tokenizer with the normaliser and splitter above drops white space and never joins across it, so a text's ids are those of its words (``by_words``). Words between ASCII white space are kept in
     a bounded cache; a new word of plain Latin letters (with marks at its end) goes straight to the vocabulary's merges, any
     other to the whole tokenizer.
     """
@@ -53,6 +63,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        stated = json.loads(self.tokenizer.to_str())
+        self.by_words = stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == SPLITTER and stated["post_processor"] is None
         self.plain = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
         self.symbols = byte_symbols()
         self.young: dict[bytes, bytes] = {}
@@ -79,7 +91,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Special tokens that stand in a text are left to the tokenizer, as they may hold white space in other vocabularies."""
-        if "<|" in text:
+        if not self.by_words or "<|" in text:
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         get, more = self.young.get, self.word
         return b"".join([get(w) or more(w) for w in text.encode().split()])
@@ -97,7 +109,8 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        words = encoder(tokenizer)
+        encode, end = words.encode, np.array([end_id], dtype="<u4").tobytes()
         for batch, texts in text_chunks(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts, strict=True):
@@ -108,6 +121,8 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             cols = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+        # workers outlive partitions and stages; their memory does not
+        words.young, words.old = {}, {}
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -174,11 +189,15 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
-def pack(parts: DataFrame, sequence: int = SEQUENCE, shards: int = SHARDS) -> DataFrame:
-    """Give each row of a stored table of pieces its sequence_id and offset."""
+def sharded(parts: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Add ``shard``: rows in turn, so that equal rows spread. It holds once the table is stored."""
+    return parts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+
+
+def pack(parts: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
+    """Give each row of a stored table of pieces, dealt to shards by ``sharded`` before it was stored, its sequence_id and offset."""
     spark = parts.sparkSession
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
-    counts = parts.groupBy("length", shard.alias("shard")).agg(F.count("*").alias("n"))
+    counts = parts.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("length").alias("b_length"), F.col("shard").alias("b_shard"), F.coalesce("base", F.lit(0)).alias("base"))
     lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).toPandas()
@@ -186,11 +205,10 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, shards: int = SHARDS) -> Da
     table = plan(histogram, sequence)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
     shared = spark.sparkContext.broadcast(table)
-    mine = parts.withColumn("shard", shard)
-    ranked = mine.withColumn("place", F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = parts.withColumn("place", F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, (F.col("length") == F.col("b_length")) & (F.col("shard") == F.col("b_shard"))).withColumn("place", F.col("place") + F.col("base")).drop("b_length", "b_shard", "base", "shard")
-    names = list(parts.columns)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
+    names = [c for c in parts.columns if c != "shard"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields if f.name != "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -206,7 +224,7 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, shards: int = SHARDS) -> Da
 
 def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents with their sequences; the tokenised lengths are stored once and read twice."""
-    return pack(materialize(pieces(docs, tokenizer, sequence, end_id), "pieces"), sequence)
+    return pack(materialize(sharded(pieces(docs, tokenizer, sequence, end_id)), "pieces"), sequence)
 
 
 def tokenizer_path() -> str:
