@@ -71,6 +71,12 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             held += size
 
 
+def one_per_id(rows: DataFrame, id_col: str, *others: str) -> DataFrame:
+    """The id, its text and the least of the other columns, one row for each id. Of the texts of a repeated id the one with the least hash counts, whatever the order of rows."""
+    least = [F.min(c).alias(c) for c in others]
+    return rows.groupBy(id_col).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), *least)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -8,7 +8,7 @@ hidden layer is fitted on a bounded sample of labelled rows outside the held-out
 sample calibrates its probabilities.
 
 Defined cases: a null text counts as empty and gets the score of an empty text; null ids are scored and never used for training;
-repeated rows give repeated results; an empty table gives an empty result; without labels of both kinds every score is the
+repeated rows give repeated results, and of a labelled id that occurs more than once the network learns one text, the one with the least hash; an empty table gives an empty result; without labels of both kinds every score is the
 share of label 1 (0.5 if there is none); other columns do not matter.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fold, text_chunks
+from .common import column, fold, one_per_id, text_chunks
 from .quality_rules import labelled_sample
 from .textkernel import GOLDEN, U64, code_points, mix, powers
 
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
             x = pooled(texts, *shared.value)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "sample_label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = picked.mapInArrow(run, "doc_id long, y int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = one_per_id(picked, "doc_id", "sample_label").mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")
     model = {"vectors": vectors, "weight": weight, "net": None, "share": float(rows["y"].mean()) if len(rows) else 0.5}
     if rows["y"].nunique() < 2:
         return model

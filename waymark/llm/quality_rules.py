@@ -5,7 +5,7 @@ each half. The regression is fitted on a bounded sample of labelled rows (``max_
 logistic map fitted on a quarter of that sample, and every document is scored in Arrow batches against fixed thresholds.
 
 Defined cases: a null text counts as empty; a text without words fails the base rule; null ids are scored like any other and never
-used for training; repeated rows give repeated results; an empty table gives an empty result; without labels of both kinds
+used for training; repeated rows give repeated results, and of a labelled id that occurs more than once one text is learned from, the one with the least hash; an empty table gives an empty result; without labels of both kinds
 every document that passes the base rules is kept; other columns of the input do not matter.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, sample_rank, text_chunks
+from .common import column, one_per_id, sample_rank, text_chunks
 from .textkernel import U64, Words, code_points, mix, powers, split_words
 
 #: Rows that the regression is fitted on at most, taken in hash order of their ids.
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
             x = features(split_words(texts))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "sample_label"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = picked.mapInArrow(vectors, "doc_id long, y int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = one_per_id(picked, "doc_id", "sample_label").mapInArrow(vectors, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")
     if rows["y"].nunique() < 2:
         return None
     x, y = np.stack([np.frombuffer(r, np.float16) for r in rows["x"]]).astype(np.float32), rows["y"].to_numpy()
