@@ -11,10 +11,14 @@ def one(spark, column):
 
 def test_fields(spark):
     text = lambda x: F.lit(x).cast("string")
-    assert tuple(one(spark, extract.distances(text("Cự ly 12,5 km, về 13 km")))) == (12.5, 13.0, 12.75)
-    assert one(spark, extract.distances(text("Giá vé dưới 10 km: 8000"))) is None and one(spark, extract.distances(text(None))) is None
-    assert tuple(one(spark, extract.hours(text("từ 5h15 đến 18:30")))) == (315, 1110) and tuple(one(spark, extract.hours(text(None)))) == (None, None)
-    assert tuple(one(spark, extract.headways(text("15-30 phút/chuyến")))) == (15.0, 30.0) and tuple(one(spark, extract.headways(text("30 phút")))) == (30.0, 30.0)
+    assert [tuple(one(spark, extract.distances(text(x)))) for x in ("5. Cự ly tuyến: 12,5 km", "Cự ly: 12,5 km, về 13 km", "b) Cự ly: 20km (đi 9,5 km, về 10 km, x 3 km)")] == [(12.5, None, None), (12.75, 12.5, 13.0), (20.0, 9.5, 10.0)]
+    assert tuple(one(spark, extract.distances(text("Cự ly: dưới 10 km 8.000 đồng\nCự ly: 7 km")))) == (7.0, None, None)
+    assert [one(spark, extract.distances(text(x))) for x in ("Cự ly di chuyển: 9 km", "Giá vé dưới 10 km: 8000", None)] == [None, None, None]
+    assert [tuple(one(spark, extract.hours(text(x)))) for x in ("Thời gian hoạt động: từ 5h15 đến 18:30", "Thời gian mở tuyến: 5h15", None)] == [(315, 1110), (None, None), (None, None)]
+    assert [tuple(one(spark, extract.headways(text(x)))) for x in ("Tần suất chạy xe: 30 phút, cao điểm 15 phút", "Giãn cách chạy xe: 20 phút/chuyến", "Thời gian hoạt động: 5h15-18h30 (25 phút/chuyến)", None)] == [(15, 30), (20, 20), (25, 25), (None, None)]
+    assert tuple(one(spark, extract.terminals(text("2. Điểm đầu: Bến xe; x\nĐiểm cuối: Chợ Hàn")))) == ("Bến xe", "Chợ Hàn")
+    assert tuple(one(spark, extract.paths(text("Chiều đi: A - B STT 1\n+ Chiều về: B - A 4. Giá vé")))) == ("A - B", "B - A")
+    assert tuple(one(spark, extract.fares(text("Giá vé: 8.000 đồng\nưu tiên: 90.000 đồng, không ưu tiên: 200.000 đồng")))) == (8000, 90000, 200000)
     assert [one(spark, extract.house_number(text(x))) for x in ("Số 128 Lê Duẩn", "12A Hùng Vương", "Đối diện số 7", "Lê Duẩn", None)] == ["128", "12A", "7", "", ""]
     assert [one(spark, extract.opposite(text(x))) for x in ("Đối diện 12", "Số 12", None)] == [True, False, False]
     assert one(spark, extract.without_badge(text("11 Chợ Hàn"))) == "Chợ Hàn" and one(spark, extract.last_part(text("A - B - C"))) == "C"

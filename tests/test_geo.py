@@ -53,3 +53,14 @@ def test_vertices(spark):
     assert one(spark, spatial.nearest_vertex(F.lit(None).cast("array<struct<lat:double,lng:double>>"), F.lit(1.2), F.lit(0.0))) == 0
     assert len(one(spark, spatial.between_vertices(points, F.lit(1), F.lit(3)))) == 3
     assert one(spark, spatial.between_vertices(points, F.lit(3), F.lit(1))) is None
+
+
+@pytest.mark.parametrize("lat, street, name", [(16.05, "Lê Duẩn", "Đà Nẵng"), (15.88, "Cửa Đại", "Hội An"), (15.7, "Núi Thành", "Tam Kỳ"), (15.6, None, "Tam Kỳ"), (15.8, "x", "Quảng Nam"), (None, "Hội An", "Đà Nẵng")])
+def test_localities(spark, lat, street, name):
+    found = spark.range(1).select(geo.locality(F.lit(lat).cast("double"), F.lit(street).cast("string")).alias("x")).first()["x"]
+    assert found.startswith(name)
+
+
+def test_bounds(spark):
+    rows = spark.createDataFrame([(16.0, 108.0), (15.5, 108.5), (None, 1.0), (99.0, 0.0)], "lat double, lng double")
+    assert tuple(rows.agg(*geo.bounds()).first()) == (15.5, 108.0, 16.0, 108.5)

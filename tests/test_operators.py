@@ -1,10 +1,11 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import catalog, identity, quality, resolution, sequences
+from waymark.operators import catalog, enrichment, identity, intervals, quality, resolution, sequences
 
 
 def test_resolve_reports_ambiguity(spark):
@@ -49,22 +50,125 @@ def test_gap_clusters(spark):
 
 
 def test_alignment():
-    names = ["Bến xe Trung tâm", "Lê Duẩn", "Hùng Vương", "Chợ Hàn", "Cầu Rồng"]
+    names = ["bến xe trung tâm", "lê duẩn", "hùng vương", "chợ hàn", "cầu rồng"]
     assert sequences.align(names, names) == [(i, i, 100) for i in range(5)]
-    assert sequences.align(["Lê Duẩn", "Hùng Vương (trạm)", "xyz"], names) == [(0, 1, 100), (1, 2, 85)]
+    assert sequences.align(names, ["lê duẩn", "hùng vương (trạm)", "xyz"]) == [(1, 0, 100), (2, 1, 85)]
+    assert sequences.align(names, ["lê duẩn"], {0}) == [(0, -1, 100), (1, 0, 100)]
     assert sequences.align([], names) == [] and sequences.align(["a"], []) == []
+    assert sequences.score("số 12 lê duẩn", "12 lê lợi") == 53 and sequences.score("bến xe", "xe") == 0
+
+
+def test_alignment_report(spark):
+    names = spark.createDataFrame([("r", i, t) for i, t in enumerate(["bến xe", "lê duẩn", "hùng vương", "cầu rồng"])], "route string, at int, text string").withColumn("terminal", F.col("at") == 0).withColumn("position", F.when(F.col("at") == 0, F.lit(410.0)))
+    labels = spark.createDataFrame([("r", 0, "lê duẩn", 500.0), ("r", 1, "hùng vương", 430.0), ("r", 2, "phan chu trinh", 600.0)], "route string, at int, text string, position double")
+    found = sequences.align_groups(names, labels, ["route"])
+    assert sorted((r["name_at"], r["label_at"], r["score"]) for r in found.collect()) == [(0, None, 100), (1, 0, 100), (2, 1, 100)]
+    r = sequences.alignment_report(names, labels, found, ["route"]).first()
+    assert (r["n_names"], r["n_labels"], r["n_aligned"], r["rate"], r["inversions"], r["is_monotone"], r["unmatched_names"], r["unmatched_labels"]) == (4, 3, 3, 75.0, 1, False, [3], [2])
+
+
+def test_labels_of_rays(spark):
+    items = spark.createDataFrame([("r", 500.0, 100.0, "Lê "), ("r", 505.0, 100.0, "Duẩn"), ("r", 560.0, 100.0, "12"), ("r", 700.0, 300.0, "04 Chợ"), ("r", 710.0, 299.0, " Hàn"), ("r", 300.0, 100.0, "left")], "route string, left double, top double, text string")
+    found = sorted((r["side"], r["label"], r["mean_left"]) for r in sequences.ray_labels(items, ["route"]).collect())
+    assert found == [("lower", "Chợ Hàn", 705.0), ("upper", "Lê Duẩn", 502.5)]
+
+
+def test_ends_of_sequences(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 5)], "k int, at int")
+    assert sorted((r["k"], r["at"], r["is_first"], r["is_last"]) for r in sequences.with_ends(rows, ["k"], "at").collect()) == [(1, 0, True, False), (1, 1, False, False), (1, 2, False, True), (2, 5, True, True)]
 
 
 def test_resolution_is_brute_force(spark):
     r = random.Random(5)
     names = [" ".join(r.choice(["cho", "han", "benh", "vien", "12", "le", "duan", "hung"]) for _ in range(r.randint(1, 4))) for _ in range(60)] + [""]
-    places = spark.createDataFrame(list(enumerate(names[:30] + [""])), "place_id int, place string")
-    nodes = spark.createDataFrame(list(enumerate(names[20:])), "node_id int, node string")
+    places = spark.createDataFrame(list(enumerate(names[:30] + ["", names[0]])), "place_id int, place string")
+    nodes = spark.createDataFrame(list(enumerate(names[20:] + [names[0]] * 3)), "node_id int, node string")
     score = resolution.name_score(F.col("place"), F.col("node"))
     brute = places.crossJoin(nodes).where("length(place) > 0 and length(node) > 0").withColumn("score", score).where("score is not null")
-    key = lambda df: sorted((x["place_id"], x["node_id"], x["score"]) for x in df.collect())
-    assert key(resolution.candidates(places, nodes)) == key(brute)
-    assert {x["status"] for x in resolution.decided(resolution.candidates(places, nodes)).collect()} <= {"verified", "needs_review"}
+    pairs = sorted({(x["place"], x["node"], x["score"]) for x in brute.collect()})
+    assert sorted((x["place"], x["node"], x["score"]) for x in resolution.candidates(places, nodes).collect()) == pairs
+    expected = {}
+    for x in brute.collect():
+        expected.setdefault(x["place_id"], []).append((x["score"], x["node_id"]))
+    best = {k: (max(v)[0], sorted(n for s, n in v if s == max(v)[0])) for k, v in expected.items()}
+    got = {x["place_id"]: (x["score"], x["n_best"], x["node_id"], x["status"]) for x in resolution.decided(places, nodes).collect()}
+    assert got == {k: (s, len(n), n[0], "verified" if len(n) == 1 else "needs_review") for k, (s, n) in best.items()}
+
+
+def resolved_by_loops(place, nodes):
+    """The rules of entity resolution in plain Python, for one (name, street)."""
+    tidy = lambda t: re.sub(r"\s+", " ", re.sub(r"[,.\-/()–—:;\n\r]", " ", (t or "").lower().strip())).strip()
+    name, street = tidy(place[1]), tidy(place[2])
+    if "nam phước" in name and ("bến xe" in name or "tt" in name) or "cửa đại" in street and name not in resolution.BEACH_NAMES or "463 phan bội châu" in name:
+        return ("unresolved", None, None)
+    number = re.search(resolution.HOUSE_NUMBER, name)
+    number = number[1].replace(" ", "") if number else None
+    across = any(x in name for x in resolution.ACROSS) and "tường rào" not in name
+    wanted = []
+    if number and street:
+        wanted = [f"đối diện {number} {street}", f"đ d {number} {street}", f"đối diện {number}"] if across else [f"{number} {street}", f"số nhà {number} {street}"]
+    wanted.append(name)
+    if street and street not in name:
+        wanted.append(f"{name} {street}")
+    wanted = [tidy(w) for w in wanted]
+    digits = lambda t: [int(re.sub("[a-z]", "", x)) for x in re.findall(r"\b\d+[a-z]?\b", t)]
+    hits = []
+    for node in nodes:
+        own = tidy(node[1])
+        for t in wanted if own else []:
+            if t == own:
+                hits.append((node, 1.0, "exact"))
+            elif min(len(t), len(own)) > 6 and (t.startswith(own) or own.startswith(t)):
+                hits.append((node, 0.95, "prefix"))
+            elif min(len(t), len(own)) > 8 and (t in own or own in t) and not (digits(t) and digits(own) and digits(t)[0] != digits(own)[0]):
+                hits.append((node, 0.9, "substring"))
+            else:
+                continue
+            break
+    words = [w for w in street.split() if len(w) > 2]
+    text = lambda node: tidy(node[1] + " " + (node[2] or ""))
+    if not hits:
+        return ("unresolved", None, None)
+    if len(hits) == 1:
+        node, score, how = hits[0]
+        fine = score == 1.0 or not words or any(w in text(node) for w in words)
+        return ("verified", str(node[0]), f"name_{how}") if fine else ("needs_review", None, None)
+    same = [h for h in hits if number and (m := re.search(r"\b(\d+[a-z]?)\b", tidy(h[0][1]))) and m[1] == number]
+    if len(same) == 1:
+        return ("verified", str(same[0][0][0]), f"number_{same[0][2]}")
+    first = hits[0][0]
+    if all(abs(h[0][3] - first[3]) < 0.002 and abs(h[0][4] - first[4]) < 0.002 for h in hits):
+        return ("verified", str(max(hits, key=lambda h: h[1])[0][0]), "twin_corridor")
+    full = [h for h in hits if words and all(w in text(h[0]) for w in words)]
+    if len(full) == 1:
+        return ("verified", str(full[0][0][0]), "street")
+    return ("needs_review", None, None)
+
+
+def test_entity_resolution_is_brute_force(spark):
+    r = random.Random(17)
+    streets = ["Lê Duẩn", "Hùng Vương", "Cửa Đại", "", None]
+    stems = ["Số nhà {} Lê Duẩn", "Đối diện {} Hùng Vương", "{} Hùng Vương", "Chợ Hàn", "Bệnh viện Đà Nẵng", "Bệnh viện", "Bến xe Nam Phước", "Công viên 29/3", "463 Phan Bội Châu", ""]
+    make = lambda: r.choice(stems).format(r.choice([5, 12, 63, "12a"]))
+    places = [(i, make(), r.choice(streets)) for i in range(150)]
+    nodes = [(i, make() + r.choice(["", "", " (trạm)", ", Đà Nẵng"]), r.choice(streets), 16.0 + r.choice([0, 0.001, 0.05]), 108.0 + r.choice([0, 0.001, 0.05]), i) for i in range(40)]
+    p, n = spark.createDataFrame(places, "place_id int, name string, street string"), spark.createDataFrame(nodes, "node_id int, name string, description string, lat double, lng double, ordinal int")
+    found = {x["place_id"]: (x["status"], x["node_id"], x["method"]) for x in resolution.resolve(p, n).collect()}
+    assert found == {x[0]: resolved_by_loops(x, nodes) for x in places} and len({v[2] for v in found.values()}) >= 6
+    marked = resolution.resolve(p, n, [(F.col("place").contains("chợ hàn"), "way/1")]).where("method = 'landmark'").collect()
+    assert {x["place_id"] for x in marked} == {x[0] for x in places if "Chợ Hàn" in x[1]} and {x["node_id"] for x in marked} == {"way/1"}
+
+
+def test_next_and_overlay_are_brute_force(spark):
+    r = random.Random(19)
+    rows = [(r.randint(0, 3), r.randint(0, 500), r.choice("tvv")) for _ in range(400)]
+    found = intervals.next_at(spark.createDataFrame(rows, "k int, at int, what string"), ["k"], "at", F.col("what") == "t", F.floor(F.col("at") / 50))
+    expected = [(k, at, what, min((b for a, b, w in rows if a == k and w == "t" and b >= at), default=None)) for k, at, what in rows]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    windows = [(r.randint(0, 3), b := r.randint(0, 500), b + r.choice([-1, 0, 30, 120])) for _ in range(60)]
+    got = intervals.overlay(spark.createDataFrame(rows, "k int, at int, what string"), spark.createDataFrame(windows, "k int, b int, e int"), ["k"], "at", "b", "e", 40.0)
+    brute = [(k, at, x, *w) for k, at, x in rows for w in ([w for w in windows if w[0] == k and w[1] <= at <= w[2]] or [(None, None, None)])]
+    assert sorted(map(repr, map(tuple, got.select("k", "at", "what", "w_k", "w_b", "w_e").collect()))) == sorted(map(repr, brute))
 
 
 def fare(spark, kind, flat=None, single=None, low=None, high=None, tiers=None):
@@ -113,7 +217,93 @@ def test_contract_drift_and_coverage(spark):
 
 def test_catalog(spark):
     rows = spark.createDataFrame([(1, ["b", "a"], ["c"]), (2, ["a"], None)], "k int, x array<string>, y array<string>")
-    assert {r["token"]: r["keys"] for r in catalog.inverted_index(rows, "k", F.col("x")).collect()} == {"a": [1, 2], "b": [1]}
-    assert {r["k"]: (r["names"], r["n_names"]) for r in catalog.compact(rows, "k", ["x", "y"]).collect()} == {1: (["a", "b", "c"], 3), 2: (["a"], 1)}
+    assert {r["token"]: r["keys"] for r in catalog.inverted_index(rows, "k", F.col("x"), 1).collect()} == {"a": [1, 2], "b": [1]}
+    assert catalog.inverted_index(spark.range(1000).select("id", F.array(F.lit("w")).alias("x")), "id", F.col("x"), 16).where("n > 200").count() == 0
+    assert {r["token"]: (r["n"], r["first_key"], r["last_key"]) for r in catalog.token_counts(rows, "k", F.col("x")).collect()} == {"a": (2, 1, 2), "b": (1, 1, 1)}
+    found = {r["k"]: (r["names"], r["n_names"], r["n_x"], r["n_y"], r["has_geometry"]) for r in catalog.compact(rows, "k", ["x", "y"], F.col("k") == 1).collect()}
+    assert found == {1: (["a", "b", "c"], 3, 2, 1, True), 2: (["a"], 1, 1, 0, False)}
     names = catalog.directory(rows.select("k", F.explode("x").alias("n")), F.col("n"), "k").orderBy("id").collect()
     assert [(r["name"], r["id"], r["n"]) for r in names] == [("a", 1, 2), ("b", 2, 1)]
+    many = catalog.directory(spark.range(5000).select("id", (F.col("id") * 7 % 1000).cast("string").alias("n")), F.col("n"), "id").orderBy("id").collect()
+    assert [(r["id"], r["first_at"], r["name"], r["n"]) for r in many] == [(k + 1, k, str(k * 7 % 1000), 5) for k in range(1000)]
+    assert catalog.directory(rows.limit(0).select("k", F.lit("x").alias("n")), F.col("n"), "k").count() == 0
+    assert rows.select(catalog.ordered_union(F.col("x"), F.col("y"), F.col("x")).alias("u")).collect()[0]["u"] == ["b", "a", "c"]
+
+
+def test_audit_of_references(spark):
+    records = spark.createDataFrame([("A",), ("B",), ("B",), (None,), ("C",), ("D",)], "id string")
+    links = {"superseded": spark.createDataFrame([("A", "B"), ("C", "X")], "id string, next string"), "merged": spark.createDataFrame([("B", "A"), ("C", "D"), ("D", "C")], "id string, next string")}
+    found = sorted(map(tuple, identity.audit(records, links).collect()), key=repr)
+    # A is replaced by B, which is merged into A: no cycle of one kind
+    assert found == sorted([("missing_id", None, None), ("duplicate_id", None, "B"), ("broken_reference", "superseded", "C"), ("reference_cycle", "merged", "C"), ("reference_cycle", "merged", "D")], key=repr)
+    codes = spark.createDataFrame([("x", 1), ("x", 2), ("x", 2), ("y", 1)], "code string, id int")
+    assert [tuple(r) for r in identity.collisions(codes).collect()] == [("x", 2, 1, 2)] and identity.owners(codes).count() == 2
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("a", 1, True), ("b", 2, False), ("c", 3, None)], "id string, at int, ready boolean")
+    found = {r["class"]: (r["n"], r["pct"], r["ids"]) for r in quality.coverage_lists(rows, "id", [(F.col("ready"), "ready"), (F.col("at") == 3, "late")], "at").collect()}
+    assert found == {"ready": (1, 33.33, ["a"]), "late": (1, 33.33, ["c"]), "other": (1, 33.33, ["b"])}
+    dates = spark.createDataFrame([("a", "2024-01-01", None), ("b", "soon", ""), ("c", None, "")], "route_id string, effective_from string, effective_to string")
+    assert {r["route_id"]: (r["is_bounded"], r["valid_dates"]) for r in quality.temporal_audit(dates).collect()} == {"a": (True, True), "b": (True, False), "c": (False, True)}
+    quality.checked(rows.agg(F.count("*").alias("n")), rows.agg(F.count("*").alias("n")), ["n"])
+    with pytest.raises(ValueError, match="n"):
+        quality.checked(rows.agg(F.count("*").alias("n")), rows.limit(1).agg(F.count("*").alias("n")), ["n"])
+
+
+@pytest.mark.parametrize(
+    "args, reason",
+    [
+        (("flat", 8000, None, None, None, None), None),
+        (("flat", None, 8000, None, None, None), None),
+        (("flat", -1, 8000, None, None, None), quality.FLAT_PRICE),
+        (("distance_tiered", None, None, 0, 5, None), quality.LOW_PRICE),
+        (("distance_tiered", None, None, 5, -1, None), quality.HIGH_PRICE),
+        (("distance_tiered", None, None, 5, 4, None), quality.REVERSED_PRICES),
+        (("distance_tiered", None, None, 5, 6, "[]"), quality.EMPTY_TIERS),
+        (("distance_tiered", None, None, 5, 6, "[null]"), quality.NULL_TIER),
+        (("distance_tiered", None, None, 5, 6, '[{"price":1},{"price":0}]'), quality.TIER_PRICE),
+        (("distance_tiered", None, None, 5, 6, '[{"price":1,"distanceMaxKm":0}]'), quality.TIER_KM),
+        (("distance_tiered", None, None, 5, None, None), quality.NO_PRICES),
+        (("distance_tiered", None, 1, 5, 6, None), quality.SINGLE_TICKET),
+        (("distance_tiered", None, None, None, None, '[{"price":1}]'), None),
+        ((None, None, None, None, None, None), quality.UNKNOWN_FARE + "None)"),
+    ],
+)
+def test_fare_reasons(spark, args, reason):
+    kind, *values, tiers = args
+    t = F.from_json(F.lit(tiers), "array<struct<price:double,distanceMaxKm:double>>") if tiers else F.lit(None).cast("array<struct<price:double,distanceMaxKm:double>>")
+    found = quality.fare_reason(F.lit(kind).cast("string"), *[F.lit(v).cast("long") for v in values], t)
+    assert spark.range(1).select(found.alias("x")).first()["x"] == reason
+
+
+def test_readiness(spark):
+    routes = spark.createDataFrame([("1", "active", "http://x", "d", "verified", None), ("2", "retired", None, None, None, "no fare")], "route_id string, status string, source_url string, last_verified_at string, verification_status string, fare_reason string")
+    side = lambda r, d, rows: [(r, d, i, o, 16.0, 108.0, s) for i, (o, s) in enumerate(rows)]
+    stops = spark.createDataFrame(side("1", "outbound", [(1, "verified"), (5, "x"), (2, "verified")]) + side("1", "inbound", [(3, "verified"), (3, "verified")]), "route_id string, direction string, pos int, ord int, lat double, lng double, status string")
+    points = spark.createDataFrame([("1", "outbound", 16.0, 108.0), ("1", "outbound", 16.1, 108.0), ("1", "inbound", 16.0, 999.0), ("1", "inbound", 16.0, 108.0)], "route_id string, direction string, lat double, lng double")
+    proofs = spark.createDataFrame([("1", "outbound", True), ("1", "inbound", True)], "route_id string, direction string, verified boolean")
+    sides = quality.direction_quality(routes, stops, points, proofs).cache()
+    found = {(r["route_id"], r["direction"]): (r["eligible"], r["reason"]) for r in sides.collect()}
+    assert found[("1", "outbound")] == (True, None)
+    assert found[("1", "inbound")] == (False, "Thứ tự trạm dừng verified không tăng đơn điệu (order 3 >= 3); " + quality.BAD_POINT)
+    assert found[("2", "outbound")] == (False, "; ".join(["Tuyến không hoạt động (status=retired)", quality.NO_SOURCE, "Chỉ có 0/0 trạm verified (yêu cầu tối thiểu 2 trạm có tọa độ hợp lệ)", quality.FEW_POINTS, "no fare"]))
+    whole = {r["route_id"]: (r["planning_ready"], r["reasons"]) for r in quality.route_quality(sides).collect()}
+    assert whole["1"] == (False, ["Chiều về chưa sẵn sàng: " + found[("1", "inbound")][1]]) and whole["2"][0] is False and len(whole["2"][1]) == 5
+
+
+def test_enrichment(spark):
+    routes = spark.createDataFrame([("1", "active", "http://old", None, None, None, None, None, ["9"], ["a"], True), ("2", "merged", None, None, None, "d", None, "1", None, None, True)], "route_id string, status string, source_url string, effective_from string, effective_to string, last_verified_at string, superseded_by string, merged_into string, former_codes array<string>, aliases array<string>, planning_ready boolean")
+    entries = spark.createDataFrame([("1", "http://new", None, None, None, None, None, ["9", "8"], "verified")], "route_id string, source_url string, effective_from string, effective_to string, last_verified_at string, superseded_by string, merged_into string, former_codes array<string>, verification_status string")
+    found = {r["route_id"]: r for r in enrichment.reconciled(routes, entries, "route_id", "today").collect()}
+    assert (found["1"]["source_url"], found["1"]["former_codes"], found["1"]["aliases"], found["1"]["planning_ready"], found["1"]["last_verified_at"]) == ("http://new", ["9", "8"], ["a", "9", "8"], True, "today")
+    assert (found["2"]["planning_ready"], found["2"]["verification_status"], found["2"]["last_verified_at"]) == (False, "unverified", "d")
+    old = spark.createDataFrame([("a", "out", [1], None, True), ("b", "out", [1], "too_few_points", True), ("c", "out", [1], None, False)], "route string, direction string, points array<int>, reason string, was_verified boolean")
+    new = spark.createDataFrame([("a", "out", [2], None), ("b", "out", [2], None), ("c", "out", [2], "anchor_off_line")], "route string, direction string, points array<int>, reason string")
+    shapes = {r["route"]: (r["points"], r["source"], r["verified"], r["reason"]) for r in enrichment.chosen_shapes(old, new, ["route", "direction"]).collect()}
+    assert shapes == {"a": ([1], "stored", True, None), "b": ([2], "fetched", True, None), "c": (None, "unresolved", False, "anchor_off_line")}
+    stops = spark.createDataFrame([("a", "x", 1.0, 1.0), ("a", "x", None, 1.0), ("b", "x", 1.0, 1.0)], "route string, status string, lat double, lng double")
+    promoted = spark.createDataFrame([("a", True), ("b", False)], "route string, is_promoted boolean")
+    s, g = enrichment.with_promoted(stops, spark.createDataFrame([("a", [1], True), ("b", [1], True)], "route string, points array<int>, verified boolean"), promoted, "route")
+    assert sorted(map(repr, map(tuple, s.collect()))) == sorted(map(repr, [("a", "verified", 1.0, 1.0), ("a", "x", None, 1.0), ("b", "x", 1.0, 1.0)]))
+    assert {r["route"]: (r["points"], r["verified"]) for r in g.collect()} == {"a": ([1], True), "b": (None, False)}

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -32,9 +33,12 @@ def test_catalog_round_trip(spark, tmp_path):
     (tmp_path / "streets.json").write_text('{"route_id":"1","direction":"outbound","pos":1,"street":"A"}\n')
     tables = catalogs.load(spark, f"file://{tmp_path}", ["streets"])
     assert catalogs.health(tables) == {"streets": 1}
-    catalogs.publish(tables["streets"], f"file://{tmp_path}/out")
-    catalogs.publish(tables["streets"], f"file://{tmp_path}/out")
-    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1
+    first = catalogs.publish(tables["streets"], f"file://{tmp_path}/out")
+    before = catalogs.published(spark, f"file://{tmp_path}/out")
+    second = catalogs.publish(tables["streets"].unionByName(tables["streets"]), f"file://{tmp_path}/out")
+    # a reader of the old version keeps it
+    assert first != second and before.count() == 1 and catalogs.published(spark, f"file://{tmp_path}/out").count() == 2
+    assert catalogs.constants(spark, "streets", [("1", "outbound", 1, "A")]).count() == 1
     (tmp_path / "streets.json").write_text("{broken\n")
     with pytest.raises((PySparkException, Py4JJavaError)):
         catalogs.load(spark, f"file://{tmp_path}", ["streets"])["streets"].collect()
@@ -49,9 +53,34 @@ def test_streams(spark, tmp_path):
     rows = [(1, datetime(2024, 1, 1, 0, m), m) for m in (0, 5, 50)] + [(2, datetime(2024, 1, 2), 0), (2, datetime(2024, 1, 3), 0)]
     spark.createDataFrame(rows, "k int, at timestamp, n int").repartition(1).write.parquet(f"{tmp_path}/in")
     schema = "k int, at timestamp, n int"
-    for name, make in {"s1": lambda df: streaming.sessions(df, "k", "at"), "s2": lambda df: streaming.counts(df, "k", "at"), "s3": lambda df: streaming.latest_only(df, "k", "n", "at")}.items():
+    for name, make, mode in [("s1", lambda df: streaming.sessions(df, "k", "at"), "append"), ("s2", lambda df: streaming.counts(df, "k", "at"), "append"), ("s3", lambda df: streaming.latest_only(df, "k", "n"), "complete")]:
         stream = make(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
-        q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert sorted((r["k"], r["n"]) for r in spark.table("s1").collect())[:2] == [(1, 1), (1, 2)]
-    assert spark.table("s2").count() >= 3 and spark.table("s3").count() == 4
+    assert spark.table("s2").count() >= 3 and {r["k"]: r["n"] for r in spark.table("s3").collect()} == {1: 50, 2: 0}
+
+
+def test_late_responses_change_nothing(spark, tmp_path):
+    seen = []
+    spark.createDataFrame([(1, 5, "new")], "k int, seq int, v string").write.parquet(f"{tmp_path}/in")
+    stream = streaming.latest_only(spark.readStream.schema("k int, seq int, v string").parquet(f"{tmp_path}/in"), "k", "seq")
+    for rows in ([], [(1, 4, "stale")], [(1, 6, "newer")]):
+        if rows:
+            spark.createDataFrame(rows, "k int, seq int, v string").write.mode("append").parquet(f"{tmp_path}/in")
+        q = stream.writeStream.foreachBatch(lambda df, _: seen.append([r["v"] for r in df.collect()])).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert seen == [["new"], ["new"], ["newer"]]
+
+
+def test_periodic_work(spark, tmp_path):
+    times = []
+    q = streaming.periodically(spark, lambda now: now, times.append, "1 second", f"{tmp_path}/ticks")
+    try:
+        for _ in range(60):
+            if len(times) > 1:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert len(times) > 1 and times == sorted(times)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, temporal, text
-from .operators import catalog, identity, journeys, quality, resolution, search, sequences, spatial
+from .functions import extract, geo, temporal, text
+from .operators import catalog, identity, intervals, journeys, quality, resolution, search, sequences, spatial
 from .sources import pages as page_source
+from .sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,8 +83,7 @@ SELECT doc_id, lang FROM documents WHERE contains({FOLD.format("coalesce(text, '
 ORDER BY doc_id LIMIT 50""")
 def q_fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folded = text.fold(F.col("text"))
-    return docs.where(folded.contains(F.lit("ecole")) | folded.contains(F.lit("cion que"))).select("doc_id", "lang").orderBy("doc_id").limit(50)
+    return docs.where(search.holds_any(F.col("text"), ["ecole", "cion que"])).select("doc_id", "lang").orderBy("doc_id").limit(50)
 
 
 @query("""
@@ -91,14 +91,35 @@ WITH q(query_id, token) AS (VALUES (1, 'steel'), (2, 'brass'), (3, 'large burnis
 SELECT query_id, p_partkey FROM q, part WHERE len(token) >= 2 AND (contains(lower(p_type), token) OR contains(lower(p_name), token) OR (len(p_type) >= 3 AND contains(token, lower(p_type))))""")
 def q_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", text.fold(F.col("p_type")).alias("kind"), text.fold(F.col("p_name")).alias("name"))
-    out = None
-    for number, token in [(1, "steel"), (2, "brass"), (3, "large burnished tin plate"), (4, "x")]:
-        if len(token) < 2:
-            continue
-        t = F.lit(token)
-        hits = part.where(text.either_contains(F.col("kind"), t) | F.col("name").contains(t)).select(F.lit(number).alias("query_id"), "p_partkey")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    asked = [(1, "steel"), (2, "brass"), (3, "large burnished tin plate"), (4, "x")]
+    return search.token_hits(part, asked, lambda t: text.either_contains(F.col("kind"), t) | F.col("name").contains(t)).select("query_id", "p_partkey")
+
+
+@query(f"""
+WITH q(query_id, query) AS (VALUES (1, 'Economy'), (2, 'cold widget standard'), (3, 'Brand#1'), (4, 'Sân bay')),
+t AS (SELECT query_id, unnest(CASE WHEN query_id = 4 THEN ['san bay'] ELSE [lower(query)] END) AS token FROM q),
+p AS (SELECT p_partkey, lower(p_name) AS name, lower(p_type) AS street, lower(p_brand) AS brand, p_size = min(p_size) OVER (PARTITION BY p_brand) AS first, p_size = max(p_size) OVER (PARTITION BY p_brand) AS last FROM part)
+SELECT query_id, p_partkey FROM p, t WHERE contains(name || ' ' || street || ' ' || brand, token) OR (len(name) >= 3 AND contains(token, name))
+ OR (first AND contains('terminal economy', token)) OR (last AND contains('san bay', token))""")
+def q_stop_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop names, streets and displays against query tokens, with the labels of terminals at the ends of a line."""
+    part = sequences.with_ends(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
+    asked = spark.createDataFrame([(1, "Economy"), (2, "cold widget standard"), (3, "Brand#1"), (4, "Sân bay")], "query_id int, query string")
+    asked = asked.select("query_id", search.query_tokens(F.col("query")).alias("tokens"))
+    fits = search.stop_matches(F.col("tokens"), F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.col("is_first"), F.col("is_last"), F.lit("Terminal Economy"), F.lit("Sân bay"))
+    return part.join(F.broadcast(asked), fits).select("query_id", "p_partkey")
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS stop_id, c_mktsegment || c_custkey % 40 AS name, 15.9 + c_custkey % 1000 / 20000.0e0 AS lat, 108.1 + c_custkey % 700 / 20000.0e0 AS lng FROM customer WHERE c_acctbal >= 0),
+p AS (SELECT s_suppkey AS place_id, 'FURNITURE' || s_suppkey AS name, 15.90004e0 + s_suppkey * 7 % 1000 / 20000.0e0 AS lat, 108.1 + s_suppkey * 7 % 700 / 20000.0e0 AS lng FROM supplier)
+SELECT DISTINCT stop_id, place_id FROM s, p WHERE s.name = p.name OR (abs(s.lat - p.lat) < 0.0001 AND abs(s.lng - p.lng) < 0.0001)""")
+def q_same_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    s = table(spark, sf_dir, "customer").select(key.alias("stop_id"), F.concat("c_mktsegment", (key % 40).cast("string")).alias("name"), (15.9 + key % 1000 / F.lit(20000.0)).alias("lat"), (108.1 + key % 700 / F.lit(20000.0)).alias("lng"), F.when(F.col("c_acctbal") >= 0, F.lit("verified")).alias("status"))
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("place_id"), F.concat(F.lit("FURNITURE"), k.cast("string")).alias("name"), (15.90004 + k * 7 % 1000 / F.lit(20000.0)).alias("lat"), (108.1 + k * 7 % 700 / F.lit(20000.0)).alias("lng"))
+    return search.same_stops(s, p)
 
 
 @query("""
@@ -146,7 +167,7 @@ def q_dup_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
     codes = part.select(F.explode(F.array(F.concat_ws("/", "p_brand", size), F.concat_ws("/", "p_type", size))).alias("code"), F.col("p_partkey").alias("id"))
-    return identity.collisions(codes).select("code", "n_owners", F.element_at("owners", 1).alias("first_owner"))
+    return identity.collisions(codes).select("code", "n_owners", "first_owner")
 
 
 @query("""
@@ -175,26 +196,59 @@ def q_temporal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH e AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
 SELECT event_id, CAST(count(e.ts) AS BIGINT) AS n_windows, max(e.ts) AS last_window FROM p LEFT JOIN e ON p.user_id = e.user_id AND p.ts BETWEEN e.ts AND e.ts + INTERVAL 6 HOUR GROUP BY event_id""")
 def q_override_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    hours = F.expr("INTERVAL 6 HOURS")
-    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 21600)
-    windows = events.where(F.col("event_type") == "error").select(F.col("user_id").alias("w_user"), F.col("ts").alias("begin"))
-    # a window of six hours meets its own six-hour bucket and the next one
-    windows = windows.withColumn("bucket", F.explode(F.array(bucket(F.col("begin")), bucket(F.col("begin")) + 1)))
-    points = events.where(F.col("event_type") == "purchase").withColumn("at_bucket", bucket(F.col("ts")))
-    inside = (F.col("user_id") == F.col("w_user")) & (F.col("at_bucket") == F.col("bucket")) & (F.col("ts") >= F.col("begin")) & (F.col("ts") <= F.col("begin") + hours)
-    return points.join(windows, inside, "left").groupBy("event_id").agg(F.count("begin").alias("n_windows"), F.max("begin").alias("last_window"))
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    hours = 6 * 3600 * 1_000_000
+    windows = events.where(F.col("event_type") == "error").select("user_id", "at", (F.col("at") + hours).alias("end"), "ts")
+    points = events.where(F.col("event_type") == "purchase").select("event_id", "user_id", "at")
+    return intervals.overlay(points, windows, ["user_id"], "at", "at", "end", hours).groupBy("event_id").agg(F.count("w_at").alias("n_windows"), F.max("w_ts").alias("last_window"))
 
 
 @query("""
 SELECT event_id, (SELECT min(p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts >= e.ts) AS next_ts FROM events e WHERE event_type = 'view'""")
 def q_next_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
-    ahead = Window.partitionBy("user_id").orderBy("ts").rangeBetween(0, Window.unboundedFollowing)
-    bought = F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(ahead)
-    return rows.withColumn("next_ts", bought).where(F.col("event_type") == "view").select("event_id", "next_ts")
+    days = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (30 * 86400))
+    found = intervals.next_at(rows, ["user_id"], "ts", F.col("event_type") == "purchase", days, "next_ts")
+    return found.where(F.col("event_type") == "view").select("event_id", "next_ts")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CAST(p_partkey * 7 % 1440 AS INTEGER) AS now, list_sort(list_filter([p_size * 10, NULL, p_size * 27 % 1440, 300 + p_size], lambda x: x IS NOT NULL)) AS t FROM part WHERE p_size IS NOT NULL),
+n AS (SELECT *, list_min(list_filter(t, lambda x: x >= now)) AS later, t[1] AS first FROM p)
+SELECT p_partkey, CASE WHEN now < first THEN 'before_service' WHEN later IS NOT NULL THEN 'in_service' WHEN p_partkey % 4 > 0 THEN 'next_day' ELSE 'after_service' END AS status,
+ CAST(CASE WHEN later IS NOT NULL THEN later WHEN p_partkey % 4 > 0 THEN first END AS BIGINT) AS departs, CAST(CASE WHEN later IS NOT NULL THEN later - now WHEN p_partkey % 4 > 0 THEN 1440 - now + first END AS BIGINT) AS wait FROM n""")
+def q_timetable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next departures by timetable."""
+    key, size, none = F.col("p_partkey"), F.col("p_size"), F.lit(None).cast("int")
+    trips = F.array(size * 10, none, size * 27 % 1440, size + 300)
+    found = temporal.next_departure((key * 7 % 1440).cast("int"), trips, none, none, none, F.lit(False), F.lit(False), key % 4 > 0)
+    return table(spark, sf_dir, "part").where(size.isNotNull()).select("p_partkey", found.alias("f")).select("p_partkey", "f.status", long("f.departs", "departs"), long("f.wait", "wait"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders),
+v AS (SELECT k, i, CASE WHEN i = 0 AND k % 6 = 5 THEN 'malformed_override' WHEN DATE '1996-06-01' NOT BETWEEN d + 100 * i AND d + 100 * i + 50 OR (i = 1 AND k % 2 = 0) THEN 'skip'
+ WHEN (k + i) % 5 = 0 THEN 'unverified_override' WHEN (k + i) % 3 = 0 THEN 'suspended' WHEN (k + i) % 3 = 1 AND k % 4 > 0 THEN 'detour_unverified' ELSE 'active' END AS verdict FROM o, (VALUES (0), (1)) AS t(i))
+SELECT k AS o_orderkey, coalesce(arg_min(verdict, i) FILTER (verdict NOT IN ('skip', 'active')), 'active') AS state FROM v GROUP BY k""")
+def q_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temporal states under two temporary overrides, which may be malformed, elsewhere, unproven, suspending or a detour."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    text_of = lambda d: F.date_format(d, "yyyy-MM-dd")
+
+    def override(i: int) -> Column:
+        kind = F.when((key + i) % 3 == 0, F.lit("suspension")).when((key + i) % 3 == 1, F.lit("detour")).otherwise(F.lit("note"))
+        begin, end = F.date_add(day, 100 * i), F.date_add(day, 100 * i + 50)
+        bad = F.lit(i == 0) & (key % 6 == 5)
+        where = F.array(F.lit("inbound")) if i == 1 else F.array().cast("array<string>")
+        listed = F.when(key % 2 == 0, where).otherwise(F.array().cast("array<string>"))
+        values = {"type": kind, "effective_from": F.when(bad, F.lit("soon")).otherwise(text_of(begin)), "effective_to": text_of(end), "source_url": F.when((key + i) % 5 > 0, F.lit("https://example.org")), "last_verified_at": F.lit("1996-01-01"), "verification_status": F.lit("verified"), "affected_directions": listed, "status_override": F.lit(None).cast("string"), "has_replacement_truth": key % 4 == 0}
+        return F.struct(*[c.alias(n) for n, c in values.items()])
+
+    found = temporal.state(
+        F.to_timestamp(F.lit(NOW)), exists=F.lit(True), status=F.lit("active"), is_active=F.lit(True), effective_from=F.lit(None).cast("string"), effective_to=F.lit(None).cast("string"),
+        source_url=F.lit("https://example.org"), last_verified_at=F.lit("1996-01-01"), verification_status=F.lit("verified"), overrides=F.array(override(0), override(1)), direction=F.lit("outbound"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("state"))
 
 
 @query("""
@@ -295,16 +349,22 @@ p2 AS (SELECT p.query_id, straight, r1, r2, tr AS r3, i0, i1, i2, fi AS i3, ti A
  FROM p1 p JOIN edges e ON e.fr = r2 AND fi > i2 AND tr <> r1 AND tr <> r2 WHERE path <= 1.8 * straight),
 j2 AS (SELECT p.query_id, 2 AS transfers, [r1, r2, r3] AS routes, [i0, i1, i2, i3, i4, a.idx] AS places, wm + {walk_sql('a.walk')} AS wm, rm + greatest((a.idx - i4) * 2, 4) AS rm, round(walked + a.walk, 1) AS walk_metres
  FROM p2 p JOIN al a ON a.query_id = p.query_id AND a.route = r3 AND a.idx > i4 WHERE path <= 1.8 * straight AND path + {metres_sql('tlat', 'tlng', 'a.lat', 'a.lng')} + a.walk <= 1.8 * straight),
-j AS (SELECT *, 'transfer' || transfers || '_' || list_aggregate(routes, 'string_agg', '_') || '_' || list_aggregate(places, 'string_agg', '_') AS journey, wm + rm + 5 * transfers AS minutes, 1.5e0 * wm + rm + 17 * transfers AS cost
- FROM (FROM j0 UNION ALL FROM j1 UNION ALL FROM j2))"""
+pen AS (SELECT map(list(route), list(CASE WHEN v / t::DOUBLE >= 0.8 THEN 0.0e0 WHEN v / t::DOUBLE >= 0.6 THEN 2.5e0 ELSE 5.0e0 END)) AS pm FROM (SELECT c_custkey // 30 AS route, count(*) AS t, count(*) FILTER (c_acctbal >= 2000) AS v FROM customer GROUP BY 1)),
+j AS (SELECT *, 'transfer' || transfers || '_' || list_aggregate(routes, 'string_agg', '_') || '_' || list_aggregate(places, 'string_agg', '_') AS journey, wm + rm + 5 * transfers AS minutes, 1.5e0 * wm + rm + 17 * transfers + list_sum(list_transform(routes, lambda x: map_extract(pm, x)[1])) AS cost
+ FROM (FROM j0 UNION ALL FROM j1 UNION ALL FROM j2), pen)"""
 JOURNEY_COLUMNS = "query_id, journey, CAST(minutes AS BIGINT) AS minutes, CAST(cost AS DOUBLE) AS cost, walk_metres"
 
 
+def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of stops of each route, of which customers with a good balance count as verified."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 30").alias("route"))
+    return rows.agg(F.count_if(F.col("c_acctbal") >= 2000).alias("verified"), F.count("*").alias("total"))
+
+
 def journeys_of(spark: SparkSession, sf_dir: str, transfers: int) -> DataFrame:
-    network, asked = stops(spark, sf_dir), journey_queries(spark, sf_dir)
-    boards, alights = journeys.ends(asked, network, "o", RADIUS), journeys.ends(asked, network, "d", RADIUS)
-    found = journeys.direct(boards, alights) if not transfers else journeys.transferring(asked, boards, alights, edges(network), transfers)
-    return journeys.costed(found).select("query_id", "journey", long("minutes", "minutes"), F.col("cost").cast("double").alias("cost"), "walk_metres")
+    network = stops(spark, sf_dir)
+    found = journeys.search(journey_queries(spark, sf_dir), network, stored(edges(network), "transfers"), RADIUS, transfers, route_metrics(spark, sf_dir))
+    return found.where(F.col("transfers") == transfers).select("query_id", "journey", long("minutes", "minutes"), F.col("cost").cast("double").alias("cost"), "walk_metres")
 
 
 @query(f"WITH {JOURNEYS_SQL} SELECT {JOURNEY_COLUMNS} FROM j WHERE transfers = 0")
@@ -323,13 +383,14 @@ def q_two_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {JOURNEYS_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY transfers, cost, walk_metres, minutes, journey) AS rank FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY transfers, cost, walk_metres, minutes, replace(journey, '_', ' ')) AS rank FROM j),
 t AS (FROM r WHERE rank <= 5),
 b AS (SELECT query_id, min_by(rank, (walk_metres, rank)) AS lw, min_by(rank, (minutes, rank)) AS fa FROM t GROUP BY query_id)
 SELECT query_id, journey, CAST(rank AS BIGINT) AS rank, CASE WHEN transfers = 0 THEN 'direct' WHEN rank = lw THEN 'least_walking' WHEN rank = fa THEN 'fastest' ELSE 'option_' || rank END AS badge FROM t JOIN b USING (query_id)""")
 def q_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = stops(spark, sf_dir)
-    found = journeys.ranked(journeys.search(journey_queries(spark, sf_dir), network, edges(network), RADIUS))
+    index = stored(edges(network), "transfers")
+    found = journeys.ranked(journeys.search(journey_queries(spark, sf_dir), network, index, RADIUS, metrics=route_metrics(spark, sf_dir)))
     return found.select("query_id", "journey", long("rank", "rank"), "badge")
 
 
@@ -367,17 +428,68 @@ def q_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS place_id, lower(p_type) AS place FROM part WHERE p_partkey % 20 = 0), n AS (SELECT p_partkey AS node_id, lower(p_type) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' ' || p_size END AS node FROM part),
-s AS (SELECT place_id, node_id, CASE WHEN place = node THEN 1.0e0 WHEN len(place) > 6 AND len(node) > 6 AND (starts_with(place, node) OR starts_with(node, place)) THEN 0.95e0
- WHEN len(place) > 8 AND len(node) > 8 AND (contains(place, node) OR contains(node, place)) THEN 0.9e0 END AS score FROM p, n),
-b AS (SELECT *, max(score) OVER (PARTITION BY place_id) AS top FROM s WHERE score IS NOT NULL)
-SELECT place_id, max(score) AS score, CAST(count(*) AS BIGINT) AS n_best, min(node_id) AS node_id, CASE WHEN count(*) = 1 THEN 'verified' ELSE 'needs_review' END AS status FROM b WHERE score = top GROUP BY place_id""")
+WITH p AS (SELECT p_partkey AS place_id, lower(p_type) AS place FROM part), n AS (SELECT p_partkey AS node_id, lower(p_type) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' ' || p_size END AS node FROM part),
+k AS (SELECT node, count(*) AS n, min(node_id) AS node_id FROM n GROUP BY node),
+s AS (SELECT place, n, node_id, CASE WHEN place = node THEN 1.0e0 WHEN len(place) > 6 AND len(node) > 6 AND (starts_with(place, node) OR starts_with(node, place)) THEN 0.95e0
+ WHEN len(place) > 8 AND len(node) > 8 AND (contains(place, node) OR contains(node, place)) THEN 0.9e0 END AS score FROM (SELECT DISTINCT place FROM p), k),
+b AS (SELECT *, max(score) OVER (PARTITION BY place) AS top FROM s WHERE score IS NOT NULL),
+d AS (SELECT place, max(score) AS score, CAST(sum(n) AS BIGINT) AS n_best, min(node_id) AS node_id FROM b WHERE score = top GROUP BY place)
+SELECT place_id, score, n_best, node_id, CASE WHEN n_best = 1 THEN 'verified' ELSE 'needs_review' END AS status FROM p JOIN d USING (place)""")
 def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    places = part.where(F.col("p_partkey") % 20 == 0).select(F.col("p_partkey").alias("place_id"), text.normalised(F.col("p_type")).alias("place"))
+    places = part.select(F.col("p_partkey").alias("place_id"), text.normalised(F.col("p_type")).alias("place"))
     named = F.concat(F.col("p_type"), F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"))))
     nodes = part.select(F.col("p_partkey").alias("node_id"), text.normalised(named).alias("node"))
-    return resolution.decided(resolution.candidates(places, nodes))
+    return resolution.decided(places, nodes)
+
+
+@query(f"""
+WITH r AS (SELECT DISTINCT c_custkey // 30 AS route_id FROM customer),
+f AS (SELECT route_id, CASE WHEN route_id % 5 = 4 THEN 'suspended' ELSE 'active' END AS status, route_id % 7 < 6 AS sourced,
+ CASE WHEN route_id % 4 = 0 THEN NULL WHEN route_id % 4 = 1 THEN CASE WHEN route_id % 3 = 0 THEN '{quality.FLAT_PRICE}' END WHEN route_id % 4 = 2 THEN CASE WHEN route_id % 3 = 1 THEN '{quality.REVERSED_PRICES}' END ELSE '{quality.UNKNOWN_FARE}None)' END AS fare_reason FROM r),
+s AS (SELECT c_custkey // 30 AS route_id, CASE WHEN c_custkey % 2 = 0 THEN 'outbound' ELSE 'inbound' END AS direction, c_custkey AS pos, c_custkey % 30 - CASE WHEN c_custkey % 211 = 0 THEN 20 ELSE 0 END AS ord, c_acctbal >= 3000 AS fine FROM customer),
+v AS (SELECT *, lead(ord) OVER (PARTITION BY route_id, direction ORDER BY pos) AS nx FROM s WHERE fine),
+b AS (SELECT route_id, direction, arg_min('{quality.NOT_RISING[0]}' || ord || '{quality.NOT_RISING[1]}' || nx || '{quality.NOT_RISING[2]}', pos) AS back FROM v WHERE nx <= ord GROUP BY ALL),
+c AS (SELECT route_id, direction, count(*) AS total, count(*) FILTER (fine) AS verified FROM s GROUP BY ALL),
+q AS (SELECT route_id, direction, status, sourced, fare_reason, coalesce(total, 0) AS total, coalesce(verified, 0) AS verified,
+ CASE WHEN coalesce(verified, 0) < 2 THEN '{quality.FEW_STOPS[0]}' || coalesce(verified, 0) || '/' || coalesce(total, 0) || '{quality.FEW_STOPS[1]}' ELSE back END AS stop_reason,
+ CASE WHEN coalesce(total, 0) < 2 THEN '{quality.FEW_POINTS}' WHEN route_id % 9 = 8 THEN '{quality.UNPROVEN_SHAPE}' END AS shape_reason
+ FROM f CROSS JOIN (VALUES ('outbound'), ('inbound')) AS d(direction) LEFT JOIN c USING (route_id, direction) LEFT JOIN b USING (route_id, direction)),
+w AS (SELECT *, concat_ws('; ', CASE WHEN status <> 'active' THEN '{quality.INACTIVE}' || status || ')' END, CASE WHEN NOT sourced THEN '{quality.NO_SOURCE}' END, stop_reason, shape_reason, fare_reason) AS why FROM q),
+g AS (SELECT route_id, any_value(status) AS status, any_value(sourced) AS sourced, any_value(fare_reason) AS fare_reason, max(why) FILTER (direction = 'outbound') AS o, max(why) FILTER (direction = 'inbound') AS i FROM w GROUP BY route_id),
+z AS (SELECT route_id, concat_ws('|', CASE WHEN status <> 'active' THEN '{quality.ROUTE_INACTIVE[0]}' || route_id || '{quality.ROUTE_INACTIVE[1]}' || status || ')' END, CASE WHEN NOT sourced THEN '{quality.NO_SOURCE}' END,
+ CASE WHEN o <> '' THEN '{quality.SIDES['outbound']}' || o END, CASE WHEN i <> '' THEN '{quality.SIDES['inbound']}' || i END, CASE WHEN fare_reason IS NOT NULL THEN '{quality.FARE}' || fare_reason END) AS reasons FROM g)
+SELECT CAST(route_id AS BIGINT) AS route_id, direction, CAST(total AS BIGINT) AS total, CAST(verified AS BIGINT) AS verified, why = '' AS eligible, CASE WHEN why <> '' THEN why END AS reason, reasons = '' AS planning_ready, reasons FROM w JOIN z USING (route_id)""")
+def q_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readiness for planning of each direction and route: stops, shapes, fares, sources."""
+    key, route = F.col("c_custkey"), F.expr("c_custkey div 30")
+    rows = at(table(spark, sf_dir, "customer"), "c_custkey")
+    side = F.when(key % 2 == 0, F.lit("outbound")).otherwise(F.lit("inbound"))
+    found = rows.select(route.alias("route_id"), side.alias("direction"), key.alias("pos"), (key % 30 - F.when(key % 211 == 0, 20).otherwise(0)).alias("ord"), "lat", "lng", F.when(F.col("c_acctbal") >= 3000, F.lit("verified")).alias("status"))
+    proofs = found.select("route_id", "direction").distinct().withColumn("verified", F.col("route_id") % 9 < 8)
+    r = F.col("route_id")
+    kind = F.when(r % 4 < 2, F.lit("flat")).when(r % 4 == 2, F.lit("distance_tiered"))
+    flat = F.when((r % 4 == 0) | (r % 3 > 0), F.lit(8000)).otherwise(F.lit(-1))
+    none = F.lit(None).cast("int")
+    reason = quality.fare_reason(kind, flat, none, F.when(r % 3 == 1, F.lit(9000)).otherwise(F.lit(5000)), F.lit(8000), F.lit(None).cast("array<struct<price:double,distanceMaxKm:double>>"))
+    routes = rows.select(route.alias("route_id")).distinct().select("route_id", F.when(r % 5 == 4, F.lit("suspended")).otherwise(F.lit("active")).alias("status"), F.when(r % 7 < 6, F.lit("https://example.org")).alias("source_url"), F.lit("2024-01-01").alias("last_verified_at"), F.lit("verified").alias("verification_status"), reason.alias("fare_reason"))
+    sides = quality.direction_quality(routes, found, found.select("route_id", "direction", "lat", "lng"), proofs)
+    whole = quality.route_quality(sides)
+    return sides.join(whole, "route_id").select(long("route_id", "route_id"), "direction", long("total", "total"), long("verified", "verified"), "eligible", "reason", "planning_ready", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'retired' ELSE 'suspended' END AS status, k % 7 > 0 AS sourced, k % 5 > 0 AS verified, k % 2 = 0 AS ready FROM orders)
+SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'suspended') AS suspended, count(*) FILTER (status = 'merged') AS merged, count(*) FILTER (status = 'retired') AS retired,
+ count(*) FILTER (sourced AND verified) AS with_provenance, count(*) FILTER (verified) AS verified, count(*) FILTER (NOT verified) AS unverified, count(*) FILTER (ready) AS planning_ready, count(*) FILTER (NOT (sourced AND verified AND k % 3 > 0)) AS evidence_gaps,
+ (SELECT count(*) FROM lineitem WHERE l_linenumber = 1) AS overrides, (SELECT count(*) FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 5) AS valid_overrides, (SELECT count(*) FROM lineitem WHERE l_linenumber = 1 AND NOT l_quantity > 5) AS invalid_overrides,
+ round(100.0e0 * count(*) FILTER (sourced AND verified) / count(*), 2) AS provenance_pct, CAST(2 AS BIGINT) AS alias_conflicts, CAST(0 AS BIGINT) AS reference_issues FROM r""")
+def q_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, kind = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(kind == "O", F.lit("active")).when(kind == "F", F.lit("retired")).otherwise(F.lit("suspended"))
+    routes = table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), F.when(k % 7 > 0, F.lit("http://x")).alias("source_url"), F.lit("2024-01-01").alias("last_verified_at"), F.when(k % 5 > 0, F.lit("verified")).alias("verification_status"), (k % 2 == 0).alias("planning_ready"))
+    overrides = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.when(~(F.col("l_quantity") > 5), F.lit("reversed")).alias("problem"))
+    return quality.reconciliation(routes, k % 3 > 0, overrides, 2)
 
 
 @query("""
@@ -415,8 +527,16 @@ def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT token, CAST(count(*) AS BIGINT) AS n, min(key) AS first_key, max(key) AS last_key FROM (SELECT DISTINCT doc_id AS key, unnest(string_split(lower(text), ' ')) AS token FROM documents) WHERE len(token) BETWEEN 2 AND 30 GROUP BY token""")
 def q_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x).between(2, 30))
+    return catalog.token_counts(table(spark, sf_dir, "documents"), "doc_id", words)
+
+
+@query("""
+SELECT token, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS key_sum FROM (SELECT token, 1 AS n, key AS s FROM (SELECT DISTINCT doc_id AS key, unnest(string_split(lower(text), ' ')) AS token FROM documents) WHERE len(token) BETWEEN 4 AND 30) GROUP BY token""")
+def q_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form of the inverted index, in shards; each is sorted and holds its keys once."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x).between(4, 30))
     found = catalog.inverted_index(table(spark, sf_dir, "documents"), "doc_id", words)
-    return found.select("token", "n", F.element_at("keys", 1).alias("first_key"), F.element_at("keys", -1).alias("last_key"))
+    return found.groupBy("token").agg(F.sum(F.size("keys")).alias("n"), F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc + k)).alias("key_sum"))
 
 
 @query("SELECT name, first_at, n, CAST(row_number() OVER (ORDER BY first_at, name) AS BIGINT) AS id FROM (SELECT p_type || '|' || p_brand AS name, min(p_partkey) AS first_at, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1)")
@@ -440,6 +560,24 @@ def q_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", mail(1).alias("mail_user"), mail(2).alias("mail_host"), long(F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))), "n_numbers"))
 
 
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS z FROM part)
+SELECT k AS p_partkey, 'ben ' || k AS origin, 'cho ' || z AS destination, CAST(CASE WHEN z % 24 < 24 THEN z % 24 * 60 + 15 END AS BIGINT) AS starts, CAST(21 * 60 AS BIGINT) AS ends, CAST(CASE WHEN k % 2 = 0 THEN least(z, z + 5) ELSE z END AS BIGINT) AS low, CAST(CASE WHEN k % 2 = 0 THEN z + 5 ELSE z END AS BIGINT) AS high,
+ CASE k % 4 WHEN 0 THEN z + 0.5e0 WHEN 1 THEN round((z + z + 1) / 2.0e0, 2) WHEN 2 THEN CAST(z AS DOUBLE) END AS average, CASE k % 4 WHEN 1 THEN CAST(z AS DOUBLE) WHEN 2 THEN z + 1.0e0 END AS outbound, CASE k % 4 WHEN 1 THEN z + 1.0e0 WHEN 2 THEN z + 2.0e0 END AS inbound,
+ 'A' || z || ' - B' AS path_out, 'B - A' || z AS path_in, CAST(CASE WHEN k % 3 = 0 OR z % 10 = 8 THEN 8000 END AS BIGINT) AS single, CAST(z * 1000 AS BIGINT) AS regular FROM p""")
+def q_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a route's description, from texts made up of a part's key and size."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    s = lambda c: c.cast("string")
+    km = F.when(k % 4 == 0, F.concat(s(z), F.lit(",5 km"))).when(k % 4 == 1, F.concat(s(z), F.lit(" km và "), s(z + 1), F.lit("km"))).when(k % 4 == 2, F.concat(s(z), F.lit("km ("), s(z + 1), F.lit(" km, "), s(z + 2), F.lit(" km)"))).otherwise(F.concat(F.lit("vé lượt 5 km 8000 đồng")))
+    frequency = F.when(k % 2 == 0, F.concat(s(z + 5), F.lit(" phút - "), s(z), F.lit(" phút"))).otherwise(F.concat(s(z), F.lit(" phút/chuyến")))
+    lines = [F.concat(F.lit("Điểm đầu: ben "), s(k)), F.concat(F.lit("Điểm cuối: cho "), s(z)), F.concat(F.lit("Thời gian hoạt động: "), s(z % 24), F.lit("h15 - 21:00")), F.concat(F.lit("Tần suất chạy xe: "), frequency), F.concat(F.lit("5. Cự ly tuyến: "), km), F.concat(F.lit("+ Chiều đi: A"), s(z), F.lit(" - B STT 1")), F.concat(F.lit("+ Chiều về: B - A"), s(z)), F.concat(F.lit("Giá vé: "), F.when(k % 3 == 0, F.lit("8.000 đồng")).otherwise(F.lit("xem bảng"))), F.concat(F.lit("không ưu tiên: "), s(z), F.lit(".000 đồng"))]
+    rows = table(spark, sf_dir, "part").withColumn("text", F.concat_ws("\n", *lines))
+    t = F.col("text")
+    ends, times, gaps, far, ways, money = extract.terminals(t), extract.hours(t), extract.headways(t), extract.distances(t), extract.paths(t), extract.fares(t)
+    return rows.select("p_partkey", ends["origin"].alias("origin"), ends["destination"].alias("destination"), long(times["start"], "starts"), long(times["end"], "ends"), long(gaps["low"], "low"), long(gaps["high"], "high"), *[far[c].alias(c) for c in ("average", "outbound", "inbound")], ways["outbound"].alias("path_out"), ways["inbound"].alias("path_in"), money["single"].alias("single"), money["regular"].alias("regular"))
+
+
 @query("""
 SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1)) AS BIGINT) AS n_items, CAST(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS BIGINT) AS n_links FROM pages""")
 def q_html_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,11 +609,46 @@ def q_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(following, "p_partkey").select("p_partkey", long(F.size(F.array_intersect("words", "others")), "shared"))
 
 
-@query(None)
+SCORE = """CASE WHEN names[i] = labels[j] THEN 100 WHEN least(len(names[i]), len(labels[j])) >= 6 AND (contains(names[i], labels[j]) OR contains(labels[j], names[i])) THEN 85
+ ELSE CAST(floor(len(list_intersect(string_split(names[i], ' '), string_split(labels[j], ' '))) / greatest(len(list_distinct(string_split(names[i], ' '))), 1)::DOUBLE * 80) AS INTEGER) END"""
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT p_partkey // 40 AS k, p_partkey AS pos, lower(p_name) || ' ' || lower(p_type) || ' ' || p_size AS t FROM part),
+n AS (SELECT k, list(t ORDER BY pos) AS names, list(pos ORDER BY pos) AS name_at FROM p GROUP BY k),
+l AS (SELECT k, list(CASE WHEN pos % 5 = 0 THEN regexp_replace(t, ' [^ ]*$', '') WHEN pos % 5 = 1 THEN 'x ' || regexp_replace(t, ' [^ ]*$', '') ELSE t END ORDER BY pos) AS labels, list(pos ORDER BY pos) AS label_at FROM p WHERE pos % 3 <> 0 GROUP BY k),
+w AS (SELECT k, 0 AS i, 0 AS cur, []::INTEGER[] AS used, 0 AS j, 0 AS score FROM n JOIN l USING (k)
+ UNION ALL SELECT k, i, CASE WHEN s >= 50 THEN greatest(cur, b - 1) ELSE cur END, CASE WHEN s >= 50 THEN list_append(used, b) ELSE used END, CASE WHEN s >= 50 THEN b ELSE 0 END, s FROM (
+  SELECT k, i, cur, used, CASE WHEN len(cands) > 0 THEN list_max(scores) ELSE 0 END AS s, cands[list_position(scores, list_max(scores))] AS b FROM (
+   SELECT *, list_transform(cands, lambda j: {SCORE}) AS scores FROM (
+    SELECT w.k, w.i + 1 AS i, cur, used, names, labels, list_filter(range(greatest(0, cur - 2) + 1, least(len(labels), cur + 8) + 1), lambda x: NOT list_contains(used, x)) AS cands
+    FROM w JOIN n USING (k) JOIN l USING (k) WHERE w.i < len(names)))))
+SELECT CAST(w.k AS BIGINT) AS k, CAST(name_at[i] AS BIGINT) AS name_at, CAST(label_at[j] AS BIGINT) AS label_at, CAST(score AS BIGINT) AS score FROM w JOIN n USING (k) JOIN l USING (k) WHERE j > 0""")
 def q_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document against those of the next one, aligned greedily."""
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).select("conv_id", F.col("turn").alias("at"), "text")
-    return sequences.align_groups(rows, rows.where(F.col("at") % 3 != 0), "conv_id")
+    """Names of parts in groups of forty against labels that lack some of them, or some of their words."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("k"), key.alias("at"), F.concat_ws(" ", F.lower("p_name"), F.lower("p_type"), F.col("p_size").cast("string")).alias("text"))
+    short = F.regexp_replace("text", " [^ ]*$", "")
+    label = F.when(F.col("at") % 5 == 0, short).when(F.col("at") % 5 == 1, F.concat(F.lit("x "), short)).otherwise(F.col("text"))
+    labels = rows.where(F.col("at") % 3 != 0).select("k", "at", label.alias("text"))
+    return sequences.align_groups(rows, labels, ["k"]).select(long("k", "k"), "name_at", "label_at", "score")
+
+
+@query(f"""
+WITH {STOPS_SQL}, s AS (SELECT route, idx, lat, lng, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng FROM stops WINDOW w AS (PARTITION BY route ORDER BY idx)),
+g AS (SELECT *, 2 * 6371000.0e0 * atan2(sqrt(h), sqrt(1 - h)) AS d FROM (SELECT *, sin(radians(nlat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(nlat)) * sin(radians(nlng - lng) / 2) ** 2 AS h FROM s WHERE nlat IS NOT NULL)),
+a AS (SELECT s_suppkey AS anchor, s_suppkey % (SELECT max(route) + 1 FROM stops) AS route, {LAT.format('(s_suppkey * 11)')} AS y, {LNG.format('(s_suppkey * 11)')} AS x FROM supplier),
+n AS (SELECT anchor, route, idx, (lng - x) * 111320.0e0 * cos(radians(y)) AS x1, (lat - y) * 110540.0e0 AS y1, (nlng - x) * 111320.0e0 * cos(radians(y)) AS x2, (nlat - y) * 110540.0e0 AS y2 FROM a JOIN g USING (route)),
+t AS (SELECT *, CASE WHEN (x2 - x1) ** 2 + (y2 - y1) ** 2 = 0 THEN 0 ELSE greatest(0, least(1, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) END AS u FROM n)
+SELECT anchor, CAST(route AS BIGINT) AS route, floor(min(sqrt((x1 + u * (x2 - x1)) ** 2 + (y1 + u * (y2 - y1)) ** 2))) AS metres_off FROM t GROUP BY ALL""")
+def q_onto_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors projected onto the polyline of their route."""
+    network = stops(spark, sf_dir)
+    last = network.agg(F.max("route") + 1).first()[0] or 1
+    key = F.col("s_suppkey")
+    rows = at(table(spark, sf_dir, "supplier").select(key.alias("anchor"), (key % last).alias("route"), (key * 11).alias("p")), "p", "a_lat", "a_lng")
+    found = spatial.onto_line(rows.drop("p"), spatial.segments(network, "route", "idx"), "route", "anchor")
+    return found.select("anchor", long("route", "route"), F.floor("metres_off").cast("double").alias("metres_off"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,26 +17,73 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), number)
 
 
+#: Labels of the fields in a route's description, and words that end a path or mark a fare.
+START, END = r"(?i)Điểm đầu:\s*([^\n\r;]+)", r"(?i)Điểm cuối:\s*([^\n\r;]+)"
+HOURS = r"(?i)(?:Thời gian hoạt động|Thời gian mở tuyến|Thời gian hoạt động hàng ngày)[^:]*:\s*([^\n\r]+)"
+FREQUENCY = r"(?i)(?:Tần suất hoạt động|Tần suất chạy xe|Giãn cách chạy xe)[^:]*:\s*([^\n\r]+)"
+DISTANCE = r"(?i)(?:^|\n)\s*(?:(?:\d+\.|\b[a-z]\))\s*)?Cự ly(?!\s+di\s+chuyển)(?:\s+tuyến|\s+toàn\s+tuyến|\s*\(.*?\))?\s*:\s*([^\n\r]+)"
+FARE_WORDS = ("đồng", "hành khách", "giá vé", "vé lượt", "trở xuống", "trở lên")
+PATHS = {side: rf"(?i)(?:{label}):\s*([^\n\r]+)" for side, label in (("outbound", r"Chiều đi|\+ Chiều đi|Hành trình chạy xe:\s*Chiều đi"), ("inbound", r"Chiều về|\+ Chiều về"))}
+PATH_ENDS = ("STT", "Bảng điểm dừng", "4. Giá vé", "5. Cự ly", "b) Cự ly", "2. Điểm đầu")
+PRIORITY, REGULAR = r"(?i)ưu tiên[^:]*:\s*([\d.]+)\s*đồng", r"(?i)không ưu tiên[^:]*:\s*([\d.]+)\s*đồng"
+SINGLE = ("8.000 đồng", 8000)
+
+
+def field(text: Column, pattern: str) -> Column:
+    """What stands behind a label on its line, cleaned; empty if there is none."""
+    return cleaned(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1))
+
+
+def terminals(text: Column) -> Column:
+    """struct<origin, destination>: the labels of both ends."""
+    return F.struct(field(text, START).alias("origin"), field(text, END).alias("destination"))
+
+
 def distances(text: Column) -> Column:
-    """struct<outbound, inbound, average> of kilometres before ``km``: one number for both, two for either, the first two of more. Distances in fare phrases do not count."""
-    fare = F.lower(F.coalesce(text, F.lit(""))).rlike("giá|vé|đồng")
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(\d+(?:[.,]\d+)?)\s*km"), F.lit(1)), number)
+    """struct<average, outbound, inbound> of kilometres from the first distance line that has numbers and no words of fares; null without one.
+
+    One number is the average; two are out and back, averaged to two decimals; of three and more the first is the average and the next two are out and back.
+    """
+    lines = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DISTANCE), F.lit(1)), cleaned)
+    free = F.filter(lines, lambda x: ~F.exists(F.array(*map(F.lit, FARE_WORDS)), lambda w: F.lower(x).contains(w)))
+    kilometres = F.transform(free, lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?i)(\d+(?:[.,]\d+)?)\s*km"), F.lit(1)), number))
+    found = F.try_element_at(F.filter(kilometres, lambda n: F.size(n) > 0), F.lit(1))
     at = lambda k: F.try_element_at(found, F.lit(k))
-    out, back = at(1), F.coalesce(at(2), at(1))
-    return F.when(~fare & (F.size(found) > 0), F.struct(out.alias("outbound"), back.alias("inbound"), ((out + back) / 2).alias("average")))
+    one = lambda average, out, back: F.struct(average.cast("double").alias("average"), out.cast("double").alias("outbound"), back.cast("double").alias("inbound"))
+    none = F.lit(None)
+    return F.when(F.size(found) == 1, one(at(1), none, none)).when(F.size(found) == 2, one(F.round((at(1) + at(2)) / 2, 2), at(1), at(2))).when(F.size(found) > 2, one(at(1), at(2), at(3)))
 
 
 def hours(text: Column) -> Column:
-    """struct<start, end> in minutes of the day, from the first two times such as 5h15 or 05:15."""
-    times = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d{1,2}\s*[h:]\s*\d{2})"), F.lit(1))
-    at = lambda k: minutes_of(F.regexp_replace(F.try_element_at(times, F.lit(k)), r"\s*[h:]\s*", ":"))
+    """struct<start, end> in minutes of the day: the first two times such as 5h15 or 05:15 behind the label of operating hours; nulls unless there are two."""
+    times = F.transform(F.regexp_extract_all(field(text, HOURS), F.lit(r"(\d{1,2}[h:]\d{2})"), F.lit(1)), lambda x: F.replace(x, F.lit("h"), F.lit(":")))
+    at = lambda k: F.when(F.size(times) > 1, minutes_of(F.try_element_at(times, F.lit(k))))
     return F.struct(at(1).alias("start"), at(2).alias("end"))
 
 
 def headways(text: Column) -> Column:
-    """struct<low, high>: minutes in a text such as ``15-30 phút/chuyến``."""
-    found = numbers(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)([\d\s.,–-]+)\s*phút", 1))
-    return F.struct(F.try_element_at(found, F.lit(1)).alias("low"), F.coalesce(F.try_element_at(found, F.lit(2)), F.try_element_at(found, F.lit(1))).alias("high"))
+    """struct<low, high>: the least and greatest number of minutes behind the label of frequency, or else in brackets behind the hours."""
+    named, bracket = field(text, FREQUENCY), F.regexp_extract(field(text, HOURS), r"\(([^)]+phút[^)]*)\)", 1)
+    minutes = F.transform(F.regexp_extract_all(F.when(named != "", named).otherwise(bracket), F.lit(r"(\d+)\s*phút"), F.lit(1)), lambda x: x.try_cast("int"))
+    return F.struct(F.array_min(minutes).alias("low"), F.array_max(minutes).alias("high"))
+
+
+def paths(text: Column) -> Column:
+    """struct<outbound, inbound>: the path texts of both directions, cut where the next section begins."""
+
+    def cut(path: Column) -> Column:
+        for word in PATH_ENDS:
+            path = F.trim(F.substring_index(path, word, 1))
+        return path
+
+    return F.struct(*[cut(field(text, pattern)).alias(side) for side, pattern in PATHS.items()])
+
+
+def fares(text: Column) -> Column:
+    """struct<single, priority, regular>: the fixed single fare if the text names it, and the two monthly fares."""
+    amount = lambda pattern: F.replace(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1), F.lit("."), F.lit("")).try_cast("long")
+    single = F.when(F.coalesce(text, F.lit("")).contains(SINGLE[0]), F.lit(SINGLE[1]).cast("long"))
+    return F.struct(single.alias("single"), amount(PRIORITY).alias("priority"), amount(REGULAR).alias("regular"))
 
 
 def house_number(text: Column) -> Column:

@@ -63,3 +63,24 @@ def confidence_penalty(verified: Column, total: Column) -> Column:
 def fallback_position(key: Column) -> tuple[Column, Column]:
     """A made-up position inside the service area for tables without coordinates."""
     return F.lit(15.40) + (key * 37 % 9500) / F.lit(10000.0), F.lit(107.90) + (key * 53 % 7500) / F.lit(10000.0)
+
+
+#: Latitudes under which places lie in the southern province, and in its far south; words of streets there; names of the localities.
+SOUTH, FAR_SOUTH = 15.90, 15.65
+OLD_TOWN, FAR_TOWNS = ("hội an", "cửa đại"), ("tam kỳ", "núi thành")
+LOCALITIES = ("Hội An, Quảng Nam, Việt Nam", "Tam Kỳ, Quảng Nam, Việt Nam", "Quảng Nam, Việt Nam", "Đà Nẵng, Việt Nam")
+
+
+def locality(lat: Column, street: Column) -> Column:
+    """The name of the locality by latitude and street."""
+    words = F.lower(F.coalesce(street, F.lit("")))
+    has = lambda names: F.exists(F.array(*map(F.lit, names)), lambda n: words.contains(n))
+    south = F.when(has(OLD_TOWN), F.lit(LOCALITIES[0])).when(has(FAR_TOWNS) | (lat <= FAR_SOUTH), F.lit(LOCALITIES[1])).otherwise(F.lit(LOCALITIES[2]))
+    return F.when(F.coalesce(lat < SOUTH, F.lit(False)), south).otherwise(F.lit(LOCALITIES[3]))
+
+
+def bounds(lat: Column | str = "lat", lng: Column | str = "lng") -> list[Column]:
+    """Aggregates for the box around points: south, west, north, east; points without valid coordinates do not count."""
+    y, x = (F.col(c) if isinstance(c, str) else c for c in (lat, lng))
+    fine = valid_coordinate(y, x)
+    return [f(F.when(fine, c)).alias(n) for n, f, c in (("south", F.min, y), ("west", F.min, x), ("north", F.max, y), ("east", F.max, x))]

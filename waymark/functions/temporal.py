@@ -64,6 +64,11 @@ def state(at: Column, *, exists: Column, status: Column, is_active: Column, effe
     )
 
 
+def usable(state: Column) -> Column:
+    """Whether service runs in a state of ``state``: active ones only."""
+    return state == "active"
+
+
 def next_departure(now: Column, trips: Column, start: Column, end: Column, headway: Column, exact: Column, irregular: Column, allow_next_day: Column) -> Column:
     """struct<status, departs (minute of the day or null), wait>. ``trips`` is an array of minutes (nulls are dropped); a timetable wins over hours.
 

@@ -24,10 +24,14 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def unaccented(text: Column) -> Column:
+    """Lower case without accents; null becomes empty."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), FROM, TO), r"[\u0300-\u036f]", "")
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents and outer white space; null becomes empty."""
-    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), FROM, TO), r"[\u0300-\u036f]", "")
-    return stripped(plain)
+    return stripped(unaccented(text))
 
 
 def normalised(text: Column) -> Column:
@@ -40,17 +44,41 @@ def cleaned(text: Column) -> Column:
     return stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\u00a0\s]+", " "))
 
 
-#: Abbreviations of place names and what they stand for, as whole words.
-ABBREVIATIONS = [("bx", "bến xe"), ("bv", "bệnh viện"), ("đh", "đại học"), ("cđ", "cao đẳng"), ("ubnd", "ủy ban nhân dân"), ("kcn", "khu công nghiệp"), ("ktx", "ký túc xá"), ("tp", "thành phố"), ("đ", "đường"), ("q", "quận"), ("p", "phường"), ("tttm", "trung tâm thương mại")]
+#: Abbreviations of place names and what they stand for, in the order in which they are written out.
+ABBREVIATIONS = [
+    (r"\b(?:đ/d|d/d|đd)\b", "đối diện"),
+    (r"đ/d\s*", "đối diện "),
+    (r"\bbxb\b", "bến xe buýt"),
+    (r"\bbx\b", "bến xe"),
+    (r"\bbv\b", "bệnh viện"),
+    (r"\bcv\b", "công viên"),
+    (r"\btthc\b", "trung tâm hành chính"),
+    (r"\btt\b", "trung tâm"),
+    (r"\bđh\b", "đại học"),
+    (r"\bcđ\b", "cao đẳng"),
+    (r"\bthpt\b", "trung học phổ thông"),
+    (r"\bthcs\b", "trung học cơ sở"),
+]
 
 
 def expanded(text: Column) -> Column:
-    """Abbreviations written out, digits apart from letters, then normalised."""
-    out = normalised(text)
+    """Lower case, digits apart from letters, abbreviations written out, marks as spaces, single spaces."""
+    out = stripped(F.lower(F.coalesce(text, F.lit(""))))
+    out = F.regexp_replace(F.regexp_replace(out, r"(\d+)(\p{L})", "$1 $2"), r"(\p{L})(\d+)", "$1 $2")
     for short, long in ABBREVIATIONS:
-        out = F.regexp_replace(out, rf"(?U)\b{short}\b", long)
-    out = F.regexp_replace(F.regexp_replace(out, r"(?U)(\d)(\p{L})", "$1 $2"), r"(?U)(\p{L})(\d)", "$1 $2")
-    return F.regexp_replace(out, r"\s+", " ")
+        out = F.regexp_replace(out, f"(?U){short}", long)
+    return stripped(F.regexp_replace(F.regexp_replace(out, r"""[-–—/.,;:()"“”]""", " "), r"(?U)\s+", " "))
+
+
+def plain_name(text: Column) -> Column:
+    """Lower case with the marks of addresses as spaces and single spaces; accents and other marks stay."""
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(F.lower(F.coalesce(text, F.lit("")))), r"[,.\-/()–—:;\n\r]", " "), r"(?U)\s+", " "))
+
+
+def hours_text(start: Column, end: Column) -> Column:
+    """Operating hours as HH:mm - HH:mm from texts such as 5:15; an unreadable end is left as it stands, and without both there is a fixed text."""
+    padded = lambda x: F.when(x.rlike(r"^\d{1,2}:\d{1,2}$"), F.concat_ws(":", *[F.lpad(F.split(x, ":")[k], 2, "0") for k in (0, 1)])).otherwise(x)
+    return F.when((start != "") & (end != ""), F.concat_ws(" - ", padded(start), padded(end))).otherwise(F.lit("Đang cập nhật"))
 
 
 def path_names(path: Column, least: int = 2, most: int = 60) -> Column:

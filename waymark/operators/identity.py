@@ -47,8 +47,36 @@ def successors(starts: DataFrame, links: DataFrame, most: int = MAX_HOPS) -> Dat
 
 
 def collisions(codes: DataFrame) -> DataFrame:
-    """Codes (code, id) that more than one id owns, with their owners in order."""
-    return codes.where(F.col("code").isNotNull()).groupBy("code").agg(F.count_distinct("id").alias("n_owners"), F.array_sort(F.collect_set("id")).alias("owners")).where(F.col("n_owners") > 1)
+    """Codes (code, id) that more than one id owns: n_owners, first_owner and last_owner. Owners are counted as distinct rows, so a common code gathers no list."""
+    once = codes.where(F.col("code").isNotNull()).select("code", "id").distinct()
+    return once.groupBy("code").agg(F.count("*").alias("n_owners"), F.min("id").alias("first_owner"), F.max("id").alias("last_owner")).where(F.col("n_owners") > 1)
+
+
+def owners(codes: DataFrame) -> DataFrame:
+    """The rows (code, id) of codes that more than one id owns."""
+    once = codes.where(F.col("code").isNotNull()).select("code", "id").distinct()
+    return once.join(collisions(codes).select("code"), "code", "left_semi")
+
+
+#: The issues that ``audit`` reports.
+ISSUES = ("missing_id", "duplicate_id", "broken_reference", "reference_cycle")
+
+
+def audit(records: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
+    """issue, kind (of link, or null) and id of every fault: rows without an id, ids that occur twice, links to unknown ids, and ids that a chain of one kind of link leads back to.
+
+    ``records`` has id; each table of links has id and next. Each kind of link is followed by itself, so a merger after a replacement is no cycle.
+    """
+    fault = lambda rows, issue, kind=None: rows.select(F.lit(issue).alias("issue"), F.lit(kind).cast("string").alias("kind"), F.col("id").cast("string").alias("id"))
+    known = records.where(F.col("id").isNotNull())
+    found = [fault(records.where(F.col("id").isNull()), ISSUES[0]), fault(known.groupBy("id").count().where("count > 1"), ISSUES[1])]
+    ids = known.select(F.col("id").alias("known")).distinct()
+    for kind, table in links.items():
+        given = table.where(F.col("next").isNotNull())
+        found.append(fault(given.join(ids, F.col("next") == F.col("known"), "left_anti"), ISSUES[2], kind))
+        whole = known.select("id").distinct().join(given.select("id", "next").distinct(), "id", "left")
+        found.append(fault(successors(whole.select("id").distinct(), whole).where("status = 'cycle_detected'").select(F.col("start").alias("id")), ISSUES[3], kind))
+    return reduce(DataFrame.unionByName, found)
 
 
 def broken_references(links: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, unaccented
 
 
 def checked_query(origin: Column, destination: Column, placeholders: tuple[str, ...] = ()) -> Column:
@@ -49,3 +49,88 @@ def first_filled(sources: list[DataFrame], keys: list[str]) -> DataFrame:
         ranked = ranked.unionByName(source.withColumn("source_rank", F.lit(number)))
     best = F.min("source_rank").over(Window.partitionBy(*keys))
     return ranked.withColumn("best_rank", best).where(F.col("source_rank") == F.col("best_rank")).drop("source_rank", "best_rank")
+
+
+#: What a folded query that holds the first text (or equals one of the second) stands for as well. The first entry that fits counts.
+SYNONYMS = [
+    (("pho co hoi an",), ("hoi an",), ("pho co hoi an", "hoi an")),
+    (("ben xe tt", "ben xe trung tam"), (), ("ben xe tt", "ben xe trung tam")),
+    (("cau rong",), (), ("cau rong",)),
+    (("cua dai",), (), ("cua dai",)),
+    (("san bay",), (), ("san bay",)),
+    (("ba na",), (), ("ba na",)),
+    (("ngu hanh son",), (), ("ngu hanh son",)),
+    (("phu san nhi",), (), ("phu san nhi",)),
+]
+#: Texts that one expression is made of at most; longer lists of queries are matched in blocks of so many.
+MAX_QUERIES = 2_000
+
+
+def query_tokens(query: Column) -> Column:
+    """The folded query and its synonyms, distinct, of two characters at least."""
+    q = fold(query)
+    more = F.array().cast("array<string>")
+    for parts, equals, tokens in reversed(SYNONYMS):
+        fits = F.lit(False)
+        for x in parts:
+            fits = fits | q.contains(F.lit(x))
+        for x in equals:
+            fits = fits | (q == x)
+        more = F.when(fits, F.array(*map(F.lit, tokens))).otherwise(more)
+    return F.filter(F.array_distinct(F.concat(F.array(q), more)), lambda t: F.length(t) >= 2)
+
+
+def stop_matches(tokens: Column, name: Column, street: Column, display: Column, is_first: Column, is_last: Column, start: Column, end: Column) -> Column:
+    """Whether a stop fits a query's tokens: a token in its texts, its name of three characters or more in a token, or at an end of the line a token in that terminal's label.
+
+    ``start`` and ``end`` are the labels of the terminals in the direction of travel (origin and destination outbound, the other way round inbound).
+    """
+    n = fold(name)
+    whole = F.concat_ws(" ", n, fold(street), fold(display))
+    by_name = F.exists(tokens, lambda t: whole.contains(t) | ((F.length(n) >= 3) & t.contains(n)))
+    at = lambda flag, label: F.coalesce(flag, F.lit(False)) & F.exists(tokens, lambda t: fold(label).contains(t))
+    return by_name | at(is_first, start) | at(is_last, end)
+
+
+def token_hits(rows: DataFrame, asked: list[tuple[int, str]], matches) -> DataFrame:
+    """The rows with query_id for each of the few ``asked`` (id, token) that ``matches(token)`` holds for; one scan for each block of MAX_QUERIES."""
+    out = None
+    for k in range(0, max(len(asked), 1), MAX_QUERIES):
+        block = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("token")) for i, t in asked[k : k + MAX_QUERIES] if len(t) >= 2])
+        if not [t for _, t in asked[k : k + MAX_QUERIES] if len(t) >= 2]:
+            found = rows.withColumn("query_id", F.lit(0)).where(F.lit(False))
+        else:
+            found = rows.withColumn("hit", F.explode(F.filter(block, lambda x: matches(x["token"])))).withColumn("query_id", F.col("hit.query_id")).drop("hit")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether a text, folded once, holds one of the folded words."""
+    return unaccented(text).rlike("|".join(r"\Q" + w.replace(r"\E", "") + r"\E" for w in words))
+
+
+def first_matches(rows: DataFrame, query: str, ordinal: str, columns: list[str], when_empty: int = 30, limit: int = 50) -> DataFrame:
+    """The first rows in source order of which a column holds the folded query, ``limit`` at most; the first ``when_empty`` for an empty query."""
+    found = contains_folded(rows, columns, query)
+    return found.orderBy(ordinal).limit(limit if query.strip() else when_empty)
+
+
+#: Fixed value: degrees within which two places are the same stop.
+SAME_DEGREES = 0.0001
+
+
+def same_stops(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs of verified stops (stop_id, name, lat, lng, status) and places (place_id, name, lat, lng) that have one name, or coordinates less than SAME_DEGREES apart.
+
+    Two equi-joins: on names, and on cells of twice that width, of which a place stands in its own and the neighbours.
+    """
+    s = stops.where(F.col("status") == "verified").select("stop_id", F.col("name").alias("s_name"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
+    p = places.select("place_id", F.col("name").alias("p_name"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    by_name = s.join(p, (F.col("s_name") == F.col("p_name")) & (F.col("s_name") != "")).select("stop_id", "place_id")
+    cell = lambda c: F.floor(F.col(c) / (2 * SAME_DEGREES))
+    steps = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
+    cells = p.where(F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull()).withColumn("step", F.explode(steps)).withColumn("y", cell("p_lat") + F.col("step.y")).withColumn("x", cell("p_lng") + F.col("step.x"))
+    near = (F.abs(F.col("s_lat") - F.col("p_lat")) < SAME_DEGREES) & (F.abs(F.col("s_lng") - F.col("p_lng")) < SAME_DEGREES)
+    by_place = s.withColumn("y", cell("s_lat")).withColumn("x", cell("s_lng")).join(cells, ["y", "x"]).where(near).select("stop_id", "place_id")
+    return by_name.unionByName(by_place).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the alignment: words that carry no meaning, window around the last match, least score.
-STOP_WORDS = ("bến", "xe", "trạm", "đường", "số", "nhà")
+STOP_WORDS = ("số", "đối", "diện", "đường", "bến", "xe")
 BACK, AHEAD, LEAST_SCORE = 2, 8, 50
 
 
@@ -46,43 +46,105 @@ def gap_clusters(rows: DataFrame, keys: list[str], at: Column, gap: float) -> Da
     return rows.withColumn("cluster", F.sum("gap_fresh").over(by.rangeBetween(Window.unboundedPreceding, 0))).drop("gap_at", "gap_fresh")
 
 
-def score(label: str, name: str) -> int:
-    """100 for equal texts, 85 if one of at least 6 characters is in the other, else 80 times the share of the name's words that the label has."""
+def with_ends(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Add is_first and is_last: whether the row has the least or the greatest place of its keys."""
+    ends = rows.groupBy(*keys).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    return rows.join(ends, keys).withColumn("is_first", F.col(at) == F.col("first_at")).withColumn("is_last", F.col(at) == F.col("last_at")).drop("first_at", "last_at")
+
+
+#: Fixed values of labels beside a line: those further left do not count; where the upper side ends; the gap between labels.
+LABELS_FROM, UPPER_TO, LABEL_GAP = 400.0, 218.0, 12.0
+
+
+def ray_labels(items: DataFrame, keys: list[str], split: float = UPPER_TO) -> DataFrame:
+    """keys, side (upper or lower), mean_left and label of the labels that pieces of text (left, top, text) make up.
+
+    Pieces belong together while the gaps of ``left + top`` are LABEL_GAP at most; they are joined by ``left``, without the numbers of transfer lines before them. Labels
+    of one character, and bare numbers, do not count.
+    """
+    rows = items.where(F.col("left") >= LABELS_FROM).withColumn("side", F.when(F.col("top") < split, F.lit("upper")).otherwise(F.lit("lower")))
+    rows = gap_clusters(rows, [*keys, "side"], F.col("left") + F.col("top"), LABEL_GAP)
+    parts = F.array_sort(F.collect_list(F.struct("left", "top", "text")))
+    found = rows.groupBy(*keys, "side", "cluster").agg(F.avg("left").alias("mean_left"), parts.alias("parts"))
+    label = F.regexp_replace(F.trim(F.array_join(F.col("parts.text"), "")), r"^(?:(?:0[1-9]|[12][0-9])\s*)+", "")
+    found = found.withColumn("label", label).where((F.length("label") > 1) & ~F.col("label").rlike(r"^\d{1,2}$"))
+    return found.select(*keys, "side", "mean_left", "label")
+
+
+def score(name: str, label: str) -> int:
+    """100 for equal texts, 85 if one is in the other and both have at least 6 characters, else 80 times the share of the name's words that the label has."""
     if label == name:
         return 100
     if min(len(label), len(name)) >= 6 and (label in name or name in label):
         return 85
     own, other = ({w for w in x.split() if w not in STOP_WORDS} for x in (name, label))
-    return int(80 * len(own & other) / max(len(own), 1))
+    return int(len(own & other) / max(len(own), 1) * 80)
+
 
+def align(names: list[str], labels: list[str], terminals: set[int] = frozenset()) -> list[tuple[int, int, int]]:
+    """(name, label, score) in the order of names, greedily: the best label not yet used, BACK places before the last match to AHEAD after it; the first among equals.
 
-def align(labels: list[str], names: list[str]) -> list[tuple[int, int, int]]:
-    """(label, name, score) in the order of labels, greedily: equal ends first, then the best unused name near the last match."""
+    Names in ``terminals`` are known by other evidence: they take no label and appear with label -1 and score 100.
+    """
     found, used, at = [], set(), 0
-    for i, label in enumerate(labels):
-        end = {0: 0, len(labels) - 1: len(names) - 1}.get(i)
-        if end is not None and names and end not in used and label == names[end]:
-            best, points = end, 100
-        else:
-            best, points = -1, LEAST_SCORE - 1
-            for j in range(max(0, at - BACK), min(len(names), at + AHEAD)):
-                if j not in used and (s := score(label, names[j])) > points:
-                    best, points = j, s
-        if best >= 0:
+    for i, name in enumerate(names):
+        if i in terminals:
+            found.append((i, -1, 100))
+            continue
+        best, points = -1, 0
+        for j in range(max(0, at - BACK), min(len(labels), at + AHEAD)):
+            if j not in used and (s := score(name, labels[j])) > points:
+                best, points = j, s
+        if best >= 0 and points >= LEAST_SCORE:
             used.add(best)
             found.append((i, best, points))
             at = max(at, best)
     return found
 
 
-def align_groups(labels: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Greedy alignment of each key's labels (``at``, ``text``) with its names (``at``, ``text``). A key is one route's direction, so groups are small."""
-    both = labels.select(key, F.lit(0).alias("side"), "at", "text").unionByName(names.select(key, F.lit(1).alias("side"), "at", "text"))
+def align_groups(names: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, name_at, label_at and score of the greedy alignment of each group's names with its labels. A group is one direction of a line, so it is small.
+
+    Both have ``at`` (whole numbers, the order of a side) and ``text``, already normalised; names may have ``terminal``, a flag for those known by other evidence.
+    """
+    flag = F.coalesce(F.col("terminal"), F.lit(False)) if "terminal" in names.columns else F.lit(False)
+    n = names.select(*keys, F.lit(0).alias("side"), F.col("at").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"), flag.alias("terminal"))
+    both = n.unionByName(labels.select(*keys, F.lit(1).alias("side"), F.col("at").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("terminal")))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["side"] == s].sort_values("at")["text"].fillna("").tolist() for s in (0, 1)]
-        rows = align(*sides)
-        return pd.DataFrame({key: [group[key].iloc[0]] * len(rows), "label_at": [r[0] for r in rows], "name_at": [r[1] for r in rows], "score": [r[2] for r in rows]})
+        a, b = (group[group["side"] == s].sort_values(["at", "text"]) for s in (0, 1))
+        rows = align(a["text"].tolist(), b["text"].tolist(), {i for i, t in enumerate(a["terminal"]) if t})
+        out = {k: [group[k].iloc[0]] * len(rows) for k in keys}
+        at = lambda side, i: None if i < 0 else side["at"].iloc[i]
+        return pd.DataFrame(out | {"name_at": [at(a, r[0]) for r in rows], "label_at": pd.array([at(b, r[1]) for r in rows], dtype="Int64"), "score": [r[2] for r in rows]})
+
+    kinds = dict(names.dtypes)
+    return both.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", name_at long, label_at long, score long")
 
-    return both.groupBy(key).applyInPandas(run, f"{key} {dict(labels.dtypes)[key]}, label_at long, name_at long, score long")
 
+#: Fixed value: how far a label may stand before the one of the stop before it.
+POSITION_SLACK = 50.0
+
+
+def alignment_report(names: DataFrame, labels: DataFrame, found: DataFrame, keys: list[str], falling: Column | None = None) -> DataFrame:
+    """For each group: n_labels, n_names, n_aligned, rate in per cent, inversions, is_monotone, and the places of names and labels without a partner.
+
+    ``labels`` has ``position``, the place along the drawing, and ``names`` may have it for terminals; ``falling``, a condition on the keys, tells groups whose positions fall.
+    """
+    place = labels.select(*keys, F.col("at").alias("label_at"), F.col("position").alias("label_position"))
+    known = names.select(*keys, F.col("at").alias("name_at"), (F.col("position") if "position" in names.columns else F.lit(None).cast("double")).alias("name_position"))
+    matched = found.join(place, [*keys, "label_at"], "left").join(known, [*keys, "name_at"], "left").withColumn("position", F.coalesce("label_position", "name_position"))
+    turned = inversions(matched.where(F.col("position").isNotNull()), keys, "name_at", "position", POSITION_SLACK, falling).groupBy(*keys).agg(F.count("*").alias("inversions"))
+    counts = [
+        labels.groupBy(*keys).agg(F.count("*").alias("n_labels")),
+        found.groupBy(*keys).agg(F.count("*").alias("n_aligned")),
+        turned,
+        names.join(found.select(*keys, F.col("name_at").alias("at")), [*keys, "at"], "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("unmatched_names")),
+        labels.join(found.select(*keys, F.col("label_at").alias("at")), [*keys, "at"], "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("unmatched_labels")),
+    ]
+    out = names.groupBy(*keys).agg(F.count("*").alias("n_names"))
+    for c in counts:
+        out = out.join(c, keys, "left")
+    out = out.na.fill(0, ["n_labels", "n_aligned", "inversions"])
+    none = F.array().cast("array<long>")
+    return out.withColumn("rate", F.round(F.col("n_aligned") * 100.0 / F.col("n_names"), 1)).withColumn("is_monotone", F.col("inversions") == 0).withColumn("unmatched_names", F.coalesce("unmatched_names", none)).withColumn("unmatched_labels", F.coalesce("unmatched_labels", none))

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import valid_coordinate
 from ..functions.text import fold
 from ..operators.search import first_filled, one_per_point, text_score
 
 #: Most results, scores of stops whose name starts with or holds the query.
 RESULTS, STOP_PREFIX, STOP_PART = 8, 90, 60
+#: Queries of one search.
+MAX_QUERIES = 10_000
 
 
 def search(queries: DataFrame, points: DataFrame, stops: DataFrame, limit: int = RESULTS) -> DataFrame:
     """The best places for each query (query_id, query): points (place_id, name, address, keywords, lat, lng, ordinal), then verified stops of the same form without keywords.
 
-    Queries are few and are matched against all places; folded queries under two characters find nothing.
+    Queries are matched against all places; folded queries under two characters find nothing. They are broadcast only if they are MAX_QUERIES at most; more
+    of them are a mistake, as no index serves a search for parts of names.
     """
     asked = queries.select("query_id", fold(F.col("query")).alias("q")).where(F.length("q") >= 2)
+    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries at once")
     p = points.select("place_id", "lat", "lng", F.col("ordinal").cast("long").alias("ordinal"), fold(F.col("name")).alias("name"), fold(F.col("address")).alias("address"), F.transform(F.coalesce("keywords", F.array().cast("array<string>")), fold).alias("keys"))
     touches = F.exists("keys", lambda k: k.contains(F.col("q")) | F.col("q").contains(k))
     hit = F.col("name").contains(F.col("q")) | F.col("address").contains(F.col("q")) | touches
@@ -32,3 +38,71 @@ def search(queries: DataFrame, points: DataFrame, stops: DataFrame, limit: int =
 def federated(remote: DataFrame, local: DataFrame) -> DataFrame:
     """Remote results of each query, or local ones where the remote source has none."""
     return first_filled([remote, local], ["query_id"])
+
+
+def remembered(queries: DataFrame, memory: DataFrame, answer) -> DataFrame:
+    """Results of queries (query_id, query): those that ``memory`` (query, with the columns of a result) holds for the trimmed text, and ``answer(rest)`` for the others."""
+    asked = queries.withColumn("key", F.trim("query"))
+    known = asked.join(memory.withColumnRenamed("query", "key"), "key").drop("key", "query")
+    rest = asked.join(memory.select(F.col("query").alias("key")).distinct(), "key", "left_anti").drop("key")
+    return known.unionByName(answer(rest))
+
+
+def newest(answers: DataFrame, sequence: str, keys: list[str]) -> DataFrame:
+    """The answers of the greatest sequence number of each key; those of earlier requests are stale."""
+    last = F.max(sequence).over(Window.partitionBy(*keys))
+    return answers.withColumn("newest", last).where(F.col(sequence) == F.col("newest")).drop("newest")
+
+
+#: What a resolved place is.
+PLACE = ["display_name", "address", "lat", "lng", "provider", "type"]
+
+
+def resolved(items: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:
+    """A place for each item (item_id, place_id, provider, display_name, lat, lng), or nulls.
+
+    Its own valid coordinates come first. A remote item takes the remote details (place_id, lat, lng) if they are valid, else the local point (place_id, display_name, lat, lng,
+    ordinal) of the same id or name; another item takes the local point of its id. Coordinates are never half there.
+    """
+    own = valid_coordinate(F.col("lat"), F.col("lng"))
+    far = remote.where(valid_coordinate(F.col("lat"), F.col("lng"))).select(F.col("place_id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).dropDuplicates(["r_id"])
+    good = local.where(valid_coordinate(F.col("lat"), F.col("lng")))
+    first = lambda c, names: good.where(c.isNotNull() & (c != "")).groupBy(c.alias(names)).agg(F.min_by(F.struct("lat", "lng", "display_name", "ordinal"), "ordinal").alias(f"{names}_p"))
+    rows = items.join(far, F.col("place_id") == F.col("r_id"), "left").join(first(F.col("place_id"), "l_id"), F.col("place_id") == F.col("l_id"), "left")
+    rows = rows.join(first(F.lower("display_name"), "l_name"), F.lower(items["display_name"]) == F.col("l_name"), "left")
+    is_remote = F.coalesce(F.col("provider") == "remote", F.lit(False))
+    by_name = F.when(is_remote, F.col("l_name_p"))
+    named = F.when(F.col("l_id_p").isNotNull() & (by_name.isNull() | (F.col("l_id_p.ordinal") <= F.col("l_name_p.ordinal"))), F.col("l_id_p")).otherwise(by_name)
+    lat = F.when(own, F.col("lat")).when(is_remote & F.col("r_lat").isNotNull(), F.col("r_lat")).otherwise(named["lat"])
+    lng = F.when(own, F.col("lng")).when(is_remote & F.col("r_lng").isNotNull(), F.col("r_lng")).otherwise(named["lng"])
+    return rows.select("item_id", F.coalesce(F.col("display_name"), named["display_name"]).alias("display_name"), lat.alias("lat"), lng.alias("lng"))
+
+
+#: Names of a place without a label.
+HERE, PIN = "Vị trí đã chọn", "Ghim trên bản đồ"
+
+
+def from_position(lat: Column, lng: Column, name: Column | None = None, pin: bool = False) -> Column:
+    """A place (struct) from coordinates: a device's position or a pin on the map. The address is the name and nothing more; a pin without valid numbers is null."""
+    text = F.format_string(f"{PIN} (%.4f, %.4f)", lat.cast("double"), lng.cast("double")) if pin else F.lit(HERE)
+    shown = text if name is None else F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(text)
+    values = {"display_name": shown, "address": shown, "lat": lat, "lng": lng, "provider": F.lit("map_pin" if pin else "gps"), "type": F.lit("pin" if pin else "gps")}
+    place = F.struct(*[values[c].alias(c) for c in PLACE])
+    return F.when(lat.isNotNull() & lng.isNotNull() & ~F.isnan(lat) & ~F.isnan(lng), place) if pin else place
+
+
+def looked_up(queries: DataFrame, points: DataFrame, stops: DataFrame) -> DataFrame:
+    """The place that a text names (query_id, query): the first point by ordinal, else the first verified stop; either text may hold the other. Short texts name none.
+
+    ``points`` and ``stops`` as in ``search``; stops have a status.
+    """
+    asked = queries.select("query_id", fold(F.col("query")).alias("q")).where(F.length("q") >= 2)
+    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries at once")
+    p = points.select("place_id", "lat", "lng", F.lit(0).alias("tier"), F.col("ordinal").cast("long").alias("ordinal"), fold(F.col("name")).alias("name"), fold(F.col("address")).alias("address"), F.transform(F.coalesce("keywords", F.array().cast("array<string>")), fold).alias("keys"))
+    usable = stops.where((F.col("status") == "verified") & (F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lng", F.lit(0.0)) != 0))
+    s = usable.select("place_id", "lat", "lng", F.lit(1).alias("tier"), F.col("ordinal").cast("long").alias("ordinal"), fold(F.col("name")).alias("name"), F.lit("").alias("address"), F.array().cast("array<string>").alias("keys"))
+    either = lambda x: x.contains(F.col("q")) | F.col("q").contains(x)
+    hit = either(F.col("name")) | ((F.col("address") != "") & F.col("address").contains(F.col("q"))) | F.exists("keys", either)
+    hits = p.unionByName(s).join(F.broadcast(asked), hit)
+    return hits.groupBy("query_id").agg(F.min_by(F.struct("place_id", "lat", "lng", "tier"), F.struct("tier", "ordinal", "place_id")).alias("best")).select("query_id", "best.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,34 @@ def patched(rows: DataFrame, patches: DataFrame, key: str, values: list[str]) ->
     return joined.select(*[F.when(F.col("patch_key").isNotNull(), F.col(f"patch_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns])
 
 
-def publish(rows: DataFrame, path: str, how: str = "parquet", partitions: list[str] | None = None) -> None:
-    """Write a table anew; readers see the old or the new one by the commit of Spark's writer."""
-    writer = rows.write.mode("overwrite").format(how)
-    (writer.partitionBy(*partitions) if partitions else writer).save(path)
+#: The file that names the current version of a published table.
+POINTER = "CURRENT"
+
+
+def publish(rows: DataFrame, path: str, how: str = "parquet", partitions: list[str] | None = None) -> str:
+    """Write a table as a new version under ``path`` and then move the pointer to it in one rename. Readers of ``published`` see the old version or the new one, whole."""
+    spark = rows.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    writer = rows.write.format(how)
+    (writer.partitionBy(*partitions) if partitions else writer).save(f"{path}/{version}")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    draft, pointer = hadoop.Path(f"{path}/_{version}"), hadoop.Path(f"{path}/{POINTER}")
+    out = draft.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.toUri(), conf).rename(draft, pointer, options)
+    return version
+
+
+def published(spark: SparkSession, path: str, how: str = "parquet") -> DataFrame:
+    """The current version of a published table."""
+    version = spark.read.text(f"{path}/{POINTER}").first()["value"]
+    return spark.read.format(how).load(f"{path}/{version}")
+
+
+def constants(spark: SparkSession, name: str, rows: list[tuple]) -> DataFrame:
+    """A small relation of fixed rows with the schema of a catalog's document, such as places of interest or popular destinations."""
+    return spark.createDataFrame(rows, SCHEMAS[name])
