@@ -14,7 +14,7 @@ share of label 1 (0.5 if there is none); other columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,29 +71,35 @@ def bucketed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (hashed % U64(BUCKETS)).astype(np.int64), np.searchsorted(begin, bounds)
 
 
+def context_sums(slices: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(context sums, word counts) of all buckets over slices of texts."""
+    index = index_vectors().astype(np.int8)
+    total, seen = np.zeros((BUCKETS, DIM), dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for texts in slices:
+        b, first = bucketed(texts)
+        if not len(b):
+            continue
+        # rows of zeros between texts keep their words apart; sums of four entries of MARKS at most fit 8 bits
+        at = np.arange(len(b)) + REACH * np.repeat(np.arange(len(texts)), np.diff(first))
+        own = np.zeros((len(b) + REACH * len(texts), DIM), dtype=np.int8)
+        own[at] = index[b]
+        around = np.zeros_like(own)
+        for k in range(1, REACH + 1):
+            around[k:] += own[:-k]
+            around[:-k] += own[k:]
+        order = np.argsort(b.astype(np.uint16), kind="stable")
+        ranked = b[order]
+        begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        total[ranked[begin]] += np.add.reduceat(around[at[order]], begin, axis=0, dtype=np.int32)
+        seen += np.bincount(b, minlength=BUCKETS)
+    return total, seen
+
+
 def context_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(context sums, word counts) of all buckets, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors().astype(np.int8)
-        total, seen = np.zeros((BUCKETS, DIM), dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-        for _, texts in text_chunks(batches):
-            b, first = bucketed(texts)
-            if not len(b):
-                continue
-            # rows of zeros between texts keep their words apart; sums of four entries of MARKS at most fit 8 bits
-            at = np.arange(len(b)) + REACH * np.repeat(np.arange(len(texts)), np.diff(first))
-            own = np.zeros((len(b) + REACH * len(texts), DIM), dtype=np.int8)
-            own[at] = index[b]
-            around = np.zeros_like(own)
-            for k in range(1, REACH + 1):
-                around[k:] += own[:-k]
-                around[:-k] += own[k:]
-            order = np.argsort(b.astype(np.uint16), kind="stable")
-            ranked = b[order]
-            begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            total[ranked[begin]] += np.add.reduceat(around[at[order]], begin, axis=0, dtype=np.int32)
-            seen += np.bincount(b, minlength=BUCKETS)
+        total, seen = context_sums(texts for _, texts in text_chunks(batches))
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used]), *[pa.array(total[used, k]) for k in range(DIM)]], names=["bucket", "seen", *[f"v{k}" for k in range(DIM)]])
 

@@ -152,6 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     return {"w": (w * slope).astype(np.float32), "b": b * slope + offset}
 
 
+def probabilities(words: Words, model: dict) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features(words) @ model["w"] + model["b"], -30, 30)))
+
+
 def judge(docs: DataFrame, model: dict | None, keep_columns: list[str] | None = None, keep_at: float = KEEP_AT) -> DataFrame:
     """One row per document: ``keep_columns`` of the input (all by default), the statistics, base_failed, probability and kept.
 
@@ -169,7 +173,7 @@ def judge(docs: DataFrame, model: dict | None, keep_columns: list[str] | None =
             words = split_words(texts, *code_points(texts))
             stats = statistics(texts, words)
             failed = (stats[0] < MIN_WORDS) | (100 * stats[4] > MAX_REPEAT_PERCENT * stats[0])
-            p = 1 / (1 + np.exp(-np.clip(features(words) @ m["w"] + m["b"], -30, 30))) if m else np.ones(len(texts))
+            p = probabilities(words, m) if m else np.ones(len(texts))
             out = [column(batch, n) for n in names] + [pa.array(s, pa.int64()) for s in stats]
             out += [pa.array(failed), pa.array(p.astype(np.float64)), pa.array(~failed & (p >= keep_at))]
             yield pa.RecordBatch.from_arrays(out, names=[*names, *ADDED])
