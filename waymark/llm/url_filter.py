@@ -1,10 +1,13 @@
 """URL filters: fixed rules first, then a path-template tree for each host, judged by smoothed labelled purity.
 
-Path segments become shapes (digits become ``#``), at most DEPTH of them and ``**`` for more. Pages are counted by host and shapes at once, so a hot host
-becomes its few templates before anything is joined. Going down the tree, a place of a host with more than MAX_CHILDREN different segments is
-generalised to ``*``. Branches of a host's root are merged if neighbours (ordered by share of blocked pages) differ neither in
-labels (two-proportion z under Z_SAME) nor in what hangs below them (total variation of at most SHAPE_SAME). A template's purity is its share of
-blocked labelled pages, smoothed by SMOOTHING pages of the overall share; templates of REJECT_AT or more are rejected. Labels are the verdicts of the rules.
+Path segments become shapes (digits become ``#``). Pages are counted by host and shapes at once, so a hot host becomes its few different paths before anything
+is joined. The tree grows from the root down, a level at a time, as tables of nodes: below a node with more than MAX_CHILDREN different segments
+those that are rare (see ``kept``) become ``*``; then siblings, ordered by share of blocked pages, are merged with the one before them if both have labelled
+pages, their labels do not differ (two-proportion z under Z_SAME) and neither does what hangs below them (a two-sample chi-squared of the next
+segments, which takes the counts into account). A merged branch is one node for the levels below. A branch without labelled pages never merges, so it is
+not rejected for its neighbours. Generalising goes on to LEVELS levels; deeper segments stay as they are. A template is a whole path of the tree; its
+purity is its share of blocked labelled pages, smoothed by SMOOTHING pages of the overall share. Templates of REJECT_AT or more are rejected.
+Labels are the verdicts of the rules.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; null ids are carried; repeated rows are pages like others; without
 any labelled page nothing is rejected; an empty table gives an empty result; other columns do not matter. Rules are configuration: at most
@@ -16,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Fixed rules: verdict, host, path.
 RULES = [
     ("allow", "com", "/"),
@@ -25,11 +30,11 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 MAX_RULES = 500
-DEPTH, MAX_CHILDREN = 3, 8
-Z_SAME, SHAPE_SAME = 1.96, 0.25
+#: Levels that are generalised; children that a node may have before rare ones become ``*``; pages and share (one in so many) that keep a child apart.
+LEVELS, MAX_CHILDREN, MIN_PAGES, MIN_SHARE = 16, 8, 5, 50
+Z_SAME = 1.96
 SMOOTHING, REJECT_AT = 5.0, 0.7
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LEVELS = [f"s{k}" for k in range(1, DEPTH + 1)]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -51,80 +56,113 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 
 
 def shaped(pages: DataFrame) -> DataFrame:
-    """Add s1, s2, ...: the shapes of the path's segments, empty where the path is shorter."""
+    """Add shapes: the path's segments without empty ones, runs of digits as ``#``, joined by slashes."""
     parts = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "#"))
-    pages = pages.withColumn("parts", parts)
-    at = lambda k: F.coalesce(F.try_element_at("parts", F.lit(k)), F.lit(""))
-    for k, name in enumerate(LEVELS, 1):
-        pages = pages.withColumn(name, at(k) if k < DEPTH else F.when(F.size("parts") > DEPTH, F.lit("**")).otherwise(at(k)))
-    return pages.drop("parts")
-
-
-def generalised(counts: DataFrame) -> DataFrame:
-    """Add g1, g2, ... to the counts by host and shapes: shapes, or ``*`` below a place with too many of them."""
-    above = ["host"]
-    for level in LEVELS:
-        name = level.replace("s", "g")
-        wide = counts.where(F.col(level) != "").select(*above, level).distinct().groupBy(*above).agg(F.count("*").alias("kinds")).where(F.col("kinds") > MAX_CHILDREN)
-        counts = counts.join(wide, above, "left").withColumn(name, F.when(F.col("kinds").isNotNull() & (F.col(level) != ""), F.lit("*")).otherwise(F.col(level))).drop("kinds")
-        above = [*above, name]
-    return counts
-
-
-def merged_branches(counts: DataFrame) -> DataFrame:
-    """host, g1 and branch: the number of the merged branch that the root's child g1 belongs to. A host has at most MAX_CHILDREN + 1 children."""
-    branch = counts.groupBy("host", "g1").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    below = counts.groupBy("host", "g1", "g2").agg(F.sum("n").alias("m")).groupBy("host", "g1").agg(F.map_from_entries(F.collect_list(F.struct("g2", F.col("m").cast("double")))).alias("below"))
-    rows = branch.join(below, ["host", "g1"])
-    by = Window.partitionBy("host").orderBy((F.col("blocked") + 0.5) / (F.col("labelled") + 1.0), "g1")
-    last = lambda c: F.lag(c).over(by)
-    rows = rows.select("*", *[last(c).alias(f"p_{c}") for c in ("n", "blocked", "labelled", "below")])
+    return pages.withColumn("shapes", F.array_join(parts, "/"))
+
+
+def kept() -> Column:
+    """Whether a child with its parent's ``kinds`` and ``whole`` stays apart: few siblings, or MIN_PAGES pages and labels or a share of one in MIN_SHARE."""
+    return (F.col("kinds") <= MAX_CHILDREN) | ((F.col("n") >= MIN_PAGES) & ((F.col("labelled") > 0) | (F.col("n") * MIN_SHARE >= F.col("whole"))))
+
+
+def sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
+
+
+def generalised(rows: DataFrame) -> DataFrame:
+    """node, seg and g: what each segment below a node is called. ``rows`` has node, seg, n, blocked and labelled."""
+    kids = rows.groupBy("node", "seg").agg(*sums())
+    parents = kids.groupBy(F.col("node").alias("p")).agg(F.count("*").alias("kinds"), F.sum("n").alias("whole"))
+    return kids.join(parents, F.col("node") == F.col("p")).withColumn("g", F.when(kept(), F.col("seg")).otherwise(F.lit("*"))).drop("p", "kinds", "whole")
+
+
+def alike_below(pairs: DataFrame, below: DataFrame) -> DataFrame:
+    """node and g of the pairs (node, g, before) whose next segments do not differ: two-sample chi-squared at most its mean and two standard deviations."""
+    sides = [pairs.select("node", "g", F.col(x).alias("name"), F.lit(k).alias("side")) for k, x in enumerate(("g", "before"))]
+    cells = sides[0].unionByName(sides[1]).join(below.select(F.col("node").alias("b_node"), F.col("g").alias("b_g"), "next", "m"), (F.col("node") == F.col("b_node")) & (F.col("name") == F.col("b_g")))
+    both = cells.groupBy("node", "g", "next").agg(*[F.sum(F.when(F.col("side") == k, F.col("m")).otherwise(0)).alias(x) for k, x in enumerate("ab")])
+    sums = both.groupBy(F.col("node").alias("s_node"), F.col("g").alias("s_g")).agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    both = both.join(sums, (F.col("node") == F.col("s_node")) & (F.col("g") == F.col("s_g")))
+    scaled = F.col("a") * F.sqrt(F.col("all_b") / F.col("all_a")) - F.col("b") * F.sqrt(F.col("all_a") / F.col("all_b"))
+    tested = both.groupBy("node", "g").agg(F.sum(scaled * scaled / (F.col("a") + F.col("b"))).alias("x"), (F.count("*") - 1).alias("df"))
+    return tested.where(F.col("x") <= F.col("df") + 2 * F.sqrt(2 * F.col("df")) + 1e-9).select("node", "g")
+
+
+def merged(named: DataFrame, below: DataFrame) -> DataFrame:
+    """node, g and branch: the first name of the merged branch that a child g belongs to."""
+    kids = named.groupBy("node", "g").agg(*sums())
+    by = Window.partitionBy("node").orderBy((F.col("blocked") + 0.5) / (F.col("labelled") + 1.0), "g")
+    rows = kids.select("*", *[F.lag(c).over(by).alias(f"p_{c}") for c in ("g", "blocked", "labelled")])
     pooled = (F.col("blocked") + F.col("p_blocked")) / (F.col("labelled") + F.col("p_labelled"))
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("p_labelled")))
     apart = F.abs(F.col("blocked") / F.col("labelled") - F.col("p_blocked") / F.col("p_labelled"))
-    both = (F.col("labelled") > 0) & (F.col("p_labelled") > 0)
-    same_labels = F.when(both, F.when((pooled > 0) & (pooled < 1), apart < Z_SAME * spread).otherwise(F.lit(True))).otherwise(F.lit(True))
-    share = lambda m, k, n: F.coalesce(F.try_element_at(m, k), F.lit(0.0)) / F.col(n)
-    keys = F.array_union(F.map_keys("below"), F.map_keys("p_below"))
-    apart_below = F.aggregate(keys, F.lit(0.0), lambda acc, k: acc + F.abs(share(F.col("below"), k, "n") - share(F.col("p_below"), k, "p_n"))) / 2
-    fresh = F.when(F.col("p_n").isNull(), F.lit(1)).when(same_labels & (apart_below <= SHAPE_SAME), F.lit(0)).otherwise(F.lit(1))
-    return rows.withColumn("fresh", fresh).select("host", "g1", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("branch"))
+    labelled = (F.col("labelled") > 0) & (F.col("p_labelled") > 0)
+    close = rows.where(labelled & ((pooled <= 0) | (pooled >= 1) | (apart < Z_SAME * spread))).select("node", "g", F.col("p_g").alias("before"))
+    same = alike_below(close, below).select(F.col("node").alias("m_node"), F.col("g").alias("m_g"))
+    rows = rows.join(same, (F.col("node") == F.col("m_node")) & (F.col("g") == F.col("m_g")), "left").withColumn("fresh", F.when(F.col("m_node").isNull(), 1).otherwise(0))
+    numbered = rows.withColumn("number", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.select("node", "g", F.first("g").over(Window.partitionBy("node", "number").orderBy((F.col("blocked") + 0.5) / (F.col("labelled") + 1.0), "g")).alias("branch"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, shapes, template, purity and rejected of every shape seen, from pages with shapes and rule verdicts."""
+def templates(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """host, shapes, template, purity and rejected of every path seen, from pages with shapes and rule verdicts."""
     label = F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
-    counts = pages.groupBy("host", *LEVELS).agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"), F.count(label).alias("labelled"))
-    counts = generalised(counts)
-    counts = counts.join(merged_branches(counts), ["host", "g1"])
-    tail = [level.replace("s", "g") for level in LEVELS[1:]]
-    own = counts.groupBy("host", "branch", *tail).agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"))
+    counts = pages.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"), F.count(label).alias("labelled"))
+    parts = F.filter(F.split("shapes", "/"), lambda x: x != "")
+    counts = materialize(counts.withColumn("node", F.concat("host", F.lit("/"))).withColumn("depth", F.size(parts)), "paths")
+    deepest = counts.agg(F.max("depth")).first()[0] or 0
+    for level in range(1, min(deepest, levels) + 1):
+        rows = counts.where(F.col("depth") >= level).withColumn("seg", F.element_at(parts, level))
+        called = generalised(rows)
+        names = called.select(F.col("node").alias("c_node"), F.col("seg").alias("c_seg"), "g")
+        following = F.coalesce(F.try_element_at(parts, F.lit(level + 1)), F.lit(""))
+        below = rows.groupBy("node", "seg", following.alias("next")).agg(F.sum("n").alias("m")).join(names, (F.col("node") == F.col("c_node")) & (F.col("seg") == F.col("c_seg"))).groupBy("node", "g", "next").agg(F.sum("m").alias("m"))
+        branches = merged(called, below).select(F.col("node").alias("m_node"), F.col("g").alias("m_g"), "branch")
+        moved = names.join(branches, (F.col("c_node") == F.col("m_node")) & (F.col("g") == F.col("m_g"))).select("c_node", "c_seg", F.concat("c_node", "branch", F.lit("/")).alias("child"))
+        here = counts.withColumn("seg", F.when(F.col("depth") >= level, F.element_at(parts, level)))
+        joined = here.join(moved, (F.col("node") == F.col("c_node")) & (F.col("seg") == F.col("c_seg")), "left")
+        counts = materialize(joined.withColumn("node", F.coalesce("child", "node")).select(counts.columns), "tree")
+    rest = F.when(F.col("depth") > levels, F.array_join(F.slice(parts, levels + 1, F.greatest(F.col("depth") - levels, F.lit(0))), "/")).otherwise(F.lit(""))
+    counts = counts.withColumn("template", F.concat("node", rest))
+    own = counts.groupBy(F.col("template").alias("t")).agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"))
     base = counts.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).alias("base")).first()["base"] or 0.0
     own = own.withColumn("purity", (F.col("tb") + SMOOTHING * base) / (F.col("tl") + SMOOTHING))
     own = own.withColumn("rejected", (F.col("purity") >= REJECT_AT) & (F.col("tl") > 0))
-    found = counts.join(own, ["host", "branch", *tail])
-    return found.select("host", *LEVELS, F.concat_ws("/", "host", "g1", *tail).alias("template"), "purity", "rejected")
+    return counts.join(own, F.col("template") == F.col("t")).select("host", "shapes", "template", "purity", "rejected")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), template and purity of every page."""
     rows = shaped(ruled(parsed(pages.select("page_id", "url")), rules))
-    found = templates(rows).select(F.col("host").alias("t_host"), *[F.col(x).alias(f"t_{x}") for x in LEVELS], "template", "purity", "rejected")
-    same = F.col("host") == F.col("t_host")
-    for x in LEVELS:
-        same = same & (F.col(x) == F.col(f"t_{x}"))
+    found = templates(rows).select(F.col("host").alias("t_host"), F.col("shapes").alias("t_shapes"), "template", "purity", "rejected")
     verdict = F.coalesce("rule_verdict", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(found, same, "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return rows.join(found, (F.col("host") == F.col("t_host")) & (F.col("shapes") == F.col("t_shapes")), "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def levels_sql() -> str:
-    """The steps of ``judge`` in SQL, written from the description above."""
+def levels_sql(levels: int = 4) -> str:
+    """The steps of ``judge`` in SQL for paths of at most ``levels`` segments, written from the description above."""
     rule = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}:{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
-    part = lambda k: f"coalesce(parts[{k}], '')"
+    steps = []
+    for k in range(1, levels + 1):
+        steps.append(f"""
+k{k} AS (SELECT node, parts[{k}] AS seg, sum(n) AS n, sum(blocked) AS bl, sum(labelled) AS la FROM c{k - 1} WHERE len(parts) >= {k} GROUP BY ALL),
+g{k} AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY node) <= {MAX_CHILDREN} OR (n >= {MIN_PAGES} AND (la > 0 OR n * {MIN_SHARE} >= sum(n) OVER (PARTITION BY node))) THEN seg ELSE '*' END AS g FROM k{k}),
+s{k} AS (SELECT node, g, sum(bl) AS bl, sum(la) AS la, row_number() OVER (PARTITION BY node ORDER BY (sum(bl) + 0.5e0) / (sum(la) + 1e0), g) AS i FROM g{k} GROUP BY node, g),
+p{k} AS (SELECT a.node, a.i, a.g, b.g AS pg, a.bl, a.la, b.bl AS pbl, b.la AS pla, (a.bl + b.bl) / nullif(a.la + b.la, 0)::DOUBLE AS pool FROM s{k} a JOIN s{k} b ON a.node = b.node AND b.i = a.i - 1 WHERE a.la > 0 AND b.la > 0),
+z{k} AS (SELECT * FROM p{k} WHERE pool <= 0 OR pool >= 1 OR abs(bl / la::DOUBLE - pbl / pla::DOUBLE) < {Z_SAME} * sqrt(pool * (1 - pool) * (1 / la::DOUBLE + 1 / pla::DOUBLE))),
+w{k} AS (SELECT node, g, coalesce(parts[{k + 1}], '') AS nx, sum(c.n) AS m FROM c{k - 1} c JOIN g{k} USING (node) WHERE parts[{k}] = seg GROUP BY ALL),
+x{k} AS (SELECT node, i, nx, sum(a) AS a, sum(b) AS b FROM (SELECT z.node, z.i, nx, m AS a, 0 AS b FROM z{k} z JOIN w{k} w ON w.node = z.node AND w.g = z.g UNION ALL SELECT z.node, z.i, nx, 0, m FROM z{k} z JOIN w{k} w ON w.node = z.node AND w.g = z.pg) GROUP BY ALL),
+y{k} AS (SELECT *, sum(a) OVER (PARTITION BY node, i)::DOUBLE AS ta, sum(b) OVER (PARTITION BY node, i)::DOUBLE AS tb FROM x{k}),
+t{k} AS (SELECT node, i FROM y{k} GROUP BY node, i HAVING sum(power(a * sqrt(tb / ta) - b * sqrt(ta / tb), 2) / (a + b)) <= count(*) - 1 + 2 * sqrt(2 * (count(*) - 1)) + 1e-9),
+b{k} AS (SELECT node, g, i, sum(CASE WHEN (node, i) IN (SELECT (node, i) FROM t{k}) THEN 0 ELSE 1 END) OVER (PARTITION BY node ORDER BY i) AS number FROM s{k}),
+f{k} AS (SELECT node, g, first_value(g) OVER (PARTITION BY node, number ORDER BY i) AS branch FROM b{k}),
+m{k} AS (SELECT node, seg, branch FROM g{k} JOIN f{k} USING (node, g)),
+c{k} AS (SELECT host, shapes, parts, n, blocked, labelled, c.node || coalesce(branch || '/', '') AS node FROM c{k - 1} c LEFT JOIN m{k} m ON m.node = c.node AND m.seg = c.parts[{k}])""")
     return f"""
 WITH urls AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
 places AS (SELECT page_id,
@@ -132,32 +170,9 @@ places AS (SELECT page_id,
   regexp_extract(u, '{URL}', 2) AS path FROM urls),
 decided AS (SELECT *, CASE {rule} END AS d,
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS parts FROM places),
-rows0 AS (SELECT page_id, host, path, split_part(d, ':', 2) AS rule, split_part(d, ':', 1) AS rv,
-  {part(1)} AS s1, {part(2)} AS s2, CASE WHEN len(parts) > 3 THEN '**' ELSE {part(3)} END AS s3 FROM decided),
-c0 AS (SELECT host, s1, s2, s3, count(*) AS n, count(*) FILTER (rv = 'block') AS blocked, count(*) FILTER (rv IN ('block', 'allow')) AS labelled FROM rows0 GROUP BY ALL),
-w1 AS (SELECT host FROM c0 WHERE s1 <> '' GROUP BY host HAVING count(DISTINCT s1) > {MAX_CHILDREN}),
-c1 AS (SELECT *, CASE WHEN s1 <> '' AND host IN (FROM w1) THEN '*' ELSE s1 END AS g1 FROM c0),
-w2 AS (SELECT host, g1 FROM c1 WHERE s2 <> '' GROUP BY host, g1 HAVING count(DISTINCT s2) > {MAX_CHILDREN}),
-c2 AS (SELECT *, CASE WHEN s2 <> '' AND (host, g1) IN (SELECT (host, g1) FROM w2) THEN '*' ELSE s2 END AS g2 FROM c1),
-w3 AS (SELECT host, g1, g2 FROM c2 WHERE s3 <> '' GROUP BY host, g1, g2 HAVING count(DISTINCT s3) > {MAX_CHILDREN}),
-c3 AS (SELECT *, CASE WHEN s3 <> '' AND (host, g1, g2) IN (SELECT (host, g1, g2) FROM w3) THEN '*' ELSE s3 END AS g3 FROM c2),
-b AS (SELECT host, g1, sum(n) AS n, sum(blocked) AS bl, sum(labelled) AS la,
-  row_number() OVER (PARTITION BY host ORDER BY (sum(blocked) + 0.5e0) / (sum(labelled) + 1e0), g1) AS k FROM c3 GROUP BY host, g1),
-below AS (SELECT host, g1, g2, sum(n) AS m FROM c3 GROUP BY ALL),
-pairs AS (SELECT a.host, a.k, a.g1, p.g1 AS pg1, a.n, p.n AS pn, a.bl, p.bl AS pbl, a.la, p.la AS pla, (a.bl + p.bl) / nullif(a.la + p.la, 0)::DOUBLE AS pool
-  FROM b a LEFT JOIN b p ON a.host = p.host AND p.k = a.k - 1),
-tv AS (SELECT host, k, sum(abs(x)) / 2 AS v FROM (
-  SELECT host, k, g2, sum(y) AS x FROM (
-    SELECT p.host, p.k, w.g2, w.m / p.n::DOUBLE AS y FROM pairs p JOIN below w ON w.host = p.host AND w.g1 = p.g1
-    UNION ALL SELECT p.host, p.k, w.g2, -w.m / p.pn::DOUBLE FROM pairs p JOIN below w ON w.host = p.host AND w.g1 = p.pg1) GROUP BY ALL) GROUP BY ALL),
-fresh AS (SELECT p.host, p.k, p.g1, CASE WHEN pg1 IS NULL THEN 1
-  WHEN tv.v > {SHAPE_SAME} THEN 1
-  WHEN la > 0 AND pla > 0 AND pool > 0 AND pool < 1 AND abs(bl / la::DOUBLE - pbl / pla::DOUBLE) >= {Z_SAME} * sqrt(pool * (1 - pool) * (1 / la::DOUBLE + 1 / pla::DOUBLE)) THEN 1 ELSE 0 END AS f
-  FROM pairs p JOIN tv USING (host, k)),
-branches AS (SELECT host, g1, sum(f) OVER (PARTITION BY host ORDER BY k) AS branch FROM fresh),
-c4 AS (SELECT * FROM c3 JOIN branches USING (host, g1)),
-base AS (SELECT sum(blocked) / greatest(sum(labelled), 1)::DOUBLE AS g FROM c4),
-own AS (SELECT host, branch, g2, g3, (sum(blocked) + {SMOOTHING} * any_value(g)) / (sum(labelled) + {SMOOTHING}) >= {REJECT_AT} AND sum(labelled) > 0 AS rejected FROM c4, base GROUP BY ALL),
-final AS (SELECT host, s1, s2, s3, rejected FROM c4 JOIN own USING (host, branch, g2, g3))
-SELECT page_id, host, path, rule, CASE WHEN rv IN ('allow', 'block') THEN rv WHEN rejected THEN 'block' ELSE 'allow' END AS verdict
-FROM rows0 JOIN final USING (host, s1, s2, s3)"""
+rows0 AS (SELECT page_id, host, path, split_part(d, ':', 2) AS rule, split_part(d, ':', 1) AS rv, parts, array_to_string(parts, '/') AS shapes FROM decided),
+c0 AS (SELECT host, shapes, any_value(parts) AS parts, count(*) AS n, count(*) FILTER (rv = 'block') AS blocked, count(*) FILTER (rv IN ('block', 'allow')) AS labelled, host || '/' AS node FROM rows0 GROUP BY host, shapes),{','.join(steps)},
+base AS (SELECT sum(blocked) / greatest(sum(labelled), 1)::DOUBLE AS r FROM c{levels}),
+own AS (SELECT node, (sum(blocked) + {SMOOTHING} * any_value(r)) / (sum(labelled) + {SMOOTHING}) >= {REJECT_AT} AND sum(labelled) > 0 AS rejected FROM c{levels}, base GROUP BY node)
+SELECT page_id, rows0.host, path, rule, CASE WHEN rv IN ('allow', 'block') THEN rv WHEN rejected THEN 'block' ELSE 'allow' END AS verdict
+FROM rows0 JOIN c{levels} USING (host, shapes) JOIN own USING (node)"""
