@@ -1,10 +1,14 @@
 """Secret scans with DataFrame functions only: fixed patterns, and a battery of randomness tests on other long tokens.
 
 Three fixed patterns give the base spans. A token is a run of TOKEN characters that no base span touches. Its encoding (hex, base 32, base 36, base 62 or
-base 64) follows from its characters. Three tests then ask whether it looks like a uniform draw from that alphabet: chi-squared counts of symbols,
+base 64) follows from its characters. Three tests then ask whether it is a uniform draw from that alphabet: chi-squared counts of symbols,
 runs of character classes, and the serial correlation of neighbouring symbols; the least of the three tail probabilities, times three, must
-reach RANDOM_LEVEL. A token is evidence against ordinary writing by its class changes: words and names change class at most at the rate WORDY, so the
-Chernoff bound of a binomial tail is its p-value, which short tokens cannot make small. A weighted step-up procedure over all tokens of the table, with
+reach RANDOM_LEVEL, so what one of them finds too regular is no secret.
+
+The same three statistics, under the hypothesis of ordinary writing, give the p-value of the false-discovery step: the pairs of equal symbols (which make up
+chi-squared) are too few for letters drawn with the shares of ordinary writing, the changes of class are more than writing makes at the rate WORDY (Chernoff's
+bound), and the correlation is nearer to that of random symbols than to writing's. Fisher's method combines the three. A token of one class has no
+changes and lives by the other two, so it must be longer. A weighted step-up procedure over all tokens of the table, with
 weights in proportion to length, holds the share of false discoveries at FALSE_SHARE. It works on a histogram of p-values
 of fixed size, so no task or driver holds the tokens.
 
@@ -37,7 +41,9 @@ ENCODINGS = [
     ("base62", r"^[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
     ("base64", r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
 ]
-RANDOM_LEVEL, WORDY, FALSE_SHARE = 1e-3, 0.12, 0.01
+RANDOM_LEVEL, FALSE_SHARE = 1e-3, 0.01
+#: Parameters of ordinary writing: chances that two and that three letters are equal, the greatest rate of class changes, and the correlation of neighbouring letters.
+PAIRS, TRIPLES, WORDY, ALONG = 0.062, 0.0050, 0.12, -0.10
 #: Histogram of -log10 of weighted p-values: width of a bin, and the last one.
 BIN, LAST_BIN, LAST_LENGTH = 0.05, 1200, 4096
 MASK = "[redacted]"
@@ -85,7 +91,7 @@ def total(values: Column) -> Column:
 
 
 def tested(tokens: Column) -> Column:
-    """array<struct<start, end, n, random_p, evidence>>: places, length, the battery's probability under randomness, and -log10 of the bound under ordinary writing.
+    """array<struct<start, end, n, random_p, evidence>>: places, length, the battery's probability under randomness, and -log10 of its combined one under ordinary writing.
 
     Each transform adds fields to all tokens, so that every value is computed once.
     """
@@ -121,18 +127,38 @@ def tested(tokens: Column) -> Column:
     rows = adding(rows, known, lambda t: {"spread": total(F.transform(t["off"], lambda x: x * x)), "along": total(F.zip_with(F.slice(t["off"], F.lit(1), F.size(t["off"]) - 1), F.slice(t["off"], F.lit(2), F.size(t["off"]) - 1), lambda x, y: x * y))})
     rows = adding(
         rows,
-        [*spans, "n", "changes"],
+        [*spans, "n"],
         lambda t: {
             "z_uniform": (F.pow(F.greatest(t["k"] * t["squares"] / t["n"] - t["n"], F.lit(0.0)) / (t["k"] - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (t["k"] - 1)))) / F.sqrt(2 / (9 * (t["k"] - 1))),
             "z_runs": ((t["n"] - 1) * t["rate"] - t["changes"]) / F.sqrt((t["n"] - 1) * t["rate"] * (1 - t["rate"])),
             "z_serial": F.when(t["spread"] > 0, F.abs(t["along"] / t["spread"] + 1 / t["n"]) * F.sqrt(t["n"])).otherwise(F.lit(99.0)),
             "share": F.least(t["changes"] / (t["n"] - 1), F.lit(1 - 1e-9)),
+            "equal": (t["squares"] - t["n"]) / 2,
+            "serial": F.when(t["spread"] > 0, t["along"] / t["spread"] + 1 / t["n"]).otherwise(F.lit(-1.0)),
         },
     )
 
-    def bound(t: Column) -> Column:
+    def few_pairs(t: Column) -> Column:
+        """Tail of the number of pairs of equal symbols under ordinary writing, by its mean and variance."""
+        n = t["n"]
+        pairs, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2) / 6
+        spread = F.sqrt(pairs * (PAIRS * (1 - PAIRS)) + 6 * triples * (TRIPLES - PAIRS**2))
+        z = (pairs * PAIRS - t["equal"] - 0.5) / spread
+        return F.when(z >= 0, tail(F.abs(z))).otherwise(1 - tail(F.abs(z)))
+
+    def many_changes(t: Column) -> Column:
         s = t["share"]
-        return (t["n"] - 1) * (s * F.log(s / WORDY) + (1 - s) * F.log((1 - s) / (1 - WORDY))) / F.log(F.lit(10.0))
+        return F.when(s > WORDY, F.exp(-(t["n"] - 1) * (s * F.log(s / WORDY) + (1 - s) * F.log((1 - s) / (1 - WORDY))))).otherwise(F.lit(1.0))
+
+    def uncorrelated(t: Column) -> Column:
+        """Tail of a correlation as far towards 0 as this one, from writing's."""
+        z = (-F.abs(t["serial"]) - ALONG) * F.sqrt(t["n"])
+        return F.when(z >= 0, tail(F.abs(z))).otherwise(1 - tail(F.abs(z)))
+
+    def fisher(t: Column) -> Column:
+        """-log10 of the tail of Fisher's sum of three."""
+        s = -(F.log(F.greatest(few_pairs(t), F.lit(1e-300))) + F.log(F.greatest(many_changes(t), F.lit(1e-300))) + F.log(F.greatest(uncorrelated(t), F.lit(1e-300))))
+        return F.greatest(F.lit(0.0), (s - F.log(1 + s + s * s / 2)) / F.log(F.lit(10.0)))
 
     return adding(
         rows,
@@ -140,7 +166,7 @@ def tested(tokens: Column) -> Column:
         lambda t: {
             "n": t["n"].cast("int"),
             "random_p": F.least(F.lit(1.0), 3 * F.least(tail(t["z_uniform"]), tail(t["z_runs"]), 2 * tail(t["z_serial"]))),
-            "evidence": F.when(t["share"] > WORDY, bound(t)).otherwise(F.lit(0.0)),
+            "evidence": fisher(t),
         },
     )
 
