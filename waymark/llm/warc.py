@@ -1,6 +1,6 @@
 """WARC archives of pages, and a Merkle audit that finds damaged records in a replica.
 
-``write_warc`` stores pages as response records in WARC files, RECORDS_PER_FILE to a file at most, each as a gzip member of its own whose extra field
+``write_warc`` stores pages as resource records (there are no HTTP headers to keep) with a digest in WARC files of about BYTES_PER_FILE bytes, RECORDS_PER_FILE records at most, each as a gzip member of its own whose extra field
 holds its number and offset (offsets count uncompressed bytes); ``read_warc`` reads such files as records with file, offset, length and digest, and with
 stored range and digest. Bytes that can't be decoded become unnamed records of length 0 in the places of the records they hide; reading goes on at the next member
 that is whole. For the audit, each record's leaf is a hash of its offset range, its bytes and its stored bytes. Records are placed
@@ -29,6 +29,8 @@ from .common import column, materialize, shared_dir
 
 #: Records of a file, and children of a tree's node.
 RECORDS_PER_FILE, FANOUT = 1000, 16
+#: Bytes that the records of a file have on average at most, before compression.
+BYTES_PER_FILE = 32 << 20
 #: Fixed values of the record format.
 BREAK, RECORD_END = "\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -36,8 +38,8 @@ DATE = "2024-01-01T00:00:00Z"
 MAGIC, FIELD, PLACE, LEVEL, PIECE = b"\x1f\x8b\x08", struct.pack("<H2sH", 24, b"WM", 20), struct.Struct("<QQI"), 1, 1 << 16
 
 
-def header(page_id: Column, url: Column, length: Column) -> Column:
-    lines = ["WARC/1.0", "WARC-Type: response", F.concat(F.lit("WARC-Record-ID: <urn:page:"), page_id, F.lit(">")), F.concat(F.lit("WARC-Target-URI: "), url), f"WARC-Date: {DATE}", "Content-Type: text/html", F.concat(F.lit("Content-Length: "), length.cast("string"))]
+def header(page_id: Column, url: Column, digest: Column, length: Column) -> Column:
+    lines = ["WARC/1.0", "WARC-Type: resource", F.concat(F.lit("WARC-Record-ID: <urn:page:"), page_id, F.lit(">")), F.concat(F.lit("WARC-Target-URI: "), url), f"WARC-Date: {DATE}", F.concat(F.lit("WARC-Block-Digest: sha256:"), digest), "Content-Type: text/html", F.concat(F.lit("Content-Length: "), length.cast("string"))]
     return F.concat(F.concat_ws(BREAK, *[F.lit(x) if isinstance(x, str) else x for x in lines]), F.lit(RECORD_END))
 
 
@@ -45,7 +47,7 @@ def with_records(pages: DataFrame) -> DataFrame:
     """Add ``record``: the text of each page's WARC record. Line breaks in urls, which would end a header line, become spaces."""
     body = F.coalesce(F.col("html"), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]", " ")
-    return pages.withColumn("record", F.concat(header(F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.octet_length(body)), body))
+    return pages.withColumn("record", F.concat(header(F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.sha2(body.cast("binary"), 256), F.octet_length(body)), body))
 
 
 def member(raw: bytes, position: int, offset: int) -> bytes:
@@ -57,8 +59,15 @@ def member(raw: bytes, position: int, offset: int) -> bytes:
     return out[:-1] if out[-1] == 0 else out
 
 
-def write_warc(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
+def records_per_file(pages: DataFrame) -> int:
+    """RECORDS_PER_FILE, or fewer where records are long: a file holds about BYTES_PER_FILE bytes at most, as it is read whole."""
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    return max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / (mean + 1))))
+
+
+def write_warc(pages: DataFrame, path: str, per_file: int | None = None) -> None:
     """Write the pages as compressed WARC files under ``path``, in the order and the tasks that the table has; nothing is shuffled."""
+    per_file = per_file or records_per_file(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         position = offset = 0
@@ -257,8 +266,9 @@ def op6_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("page_id") % 97 == 0) & (F.octet_length("html") > 0)
     harmed = pages.withColumn("html", F.when(bad & F.col("html").startswith("<"), F.concat(F.lit("("), F.substring("html", 2, 2147483647))).otherwise(F.col("html")))
     at = f"{shared_dir(spark)}/waymark-warc-{uuid.uuid4().hex}"
-    write_warc(pages, f"{at}/original")
-    write_warc(harmed, f"{at}/replica")
+    per_file = records_per_file(pages)
+    write_warc(pages, f"{at}/original", per_file)
+    write_warc(harmed, f"{at}/replica", per_file)
     out = audit(read_warc(spark, f"{at}/original"), read_warc(spark, f"{at}/replica"))
     return out.select("page_id", "length", "sha256", "damaged")
 
@@ -267,6 +277,6 @@ def op6_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDIT_SQL = f"""
 WITH parts AS (SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS url FROM pages),
 texts AS (SELECT page_id, body,
-  'WARC/1.0' || e'\\r\\n' || 'WARC-Type: response' || e'\\r\\n' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e'\\r\\n' || 'WARC-Target-URI: ' || url || e'\\r\\n' ||
-  'WARC-Date: {DATE}' || e'\\r\\n' || 'Content-Type: text/html' || e'\\r\\n' || 'Content-Length: ' || strlen(body) || e'\\r\\n\\r\\n' || body || e'\\r\\n\\r\\n' AS record FROM parts)
+  'WARC/1.0' || e'\\r\\n' || 'WARC-Type: resource' || e'\\r\\n' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e'\\r\\n' || 'WARC-Target-URI: ' || url || e'\\r\\n' ||
+  'WARC-Date: {DATE}' || e'\\r\\n' || 'WARC-Block-Digest: sha256:' || sha256(body) || e'\\r\\n' || 'Content-Type: text/html' || e'\\r\\n' || 'Content-Length: ' || strlen(body) || e'\\r\\n\\r\\n' || body || e'\\r\\n\\r\\n' AS record FROM parts)
 SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, page_id % 97 = 0 AND starts_with(body, '<') AS damaged FROM texts"""
