@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -109,6 +110,68 @@ def test_secrets(spark, odd, documents):
     assert secrets.redact(odd.limit(0)).count() == 0
 
 
+def battery(token: str) -> tuple[float, float]:
+    """The battery in plain Python: (probability under randomness, -log10 of Fisher's tail under ordinary writing)."""
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    lower, upper, digits = secrets.LOWER, secrets.UPPER, secrets.DIGITS
+    number = next((k for k, (_, pattern, _) in enumerate(secrets.ENCODINGS) if re.search(pattern, body)), len(secrets.ENCODINGS) - 1)
+    alphabet = secrets.ENCODINGS[number][2]
+    body = body.lower() if number == 0 else body
+    n, k = len(body), len(alphabet)
+    kind = lambda c: "l" if c in lower else "u" if c in upper else "d" if c in digits else "s"
+    rate = 1 - sum((sum(kind(c) == x for c in alphabet) / k) ** 2 for x in "luds")
+    squares = sum(body.count(c) ** 2 for c in alphabet)
+    changes = sum(kind(a) != kind(b) for a, b in zip(body, body[1:]))
+    code = [alphabet.find(c) + 1 for c in body]
+    mean = sum(code) / n
+    spread = sum((x - mean) ** 2 for x in code)
+    along = sum((x - mean) * (y - mean) for x, y in zip(code, code[1:]))
+    tail = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.07056 * z**3)))
+    chi = max(k * squares / n - n, 0.0)
+    z_uniform = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    z_runs = ((n - 1) * rate - changes) / math.sqrt((n - 1) * rate * (1 - rate))
+    z_serial = abs(along / spread + 1 / n) * math.sqrt(n) if spread else 99.0
+    random_p = min(1.0, 3 * min(tail(z_uniform), tail(z_runs), 2 * tail(z_serial)))
+    over = lambda z: tail(z) if z >= 0 else 1 - tail(-z)
+    pairs, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2) / 6
+    deviation = math.sqrt(pairs * secrets.PAIRS * (1 - secrets.PAIRS) + 6 * triples * (secrets.TRIPLES - secrets.PAIRS**2))
+    p1 = over((pairs * secrets.PAIRS - (squares - n) / 2 - 0.5) / deviation)
+    s, w = min(changes / (n - 1), 1 - 1e-9), secrets.WORDY
+    p2 = math.exp(-(n - 1) * (s * math.log(s / w) + (1 - s) * math.log((1 - s) / (1 - w)))) if s > w else 1.0
+    serial = along / spread + 1 / n if spread else -1.0
+    p3 = over((-abs(serial) - secrets.ALONG) * math.sqrt(n))
+    x = -sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
+    return random_p, max(0.0, (x - math.log(1 + x + x * x / 2)) / math.log(10))
+
+
+def test_battery_and_step_up_are_brute_force(spark):
+    r = random.Random(9)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    lower, upper, digits = secrets.LOWER, secrets.UPPER, secrets.DIGITS
+    tokens = [draw(a, n) for a in (lower, upper + "234567", lower + digits, upper + lower + digits, upper + lower + digits + "+/") for n in (20, 40, 90, 200) for _ in range(4)]
+    tokens += ["internationalization" * 2, "a" * 30, "theseare" * 5, "GetUserNameFromDatabaseTable", "0123456789" * 3, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "x_y-z" * 8]
+    docs = spark.createDataFrame([(i, f"( {t} )") for i, t in enumerate(tokens)], "doc_id long, text string")
+    seen = {x["doc_id"]: x for x in secrets.scanned(docs).select("doc_id", F.inline("scan_tokens")).collect()}
+    rows = []
+    for i, t in enumerate(tokens):
+        if i in seen:
+            random_p, evidence = battery(t)
+            assert abs(seen[i]["random_p"] - random_p) < 1e-9 and abs(seen[i]["evidence"] - evidence) < 1e-6
+            rows.append((i, len(t.rstrip("=")), random_p, evidence))
+    assert len(rows) > 70
+    mean = sum(n for _, n, *_ in rows) / len(rows)
+    # the step-up procedure on weighted p-values, on the same grid
+    score = {i: max(0.0, math.floor(e / secrets.BIN) * secrets.BIN + math.log10(n / mean)) for i, n, _, e in rows}
+    passing = [i for i, _, p, _ in rows if p >= secrets.RANDOM_LEVEL]
+    levels = sorted({math.floor(score[i] / secrets.BIN) for i in passing}, reverse=True)
+    cut = [b * secrets.BIN for b in levels if math.log10(len(rows)) - b * secrets.BIN <= math.log10(secrets.FALSE_SHARE * sum(score[i] >= b * secrets.BIN for i in passing))]
+    expected = {i for i, *_, e in rows if i in passing and e > 0 and score[i] >= min(cut)}
+    got = {x["doc_id"] for x in secrets.find(docs, *secrets.cutoff(docs)).where(F.exists("scan_spans", lambda s: s["kind"] == len(secrets.BASE))).collect()}
+    assert got == expected
+    # random tokens of one class are found once they are long
+    assert any(i in got for i, t in enumerate(tokens[:16]) if t.islower() and len(t) == 200)
+
+
 def test_near_duplicates(odd, documents):
     rows = odd.select("doc_id", "text").unionByName(documents.select((F.col("doc_id") + 100).alias("doc_id"), "text")).cache()
     listed = rows.collect()
@@ -149,6 +212,32 @@ def test_near_duplicates_that_differ_in_repeats(spark):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
+def test_pairs_of_a_group_that_never_link(spark):
+    """A large group around one text: close copies are one class, those changed further stand alone, as brute force says."""
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for k in r.sample(range(150), [1, 2, 3, 5, 8][i % 5]):
+            words[k] = f"c{i}x{k}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
 def test_decontamination(spark, odd, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     shingled = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", t or "")) else set()
@@ -186,6 +275,28 @@ def test_repeated_substrings(odd, documents, monkeypatch, group):
     assert substring_dedup.without_repeats(odd.limit(0)).count() == 0
 
 
+def test_many_equal_rows(spark):
+    """Rows with equal ids and texts are cut once: thousands of them take no longer than their number."""
+    r = random.Random(12)
+    text = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    rows = [(None, text)] * 3000 + [(1, text[500:1200]), (2, "z" * 399)]
+    found = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(None, 3000, 3000, 1, 3000), (1, 700, 700, 1, 1), (2, 399, 0, 0, 1)], key=repr)
+
+
+def test_a_labelled_id_many_times(spark, documents, labels):
+    """A labelled id that thousands of rows share teaches one text, whatever the order of rows."""
+    one = labels.where("quality = 1").select("doc_id").first()["doc_id"]
+    many = spark.range(3000).select(F.lit(one).alias("doc_id"), F.concat(F.lit("some words that differ "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rows = documents.select("doc_id", "text", "lang").unionByName(many)
+    a, b = (quality_rules.train(rows.repartition(n), labels) for n in (3, 5))
+    assert a["b"] == b["b"] and (a["w"] == b["w"]).all()
+    a, b = (quality_classifier.train(rows.repartition(n), labels)["net"] for n in (3, 5))
+    assert all((a[k] == b[k]).all() for k in a)
+    a, b = (language_id.train(rows.repartition(n)) for n in (3, 5))
+    assert a["slope"] == b["slope"] and a["langs"] == b["langs"] and all((x == y).all() for x, y in zip(a["p"], b["p"]))
+
+
 def test_packing(odd, documents):
     from tokenizers import Tokenizer
 
@@ -226,9 +337,24 @@ def test_urls(spark):
 def test_url_templates(spark):
     bad = [(i, f"http://s.net/es/{i}", "t") for i in range(40)] + [(100 + i, f"http://s.net/en/{i}", "t") for i in range(40)]
     mixed = [(200 + i, f"http://m.com/{'xyz'[i % 3]}/page-{i}/end", "t") for i in range(30)] + [(300 + i, f"http://w.org/{''.join(random.Random(i).sample('abcdefgh', 6))}", "t") for i in range(30)]
-    found = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filter.judge(spark.createDataFrame(bad + mixed, "page_id long, url string, kind string")).collect()}
-    assert {found[100 + i] for i in range(40)} == {("block", "s.net/en/#/")}  # the branch looks like its blocked sibling
-    assert {found[200 + i][0] for i in range(30)} == {"allow"} and {found[300 + i][1] for i in range(30)} == {"w.org/*//"}
+    # a branch that looks like its blocked sibling stays apart, as it has no labels; two blocked branches are one
+    two = [(400 + i, f"http://t.net/{'es' if i % 2 else 'fr'}/{i}/x", "t") for i in range(40)]
+    # many children: the frequent labelled ones stay apart, the rare ones become one
+    wide = [(500 + i, f"http://v.net/es/{chr(97 + i % 26)}{chr(97 + i // 26)}/{i}", "t") for i in range(60)] + [(600 + i, f"http://v.net/es/hot/{i}", "t") for i in range(30)]
+    deep = [(700 + i, f"http://deep.org/a/b/{'cd'[i % 2]}/e/f/g{i}/h", "t") for i in range(4)]
+    rows = spark.createDataFrame(bad + mixed + two + wide + deep, "page_id long, url string, kind string")
+    found = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filter.judge(rows).collect()}
+    assert {found[100 + i] for i in range(40)} == {("allow", "s.net/en/#/")} and {found[i] for i in range(40)} == {("block", "s.net/es/#/")}
+    assert {found[200 + i][0] for i in range(30)} == {"allow"} and {found[300 + i][1] for i in range(30)} == {"w.org/*/"}
+    assert {found[400 + i] for i in range(40)} == {("block", "t.net/es/#/x/")}
+    assert {found[500 + i][1] for i in range(60)} == {"v.net/es/*/#/"} and {found[600 + i][1] for i in range(30)} <= {"v.net/es/hot/#/", "v.net/es/*/#/"}
+    assert len({found[700 + i][1] for i in range(4)}) == 2 and all(found[700 + i][1].count("/") == 8 for i in range(4))
+
+
+def test_url_levels(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"http://net/es/{i % 2}a/x/{i}") for i in range(20)] + [(20, "http://net/q")], "page_id long, url string")
+    shaped = url_filter.shaped(url_filter.ruled(url_filter.parsed(rows)))
+    assert {r["template"] for r in url_filter.templates(shaped, levels=1).collect()} == {"net/es/#a/x/#", "net/q/"}
 
 
 def test_warc(spark, tmp_path):
