@@ -161,7 +161,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, cid (content digest) and bands (the keys of its buckets) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, most=256):
             words = split_words(texts)
             cids = digest(words)
             first = {c: i for i, c in reversed(list(enumerate(cids))) if c}
@@ -187,7 +187,7 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
     """cid, hashes (a packed sorted array of distinct shingles), their number n and the parity words BITS of texts that ``docs`` gives with their cid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, most=256):
             own, hashes, _ = weighted_shingles(split_words(texts))
             bounds = np.searchsorted(own, np.arange(len(texts) + 1))
             sets = [hashes[begin:end] for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -228,8 +228,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [column(batch, n).to_pylist() for n in ("uh", "vh")]
-            good = [jaccard(np.frombuffer(a, U64), np.frombuffer(b, U64)) >= threshold for a, b in zip(*cols, strict=True)]
+            # values one at a time: sets of long texts are large
+            good = [jaccard(*(np.frombuffer(x.as_py(), U64) for x in pair)) >= threshold for pair in zip(column(batch, "uh"), column(batch, "vh"), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     u, v = (sets.select(F.col("cid").alias(f"{x}_cid"), F.col("hashes").alias(f"{x}h")) for x in "uv")
@@ -296,8 +296,8 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNT_BINS, dtype=np.int64)
         for batch in batches:
-            for h in column(batch, "hashes").to_pylist():
-                seen += np.bincount((np.frombuffer(h, U64) % U64(COUNT_BINS)).astype(np.int64), minlength=COUNT_BINS)
+            for h in column(batch, "hashes"):
+                np.add.at(seen, (np.frombuffer(h.as_py(), U64) % U64(COUNT_BINS)).astype(np.int64), 1)
         used = np.flatnonzero(seen > 1)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["bin", "n"])
 
@@ -308,8 +308,8 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, h, *bits in zip(*(column(batch, n).to_pylist() for n in ("cid", "hashes", *BITS)), strict=True):
-                hashes = np.frombuffer(h, U64)
+            for cid, h, *bits in zip(*(column(batch, n) for n in ("cid", "hashes", *BITS)), strict=True):
+                cid, hashes, bits = cid.as_py(), np.frombuffer(h.as_py(), U64), [x.as_py() for x in bits]
                 order = np.lexsort((hashes, shared.value[(hashes % U64(COUNT_BINS)).astype(np.int64)]))
                 kept = hashes[order][: int((1 - threshold) * len(hashes) + 1e-6) + 1]
                 cols = [pa.array([cid] * len(kept), pa.binary()), pa.array(kept.view(np.int64)), pa.array(np.arange(len(kept))), pa.array(np.full(len(kept), len(hashes))), *[pa.array(np.full(len(kept), x)) for x in bits]]
@@ -371,7 +371,7 @@ def with_content(docs: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, most=256):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest(split_words(texts)), pa.binary())], names=[*batch.schema.names, "cid"])
 
     return docs.mapInArrow(run, f"{fields}, cid binary").withColumn("owner", owned())
