@@ -1,6 +1,6 @@
 """Secret scans with DataFrame functions only: fixed patterns, and a battery of randomness tests on other long tokens.
 
-Three fixed patterns give the base spans. A token is a run of TOKEN characters that no base span touches. Its encoding (hex, base 32, base 36, base 62 or
+Three fixed patterns give the base spans. A token is a run of TOKEN characters that no base span touches. Its encoding (digits, letters of one case, hex, base 32, base 36, base 62 or
 base 64) follows from its characters. Three tests then ask whether it is a uniform draw from that alphabet: chi-squared counts of symbols,
 runs of character classes, and the serial correlation of neighbouring symbols; the least of the three tail probabilities, times three, must
 reach RANDOM_LEVEL, so what one of them finds too regular is no secret.
@@ -35,12 +35,16 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings: pattern, alphabet, symbols of each class (letters of either case, digits, marks).
 ENCODINGS = [
+    ("digits", r"^[0-9]+$", DIGITS),
+    ("lower", r"^[a-z]+$", LOWER),
+    ("upper", r"^[A-Z]+$", UPPER),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
     ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
     ("base36", r"^[0-9a-z]+$", DIGITS + LOWER),
     ("base62", r"^[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
     ("base64", r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
 ]
+HEX = 1 + [name for name, *_ in ENCODINGS].index("hex")
 RANDOM_LEVEL, FALSE_SHARE = 1e-3, 0.01
 #: Parameters of ordinary writing: chances that two and that three letters are equal, the greatest rate of class changes, and the correlation of neighbouring letters.
 PAIRS, TRIPLES, WORDY, ALONG = 0.062, 0.0050, 0.12, -0.10
@@ -110,7 +114,7 @@ def tested(tokens: Column) -> Column:
     spans = ["start", "end"]
     rows = adding(tokens, spans, lambda t: {"body": F.translate(F.regexp_replace(t["token"], "=+$", ""), "-_", "+/")})
     rows = adding(rows, [*spans, "body"], lambda t: {"enc": encoding(t)})
-    rows = adding(rows, [*spans, "enc"], lambda t: {"body": F.when(t["enc"] == 1, F.lower(t["body"])).otherwise(t["body"]), "alphabet": of(alphabets, t), "k": of([float(len(a)) for a in alphabets], t), "rate": of([class_rate(a) for a in alphabets], t)})
+    rows = adding(rows, [*spans, "enc"], lambda t: {"body": F.when(t["enc"] == HEX, F.lower(t["body"])).otherwise(t["body"]), "alphabet": of(alphabets, t), "k": of([float(len(a)) for a in alphabets], t), "rate": of([class_rate(a) for a in alphabets], t)})
     rows = adding(
         rows,
         [*spans, "k", "rate"],
@@ -130,7 +134,7 @@ def tested(tokens: Column) -> Column:
         [*spans, "n"],
         lambda t: {
             "z_uniform": (F.pow(F.greatest(t["k"] * t["squares"] / t["n"] - t["n"], F.lit(0.0)) / (t["k"] - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (t["k"] - 1)))) / F.sqrt(2 / (9 * (t["k"] - 1))),
-            "z_runs": ((t["n"] - 1) * t["rate"] - t["changes"]) / F.sqrt((t["n"] - 1) * t["rate"] * (1 - t["rate"])),
+            "z_runs": ((t["n"] - 1) * t["rate"] - t["changes"]) / F.greatest(F.sqrt((t["n"] - 1) * t["rate"] * (1 - t["rate"])), F.lit(1e-9)),
             "z_serial": F.when(t["spread"] > 0, F.abs(t["along"] / t["spread"] + 1 / t["n"]) * F.sqrt(t["n"])).otherwise(F.lit(99.0)),
             "share": F.least(t["changes"] / (t["n"] - 1), F.lit(1 - 1e-9)),
             "equal": (t["squares"] - t["n"]) / 2,
