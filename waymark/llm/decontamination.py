@@ -10,7 +10,7 @@ Items come in blocks of about BLOCK_SHINGLES shingles (a stated query set agains
 broadcast, so the benchmark may grow. Documents stream through Arrow batches and are never shuffled.
 
 Defined cases: null or wordless texts match nothing; an item of one to four words has one shingle of them all and is found only in a document of just these
-words; null ids are carried; repeated rows give repeated results; an empty table gives an empty result; texts count whole; other
+words; null ids are carried; repeated rows give repeated results, and equal items are searched once; an empty table gives an empty result; texts count whole; other
 columns do not matter, and ``drop_leaks`` keeps them.
 """
 
@@ -115,8 +115,8 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Blocks of (ids, distinct shingles of each), one at a time."""
+def item_table(items: DataFrame) -> DataFrame:
+    """item_id, shingles (packed and distinct), their number n, and key, a digest of them, of the items that have words; stored."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -124,24 +124,29 @@ def item_blocks(items: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> Itera
             own = [np.unique(hashes[docs == i]) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([column(batch, "item_id"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())], names=["item_id", "shingles", "n"])
 
-    table = materialize(items.select("item_id", "text").mapInArrow(sketch, "item_id long, shingles binary, n long"), "items")
-    total = table.agg(F.sum("n")).first()[0] or 0
+    rows = items.select("item_id", "text").mapInArrow(sketch, "item_id long, shingles binary, n long").where("n > 0")
+    return materialize(rows.withColumn("key", F.md5("shingles")), "items")
+
+
+def item_blocks(table: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+    """Blocks of (keys, distinct shingles of each) of the different items, one at a time; items with the same shingles are searched once."""
+    once = materialize(table.groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("n").alias("n")), "different-items")
+    total = once.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_shingles))
     for b in range(blocks):
-        part = table.where(F.col("n") > 0)
-        if blocks > 1:
-            part = part.where(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b)
-        rows = part.orderBy("item_id", "shingles").collect()
+        part = once.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b) if blocks > 1 else once
+        rows = part.orderBy("key").collect()
         if rows:
-            yield [r["item_id"] for r in rows], [np.frombuffer(r["shingles"], U64) for r in rows]
+            yield [r["key"] for r in rows], [np.frombuffer(r["shingles"], U64) for r in rows]
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of every (document, item) with containment of ``threshold`` or more."""
     out = None
-    schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
-    for ids, own in item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, own))
+    schema = "doc_id long, key string, n_shared long, n_item long, containment double"
+    table = item_table(items)
+    for keys, own in item_blocks(table):
+        shared = docs.sparkSession.sparkContext.broadcast((keys, own))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, items = shared.value
@@ -150,17 +155,18 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 doc_ids = column(batch, "doc_id").to_pylist()
                 rows = [(doc_ids[d], names[i], n, len(items[i]), n / len(items[i])) for d, i, n in index.matches(texts, threshold)]
                 if rows:
-                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_shared", "n_item", "containment"])
 
         found = docs.select("doc_id", "text").mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return out.join(table.select("key", "item_id"), "key").select("doc_id", "item_id", "n_shared", "n_item", "containment")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item, with their own columns."""
-    for _, own in item_blocks(items):
+    for _, own in item_blocks(item_table(items)):
         shared = docs.sparkSession.sparkContext.broadcast(own)
         plain, back = plainly(docs)
 
