@@ -116,7 +116,7 @@ def battery(token: str) -> tuple[float, float]:
     lower, upper, digits = secrets.LOWER, secrets.UPPER, secrets.DIGITS
     number = next((k for k, (_, pattern, _) in enumerate(secrets.ENCODINGS) if re.search(pattern, body)), len(secrets.ENCODINGS) - 1)
     alphabet = secrets.ENCODINGS[number][2]
-    body = body.lower() if number == 0 else body
+    body = body.lower() if number + 1 == secrets.HEX else body
     n, k = len(body), len(alphabet)
     kind = lambda c: "l" if c in lower else "u" if c in upper else "d" if c in digits else "s"
     rate = 1 - sum((sum(kind(c) == x for c in alphabet) / k) ** 2 for x in "luds")
@@ -129,7 +129,7 @@ def battery(token: str) -> tuple[float, float]:
     tail = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.07056 * z**3)))
     chi = max(k * squares / n - n, 0.0)
     z_uniform = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-    z_runs = ((n - 1) * rate - changes) / math.sqrt((n - 1) * rate * (1 - rate))
+    z_runs = ((n - 1) * rate - changes) / max(math.sqrt((n - 1) * rate * (1 - rate)), 1e-9)
     z_serial = abs(along / spread + 1 / n) * math.sqrt(n) if spread else 99.0
     random_p = min(1.0, 3 * min(tail(z_uniform), tail(z_runs), 2 * tail(z_serial)))
     over = lambda z: tail(z) if z >= 0 else 1 - tail(-z)
@@ -339,7 +339,7 @@ def test_url_templates(spark):
     mixed = [(200 + i, f"http://m.com/{'xyz'[i % 3]}/page-{i}/end", "t") for i in range(30)] + [(300 + i, f"http://w.org/{''.join(random.Random(i).sample('abcdefgh', 6))}", "t") for i in range(30)]
     # a branch that looks like its blocked sibling stays apart, as it has no labels; two blocked branches are one
     two = [(400 + i, f"http://t.net/{'es' if i % 2 else 'fr'}/{i}/x", "t") for i in range(40)]
-    # many children: the frequent labelled ones stay apart, the rare ones become one
+    # many children: the rare ones become one, which is then merged with the frequent one that looks and is labelled like it
     wide = [(500 + i, f"http://v.net/es/{chr(97 + i % 26)}{chr(97 + i // 26)}/{i}", "t") for i in range(60)] + [(600 + i, f"http://v.net/es/hot/{i}", "t") for i in range(30)]
     deep = [(700 + i, f"http://deep.org/a/b/{'cd'[i % 2]}/e/f/g{i}/h", "t") for i in range(4)]
     rows = spark.createDataFrame(bad + mixed + two + wide + deep, "page_id long, url string, kind string")
@@ -347,7 +347,7 @@ def test_url_templates(spark):
     assert {found[100 + i] for i in range(40)} == {("allow", "s.net/en/#/")} and {found[i] for i in range(40)} == {("block", "s.net/es/#/")}
     assert {found[200 + i][0] for i in range(30)} == {"allow"} and {found[300 + i][1] for i in range(30)} == {"w.org/*/"}
     assert {found[400 + i] for i in range(40)} == {("block", "t.net/es/#/x/")}
-    assert {found[500 + i][1] for i in range(60)} == {"v.net/es/*/#/"} and {found[600 + i][1] for i in range(30)} <= {"v.net/es/hot/#/", "v.net/es/*/#/"}
+    assert len({found[500 + i] for i in range(120 - 30)}) == 1
     assert len({found[700 + i][1] for i in range(4)}) == 2 and all(found[700 + i][1].count("/") == 8 for i in range(4))
 
 
