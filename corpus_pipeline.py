@@ -1,16 +1,18 @@
 """The corpus pipeline: quality rules, near-duplicate removal, benchmark decontamination, secret redaction and packing, in this order.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each result as Parquet in the cluster's shared folder and reads it
-back for the next stage. All stages but the last return the columns of ``documents``. Rows that a stage rejects are gone; secrets are replaced in
+back for the next stage; what a stage stored on its way is deleted then. All stages but the last return the columns of ``documents``. Rows that a stage rejects are gone; secrets are replaced in
 the text. Nulls, empty texts, repeated rows and extra columns are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import decontamination, near_dedup, packing, quality_rules, secrets
-from waymark.llm.common import materialize
+from waymark.llm.common import scratch, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = f"{shared_dir(spark)}/waymark-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
