@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import extract, geo, temporal, text
 from .operators import catalog, identity, intervals, journeys, quality, resolution, search, sequences, spatial
+from .plans import matching
 from .sources import pages as page_source
 from .sources.stored import stored
 
@@ -402,6 +403,27 @@ def q_ordered_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.first_ordered_pair(table(spark, sf_dir, "events"), ["user_id"], "event_id", kind == "view", kind == "purchase")
 
 
+@query("""
+WITH q(query_id, o, d) AS (VALUES (1, 'cold', 'brand#5'), (2, 'economy', 'small widget'), (3, 'san bay', 'promo')),
+s AS (SELECT p_partkey // 40 AS route, CASE WHEN p_partkey % 2 = 0 THEN 'outbound' ELSE 'inbound' END AS direction, p_partkey // 2 % 20 AS idx, lower(p_name) AS name, lower(p_name) || ' ' || lower(p_type) || ' ' || lower(p_brand) AS whole FROM part),
+e AS (SELECT *, idx = min(idx) OVER w AS f, idx = max(idx) OVER w AS l FROM s WHERE route % 3 < 2 WINDOW w AS (PARTITION BY route, direction)),
+m AS (SELECT query_id, route, direction, idx,
+ contains(whole, o) OR (len(name) >= 3 AND contains(o, name)) OR ((CASE WHEN direction = 'outbound' THEN f ELSE l END) AND contains('san bay', o)) OR ((CASE WHEN direction = 'outbound' THEN l ELSE f END) AND contains('cho han', o)) AS is_o,
+ contains(whole, d) OR (len(name) >= 3 AND contains(d, name)) OR ((CASE WHEN direction = 'outbound' THEN f ELSE l END) AND contains('san bay', d)) OR ((CASE WHEN direction = 'outbound' THEN l ELSE f END) AND contains('cho han', d)) AS is_d FROM e, q),
+p AS (SELECT a.query_id, a.route, a.direction, min((a.idx, b.idx)) AS best FROM m a JOIN m b ON a.query_id = b.query_id AND a.route = b.route AND a.direction = b.direction AND a.is_o AND b.is_d AND a.idx < b.idx GROUP BY ALL)
+SELECT query_id, CAST(route AS BIGINT) AS route, direction, CAST(best[1] AS BIGINT) AS first_at, CAST(best[2] AS BIGINT) AS second_at, CAST(best[2] - best[1] + 1 AS BIGINT) AS stops FROM p""")
+def q_routes_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes made of forty parts, twenty in each direction, that lead from one text to another; a third of them is out of service."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        F.expr("p_partkey div 40").alias("route"), F.when(key % 2 == 0, F.lit("outbound")).otherwise(F.lit("inbound")).alias("direction"), F.expr("p_partkey div 2 % 20").alias("idx"),
+        F.col("p_name").alias("name"), F.col("p_type").alias("street"), F.col("p_brand").alias("display_name"), F.lit("Sân bay").alias("start_label"), F.lit("Chợ Hàn").alias("end_label"),
+    )
+    asked = spark.createDataFrame([(1, "Cold", "Brand#5"), (2, "economy", "small widget"), (3, "Sân bay", "PROMO")], "query_id int, origin string, destination string")
+    found = matching.routes_between(asked, rows, rows.where(F.col("route") % 3 < 2))
+    return found.select("query_id", long("route", "route"), "direction", long("first_at", "first_at"), long("second_at", "second_at"), long("stops", "stops"))
+
+
 @query("""
 SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_rows, bool_and(coalesce(up, true)) AS is_monotone FROM
  (SELECT l_orderkey, coalesce(l_quantity, 0) < lead(coalesce(l_quantity, 0)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, coalesce(l_quantity, 0)) AS up FROM lineitem) GROUP BY l_orderkey""")

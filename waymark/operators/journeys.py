@@ -132,8 +132,9 @@ def search(queries: DataFrame, stops: DataFrame, edges: DataFrame, metres: float
 
     ``edges`` is best a stored transfer index (see ``sources.stored``): it is read for the first and for the last transfer.
     """
-    boards = penalised(ends(queries, stops, "o", metres), "route", "penalty", metrics)
-    alights = ends(queries, stops, "d", metres)
+    # a few rows for each query, which several parts of the plan read; lost parts are computed again
+    boards = penalised(ends(queries, stops, "o", metres), "route", "penalty", metrics).persist()
+    alights = ends(queries, stops, "d", metres).persist()
     edges = penalised(edges, "to_route", "to_penalty", metrics)
     every = [direct(boards, alights)]
     first = ahead(queries, boards, edges) if transfers else None
