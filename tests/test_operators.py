@@ -49,6 +49,14 @@ def test_gap_clusters(spark):
     assert sorted((r["u"], r["cluster"]) for r in sequences.gap_clusters(rows, ["k"], F.col("u"), 12.0).collect()) == [(0.0, 0), (5.0, 0), (18.0, 1), (30.0, 1), (30.0, 1)]
 
 
+def test_gap_clusters_in_buckets(spark):
+    r = random.Random(23)
+    rows = spark.createDataFrame([(r.choice([1, 2, None]), float(r.randint(0, 900))) for _ in range(200)], "k int, u double")
+    whole = sequences.gap_clusters(rows, ["k"], F.col("u"), 12.0)
+    cut = sequences.gap_clusters(rows, ["k"], F.col("u"), 12.0, F.floor(F.col("u") / 50))
+    assert sorted(map(repr, map(tuple, whole.collect()))) == sorted(map(repr, map(tuple, cut.collect())))
+
+
 def test_alignment():
     names = ["bến xe trung tâm", "lê duẩn", "hùng vương", "chợ hàn", "cầu rồng"]
     assert sequences.align(names, names) == [(i, i, 100) for i in range(5)]

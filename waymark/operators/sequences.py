@@ -37,13 +37,33 @@ def inversions(rows: DataFrame, keys: list[str], at: str, value: str, slack: flo
     return rows.withColumn("back", back).where(F.col("back") > slack)
 
 
-def gap_clusters(rows: DataFrame, keys: list[str], at: Column, gap: float) -> DataFrame:
-    """Add ``cluster``: numbered from 0, a new one where ``at`` is more than ``gap`` beyond the row before."""
-    rows = rows.withColumn("gap_at", at)
-    by = Window.partitionBy(*keys).orderBy("gap_at")
-    fresh = F.when(F.col("gap_at") - F.lag("gap_at").over(by) > gap, 1).otherwise(0)
+def gap_clusters(rows: DataFrame, keys: list[str], at: Column, gap: float, bucket: Column | None = None) -> DataFrame:
+    """Add ``cluster``: numbered from 0, a new one where ``at`` is more than ``gap`` beyond the row before.
+
+    ``bucket``, a number that never falls as ``at`` rises, cuts busy keys: rows look back within their bucket, and the last row and the number of clusters of the
+    buckets before come from a table of buckets. Without it a key is one group.
+    """
+    if bucket is None:
+        bucket = F.lit(0)
+    rows = rows.withColumn("gap_at", at).withColumn("gap_bucket", bucket)
+    cut = [*keys, "gap_bucket"]
+    own, along = Window.partitionBy(*cut).orderBy("gap_at"), Window.partitionBy(*keys).orderBy("gap_bucket")
+
+    def joined(left: DataFrame, table: DataFrame) -> DataFrame:
+        right = table.select(*[F.col(c).alias(f"gap_{k}") for k, c in enumerate(cut)], *[c for c in table.columns if c not in cut])
+        same = F.lit(True)
+        for k, c in enumerate(cut):
+            same = same & F.col(c).eqNullSafe(F.col(f"gap_{k}"))
+        return left.join(right, same).drop(*[f"gap_{k}" for k in range(len(cut))])
+
+    lasts = rows.groupBy(*cut).agg(F.max("gap_at").alias("gap_last")).withColumn("gap_before", F.lag("gap_last").over(along)).drop("gap_last")
+    rows = joined(rows, lasts)
+    fresh = F.when(F.col("gap_at") - F.coalesce(F.lag("gap_at").over(own), "gap_before") > gap, 1).otherwise(0)
     rows = rows.withColumn("gap_fresh", fresh)
-    return rows.withColumn("cluster", F.sum("gap_fresh").over(by.rangeBetween(Window.unboundedPreceding, 0))).drop("gap_at", "gap_fresh")
+    bases = rows.groupBy(*cut).agg(F.sum("gap_fresh").alias("gap_new")).withColumn("gap_base", F.coalesce(F.sum("gap_new").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("gap_new")
+    rows = joined(rows, bases)
+    number = F.col("gap_base") + F.sum("gap_fresh").over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("cluster", number).drop("gap_at", "gap_bucket", "gap_before", "gap_fresh", "gap_base")
 
 
 def with_ends(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
