@@ -75,8 +75,15 @@ def sample_rank(doc_id: Column, seed: int) -> Column:
     return F.xxhash64(doc_id.cast("string"), F.lit(seed))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS, most: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+#: What frees the caches that an operator keeps in reused workers, once another operator runs there.
+forget: list[Callable[[], None]] = []
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS, most: int = 1024, keep_caches: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), each of up to ``limit`` characters and ``most`` rows; a longer text stands alone."""
+    if not keep_caches:
+        for free in forget:
+            free()
     for batch in batches:
         sizes = pc.fill_null(pc.utf8_length(column(batch, text)), 0).to_pylist()
         begin = held = 0

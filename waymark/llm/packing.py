@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialize, text_chunks
+from .common import column, forget, materialize, text_chunks
 
 SEQUENCE, END_ID = 4096, 1
 #: Shards that pieces of one length are ranked in.
 SHARDS = 1024
 #: Distinct words whose ids a task keeps before the older half is dropped.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 #: The normaliser and the splitter for which a text's ids are those of its words. Files with others go to the tokenizer whole.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = {
@@ -70,6 +70,10 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the cache: workers outlive stages, and the next operator needs the memory."""
+        self.young, self.old = {}, {}
+
     def pack(self, ids) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
@@ -101,6 +105,7 @@ def encoder(path: str) -> WordEncoder:
     with _lock:
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
+            forget.append(_encoders[path].forget)
         return _encoders[path]
 
 
@@ -109,9 +114,8 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
-        encode, end = words.encode, np.array([end_id], dtype="<u4").tobytes()
-        for batch, texts in text_chunks(batches):
+        encode, end = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        for batch, texts in text_chunks(batches, keep_caches=True):
             rows: list[tuple] = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts, strict=True):
                 ids = encode(text) + end
@@ -121,9 +125,6 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             cols = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
-        # workers outlive partitions and stages; their memory does not
-        words.young, words.old = {}, {}
-
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
