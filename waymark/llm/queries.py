@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, filter_audit, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filter, warc
+from . import decontamination, filter_audit, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_passages, secrets, substring_dedup, token_alignment, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_language_id": language_id.op10_language_id,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_repeated_passages": repeated_passages.op12_repeated_passages,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontamination.LEAKS_SQL, "op8_near_dedup": near_dedup.CLASSES_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL, "op9_url_filter": url_filter.levels_sql(), "op11_filter_audit": filter_audit.AUDIT_SQL}
+    return {"op1_benchmark_decontamination": decontamination.LEAKS_SQL, "op8_near_dedup": near_dedup.CLASSES_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL, "op9_url_filter": url_filter.levels_sql(), "op11_filter_audit": filter_audit.AUDIT_SQL, "op12_repeated_passages": repeated_passages.PASSAGES_SQL}
