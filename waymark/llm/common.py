@@ -47,11 +47,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and outlives executors."""
+#: The setting by which Spark deletes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str = "table", read_once: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and outlives executors. Where nothing else will run ``df`` (``read_once``), its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/waymark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    if read_once:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -234,16 +234,16 @@ def extended(docs: DataFrame, contested: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keys, pa.array(first.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["k1", "k2", "first", "w1", "w2"])
 
     rows = of_documents(docs.select(*keyed()), contested, "inner").select("k1", "k2", "text", "firsts", "ends")
-    found = materialize(rows.mapInArrow(run, "k1 long, k2 long, first int, w1 long, w2 long"), "windows")
+    found = materialize(rows.mapInArrow(run, "k1 long, k2 long, first int, w1 long, w2 long"), "windows", read_once=True)
     place = F.struct("k1", "k2", "first")
     several = found.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").drop("most")
-    later = found.join(materialize(several, "repeated-windows"), (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")) & (place > F.col("least")))
+    later = found.join(materialize(several, "repeated-windows", read_once=True), (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")) & (place > F.col("least")))
     return later.select("k1", "k2", "first", (F.col("first") + WINDOW).alias("end"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """k1, k2, first, end: stretches of words that repeated windows cover; they may overlap."""
-    found = materialize(met(anchor_rows(docs)), "anchors")
+    found = materialize(met(anchor_rows(docs)), "anchors", read_once=True)
     later = extended(docs, found.where(F.col("kind") == CONTESTED).drop("kind"))
     return found.where(F.col("kind") == REPEATED).drop("kind").unionByName(later)
 
