@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.stored import stored
 
 METRES_PER_DEGREE = 111_000.0
 
@@ -61,13 +63,53 @@ def lengths(points: DataFrame, line: str, at: str) -> DataFrame:
     return segments(points, line, at).groupBy(line).agg((F.count("*") + 1).alias("n_points"), F.sum("metres").alias("metres"))
 
 
-def onto_line(anchors: DataFrame, parts: DataFrame, line: str, anchor: str) -> DataFrame:
-    """For each anchor (line, anchor, a_lat, a_lng) the distance to its line and the progress (0 to 1) of the nearest point; ties go to the first segment."""
+#: Metres around an anchor in which its line is looked for, one ring after the other.
+RINGS = (350.0, 2_800.0, 22_400.0)
+
+
+def rasterised(parts: DataFrame, metres: float, greatest_lat: float) -> DataFrame:
+    """Segments in the cells that they pass. Points of a segment are taken ``metres`` apart at most and cells are 1.6 times as wide, so whatever lies within ``metres`` of the segment has one of its cells next to its own."""
+    steps = F.greatest(F.lit(1), F.ceil(F.coalesce("metres", F.lit(0.0)) / metres)).cast("int")
+    high = 1.6 * metres / METRES_PER_DEGREE
+    wide = high / math.cos(math.radians(greatest_lat))
+    along = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / steps
+    cells = F.array_distinct(F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct(F.floor(along("lat", "next_lat", k) / high).alias("cell_y"), F.floor(along("lng", "next_lng", k) / wide).alias("cell_x"))))
+    return parts.withColumn("cell", F.explode(cells)).select(*parts.columns, "cell.cell_y", "cell.cell_x")
+
+
+def nearest_part(met: DataFrame, keys: list[str]) -> DataFrame:
+    """Of anchors (keys, a_lat, a_lng) that met segments: the keys and b, the nearest segment (off, along in metres, seq); the first among equals."""
     near = geo.point_to_segment(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng"), F.col("next_lat"), F.col("next_lng"))
+    found = F.struct(F.col("near.metres").alias("off"), (F.col("before") + F.col("near.t") * F.col("metres")).alias("along"), "seq")
+    return met.withColumn("near", near).groupBy(*keys).agg(F.min_by(found, F.struct("near.metres", "seq")).alias("b"))
+
+
+def ring_pass(anchors: DataFrame, parts: DataFrame, keys: list[str], metres: float, greatest_lat: float = 60.0) -> DataFrame:
+    """The anchors (keys, the first of which is the line, a_lat, a_lng) with b, the nearest segment of their line if it is within ``metres``. Anchors beyond ``greatest_lat`` get none."""
+    seen = with_cell(anchors.where(F.abs("a_lat") <= greatest_lat), "a_lat", "a_lng", 1.6 * metres, greatest_lat)
+    best = nearest_part(around(seen).join(rasterised(parts, metres, greatest_lat), [keys[0], "cell_y", "cell_x"]), keys).where(F.col("b.off") <= metres)
+    return anchors.join(best, keys, "left")
+
+
+def onto_line(anchors: DataFrame, parts: DataFrame, line: str, anchor: str, rings: tuple[float, ...] = RINGS) -> DataFrame:
+    """For each anchor (line, anchor, a_lat, a_lng) the distance to its line and the progress (0 to 1) of the nearest point; ties go to the first segment.
+
+    Segments are met by grid cells in growing rings; only anchors with nothing in the last ring meet all segments of their line.
+    """
+    parts, keys = stored(parts, "segments"), [line, anchor]
+    left = anchors.select(*keys, "a_lat", "a_lng")
     whole = parts.groupBy(F.col(line).alias("w")).agg(F.sum("metres").alias("whole"))
-    rows = anchors.join(parts, line).withColumn("near", near)
-    best = rows.groupBy(line, anchor).agg(F.min_by(F.struct(F.col("near.metres").alias("off"), (F.col("before") + F.col("near.t") * F.col("metres")).alias("along"), "seq"), F.struct("near.metres", "seq")).alias("b"))
-    return best.join(whole, F.col(line) == F.col("w")).select(line, anchor, F.col("b.off").alias("metres_off"), F.col("b.seq").alias("segment"), F.coalesce(F.try_divide("b.along", "whole"), F.lit(0.0)).alias("progress"))
+    found: list[DataFrame] = []
+    for ring in rings:
+        tried = stored(ring_pass(left, parts, keys, ring), "ring")
+        found.append(tried.where("b IS NOT NULL").select(*keys, "b"))
+        left = tried.where("b IS NULL").select(*left.columns)
+        if left.isEmpty():
+            break
+    else:
+        found.append(nearest_part(left.join(parts, line), keys))
+    best = reduce(DataFrame.unionByName, found)
+    return best.join(whole, F.col(line) == F.col("w")).select(*keys, F.col("b.off").alias("metres_off"), F.col("b.seq").alias("segment"), F.coalesce(F.try_divide("b.along", "whole"), F.lit(0.0)).alias("progress"))
 
 
 def nearest_vertex(points: Column, lat: Column, lng: Column) -> Column:
