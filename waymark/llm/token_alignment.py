@@ -32,7 +32,7 @@ from .common import column, materialize, text_chunks
 from .packing import byte_symbols
 
 #: Characters of texts that are aligned at once, and units that are tokenised in one call.
-SLICE_CHARS, TOGETHER = 6_000_000, 64
+SLICE_CHARS, TOGETHER = 3_000_000, 64
 #: Ids of B take this many bits of a pair's code.
 B_BITS = 15
 SPACE_SIGN = "▁"
