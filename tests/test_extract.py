@@ -21,12 +21,33 @@ def test_fields(spark):
     assert tuple(one(spark, extract.fares(text("Giá vé: 8.000 đồng\nưu tiên: 90.000 đồng, không ưu tiên: 200.000 đồng")))) == (8000, 90000, 200000)
     assert [one(spark, extract.house_number(text(x))) for x in ("Số 128 Lê Duẩn", "12A Hùng Vương", "Đối diện số 7", "Lê Duẩn", None)] == ["128", "12A", "7", "", ""]
     assert [one(spark, extract.opposite(text(x))) for x in ("Đối diện 12", "Số 12", None)] == [True, False, False]
-    assert one(spark, extract.without_badge(text("11 Chợ Hàn"))) == "Chợ Hàn" and one(spark, extract.last_part(text("A - B - C"))) == "C"
-    assert tuple(one(spark, extract.vehicle(text("Thaco 40 chỗ")))) == ("Thaco", 40) and tuple(one(spark, extract.vehicle(text(None)))) == (None, None)
-    assert one(spark, extract.following_departure(F.lit(1430), F.lit(None).cast("int"), F.lit(20))) == 10
+    assert [one(spark, extract.without_badge(text(x))) for x in ("11 Chợ Hàn", "1204 Lê Lợi", "05 12Bến xe", "221 Nguyễn", "7 Lê Duẩn", "30 Hùng Vương", None)] == ["Chợ Hàn", "Lê Lợi", "Bến xe", "1 Nguyễn", "7 Lê Duẩn", "30 Hùng Vương", None]
+    assert [one(spark, extract.last_part(text(x))) for x in ("A - B - C", "X -", "X - ", "chợ", None)] == ["C", "X -", "X - ", "chợ", ""]
 
 
-@pytest.mark.parametrize("begin, end, proven, problem", [("2026-10-01", "2026-10-05", True, None), ("x", "2026-10-05", True, "invalid_date"), (None, "2026-10-05", True, "invalid_date"), ("2026-10-09", "2026-10-05", True, "reversed"), ("2026-10-01", "2026-10-05", None, "unproven")])
+def test_continued_paths(spark):
+    text = lambda x: F.lit(x).cast("string")
+    path = lambda x: tuple(one(spark, extract.paths(text(x))))
+    assert path("Chiều đi: A - B - C\nD - E - F\nG\nChiều về: F\nE - D") == ("A - B - C D - E - F", "F E - D")
+    assert path("CHIỀU ĐI: A - B\nC - Đ1 - E\n") == ("A - B C - Đ", "")
+    assert path("Chiều đi: A - B\nSTT Tên") == ("A - B", "") and path("Chiều đi: A\n1. B") == ("A", "") and path("Chiều đi: A - B\nc - b) Cự ly: 7 km") == ("A - B c -", "")
+
+
+def test_vehicles(spark):
+    read = lambda x: tuple(one(spark, extract.vehicle(F.lit(x).cast("string"))))
+    assert read("Nhãn hiệu: Thaco; Sức chứa: 40 chỗ") == ("Thaco", "40 chỗ", "40 chỗ")
+    assert read("nhãn HIỆU:  Vin\nSức chứa: 68 chỗ (28 ngồi); xe điện") == ("Vin", "68 chỗ (28 ngồi)", "68 chỗ (28 ngồi)")
+    assert read("Xe Điện mới") == ("Xe buýt điện", "", "Xe buýt điện") and read(" GAZelle Next") == ("GAZ", "", "Xe buýt") and read("Thaco 40 chỗ") == ("Chưa có dữ liệu", "", "Xe buýt")
+    assert read(None) == read("  ") == ("Chưa có dữ liệu", "", "Phương tiện")
+    assert [one(spark, extract.seats(F.lit(x).cast("string"))) for x in ("40 chỗ", "68 CHỖ (28)", "?", None)] == [40, 68, None, None]
+
+
+@pytest.mark.parametrize("peak, off, after", [(None, 20, 10), (0, 20, 10), (15, 20, 5), (-5, 0, None), (None, None, None), (0, -1, None)])
+def test_following_departures(spark, peak, off, after):
+    assert one(spark, extract.following_departure(F.lit(1430), F.lit(peak).cast("int"), F.lit(off).cast("int"))) == after
+
+
+@pytest.mark.parametrize("begin, end, proven, problem", [("2026-10-01", "2026-10-05", True, None), ("x", "2026-10-05", True, "invalid_date"), (None, "2026-10-05", True, "invalid_date"), ("2026-10-09", "2026-10-05", True, "reversed"), ("2026-10-01", "2026-10-05", None, "unproven"), ("2024-02-31", "2026-10-05", True, "invalid_date"), ("2024-02-29", "2024-02-29T24:00", True, "invalid_date"), ("2024-02-29", "2024-02-29T23:59:59+07:00", True, None), ("2024-02-29Tx", "2024-03-01", True, "invalid_date"), ("2023-02-29", "2024-03-01", True, "invalid_date")])
 def test_override_problem(spark, begin, end, proven, problem):
     assert one(spark, extract.override_problem(F.lit(begin).cast("string"), F.lit(end).cast("string"), F.lit(proven).cast("boolean"))) == problem
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import catalog, enrichment, identity, intervals, quality, resolution, sequences
+from waymark.operators import catalog, differences, enrichment, identity, intervals, quality, resolution, sequences
 
 
 def test_resolve_reports_ambiguity(spark):
@@ -315,3 +315,81 @@ def test_enrichment(spark):
     s, g = enrichment.with_promoted(stops, spark.createDataFrame([("a", [1], True), ("b", [1], True)], "route string, points array<int>, verified boolean"), promoted, "route")
     assert sorted(map(repr, map(tuple, s.collect()))) == sorted(map(repr, [("a", "verified", 1.0, 1.0), ("a", "x", None, 1.0), ("b", "x", 1.0, 1.0)]))
     assert {r["route"]: (r["points"], r["verified"]) for r in g.collect()} == {"a": ([1], True), "b": (None, False)}
+
+
+def test_successors_take_a_join_a_hop_and_stop_early(spark):
+    chain = [(i, i + 1) for i in range(3)] + [(3, None), (10, 11), (11, 10), (20, 99)] + [(i, i + 1) for i in range(30, 60)]
+    links = spark.createDataFrame(chain, "id int, next int")
+    rows = identity.successors(links.select("id").where("id IN (0, 10, 20, 30)"), links)
+    assert {r["start"]: (r["last"], r["hops"], r["status"]) for r in rows.collect()} == {0: (3, 3, "resolved"), 10: (11, 1, "cycle_detected"), 20: (99, 1, "broken_successor_reference"), 30: (40, 10, "max_hops_exceeded")}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == 11
+    short = identity.successors(links.select("id").where("id = 0"), links)
+    assert short._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 4
+    assert identity.successors(links.select("id").limit(0), links).count() == 0
+
+
+def brute_differences(a, b, ignored, slack, path="", name=""):
+    """Of dicts (structs), lists and plain values; a Map is compared by keys that are there."""
+    if name in ignored:
+        return []
+    step = lambda p, s: f"{p}.{s}" if p else s
+    if a is None or b is None:
+        return [] if a is None and b is None else [path]
+    if isinstance(a, dict):
+        out = []
+        for k in sorted(a.keys() | b.keys()) if isinstance(a, Map) else a:
+            if (k in a) != (k in b):
+                out.append(step(path, k))
+            else:
+                out += brute_differences(a[k], b[k], ignored, slack, step(path, k), name if isinstance(a, Map) else step(name, k))
+        return out
+    if isinstance(a, list):
+        out = [step(path, "size")] if len(a) != len(b) else []
+        for i, (x, y) in enumerate(zip(a, b)):
+            out += brute_differences(x, y, ignored, slack, f"{path}[{i}]", name)
+        return out
+    if isinstance(a, float):
+        return [] if abs(a - b) <= slack or a == b else [path]
+    return [] if a == b else [path]
+
+
+class Map(dict):
+    pass
+
+
+def plain(v):
+    return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else v
+
+
+NESTED = "k int, v struct<at:string,n:struct<x:double,s:string>,l:array<struct<p:double,tags:array<string>>>,m:map<string,struct<y:double,at:string>>>"
+
+
+def nested_value(r):
+    number = lambda: r.choice([None, 1.0, 1.0, 1.004, 2.0])
+    word = lambda: r.choice([None, "a", "a", "b"])
+    maybe = lambda make: make() if r.random() < 0.85 else None
+    item = lambda: maybe(lambda: {"p": number(), "tags": maybe(lambda: [word() for _ in range(r.randint(0, 2))])})
+    return maybe(lambda: {"at": word(), "n": maybe(lambda: {"x": number(), "s": word()}), "l": maybe(lambda: [item() for _ in range(r.randint(0, 3))]), "m": maybe(lambda: Map({k: maybe(lambda: {"y": number(), "at": word()}) for k in "uvw" if r.random() < 0.6}))})
+
+
+@pytest.mark.parametrize("ignored, slack", [((), 0.0), (("v.at", "v.m.at"), 0.01), (("v.l", "v.n.s"), 0.0)])
+def test_nested_differences(spark, ignored, slack):
+    r = random.Random(6)
+    a, b = ([(k, nested_value(r)) for k in range(300)] for _ in range(2))
+    a.append((None, nested_value(r)))
+    b.append((900, None))
+    found = differences.nested_drift(*[spark.createDataFrame([(k, plain(v)) for k, v in rows], NESTED) for rows in (a, b)], ["k"], ignored, slack)
+    got = {x["k"]: (x["drift"], [d["path"] for d in x["differences"]]) for x in found.collect()}
+    expected = {None: ("only_stored", []), 900: ("only_computed", [])}
+    for (k, x), (_, y) in zip(a[:300], b[:300]):
+        if paths := brute_differences(x, y, ignored, slack, "v", "v"):
+            expected[k] = ("changed", paths)
+    assert got == expected
+
+
+def test_differences_of_other_types(spark):
+    stored = spark.createDataFrame([(1, (1, "x", [1]), {"a": 1})], "k int, v struct<a:int,b:string,c:array<int>>, m map<string,int>")
+    computed = spark.createDataFrame([(1, (1.0, 5, "z"), {"a": 2})], "k int, v struct<a:double,d:int,c:string>, m map<string,int>")
+    got = differences.nested_drift(stored, computed, ["k"]).first()["differences"]
+    assert [tuple(d) for d in got] == [("v.b", "x", None), ("v.c", "[1]", "z"), ("v.d", None, "5"), ("m.a", "1", "2")]

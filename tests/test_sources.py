@@ -17,13 +17,33 @@ def test_html_tables(spark):
     rows = pages.table_rows(spark.createDataFrame([(1, HTML), (2, None), (3, "no table")], "k int, html string"), "k").cache()
     assert rows.count() == 5
     two = {(r["direction"], r["ordinal"], r["name"]) for r in pages.two_way_stops(rows.where(F.col("table") == 0), "k").collect()}
-    assert two == {("outbound", 1, "A&nbsp;b"), ("inbound", 1, "D"), ("outbound", 2, "B")}
+    assert two == {("outbound", 1, "A b"), ("inbound", 1, "D"), ("outbound", 2, "B")}
     trip = pages.timetables(rows.where(F.col("table") == 1), "k").first()
     assert trip["departure"] == "5:00" and trip["timeline"] == {"Trip": "5:00", "A": "5:10"}
     one = [(r["ordinal"], r["name"]) for r in pages.one_way_stops(rows.where(F.col("table") == 1), "k", ["trip"]).collect()]
     assert one == [(1, "5:00")]
 
 
+def rows_of(html):
+    return [(t, around, r, cells) for t, around, r, cells in pages.Tables().of(html)]
+
+
+def test_nested_and_unclosed_tables(spark):
+    assert rows_of("<table><tr><td>a<td>b<tr><td>c</table>") == [(0, None, 0, ["a", "b"]), (0, None, 1, ["c"])]
+    assert rows_of("<table><tr><td>x<table><tr><td>in<tr><td>ner</table>y</td><td>z</td></tr><tr><th>q</table>") == [(0, None, 0, ["xinnery", "z"]), (0, None, 1, ["q"]), (1, 0, 0, ["in"]), (1, 0, 1, ["ner"])]
+    # a table and a row left open, a cell without a row, a row without cells, text outside of cells, tags that are none
+    assert rows_of("t<table><caption>c</caption><td>1 < 2 &lt; 3<td>b") == [(0, None, 0, ["1 < 2 < 3", "b"])]
+    assert rows_of("<table><tbody><tr></tr>x<tr><td></td></tbody><tfoot><td>f</tfoot></table></table></td><td>no") == [(0, None, 0, []), (0, None, 1, [""]), (0, None, 2, ["f"])]
+    assert rows_of("<table><tr><td>a<!-- <td>no --><b>b</b><br>c</td></tr></table><TABLE><TR><TD a='<td>'>d") == [(0, None, 0, ["abc"]), (1, None, 0, ["d"])]
+    assert rows_of("") == rows_of("<tr><td>x</td></tr>") == []
+    deep = "<table><tr><td>" * 300 + "x"
+    assert [(t, around) for t, around, _, _ in rows_of(deep)] == [(0, None)] + [(k, k - 1) for k in range(1, 300)]
+    table = spark.createDataFrame([("k1", deep), (None, "<table><td>n"), ("k2", None), ("k3", "")], "name string, html string").repartition(3)
+    found = pages.table_rows(table, "name").collect()
+    assert len(found) == 301 and [r["cells"] for r in found if r["name"] is None] == [["n"]]
+    assert pages.table_rows(table.limit(0), "name").count() == 0
+
+
 def test_line_ranges(spark):
     texts, ranges = spark.createDataFrame([(1, "a\nb\nc")], "k int, t string"), spark.createDataFrame([(1, "x", 2, 3)], "k int, part string, first_line int, last_line int")
     assert [r["line"] for r in pages.line_ranges(texts, ranges, "k", "t").orderBy("at").collect()] == ["b", "c"]
@@ -44,6 +64,56 @@ def test_catalog_round_trip(spark, tmp_path):
         catalogs.load(spark, f"file://{tmp_path}", ["streets"])["streets"].collect()
 
 
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/t", lambda n: spark.range(n)
+    assert catalogs.publish(rows(1), path) == 1
+    # both have read version 1
+    assert catalogs.publish(rows(2), path, after=1) == 2
+    with pytest.raises(catalogs.Conflict):
+        catalogs.publish(rows(3), path, after=1)
+
+    class Slow:
+        """Rows whose writing lets another writer be first."""
+
+        sparkSession = spark
+
+        @property
+        def write(self):
+            catalogs.publish(rows(4), path)
+            return rows(5).write
+
+    with pytest.raises(catalogs.Conflict):
+        catalogs.publish(Slow(), path)
+    assert catalogs.versions(spark, path) == [1, 2, 3] and catalogs.published(spark, path).count() == 4
+    assert len([d for d in (tmp_path / "t").iterdir() if d.name.startswith("data-")]) == 3  # the refused writer's data are gone
+    assert catalogs.published(spark, path, version=1).count() == 1
+
+
+def test_old_versions_and_claims(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    with pytest.raises(ValueError):
+        catalogs.published(spark, path)
+    for n in range(1, 5):
+        catalogs.publish(spark.range(n).withColumn("p", F.col("id") % 2), path, "json", ["p"])
+    # a writer that ended between its claim and its content
+    claim = tmp_path / "t" / "_versions" / "0000000005"
+    claim.touch()
+    (tmp_path / "t" / "data-left").mkdir()
+    assert catalogs.published(spark, path, "json").count() == 4
+    with pytest.raises(catalogs.Conflict):
+        catalogs.publish(spark.range(1), path)
+    assert catalogs.withdraw(spark, path) and not catalogs.withdraw(spark, path) and not claim.exists()
+    before = catalogs.published(spark, path, "json")
+    assert catalogs.prune(spark, path, 2) == [1, 2] and (tmp_path / "t" / "data-left").exists()
+    assert catalogs.prune(spark, path, 2, hours=-1.0) == [] and not (tmp_path / "t" / "data-left").exists()
+    assert catalogs.versions(spark, path) == [3, 4] and before.count() == 4
+    assert catalogs.publish(spark.range(9), path, "json") == 5
+    with pytest.raises(ValueError):
+        catalogs.published(spark, path, "json", 1)
+    with pytest.raises(ValueError):
+        catalogs.prune(spark, path, 0)
+
+
 def test_patches_win_with_nulls(spark):
     rows, patches = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int"), spark.createDataFrame([(1, None)], "k int, v string")
     assert {tuple(r) for r in catalogs.patched(rows, patches, "k", ["v"]).collect()} == {(1, None, 1), (2, "b", 2)}

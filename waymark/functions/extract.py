@@ -18,14 +18,14 @@ def numbers(text: Column) -> Column:
 
 
 #: Labels of the fields in a route's description, and words that end a path or mark a fare.
-START, END = r"(?i)Điểm đầu:\s*([^\n\r;]+)", r"(?i)Điểm cuối:\s*([^\n\r;]+)"
-HOURS = r"(?i)(?:Thời gian hoạt động|Thời gian mở tuyến|Thời gian hoạt động hàng ngày)[^:]*:\s*([^\n\r]+)"
-FREQUENCY = r"(?i)(?:Tần suất hoạt động|Tần suất chạy xe|Giãn cách chạy xe)[^:]*:\s*([^\n\r]+)"
-DISTANCE = r"(?i)(?:^|\n)\s*(?:(?:\d+\.|\b[a-z]\))\s*)?Cự ly(?!\s+di\s+chuyển)(?:\s+tuyến|\s+toàn\s+tuyến|\s*\(.*?\))?\s*:\s*([^\n\r]+)"
+START, END = r"(?iu)Điểm đầu:\s*([^\n\r;]+)", r"(?iu)Điểm cuối:\s*([^\n\r;]+)"
+HOURS = r"(?iu)(?:Thời gian hoạt động|Thời gian mở tuyến|Thời gian hoạt động hàng ngày)[^:]*:\s*([^\n\r]+)"
+FREQUENCY = r"(?iu)(?:Tần suất hoạt động|Tần suất chạy xe|Giãn cách chạy xe)[^:]*:\s*([^\n\r]+)"
+DISTANCE = r"(?iu)(?:^|\n)\s*(?:(?:\d+\.|\b[a-z]\))\s*)?Cự ly(?!\s+di\s+chuyển)(?:\s+tuyến|\s+toàn\s+tuyến|\s*\(.*?\))?\s*:\s*([^\n\r]+)"
 FARE_WORDS = ("đồng", "hành khách", "giá vé", "vé lượt", "trở xuống", "trở lên")
-PATHS = {side: rf"(?i)(?:{label}):\s*([^\n\r]+)" for side, label in (("outbound", r"Chiều đi|\+ Chiều đi|Hành trình chạy xe:\s*Chiều đi"), ("inbound", r"Chiều về|\+ Chiều về"))}
+PATHS = {side: rf"(?iu)(?:{label}):\s*([^\n\r]+(?:\n[^\n\r#1-9STT\+]+)?)" for side, label in (("outbound", r"Chiều đi|\+ Chiều đi|Hành trình chạy xe:\s*Chiều đi"), ("inbound", r"Chiều về|\+ Chiều về"))}
 PATH_ENDS = ("STT", "Bảng điểm dừng", "4. Giá vé", "5. Cự ly", "b) Cự ly", "2. Điểm đầu")
-PRIORITY, REGULAR = r"(?i)ưu tiên[^:]*:\s*([\d.]+)\s*đồng", r"(?i)không ưu tiên[^:]*:\s*([\d.]+)\s*đồng"
+PRIORITY, REGULAR = r"(?iu)ưu tiên[^:]*:\s*([\d.]+)\s*đồng", r"(?iu)không ưu tiên[^:]*:\s*([\d.]+)\s*đồng"
 SINGLE = ("8.000 đồng", 8000)
 
 
@@ -69,7 +69,10 @@ def headways(text: Column) -> Column:
 
 
 def paths(text: Column) -> Column:
-    """struct<outbound, inbound>: the path texts of both directions, cut where the next section begins."""
+    """struct<outbound, inbound>: the path texts of both directions, cut where the next section begins.
+
+    A path may go on in the next line, as far as that holds no digit from 1 to 9, ``#``, ``+`` or letter of the table's heading.
+    """
 
     def cut(path: Column) -> Column:
         for word in PATH_ENDS:
@@ -96,29 +99,60 @@ def opposite(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike(r"^(?:đối diện|đd)\b|\(đối diện\)")
 
 
+#: Fixed value: badges of routes before a stop's name, 01 to 29.
+BADGES = r"^(?:(?:0[1-9]|[12][0-9])\s*)+"
+
+
 def without_badge(label: Column) -> Column:
-    """A label without the route digits before it."""
-    return F.regexp_replace(label, r"^\d+\s+", "")
+    """A label without the route badges before it. Other numbers, such as those of houses, stay unless they begin like a badge."""
+    return F.regexp_replace(label, BADGES, "")
 
 
 def last_part(text: Column) -> Column:
-    """What stands after the last dash."""
-    return cleaned(F.regexp_replace(text, "^.*-", ""))
+    """What stands after the last dash; the whole label where that is empty."""
+    tail = cleaned(F.regexp_replace(text, "^.*-", ""))
+    return F.when(tail != "", tail).otherwise(F.coalesce(text, F.lit("")))
+
+
+#: Labels in the text of a vehicle, the brand named by its beginning, the word of electric ones, and what is said without figures.
+BRAND, CAPACITY = r"(?iu)Nhãn hiệu:\s*([^;\n]+)", r"(?iu)Sức chứa:\s*([^;\n]+)"
+NAMED_BRAND, ELECTRIC_WORD = "GAZ", "điện"
+ELECTRIC, BUS, VEHICLE, NO_DATA = "Xe buýt điện", "Xe buýt", "Phương tiện", "Chưa có dữ liệu"
 
 
 def vehicle(text: Column) -> Column:
-    """struct<brand, seats>: words before the first digit or comma, and the number before ``chỗ``."""
-    brand = cleaned(F.regexp_extract(F.coalesce(text, F.lit("")), r"^([^\d,;]*)", 1))
-    return F.struct(F.when(brand != "", brand).alias("brand"), F.regexp_extract(F.coalesce(text, F.lit("")), r"(\d+)\s*chỗ", 1).try_cast("int").alias("seats"))
+    """struct<brand, capacity, description>: what stands behind the labels of brand and capacity. Without a brand a named or electric one, without a capacity the kind of bus describes it."""
+    raw = F.coalesce(text, F.lit(""))
+    labelled = lambda pattern: cleaned(F.regexp_extract(raw, pattern, 1))
+    electric = F.lower(raw).contains(ELECTRIC_WORD)
+    named = F.when(raw.rlike(BRAND), labelled(BRAND)).when(cleaned(raw).startswith(NAMED_BRAND), F.lit(NAMED_BRAND)).otherwise(F.lit(""))
+    capacity = labelled(CAPACITY)
+    brand = F.when(named != "", named).when(electric, F.lit(ELECTRIC)).otherwise(F.lit(NO_DATA))
+    described = F.when(capacity != "", capacity).when(electric, F.lit(ELECTRIC)).otherwise(F.lit(BUS))
+    full = F.struct(brand.alias("brand"), capacity.alias("capacity"), described.alias("description"))
+    return F.when(cleaned(raw) == "", F.struct(F.lit(NO_DATA).alias("brand"), F.lit("").alias("capacity"), F.lit(VEHICLE).alias("description"))).otherwise(full)
+
+
+def seats(capacity: Column) -> Column:
+    """The number before ``chỗ`` in a capacity."""
+    return F.regexp_extract(F.coalesce(capacity, F.lit("")), r"(?iu)(\d+)\s*chỗ", 1).try_cast("int")
 
 
 def following_departure(minute: Column, peak: Column, off_peak: Column) -> Column:
-    """The departure after one, by the peak headway or else the other, over midnight; null without a headway."""
-    return F.pmod(minute + F.coalesce(peak, off_peak), F.lit(1440))
+    """The departure after one, by the first positive headway of peak and off-peak, over midnight; null without one."""
+    positive = lambda c: F.when((c > 0) & (c.cast("double") < F.lit(float("inf"))), c)
+    return F.pmod(minute + F.coalesce(positive(peak), positive(off_peak)), F.lit(1440))
+
+
+#: A date, or a date and a time of day with an optional zone.
+DATE_FORM = r"^\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?)?(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?)?$"
+
+
+def is_date(text: Column) -> Column:
+    """Whether a text names a day that exists, with or without a time."""
+    return F.coalesce(text.rlike(DATE_FORM) & F.substring(text, 1, 10).try_cast("date").isNotNull(), F.lit(False))
 
 
 def override_problem(begin: Column, end: Column, proven: Column) -> Column:
-    """The first problem of an override: bounds that are no dates, in wrong order, or missing provenance."""
-    date = r"^\d{4}-\d{2}-\d{2}(T.*)?$"
-    valid = F.coalesce(begin.rlike(date) & end.rlike(date), F.lit(False))
-    return F.when(~valid, F.lit("invalid_date")).when(begin > end, F.lit("reversed")).when(~F.coalesce(proven, F.lit(False)), F.lit("unproven"))
+    """The first problem of an override: bounds that are no dates, in wrong order (as texts), or missing provenance."""
+    return F.when(~(is_date(begin) & is_date(end)), F.lit("invalid_date")).when(begin > end, F.lit("reversed")).when(~F.coalesce(proven, F.lit(False)), F.lit("unproven"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 MAX_HOPS = 10
 
 
@@ -29,20 +31,20 @@ def successors(starts: DataFrame, links: DataFrame, most: int = MAX_HOPS) -> Dat
     """Follow links (id, next) from each start (id): last, hops and status.
 
     Status: resolved (no further link), broken_successor_reference (a link to an unknown id), cycle_detected or max_hops_exceeded. Each hop is one join of the
-    starts still on their way.
+    starts still on their way, stored before the next one, and there are as many as the longest chain needs.
     """
     known = links.select(F.col("id").alias("k_id"), F.col("next").alias("k_next"))
     way = starts.select(F.col("id").alias("start"), F.col("id").alias("last"), F.array("id").alias("path"))
     done: list[DataFrame] = []
     for hop in range(most + 1):
-        here = way.join(known, F.col("last") == F.col("k_id"), "left")
         status = F.when(F.col("k_id").isNull(), F.lit("broken_successor_reference")).when(F.col("k_next").isNull(), F.lit("resolved")).when(F.array_contains("path", F.col("k_next")), F.lit("cycle_detected"))
         if hop == most:
             status = F.coalesce(status, F.lit("max_hops_exceeded"))
-        here = here.withColumn("status", status)
+        here = stored(way.join(known, F.col("last") == F.col("k_id"), "left").withColumn("status", status), "hop")
         done.append(here.where(F.col("status").isNotNull()).select("start", "last", F.lit(hop).alias("hops"), "status"))
-        if hop < most:
-            way = here.where(F.col("status").isNull()).select("start", F.col("k_next").alias("last"), F.concat("path", F.array("k_next")).alias("path"))
+        way = here.where(F.col("status").isNull()).select("start", F.col("k_next").alias("last"), F.concat("path", F.array("k_next")).alias("path"))
+        if way.isEmpty():
+            break
     return reduce(DataFrame.unionByName, done)
 
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.extract import BADGES
+
 #: Fixed values of the alignment: words that carry no meaning, window around the last match, least score.
 STOP_WORDS = ("số", "đối", "diện", "đường", "bến", "xe")
 BACK, AHEAD, LEAST_SCORE = 2, 8, 50
@@ -86,7 +88,7 @@ def ray_labels(items: DataFrame, keys: list[str], split: float = UPPER_TO) -> Da
     rows = gap_clusters(rows, [*keys, "side"], F.col("left") + F.col("top"), LABEL_GAP)
     parts = F.array_sort(F.collect_list(F.struct("left", "top", "text")))
     found = rows.groupBy(*keys, "side", "cluster").agg(F.avg("left").alias("mean_left"), parts.alias("parts"))
-    label = F.regexp_replace(F.trim(F.array_join(F.col("parts.text"), "")), r"^(?:(?:0[1-9]|[12][0-9])\s*)+", "")
+    label = F.regexp_replace(F.trim(F.array_join(F.col("parts.text"), "")), BADGES, "")
     found = found.withColumn("label", label).where((F.length("label") > 1) & ~F.col("label").rlike(r"^\d{1,2}$"))
     return found.select(*keys, "side", "mean_left", "label")
 

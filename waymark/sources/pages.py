@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from html.parser import HTMLParser
 
-from ..functions.text import cleaned
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def elements(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -14,17 +17,84 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("title", F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1)).withColumn("items", every(r"(?s)<li[^>]*>(.*?)</li>")).withColumn("links", every(r'<a [^>]*href="([^"]*)"'))
 
 
-def plain(cell: Column) -> Column:
-    return cleaned(F.regexp_replace(cell, "<[^>]*>", " "))
+class Tables(HTMLParser):
+    """Rows of all tables of a page. A stack holds the open tables, so nested ones stay apart; cells and rows that are not closed end where the next one begins or an outer one ends."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[tuple[int, int | None, int, list[str]]] = []  # table, the table around it, row, cells
+        self.open: list[dict] = []
+        self.count = 0
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "table":
+            self.open.append({"table": self.count, "around": self.open[-1]["table"] if self.open else None, "row": -1, "cells": None, "cell": None})
+            self.count += 1
+        elif self.open and tag == "tr":
+            self.end_row()
+            self.begin_row()
+        elif self.open and tag in ("td", "th"):
+            self.end_cell()
+            if self.open[-1]["cells"] is None:
+                self.begin_row()
+            self.open[-1]["cell"] = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.open and tag in ("td", "th"):
+            self.end_cell()
+        elif self.open and tag in ("tr", "tbody", "thead", "tfoot"):
+            self.end_row()
+        elif self.open and tag == "table":
+            self.end_row()
+            self.open.pop()
+
+    def handle_data(self, data: str) -> None:
+        for t in self.open:  # text of a nested table belongs to the cell around it as well
+            if t["cell"] is not None:
+                t["cell"].append(data)
+
+    def begin_row(self) -> None:
+        self.open[-1]["row"] += 1
+        self.open[-1]["cells"] = []
+
+    def end_cell(self) -> None:
+        t = self.open[-1]
+        if t["cell"] is not None:
+            t["cells"].append(" ".join("".join(t["cell"]).replace("\u00a0", " ").split()))
+            t["cell"] = None
+
+    def end_row(self) -> None:
+        self.end_cell()
+        t = self.open[-1]
+        if t["cells"] is not None:
+            self.rows.append((t["table"], t["around"], t["row"], t["cells"]))
+            t["cells"] = None
+
+    def of(self, html: str) -> list[tuple[int, int | None, int, list[str]]]:
+        self.feed(html)
+        self.close()
+        while self.open:
+            self.handle_endtag("table")
+        return sorted(self.rows, key=lambda r: (r[0], r[2]))
 
 
 def table_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, table, row and cells (texts) of every row of every table; nested tables are not told apart."""
-    every = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</(?:{tag})>"), F.lit(1))
-    tables = pages.select(key, F.posexplode(every(F.col(html), "table")).alias("table", "inner"))
-    rows = tables.select(key, "table", F.posexplode(every(F.col("inner"), "tr")).alias("row", "inner"))
-    cells = F.transform(F.regexp_extract_all("inner", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), plain)
-    return rows.select(key, "table", "row", cells.alias("cells"))
+    """key, table, around, row and cells (texts) of every row of every table; tables are numbered from 0 in the order in which they begin, and ``around`` is the number of the table that a nested one stands in.
+
+    The pages go through the standard library's tokenizer in Arrow batches, as open elements are a matter of order. Null pages have no rows.
+    """
+    kind = pages.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *row) for i, text in enumerate(batch.column(1).to_pylist()) if text for row in Tables().of(text)]
+            i, table, around, row, cells = zip(*found, strict=True) if found else ((),) * 5
+            cols = [batch.column(0).take(pa.array(i, pa.int32())), pa.array(table, pa.int32()), pa.array(around, pa.int32()), pa.array(row, pa.int32()), pa.array(cells, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "table", "around", "row", "cells"])
+
+    numbers = [StructField(n, IntegerType()) for n in ("table", "around", "row")]
+    schema = StructType([StructField(key, kind), *numbers, StructField("cells", ArrayType(StringType()))])
+    return pages.select(key, html).mapInArrow(run, schema)
 
 
 def two_way_stops(rows: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_queries import LAT, LNG, STOPS_SQL, at, long, query, stops, table
-from .operators import geometry, spatial
+from .functions import extract
+from .operators import differences, geometry, spatial
+from .sources import pages as page_source
+from .streaming import state
 
 #: SQL of segments with their metres and what lies before them, and of anchors (route, k, name, y, x) projected onto the segments of their route.
 PARTS_SQL = """s AS (SELECT route, idx, lat, lng, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng FROM p WINDOW w AS (PARTITION BY route ORDER BY idx)),
@@ -54,3 +57,92 @@ def q_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = geometry.validated(points, anchors, "route", expected)
     whole = lambda c, k=1: F.floor(F.col(c) * k).cast("double").alias(c)
     return found.select(long("route", "route"), long("n_points", "n_points"), long("n_anchors", "n_anchors"), whole("metres"), whole("most_off", 10), "off_name", whole("off_metres"), whole("back_from", 1000), whole("back_to", 1000), "code")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, ts, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), ts, event_id) AS after FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT event_id, user_id FROM e WHERE after IS NULL OR after - epoch_ms(ts) >= 3600000""")
+def q_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after which their user is quiet for an hour."""
+    return state.debounced(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3_600_000).select("event_id", "user_id")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id // 30 AS k, event_id % 3 <> 0 AS answer, event_id % 30 // 6 AS n, epoch_ms(ts) AS ms FROM events),
+s AS (SELECT *, coalesce(sum(CASE WHEN ms - before > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ms, answer ROWS UNBOUNDED PRECEDING), 0) AS stretch FROM (SELECT *, lag(ms) OVER (PARTITION BY k ORDER BY ms, answer) AS before FROM e)),
+w AS (SELECT *, max(CASE WHEN NOT answer THEN n END) OVER (PARTITION BY k, stretch ORDER BY ms, answer) AS newest FROM s)
+SELECT event_id, CAST(n AS BIGINT) AS n FROM w WHERE answer AND n = newest""")
+def q_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to the newest request of their group of thirty events."""
+    key = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 30").alias("k"), F.when(key % 3 == 0, F.lit("request")).otherwise(F.lit("response")).alias("kind"), F.expr("event_id % 30 div 6").alias("n"), "ts")
+    return state.fresh_of(rows, "k", "kind", "n", "ts", 3_600_000_000).select("event_id", long("n", "n"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+d AS (SELECT k, n, CASE WHEN k % 23 = 6 THEN 'only_stored' WHEN k % 23 = 7 THEN 'only_computed' ELSE 'changed' END AS drift,
+ CASE WHEN k % 23 IN (6, 7) THEN '' ELSE concat_ws(',', CASE WHEN k % 17 = 5 THEN 'counts' WHEN k % 5 = 1 THEN 'counts.qty' END, CASE WHEN k % 11 = 3 THEN 'lines.size' END, CASE WHEN k % 7 = 2 AND NOT (k % 11 = 3 AND n = 1) THEN 'lines[0].price' END, CASE WHEN k % 13 = 4 THEN 'flags.extra' END, CASE WHEN k % 3 = 0 THEN 'flags.few' END) END AS paths FROM l)
+SELECT k AS key, drift, paths FROM d WHERE drift <> 'changed' OR paths <> ''""")
+def q_nested_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with nested counts, lines and flags against changed forms of themselves; the time of evaluation always differs and doesn't count."""
+    k = F.col("key")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_extendedprice").cast("double").alias("price")))).alias("lines"))
+
+    def form(changed: bool) -> DataFrame:
+        if_ = lambda test, then, other: F.when(test, then).otherwise(other) if changed else other
+        counts = F.struct("n", if_(k % 5 == 1, F.col("qty").cast("double") + 1, F.col("qty").cast("double")).alias("qty"))
+        dearer = F.transform("lines", lambda x, i: F.struct(x["number"].alias("number"), F.when(i == 0, x["price"] + 1).otherwise(x["price"] + 0.001).alias("price")))
+        lines = if_(k % 7 == 2, dearer, F.col("lines"))
+        lines = if_(k % 11 == 3, F.slice(lines, F.lit(1), F.size(lines) - 1), lines)
+        flags = F.create_map(F.lit("few"), if_(k % 3 == 0, F.lit(0), F.lit(1)))
+        flags = if_(k % 13 == 4, F.map_concat(flags, F.create_map(F.lit("extra"), F.lit(2))), flags)
+        whole = [F.lit("now" if changed else "then").alias("evaluatedAt"), if_(k % 17 == 5, F.lit(None), counts).alias("counts"), lines.alias("lines"), flags.alias("flags")]
+        return rows.where(k % 23 != (6 if changed else 7)).select("key", *whole)
+
+    found = differences.nested_drift(form(False), form(True), ["key"], ["evaluatedAt"], 0.01)
+    return found.select("key", "drift", F.array_join("differences.path", ",").alias("paths"))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[^A-Za-z0-9:/._-]', '', 'g') AS u FROM pages)
+SELECT page_id, CAST(0 AS BIGINT) AS "table", CAST(NULL AS BIGINT) AS around, CAST(0 AS BIGINT) AS "row", 'No|Page' AS cells FROM p
+UNION ALL SELECT page_id, 0, NULL, 1, page_id || '|' || u || ' & in' || page_id % 7 || 'tail' FROM p
+UNION ALL SELECT page_id, 1, 0, 0, 'in' || page_id % 7 FROM p
+UNION ALL SELECT page_id, 1, 0, 1, 'x|' FROM p WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 0, NULL, 2, 'end' FROM p
+UNION ALL SELECT page_id, 2, NULL, 0, 'after' FROM p WHERE page_id % 3 = 0""")
+def q_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of nested tables with unclosed rows and cells, made up from each page's number and address."""
+    key, s = F.col("page_id"), lambda c: c.cast("string")
+    plain = F.regexp_replace(F.coalesce("url", F.lit("")), "[^A-Za-z0-9:/._-]", "")
+    inner = F.concat(F.lit("<table class='a'><tr><td>in"), s(key % 7), F.when(key % 2 == 0, F.lit("<tr><th>")).otherwise(F.lit("")), F.when(key % 2 == 0, F.lit("x<td></table>")).otherwise(F.lit("</td></tr></table>")))
+    # the text of the nested table belongs to the outer cell as well, so its second row is left out of it there
+    html = F.concat(F.lit("<p><TABLE><thead><tr><th>No<th> Page </thead><tbody><tr><td>"), s(key), F.lit("<td>"), plain, F.lit(" &amp;&nbsp;"), inner, F.lit("tail<tr><td><b>end</b></tbody>"), F.when(key % 3 == 0, F.lit("</table><table><td>after")).otherwise(F.lit("")))
+    rows = page_source.table_rows(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id")
+    cells = F.transform("cells", lambda c: F.when((F.col("table") == 0) & (key % 2 == 0), F.regexp_replace(c, "(in[0-9])x", "$1")).otherwise(c))
+    return rows.select("page_id", long("table", "table"), long("around", "around"), long("row", "row"), F.array_join(cells, "|").alias("cells"))
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey AS k, p_size AS z, '2024-' || lpad(CAST(1 + p_size % 12 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + p_partkey % 31 AS VARCHAR), 2, '0') AS begin FROM part),
+h AS (SELECT *, CASE WHEN z % 4 > 1 THEN (z % 4 - 1) * 10 WHEN z % 3 > 0 THEN z % 3 * 15 END AS headway FROM p)
+SELECT k AS p_partkey, regexp_replace(lpad(CAST(z % 40 AS VARCHAR), 2, '0') || ' ' || (k % 100) || ' Le', '^(?:(?:0[1-9]|[12][0-9])\s*)+', '') AS label,
+ CASE k % 3 WHEN 0 THEN 'B' || z WHEN 1 THEN 'X -' ELSE 'plain ' || z END AS tail,
+ 'A - B' || CASE k % 4 WHEN 0 THEN ' C - D' WHEN 3 THEN ' C -' ELSE '' END AS path,
+ CASE k % 5 WHEN 0 THEN 'Thaco' WHEN 1 THEN 'GAZ' WHEN 2 THEN 'Xe buýt điện' ELSE 'Chưa có dữ liệu' END AS brand, CASE k % 5 WHEN 0 THEN z || ' chỗ' ELSE '' END AS capacity,
+ CASE k % 5 WHEN 0 THEN z || ' chỗ' WHEN 2 THEN 'Xe buýt điện' WHEN 4 THEN 'Phương tiện' ELSE 'Xe buýt' END AS description,
+ CAST((k % 1440 + headway) % 1440 AS BIGINT) AS following,
+ CASE WHEN try_cast(begin AS DATE) IS NULL THEN 'invalid_date' WHEN begin > '2024-06-15' THEN 'reversed' WHEN k % 7 = 0 THEN 'unproven' END AS problem FROM h""")
+def q_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Badges, tails, continued paths, vehicles, following departures and override dates in forms that differ by a part's key and size."""
+    k, z, s = F.col("p_partkey"), F.col("p_size"), lambda c: c.cast("string")
+    two = lambda c: F.lpad(s(c), 2, "0")
+    ends = F.when(k % 3 == 0, F.concat(F.lit("A - B"), s(z))).when(k % 3 == 1, F.lit("X -")).otherwise(F.concat(F.lit("plain "), s(z)))
+    more = F.when(k % 4 == 0, F.lit("C - D")).when(k % 4 == 1, F.lit("STT")).when(k % 4 == 2, F.lit("7. C")).otherwise(F.lit("C - 1D"))
+    bus = F.when(k % 5 == 0, F.concat(F.lit("Nhãn hiệu: Thaco; Sức chứa: "), s(z), F.lit(" chỗ"))).when(k % 5 == 1, F.lit("GAZelle")).when(k % 5 == 2, F.lit("xe ĐIỆN")).when(k % 5 == 3, F.lit("xe"))
+    begin = F.concat(F.lit("2024-"), two(1 + z % 12), F.lit("-"), two(1 + k % 31))
+    vehicle, path = extract.vehicle(bus), extract.paths(F.concat(F.lit("Chiều đi: A - B\n"), more, F.lit("\nChiều về: B")))
+    out = [extract.without_badge(F.concat(two(z % 40), F.lit(" "), s(k % 100), F.lit(" Le"))).alias("label"), extract.last_part(ends).alias("tail"), path["outbound"].alias("path"), *[vehicle[c].alias(c) for c in ("brand", "capacity", "description")]]
+    following = extract.following_departure(k % 1440, (z % 4 - 1) * 10, z % 3 * 15)
+    return table(spark, sf_dir, "part").select("p_partkey", *out, long(following, "following"), extract.override_problem(begin, F.lit("2024-06-15"), k % 7 > 0).alias("problem"))
