@@ -106,9 +106,9 @@ def q_stop_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop names, streets and displays against query tokens, with the labels of terminals at the ends of a line."""
     part = sequences.with_ends(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
     asked = spark.createDataFrame([(1, "Economy"), (2, "cold widget standard"), (3, "Brand#1"), (4, "Sân bay")], "query_id int, query string")
-    asked = asked.select("query_id", search.query_tokens(F.col("query")).alias("tokens"))
-    fits = search.stop_matches(F.col("tokens"), F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.col("is_first"), F.col("is_last"), F.lit("Terminal Economy"), F.lit("Sân bay"))
-    return part.join(F.broadcast(asked), fits).select("query_id", "p_partkey")
+    tokens = asked.select("query_id", F.explode(search.query_tokens(F.col("query"))).alias("token"))
+    named = part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("street"), F.col("p_brand").alias("display"), "is_first", "is_last", F.lit("Terminal Economy").alias("start"), F.lit("Sân bay").alias("end"))
+    return search.matched_stops(tokens, named, ["p_partkey"]).select("query_id", "p_partkey").distinct()
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, unaccented
+from .parts import PartIndex
 
 
 def checked_query(origin: Column, destination: Column, placeholders: tuple[str, ...] = ()) -> Column:
@@ -92,6 +93,25 @@ def stop_matches(tokens: Column, name: Column, street: Column, display: Column,
     return by_name | at(is_first, start) | at(is_last, end)
 
 
+def matched_stops(tokens: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``tokens`` (token and any ids) with the ``keys`` of each stop that fits, as ``stop_matches`` says; a pair comes once.
+
+    ``stops`` has the keys, name, street, display, is_first, is_last, start and end. Texts are matched through an index of their parts, so there are equi-joins only.
+    """
+    ids = tokens.columns
+    n = fold(F.col("name"))
+    fields = [("whole", F.concat_ws(" ", n, fold(F.col("street")), fold(F.col("display"))), F.lit(True)), ("name", n, F.length(n) >= 3)]
+    fields += [("label", fold(F.col(label)), F.coalesce(F.col(flag), F.lit(False))) for flag, label in (("is_first", "start"), ("is_last", "end"))]
+    kinds = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.when(test, text).alias("text")) for k, text, test in fields]), lambda f: f["text"].isNotNull())
+    rows = stops.select(*keys, F.explode(kinds).alias("f")).select(*keys, "f.kind", "f.text")
+    asked = tokens.where(F.length("token") >= 2)
+    index = PartIndex.build(rows, "text")
+    whole = index.holding(asked, "token").join(rows.where("kind <> 'name'"), "text")
+    within = index.held(asked, "token").join(rows.where("kind = 'name'"), "text")
+    found = whole.select("token", *keys).unionByName(within.select("token", *keys)).distinct()
+    return asked.join(found, "token").select(*ids, *keys)
+
+
 def token_hits(rows: DataFrame, asked: list[tuple[int, str]], matches) -> DataFrame:
     """The rows with query_id for each of the few ``asked`` (id, token) that ``matches(token)`` holds for; one scan for each block of MAX_QUERIES."""
     out = None

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..operators import search, sequences
-from .places import MAX_QUERIES
 
 
 def routes_between(queries: DataFrame, stops: DataFrame, usable: DataFrame) -> DataFrame:
@@ -15,18 +14,18 @@ def routes_between(queries: DataFrame, stops: DataFrame, usable: DataFrame) -> D
 
     ``queries``: query_id, origin, destination; empty and equal texts match nothing. ``stops``: route, direction (outbound or inbound), idx, name, street, display_name, and the labels of
     the route's terminals, start_label and end_label, as of the outbound direction. ``usable`` (route, direction) lists the directions in service; those with fewer than two
-    stops do not count. Queries are matched against all stops, as nothing else finds parts of names; their number is checked before they are broadcast.
+    stops do not count. Tokens of the queries find their stops through an index of parts, so any number of queries is one set of equi-joins.
     """
     o, d = fold(F.col("origin")), fold(F.col("destination"))
-    asked = queries.where((o != "") & (d != "") & (o != d)).select("query_id", search.query_tokens(F.col("origin")).alias("o_tokens"), search.query_tokens(F.col("destination")).alias("d_tokens"))
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once")
+    asked = queries.where((o != "") & (d != "") & (o != d))
+    sides = [asked.select("query_id", F.lit(side == "origin").alias("is_origin"), F.explode(search.query_tokens(F.col(side))).alias("token")) for side in ("origin", "destination")]
     keys = ["route", "direction"]
     rows = sequences.with_ends(stops.join(usable.select(*keys).distinct(), keys, "left_semi"), keys, "idx")
     outbound = F.col("direction") == "outbound"
     start = F.when(outbound, F.col("start_label")).otherwise(F.col("end_label"))
     end = F.when(outbound, F.col("end_label")).otherwise(F.col("start_label"))
-    fits = lambda tokens: search.stop_matches(F.col(tokens), F.col("name"), F.col("street"), F.col("display_name"), F.col("is_first"), F.col("is_last"), start, end)
-    marked = rows.crossJoin(F.broadcast(asked)).withColumn("is_origin", fits("o_tokens")).withColumn("is_destination", fits("d_tokens")).where("is_origin or is_destination")
+    named = rows.select(*keys, "idx", "name", "street", F.col("display_name").alias("display"), "is_first", "is_last", start.alias("start"), end.alias("end"))
+    hits = search.matched_stops(sides[0].unionByName(sides[1]), named, [*keys, "idx"])
+    marked = hits.groupBy("query_id", *keys, "idx").agg(F.bool_or("is_origin").alias("is_origin"), F.bool_or(~F.col("is_origin")).alias("is_destination"))
     found = sequences.first_ordered_pair(marked, ["query_id", *keys], "idx", F.col("is_origin"), F.col("is_destination"))
     return found.withColumn("stops", F.col("second_at") - F.col("first_at") + 1)

@@ -7,29 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import valid_coordinate
 from ..functions.text import fold
+from ..operators.parts import PartIndex
 from ..operators.search import first_filled, one_per_point, text_score
 
 #: Most results, scores of stops whose name starts with or holds the query.
 RESULTS, STOP_PREFIX, STOP_PART = 8, 90, 60
-#: Queries of one search.
-MAX_QUERIES = 10_000
+
+
+def fielded(places: DataFrame) -> DataFrame:
+    """A row for each text of a place (name, address, keys): its columns, kind and text."""
+    own = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("text")) for kind in ("name", "address")]
+    keys = F.transform("keys", lambda k: F.struct(F.lit("key").alias("kind"), k.alias("text")))
+    return places.withColumn("f", F.explode(F.concat(F.array(*own), keys))).select(*places.columns, "f.kind", "f.text")
+
+
+def met(asked: DataFrame, places: DataFrame, holding: list[str], held: list[str]) -> DataFrame:
+    """The rows of ``asked`` (query_id, q) with each place of which a text of a kind in ``holding`` holds q, or one of a kind in ``held`` is part of q; a pair comes once."""
+    rows = fielded(places)
+    index = PartIndex.build(rows, "text")
+    pairs = index.holding(asked, "q").join(rows.where(F.col("kind").isin(holding)), "text").select("token", *places.columns)
+    if held:
+        pairs = pairs.unionByName(index.held(asked, "q").join(rows.where(F.col("kind").isin(held)), "text").select("token", *places.columns))
+    return asked.join(pairs.distinct(), F.col("q") == F.col("token")).drop("token")
 
 
 def search(queries: DataFrame, points: DataFrame, stops: DataFrame, limit: int = RESULTS) -> DataFrame:
     """The best places for each query (query_id, query): points (place_id, name, address, keywords, lat, lng, ordinal), then verified stops of the same form without keywords.
 
-    Queries are matched against all places; folded queries under two characters find nothing. They are broadcast only if they are MAX_QUERIES at most; more
-    of them are a mistake, as no index serves a search for parts of names.
+    Queries are matched against all places through an index of the parts of their texts; folded queries under two characters find nothing.
     """
     asked = queries.select("query_id", fold(F.col("query")).alias("q")).where(F.length("q") >= 2)
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once")
     p = points.select("place_id", "lat", "lng", F.col("ordinal").cast("long").alias("ordinal"), fold(F.col("name")).alias("name"), fold(F.col("address")).alias("address"), F.transform(F.coalesce("keywords", F.array().cast("array<string>")), fold).alias("keys"))
-    touches = F.exists("keys", lambda k: k.contains(F.col("q")) | F.col("q").contains(k))
-    hit = F.col("name").contains(F.col("q")) | F.col("address").contains(F.col("q")) | touches
-    found = p.join(F.broadcast(asked), hit).withColumn("score", F.coalesce(text_score(F.col("q"), F.col("name"), F.col("address")), F.lit(50)))
-    s = stops.select("place_id", "lat", "lng", (F.col("ordinal") + (1 << 40)).alias("ordinal"), fold(F.col("name")).alias("name"), fold(F.col("address")).alias("address"))
-    at_stops = s.join(F.broadcast(asked), F.col("name").contains(F.col("q")) | F.col("address").contains(F.col("q"))).withColumn("score", F.when(F.col("name").startswith(F.col("q")), F.lit(STOP_PREFIX)).otherwise(F.lit(STOP_PART)))
+    found = met(asked, p, ["name", "address", "key"], ["key"]).withColumn("score", F.coalesce(text_score(F.col("q"), F.col("name"), F.col("address")), F.lit(50)))
+    s = stops.select("place_id", "lat", "lng", (F.col("ordinal") + (1 << 40)).alias("ordinal"), fold(F.col("name")).alias("name"), fold(F.col("address")).alias("address"), F.array().cast("array<string>").alias("keys"))
+    at_stops = met(asked, s, ["name", "address"], []).withColumn("score", F.when(F.col("name").startswith(F.col("q")), F.lit(STOP_PREFIX)).otherwise(F.lit(STOP_PART)))
     names = ["query_id", "place_id", "lat", "lng", "ordinal", "score"]
     hits = found.select(names).unionByName(at_stops.select(names)).where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     return one_per_point(hits, ["query_id"], "lat", "lng", "score", "ordinal", limit)
@@ -97,12 +108,8 @@ def looked_up(queries: DataFrame, points: DataFrame, stops: DataFrame) -> DataFr
     ``points`` and ``stops`` as in ``search``; stops have a status.
     """
     asked = queries.select("query_id", fold(F.col("query")).alias("q")).where(F.length("q") >= 2)
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once")
     p = points.select("place_id", "lat", "lng", F.lit(0).alias("tier"), F.col("ordinal").cast("long").alias("ordinal"), fold(F.col("name")).alias("name"), fold(F.col("address")).alias("address"), F.transform(F.coalesce("keywords", F.array().cast("array<string>")), fold).alias("keys"))
     usable = stops.where((F.col("status") == "verified") & (F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lng", F.lit(0.0)) != 0))
     s = usable.select("place_id", "lat", "lng", F.lit(1).alias("tier"), F.col("ordinal").cast("long").alias("ordinal"), fold(F.col("name")).alias("name"), F.lit("").alias("address"), F.array().cast("array<string>").alias("keys"))
-    either = lambda x: x.contains(F.col("q")) | F.col("q").contains(x)
-    hit = either(F.col("name")) | ((F.col("address") != "") & F.col("address").contains(F.col("q"))) | F.exists("keys", either)
-    hits = p.unionByName(s).join(F.broadcast(asked), hit)
+    hits = met(asked, p.unionByName(s), ["name", "address", "key"], ["name", "key"])
     return hits.groupBy("query_id").agg(F.min_by(F.struct("place_id", "lat", "lng", "tier"), F.struct("tier", "ordinal", "place_id")).alias("best")).select("query_id", "best.*")

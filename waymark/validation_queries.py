@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog_queries import LAT, LNG, STOPS_SQL, at, long, query, stops, table
 from .functions import extract
 from .operators import differences, geometry, spatial
+from .plans import places
 from .sources import pages as page_source
 from .streaming import state
 
@@ -146,3 +147,20 @@ def q_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = [extract.without_badge(F.concat(two(z % 40), F.lit(" "), s(k % 100), F.lit(" Le"))).alias("label"), extract.last_part(ends).alias("tail"), path["outbound"].alias("path"), *[vehicle[c].alias(c) for c in ("brand", "capacity", "description")]]
     following = extract.following_departure(k % 1440, (z % 4 - 1) * 10, z % 3 * 15)
     return table(spark, sf_dir, "part").select("p_partkey", *out, long(following, "following"), extract.override_problem(begin, F.lit("2024-06-15"), k % 7 > 0).alias("problem"))
+
+
+@query(f"""
+WITH q AS (SELECT s_suppkey AS query_id, lower(CASE s_suppkey % 4 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN split_part(p_name, ' ', 2) ELSE p_type END) AS q FROM supplier JOIN part ON p_partkey = s_suppkey),
+p AS (SELECT p_partkey AS place_id, lower(p_name) AS name, lower(p_type) AS address, lower(split_part(p_name, ' ', 2)) AS key, {LAT.format('p_partkey')} AS lat, {LNG.format('p_partkey')} AS lng FROM part),
+h AS (SELECT query_id, place_id, CASE WHEN starts_with(name, q) THEN 100 WHEN contains(name, q) THEN 80 ELSE 50 END AS score FROM q JOIN p ON len(q) >= 2 AND (contains(name, q) OR contains(address, q) OR contains(key, q) OR contains(q, key))),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, format('{{:.4f}}', lat), format('{{:.4f}}', lng) ORDER BY score DESC, place_id) AS first FROM h JOIN p USING (place_id))
+SELECT query_id, place_id, CAST(score AS BIGINT) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place_id) AS rank FROM f WHERE first = 1) WHERE rank <= 8""")
+def q_place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, words of them or types, one query for each supplier, looked for in all parts' names, types and second words."""
+    part, key, s = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("s_suppkey")
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    points = at(part.select(key.alias("place_id"), F.col("p_name").alias("name"), F.col("p_type").alias("address"), F.array(word(2)).alias("keywords"), key.alias("ordinal")), "place_id")
+    query = F.when(s % 4 == 0, F.col("p_name")).when(s % 4 == 1, word(1)).when(s % 4 == 2, word(2)).otherwise(F.col("p_type"))
+    asked = table(spark, sf_dir, "supplier").join(part, s == key).select(s.alias("query_id"), query.alias("query"))
+    stops = points.drop("keywords").limit(0)
+    return places.search(asked, points, stops).select("query_id", "place_id", long("score", "score"), long("rank", "rank"))
