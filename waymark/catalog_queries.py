@@ -391,7 +391,7 @@ SELECT query_id, journey, CAST(rank AS BIGINT) AS rank, CASE WHEN transfers = 0
 def q_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = stops(spark, sf_dir)
     index = stored(edges(network), "transfers")
-    found = journeys.ranked(journeys.search(journey_queries(spark, sf_dir), network, index, RADIUS, metrics=route_metrics(spark, sf_dir)))
+    found = journeys.ranked(journeys.best(journey_queries(spark, sf_dir), network, index, RADIUS, metrics=route_metrics(spark, sf_dir)))
     return found.select("query_id", "journey", long("rank", "rank"), "badge")
 
 

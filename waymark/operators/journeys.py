@@ -6,12 +6,14 @@ route: the one with the lowest index. Edges come from ``spatial.transfers`` with
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.stored import stored
 from .spatial import between_vertices, nearest_vertex, within
 
 #: Minutes for a stop, least ride minutes without and with transfers, waiting minutes and cost of a transfer, detour limit, results.
@@ -127,21 +129,70 @@ def penalised(rows: DataFrame, route: str, name: str, metrics: DataFrame | None)
     return rows.join(m, F.col(route) == F.col("m_route"), "left").withColumn(name, F.coalesce("m_penalty", F.lit(0.0))).drop("m_route", "m_penalty")
 
 
+def both_ends(queries: DataFrame, stops: DataFrame, metres: float, metrics: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Boards with the penalty of their route, and alights; stored, as every layer reads these few rows for each query."""
+    boards = penalised(ends(queries, stops, "o", metres), "route", "penalty", metrics)
+    return stored(with_penalty(boards), "boards"), stored(ends(queries, stops, "d", metres), "alights")
+
+
 def search(queries: DataFrame, stops: DataFrame, edges: DataFrame, metres: float, transfers: int = 2, metrics: DataFrame | None = None) -> DataFrame:
     """All journeys of each query with up to ``transfers`` transfers, boarding and alighting within ``metres`` of its ends.
 
     ``edges`` is best a stored transfer index (see ``sources.stored``): it is read for the first and for the last transfer.
     """
-    # a few rows for each query, which several parts of the plan read; lost parts are computed again
-    boards = penalised(ends(queries, stops, "o", metres), "route", "penalty", metrics).persist()
-    alights = ends(queries, stops, "d", metres).persist()
+    boards, alights = both_ends(queries, stops, metres, metrics)
     edges = penalised(edges, "to_route", "to_penalty", metrics)
     every = [direct(boards, alights)]
-    first = ahead(queries, boards, edges) if transfers else None
+    first = stored(ahead(queries, boards, edges), "ahead") if transfers else None
     every += [transferring(queries, boards, alights, edges, k, first) for k in range(1, transfers + 1)]
     return costed(reduce(DataFrame.unionByName, every))
 
 
+#: What identifies an edge.
+EDGE = ["from_route", "from_idx", "to_route", "to_idx"]
+
+
+def leading(journeys: DataFrame, limit: int, once: bool) -> DataFrame:
+    """The journeys among which are the first ``limit`` of each query in the order of ``ranked``, with all that tie with the last of them. ``once``: no signature comes twice.
+
+    The order needs no ids but for ties, so names are made for what is left; ranks are limited before rows are shuffled.
+    """
+    rows = journeys.withColumn("order_minutes", F.col("walk_minutes") + F.col("ride_minutes") + BUFFER * F.col("transfers")).withColumn("order_cost", F.round(1.5 * F.col("walk_minutes") + F.col("ride_minutes") + F.col("penalty"), 3))
+    measures = ["order_cost", "walk_metres", "order_minutes"]
+    if not once:
+        best = Window.partitionBy("query_id", "routes", "places").orderBy(*measures)
+        rows = rows.withColumn("order_rank", F.row_number().over(best)).where(F.col("order_rank") == 1).drop("order_rank")
+    rows = rows.withColumn("order_rank", F.rank().over(Window.partitionBy("query_id").orderBy(*measures))).where(F.col("order_rank") <= limit)
+    return rows.drop("order_rank", "order_cost", "order_minutes")
+
+
+def best(queries: DataFrame, stops: DataFrame, edges: DataFrame, metres: float, limit: int = RESULTS, transfers: int = 2, metrics: DataFrame | None = None, fits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Journeys of each query of which ``ranked`` takes the same ``limit`` as of all that ``search`` finds.
+
+    Fewer transfers come first, so there is a layer for each number of them: a query that has ``limit`` journeys after a layer is out of the next ones, and each layer keeps its leading journeys only. Layers are
+    stored; nothing is searched once no query is open. ``fits`` drops journeys that don't count.
+    """
+    boards, alights = both_ends(queries, stops, metres, metrics)
+    edges = penalised(edges, "to_route", "to_penalty", metrics)
+    once = edges.groupBy(*EDGE).count().where("count > 1").isEmpty()
+    fits = fits or (lambda rows: rows)
+    layers, open_, first = [], queries, None
+    for k in range(transfers + 1):
+        if k == 0:
+            rows = direct(boards, alights)
+        else:
+            mine = lambda rows: rows.join(open_.select("query_id"), "query_id", "left_semi")  # noqa: E731, B023
+            first = mine(first) if first is not None else stored(ahead(open_, mine(boards), edges), "ahead")
+            rows = transferring(open_, mine(boards), mine(alights), edges, k, first)
+        layers.append(stored(leading(fits(rows), limit, once), "layer"))
+        if k < transfers:
+            found = reduce(DataFrame.unionByName, layers).groupBy("query_id").agg(F.count_distinct("routes", "places").alias("n"))
+            open_ = stored(open_.join(found.where(F.col("n") >= limit), "query_id", "left_anti"), "open")
+            if open_.isEmpty():
+                break
+    return costed(reduce(DataFrame.unionByName, layers))
+
+
 def with_legs(found: DataFrame) -> DataFrame:
     """Add legs: array of struct<kind, role, route, board, alight>, a walk at either end and between rides (3, 5 or 7 legs)."""
     kind = "string" if dict(found.dtypes)["routes"] == "array<string>" else "bigint"

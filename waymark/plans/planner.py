@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import journeys, spatial
+from ..sources.stored import stored
 
 #: Fixed values in metres: first and second search radius, walk of a transfer, and the least distance of two different places.
 FIRST_RADIUS, SECOND_RADIUS, TRANSFER_WALK, SAME_PLACE = 800.0, 1500.0, 400.0, 50.0
@@ -64,10 +65,12 @@ def plan(queries: DataFrame, stops: DataFrame, edges: DataFrame | None = None, t
     network = usable_stops(stops)
     edges = transfer_index(network) if edges is None else edges
     metrics = direction_metrics(stops) if metrics is None else metrics
-    first = journeys.search(good, network, edges, FIRST_RADIUS, transfers, metrics)
-    open_ = good.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    every = distinct_lines(first.unionByName(journeys.search(open_, network, edges, SECOND_RADIUS, transfers, metrics)))
-    ranked = journeys.ranked(every)
+    first = journeys.best(good, network, edges, FIRST_RADIUS, transfers=transfers, metrics=metrics, fits=distinct_lines)
+    # a query is searched again only if nothing was found at all, so journeys that use a line twice count as found
+    bare = good.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    open_ = stored(bare.join(journeys.search(bare, network, edges, FIRST_RADIUS, transfers, metrics).select("query_id").distinct(), "query_id", "left_anti"), "open")
+    second = journeys.best(open_, network, edges, SECOND_RADIUS, transfers=transfers, metrics=metrics, fits=distinct_lines)
+    ranked = journeys.ranked(first.unionByName(second))
     near = [journeys.ends(good, verified_stops(stops), p, SECOND_RADIUS).select("query_id").distinct() for p in "od"]
     both = near[0].join(near[1], "query_id").withColumn("near", F.lit(True))
     done = ranked.select("query_id").distinct().withColumn("found", F.lit(True))
