@@ -57,13 +57,47 @@ def test_gap_clusters_in_buckets(spark):
     assert sorted(map(repr, map(tuple, whole.collect()))) == sorted(map(repr, map(tuple, cut.collect())))
 
 
-def test_alignment():
-    names = ["bến xe trung tâm", "lê duẩn", "hùng vương", "chợ hàn", "cầu rồng"]
-    assert sequences.align(names, names) == [(i, i, 100) for i in range(5)]
-    assert sequences.align(names, ["lê duẩn", "hùng vương (trạm)", "xyz"]) == [(1, 0, 100), (2, 1, 85)]
-    assert sequences.align(names, ["lê duẩn"], {0}) == [(0, -1, 100), (1, 0, 100)]
-    assert sequences.align([], names) == [] and sequences.align(["a"], []) == []
-    assert sequences.score("số 12 lê duẩn", "12 lê lợi") == 53 and sequences.score("bến xe", "xe") == 0
+def score_of(name, label):
+    if label == name:
+        return 100
+    if min(len(label), len(name)) >= 6 and (label in name or name in label):
+        return 85
+    own, other = ({w for w in x.split() if w not in sequences.STOP_WORDS} for x in (name, label))
+    return int(len(own & other) / max(len(own), 1) * 80)
+
+
+def greedy(names, labels, terminals=frozenset()):
+    found, used, at = [], set(), 0
+    for i, name in enumerate(names):
+        if i in terminals:
+            found.append((i, None, 100))
+            continue
+        best, points = -1, 0
+        for j in range(max(0, at - sequences.BACK), min(len(labels), at + sequences.AHEAD)):
+            if j not in used and (s := score_of(name, labels[j])) > points:
+                best, points = j, s
+        if points >= sequences.LEAST_SCORE:
+            used.add(best)
+            found.append((i, best, points))
+            at = max(at, best)
+    return found
+
+
+def test_greedy_alignment_equals_a_loop(spark):
+    r = random.Random(9)
+    words = ["số", "12", "lê", "duẩn", "hùng", "vương", "bến", "xe", "trạm", "chợ"]
+    text = lambda: " ".join(r.choice(words) for _ in range(r.randint(0, 4)))
+    groups = {0: (["lê duẩn 1", "lê duẩn", "hùng vương"], ["lê duẩn", "hùng vương (trạm)", "xyz"], {0}), 1: (["a"], [], set()), 2: (["bến xe", ""], ["xe", ""], set())}
+    for g in range(3, 60):
+        names = [text() for _ in range(r.randint(1, 25))]
+        labels = [n if r.random() < 0.5 else text() for n in names if r.random() < 0.8] + [text() for _ in range(r.randint(0, 6))]
+        groups[g] = (names, labels, {i for i in range(len(names)) if r.random() < 0.1})
+    n = spark.createDataFrame([(g, 10 * i, t, i in known) for g, (names, _, known) in groups.items() for i, t in enumerate(names)], "g int, at int, text string, terminal boolean")
+    k = spark.createDataFrame([(g, 10 * i, t) for g, (_, labels, _) in groups.items() for i, t in enumerate(labels)], "g int, at int, text string")
+    rows = sequences.align_groups(n, k, ["g"])
+    got = sorted(((x["g"], x["name_at"], x["label_at"], x["score"]) for x in rows.collect()), key=repr)
+    assert got == sorted(((g, 10 * i, None if j is None else 10 * j, s) for g, group in groups.items() for i, j, s in greedy(*group)), key=repr)
+    assert not re.search("Python|Pandas|Arrow", rows._jdf.queryExecution().executedPlan().toString())
 
 
 def test_alignment_report(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,35 +92,47 @@ def ray_labels(items: DataFrame, keys: list[str], split: float = UPPER_TO) -> Da
     return found.select(*keys, "side", "mean_left", "label")
 
 
-def score(name: str, label: str) -> int:
-    """100 for equal texts, 85 if one is in the other and both have at least 6 characters, else 80 times the share of the name's words that the label has."""
-    if label == name:
-        return 100
-    if min(len(label), len(name)) >= 6 and (label in name or name in label):
-        return 85
-    own, other = ({w for w in x.split() if w not in STOP_WORDS} for x in (name, label))
-    return int(len(own & other) / max(len(own), 1) * 80)
+def meaning(text: Column) -> Column:
+    """The distinct words of a normalised text that carry meaning."""
+    return F.filter(F.array_distinct(F.split(text, r"\s+")), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
 
 
-def align(names: list[str], labels: list[str], terminals: set[int] = frozenset()) -> list[tuple[int, int, int]]:
-    """(name, label, score) in the order of names, greedily: the best label not yet used, BACK places before the last match to AHEAD after it; the first among equals.
+def score(name: Column, label: Column) -> Column:
+    """Of structs with text and words: 100 for equal texts, 85 if one is in the other and both have at least 6 characters, else 80 times the share of the name's words that the label has."""
+    a, b = name["text"], label["text"]
+    part = (F.length(a) >= 6) & (F.length(b) >= 6) & (a.contains(b) | b.contains(a))
+    share = F.size(F.array_intersect(name["words"], label["words"])) / F.greatest(F.size(name["words"]), F.lit(1))
+    return F.when(a == b, F.lit(100)).when(part, F.lit(85)).otherwise(F.floor(share * 80).cast("int"))
 
-    Names in ``terminals`` are known by other evidence: they take no label and appear with label -1 and score 100.
+
+#: One row of an alignment; a name known by other evidence has no label and the score 100.
+ALIGNED = "struct<name_at:bigint,label_at:bigint,score:int>"
+
+
+def align(names: Column, labels: Column) -> Column:
+    """array of ALIGNED in the order of names, greedily: the best label not yet used, BACK places before the last match to AHEAD after it; the first among equals.
+
+    Both are arrays of structs in their order, with i (from 0), at, text and words; names have terminal, which marks those that take no label. The fold carries the place of the last match, the labels
+    used within reach of it, and what was found.
     """
-    found, used, at = [], set(), 0
-    for i, name in enumerate(names):
-        if i in terminals:
-            found.append((i, -1, 100))
-            continue
-        best, points = -1, 0
-        for j in range(max(0, at - BACK), min(len(labels), at + AHEAD)):
-            if j not in used and (s := score(name, labels[j])) > points:
-                best, points = j, s
-        if best >= 0 and points >= LEAST_SCORE:
-            used.add(best)
-            found.append((i, best, points))
-            at = max(at, best)
-    return found
+    state = f"struct<reached:int,used:array<int>,found:array<{ALIGNED}>>"
+    begin = F.struct(F.lit(0).alias("reached"), F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{ALIGNED}>").alias("found")).cast(state)
+
+    def step(acc: Column, name: Column) -> Column:
+        low = F.greatest(F.lit(0), acc["reached"] - BACK)
+        near = F.filter(F.slice(labels, low + 1, acc["reached"] + AHEAD - low), lambda x: ~F.array_contains(acc["used"], x["i"]))
+        # the greatest score, then the first place
+        best = F.array_max(F.transform(near, lambda x: F.struct(score(name, x).alias("score"), (-x["i"]).alias("back"), x["at"].alias("at"))))
+        fits = F.coalesce(best["score"] >= LEAST_SCORE, F.lit(False))
+        reached = F.greatest(acc["reached"], -best["back"])
+        used = F.filter(F.concat(acc["used"], F.array(-best["back"])), lambda u: u >= reached - BACK)
+        row = lambda at, points: F.struct(name["at"].alias("name_at"), at.alias("label_at"), points.alias("score")).cast(ALIGNED)
+        add = lambda x: F.concat(acc["found"], F.array(x))
+        known = F.struct(acc["reached"].alias("reached"), acc["used"].alias("used"), add(row(F.lit(None).cast("long"), F.lit(100))).alias("found")).cast(state)
+        hit = F.struct(reached.alias("reached"), used.alias("used"), add(row(best["at"], best["score"])).alias("found")).cast(state)
+        return F.when(name["terminal"], known).when(fits, hit).otherwise(acc)
+
+    return F.aggregate(names, begin, step, lambda acc: acc["found"])
 
 
 def align_groups(names: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,18 +141,16 @@ def align_groups(names: DataFrame, labels: DataFrame, keys: list[str]) -> DataFr
     Both have ``at`` (whole numbers, the order of a side) and ``text``, already normalised; names may have ``terminal``, a flag for those known by other evidence.
     """
     flag = F.coalesce(F.col("terminal"), F.lit(False)) if "terminal" in names.columns else F.lit(False)
-    n = names.select(*keys, F.lit(0).alias("side"), F.col("at").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"), flag.alias("terminal"))
-    both = n.unionByName(labels.select(*keys, F.lit(1).alias("side"), F.col("at").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("terminal")))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = (group[group["side"] == s].sort_values(["at", "text"]) for s in (0, 1))
-        rows = align(a["text"].tolist(), b["text"].tolist(), {i for i, t in enumerate(a["terminal"]) if t})
-        out = {k: [group[k].iloc[0]] * len(rows) for k in keys}
-        at = lambda side, i: None if i < 0 else side["at"].iloc[i]
-        return pd.DataFrame(out | {"name_at": [at(a, r[0]) for r in rows], "label_at": pd.array([at(b, r[1]) for r in rows], dtype="Int64"), "score": [r[2] for r in rows]})
-
-    kinds = dict(names.dtypes)
-    return both.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", name_at long, label_at long, score long")
+
+    def side(rows: DataFrame, name: str, terminal: Column) -> DataFrame:
+        row = F.struct(F.col("at").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"), terminal.alias("terminal"))
+        given = F.transform(F.array_sort(F.collect_list(row)), lambda x, i: F.struct(i.alias("i"), x["at"].alias("at"), x["text"].alias("text"), meaning(x["text"]).alias("words"), x["terminal"].alias("terminal")))
+        return rows.groupBy(*keys).agg(given.alias(name))
+
+    both = side(names, "a_side", flag).join(side(labels, "b_side", F.lit(False)), keys, "left")
+    nothing = F.array().cast(both.schema["b_side"].dataType)
+    found = align(F.col("a_side"), F.coalesce("b_side", nothing))
+    return both.select(*keys, F.explode(found).alias("f")).select(*keys, "f.name_at", "f.label_at", F.col("f.score").cast("long").alias("score"))
 
 
 #: Fixed value: how far a label may stand before the one of the stop before it.

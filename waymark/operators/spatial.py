@@ -27,25 +27,55 @@ def around(df: DataFrame) -> DataFrame:
     return df.withColumn("step", F.explode(steps)).withColumn("cell_y", F.col("cell_y") + F.col("step.y")).withColumn("cell_x", F.col("cell_x") + F.col("step.x")).drop("step")
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str], right_at: tuple[str, str], greatest_lat: float = 30.0) -> DataFrame:
-    """Pairs of rows at most ``metres`` apart, with ``metres``; rows without valid coordinates, or beyond ``greatest_lat``, match nothing."""
+def within(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str], right_at: tuple[str, str], greatest_lat: float = 30.0, crowd: int | None = None) -> DataFrame:
+    """Pairs of rows at most ``metres`` apart, with ``metres``; rows without valid coordinates, or beyond ``greatest_lat``, match nothing.
+
+    With ``crowd`` the right rows that meet in a cell are counted first, and cells with more than so many are cut into pieces of about that size, each a join key of its own, so that a crowded cell is spread over tasks.
+    """
     fine = lambda df, at: df.where(geo.valid_coordinate(F.col(at[0]), F.col(at[1])) & (F.abs(F.col(at[0])) <= greatest_lat))
     a = with_cell(fine(left, left_at), *left_at, metres, greatest_lat)
     b = around(with_cell(fine(right, right_at), *right_at, metres, greatest_lat))
     distance = geo.haversine(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
-    return a.join(b, ["cell_y", "cell_x"]).drop("cell_y", "cell_x").withColumn("metres", distance).where(F.col("metres") <= metres)
-
-
-def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, metres: float, limit: int, point_at: tuple[str, str], place_at: tuple[str, str]) -> DataFrame:
-    """The ``limit`` nearest places within ``metres`` of each point, ranked by distance and id."""
+    cell = ["cell_y", "cell_x"]
+    keys = cell
+    if crowd is not None:
+        counts = b.groupBy(*cell).count().where(F.col("count") > crowd)
+        crowded = stored(counts.select(*cell, F.ceil(F.col("count") / crowd).cast("int").alias("pieces")), "crowded")
+        if not crowded.isEmpty():
+            keys, pieces = [*cell, "piece"], F.coalesce("pieces", F.lit(1))
+            mixed = F.xxhash64(*[F.col(c) for c in right.columns if c not in cell and not dict(right.dtypes)[c].startswith("map")])
+            a = a.join(crowded, cell, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+            b = b.join(crowded, cell, "left").withColumn("piece", F.pmod(mixed, pieces).cast("int")).drop("pieces")
+    return a.join(b, keys).drop(*keys).withColumn("metres", distance).where(F.col("metres") <= metres)
+
+
+def ranked_by_distance(found: DataFrame, point_id: str, place_id: str, limit: int) -> DataFrame:
     by = Window.partitionBy(point_id).orderBy("metres", place_id)
-    return within(points, places, metres, point_at, place_at).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
 
+def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, metres: float, limit: int, point_at: tuple[str, str], place_at: tuple[str, str], crowd: int | None = None) -> DataFrame:
+    """The ``limit`` nearest places within ``metres`` of each point, ranked by distance and id.
 
-def transfers(stops: DataFrame, metres: float = 400.0) -> DataFrame:
-    """Edges between stops of different routes at most ``metres`` apart, with whole metres. ``stops``: route, stop, lat, lng."""
+    With ``crowd``, where a cell holds more places than that, the search begins with smaller cells: a point that has ``limit`` places within a sixteenth or a fourth of ``metres`` looks no further, so it meets
+    a number of places that follows ``limit`` and not the density.
+    """
+    if crowd is None or with_cell(places, *place_at, metres).groupBy("cell_y", "cell_x").count().where(F.col("count") > crowd).isEmpty():
+        return ranked_by_distance(within(points, places, metres, point_at, place_at), point_id, place_id, limit)
+    found, left = [], points
+    for part in (16, 4):
+        near = stored(ranked_by_distance(within(left, places, metres / part, point_at, place_at), point_id, place_id, limit), "near")
+        full = near.where(F.col("rank") == limit).select(point_id)
+        found.append(near.join(full, point_id, "left_semi"))
+        left = left.join(full, point_id, "left_anti")
+    found.append(ranked_by_distance(within(left, places, metres, point_at, place_at, crowd=crowd), point_id, place_id, limit))
+    return reduce(DataFrame.unionByName, found)
+
+
+def transfers(stops: DataFrame, metres: float = 400.0, crowd: int | None = None) -> DataFrame:
+    """Edges between stops of different routes at most ``metres`` apart, with whole metres. ``stops``: route, stop, lat, lng; ``crowd`` as in ``within``."""
     side = lambda x: stops.select(*[F.col(c).alias(f"{x}_{c}") for c in stops.columns])
-    pairs = within(side("from"), side("to"), metres, ("from_lat", "from_lng"), ("to_lat", "to_lng"))
+    pairs = within(side("from"), side("to"), metres, ("from_lat", "from_lng"), ("to_lat", "to_lng"), crowd=crowd)
     return pairs.where(F.col("from_route") != F.col("to_route")).withColumn("metres", geo.half_up(F.col("metres")).cast("long"))
 
 
