@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog_queries import LAT, LNG, STOPS_SQL, at, long, query, stops, table
 from .functions import extract
 from .operators import differences, geometry, spatial
-from .plans import places
+from .plans import places, rebuild
 from .sources import pages as page_source
 from .streaming import state
 
@@ -164,3 +164,17 @@ def q_place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "supplier").join(part, s == key).select(s.alias("query_id"), query.alias("query"))
     stops = points.drop("keywords").limit(0)
     return places.search(asked, points, stops).select("query_id", "place_id", long("score", "score"), long("rank", "rank"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey // 30 AS route, c_custkey % 2 = 0 AS outbound, c_custkey % 30 < 20 AND c_custkey // 30 % 3 < 2 AND (c_custkey % 2 = 0 OR c_custkey // 30 % 2 = 0) AS shaped, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS street FROM customer)
+SELECT CAST(route AS BIGINT) AS route, CAST(count(*) FILTER (outbound) AS BIGINT) AS outbound_stops, CAST(count(*) FILTER (NOT outbound) AS BIGINT) AS inbound_stops, coalesce(bool_or(shaped AND outbound), false) AS outbound_geometry, coalesce(bool_or(shaped AND NOT outbound), false) AS inbound_geometry,
+ coalesce(string_agg(DISTINCT street, '|' ORDER BY street), '') AS streets FROM s GROUP BY route""")
+def q_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compact summary of routes of thirty customers, with shapes for some of their directions."""
+    key, route = F.col("c_custkey"), F.expr("c_custkey div 30")
+    rows = table(spark, sf_dir, "customer").select(route.alias("route"), F.when(key % 2 == 0, F.lit("outbound")).otherwise(F.lit("inbound")).alias("direction"), (key % 30).alias("at"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("street"))
+    r = F.col("route")
+    points = rows.where((F.col("at") < 20) & (r % 3 < 2) & ((F.col("direction") == "outbound") | (r % 2 == 0)))
+    found = rebuild.compact(rows.select("route").distinct(), rows, points, rows)
+    return found.select(long("route", "route"), long("outbound_stops", "outbound_stops"), long("inbound_stops", "inbound_stops"), "outbound_geometry", "inbound_geometry", F.array_join("streets", "|").alias("streets"))
