@@ -437,7 +437,7 @@ s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts RANGE UN
 SELECT user_id, CAST(cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY ALL""")
 def q_gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = sequences.gap_clusters(table(spark, sf_dir, "events"), ["user_id"], seconds, 1800.0, F.floor(seconds / (30 * 86400)))
+    rows = sequences.gap_clusters(table(spark, sf_dir, "events"), ["user_id"], seconds, 1800.0, F.floor(seconds / (30 * 86400)), 100_000)
     return rows.groupBy("user_id", long("cluster", "cluster")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 

@@ -38,14 +38,19 @@ def inversions(rows: DataFrame, keys: list[str], at: str, value: str, slack: flo
     return rows.withColumn("back", back).where(F.col("back") > slack)
 
 
-def gap_clusters(rows: DataFrame, keys: list[str], at: Column, gap: float, bucket: Column | None = None) -> DataFrame:
+def gap_clusters(rows: DataFrame, keys: list[str], at: Column, gap: float, bucket: Column | None = None, crowd: int | None = None) -> DataFrame:
     """Add ``cluster``: numbered from 0, a new one where ``at`` is more than ``gap`` beyond the row before.
 
     ``bucket``, a number that never falls as ``at`` rises, cuts busy keys: rows look back within their bucket, and the last row and the number of clusters of the
-    buckets before come from a table of buckets. Without it a key is one group.
+    buckets before come from a table of buckets. Without it a key is one group; so it is with ``crowd``, if no key has more rows than that.
     """
+    if bucket is not None and crowd is not None and rows.groupBy(*keys).count().where(F.col("count") > crowd).isEmpty():
+        bucket = None
     if bucket is None:
-        bucket = F.lit(0)
+        order = Window.partitionBy(*keys).orderBy("gap_at")
+        rows = rows.withColumn("gap_at", at).withColumn("gap_fresh", F.when(F.col("gap_at") - F.lag("gap_at").over(order) > gap, 1).otherwise(0))
+        number = F.sum("gap_fresh").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumn("cluster", number).drop("gap_at", "gap_fresh")
     rows = rows.withColumn("gap_at", at).withColumn("gap_bucket", bucket)
     cut = [*keys, "gap_bucket"]
     own, along = Window.partitionBy(*cut).orderBy("gap_at"), Window.partitionBy(*keys).orderBy("gap_bucket")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import LAT, LNG, STOPS_SQL, at, long, query, stops, table
-from .functions import extract
-from .operators import differences, geometry, spatial
-from .plans import places, rebuild
+from .catalog_queries import LAT, LNG, STOPS_SQL, at, long, metres_sql, query, stops, table
+from .functions import extract, geo, text
+from .operators import differences, enrichment, geometry, identity, quality, spatial
+from .plans import places, planner, rebuild
 from .sources import pages as page_source
 from .streaming import state
 
@@ -178,3 +178,124 @@ def q_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = rows.where((F.col("at") < 20) & (r % 3 < 2) & ((F.col("direction") == "outbound") | (r % 2 == 0)))
     found = rebuild.compact(rows.select("route").distinct(), rows, points, rows)
     return found.select(long("route", "route"), long("outbound_stops", "outbound_stops"), long("inbound_stops", "inbound_stops"), "outbound_geometry", "inbound_geometry", F.array_join("streets", "|").alias("streets"))
+
+
+@query("""
+WITH q AS (SELECT s_suppkey AS query_id, lower(CASE s_suppkey % 3 WHEN 0 THEN p_name || ' xyz' WHEN 1 THEN split_part(p_name, ' ', 1) ELSE p_type END) AS q FROM supplier JOIN part ON p_partkey = s_suppkey),
+p AS (SELECT p_partkey AS place_id, lower(p_name) AS name, lower(p_type) AS address FROM part),
+h AS (SELECT query_id, place_id FROM q JOIN p ON contains(name, q) OR contains(q, name) OR contains(address, q))
+SELECT query_id, min(place_id) AS place_id FROM h GROUP BY query_id""")
+def q_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part that a text names: one query for each supplier, longer or shorter than names."""
+    part, key, s = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("s_suppkey")
+    points = at(part.select(key.alias("place_id"), F.col("p_name").alias("name"), F.col("p_type").alias("address"), F.array().cast("array<string>").alias("keywords"), key.alias("ordinal")), "place_id")
+    query = F.when(s % 3 == 0, F.concat("p_name", F.lit(" xyz"))).when(s % 3 == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_type"))
+    asked = table(spark, sf_dir, "supplier").join(part, s == key).select(s.alias("query_id"), query.alias("query"))
+    stops = points.drop("keywords").limit(0).withColumn("status", F.lit("verified"))
+    return places.looked_up(asked, points, stops).select("query_id", "place_id")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 50 WHEN 7 THEN NULL WHEN 9 THEN p_partkey - 1 ELSE p_partkey END AS id, CASE WHEN p_partkey % 10 IN (1, 2, 3) THEN p_partkey + 1 WHEN p_partkey % 10 = 4 THEN p_partkey - 3 WHEN p_partkey % 10 = 6 THEN -p_partkey END AS next FROM part),
+m AS (SELECT max(p_partkey) AS most FROM part)
+SELECT 'missing_id' AS issue, NULL AS kind, NULL AS id FROM p WHERE id IS NULL
+UNION ALL SELECT 'duplicate_id', NULL, CAST(id AS VARCHAR) FROM p WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'broken_reference', 'superseded_by', CAST(id AS VARCHAR) FROM p WHERE next IS NOT NULL AND next NOT IN (SELECT id FROM p WHERE id IS NOT NULL)
+UNION ALL SELECT 'reference_cycle', 'superseded_by', CAST(id AS VARCHAR) FROM p, m WHERE k % 10 BETWEEN 1 AND 4 AND k - k % 10 + 4 <= most""")
+def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of identifiers and references: missing and double ids, links to nothing, and circles of four."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.when(k % 50 == 7, F.lit(None)).when(k % 50 == 9, k - 1).otherwise(k).alias("id"), F.when((k % 10).isin(1, 2, 3), k + 1).when(k % 10 == 4, k - 3).when(k % 10 == 6, -k).alias("next"))
+    return identity.audit(rows.select("id"), {"superseded_by": rows}).select("issue", "kind", "id")
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS k, {LAT.format('c_custkey')} AS y, {LNG.format('c_custkey')} AS x FROM customer),
+e AS (SELECT k, CASE k % 9 WHEN 0 THEN NULL WHEN 1 THEN 95.0e0 WHEN 2 THEN 10.0e0 ELSE y END AS y1, x AS x1, CASE k % 9 WHEN 3 THEN y + 0.0001e0 WHEN 4 THEN 16.349e0 WHEN 5 THEN 16.351e0 WHEN 6 THEN 15.4e0 ELSE y - 0.01e0 END AS y2, CASE k % 9 WHEN 7 THEN 181.0e0 ELSE x END AS x2 FROM c)
+SELECT k AS c_custkey, CASE WHEN y1 IS NULL THEN 'INVALID_ENDPOINTS' WHEN abs(y1) > 90 OR abs(x2) > 180 THEN 'INVALID_COORDINATES' WHEN NOT y1 BETWEEN 15.40 AND 16.35 OR NOT y2 BETWEEN 15.40 AND 16.35 OR NOT x1 BETWEEN 107.90 AND 108.65 OR NOT x2 BETWEEN 107.90 AND 108.65 THEN 'OUT_OF_SERVICE_AREA'
+ WHEN {metres_sql('y1', 'x1', 'y2', 'x2')} < 50 THEN 'SAME_LOCATION' END AS code FROM e""")
+def q_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planner's verdict on pairs of ends: missing, impossible, outside, equal or fine."""
+    k, y, x = F.col("c_custkey"), F.col("lat"), F.col("lng")
+    rows = at(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    y1 = F.when(k % 9 == 0, F.lit(None)).when(k % 9 == 1, F.lit(95.0)).when(k % 9 == 2, F.lit(10.0)).otherwise(y)
+    y2 = F.when(k % 9 == 3, y + 0.0001).when(k % 9 == 4, F.lit(16.349)).when(k % 9 == 5, F.lit(16.351)).when(k % 9 == 6, F.lit(15.4)).otherwise(y - 0.01)
+    return rows.select("c_custkey", planner.code(y1, x, y2, F.when(k % 9 == 7, F.lit(181.0)).otherwise(x)).alias("code"))
+
+
+@query(f"""
+WITH c AS (SELECT c_nationkey AS nation, {LAT.format('c_custkey')} AS lat, {LNG.format('c_custkey')} AS lng, c_custkey % 9 AS m FROM customer),
+l AS (SELECT *, CASE WHEN lat >= 15.90 THEN 'Đà Nẵng, Việt Nam' WHEN m = 0 THEN 'Hội An, Quảng Nam, Việt Nam' WHEN m = 1 OR lat <= 15.65 THEN 'Tam Kỳ, Quảng Nam, Việt Nam' ELSE 'Quảng Nam, Việt Nam' END AS locality FROM c)
+SELECT nation, locality, count(*) AS n, min(lat) AS south, min(lng) AS west, max(lat) AS north, max(lng) AS east FROM l WHERE m <> 5 GROUP BY ALL""")
+def q_localities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each nation by locality, with the box around them; every ninth has no valid place."""
+    k = F.col("c_custkey")
+    rows = at(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), "c_custkey")
+    street = F.when(k % 9 == 0, F.lit("Đường CỬA ĐẠI")).when(k % 9 == 1, F.lit("Núi Thành")).otherwise(F.lit("x"))
+    named = rows.withColumn("locality", geo.locality(F.col("lat"), street)).withColumn("lat", F.when(k % 9 != 5, F.col("lat")).otherwise(F.lit(99.0)))
+    found = named.groupBy("nation", "locality").agg(F.count_if(F.col("lat") < 90).alias("n"), *geo.bounds())
+    return found.where(F.col("n") > 0).select("nation", "locality", "n", "south", "west", "north", "east")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)
+SELECT doc_id, part, CAST(place AS BIGINT) AS "at", md5(line) AS line FROM l, (VALUES ('head', 1, 2), ('body', 2, 4), ('none', 5, 4)) AS r(part, a, b) WHERE doc_id % 3 < 2 AND place BETWEEN a + doc_id % 2 AND b""")
+def q_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents by ranges that overlap, or are empty."""
+    docs = table(spark, sf_dir, "documents")
+    ranges = docs.where(F.col("doc_id") % 3 < 2).select("doc_id", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), (F.lit(a) + F.col("doc_id") % 2).alias("first_line"), F.lit(b).alias("last_line")) for p, a, b in (("head", 1, 2), ("body", 2, 4), ("none", 5, 4))])))
+    return page_source.line_ranges(docs, ranges, "doc_id", "text").select("doc_id", "part", long("at", "at"), F.md5("line").alias("line"))
+
+
+@query(f"""
+WITH {STOPS_SQL}, r AS (SELECT route, {LAT.format('(route * 30 + 7)')} + 0.002e0 AS y1, {LNG.format('(route * 30 + 7)')} AS x1, {LAT.format('(route * 30 + 20 - route % 3 * 9)')} AS y2, {LNG.format('(route * 30 + 20 - route % 3 * 9)')} + 0.001e0 AS x2 FROM (SELECT DISTINCT route FROM stops)),
+d AS (SELECT route, idx, (lat - y1) * (lat - y1) + (lng - x1) * (lng - x1) AS a, (lat - y2) * (lat - y2) + (lng - x2) * (lng - x2) AS b FROM stops JOIN r USING (route)),
+n AS (SELECT route, CAST(min((a, idx))[2] AS BIGINT) AS first_at, CAST(min((b, idx))[2] AS BIGINT) AS last_at FROM d GROUP BY route)
+SELECT CAST(route AS BIGINT) AS route, first_at, last_at, CASE WHEN last_at >= first_at THEN last_at - first_at + 1 END AS n_points FROM n""")
+def q_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each route's line between the vertices nearest to two places; none where that runs backwards."""
+    lines = stops(spark, sf_dir).groupBy("route").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng"))).alias("points"))
+    r = F.col("route")
+    (y1, x1), (y2, x2) = geo.fallback_position(r * 30 + 7), geo.fallback_position(r * 30 + 20 - r % 3 * 9)
+    first, last = spatial.nearest_vertex(F.col("points"), y1 + 0.002, x1), spatial.nearest_vertex(F.col("points"), y2, x2 + 0.001)
+    rows = lines.select("route", "points", first.alias("first_at"), last.alias("last_at"))
+    return rows.select(long("route", "route"), long("first_at", "first_at"), long("last_at", "last_at"), long(F.size(spatial.between_vertices(F.col("points"), F.col("first_at"), F.col("last_at"))), "n_points"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS z, p_partkey % 7 AS m FROM part), b AS (SELECT *, CASE WHEN m IN (0, 3) THEN NULL ELSE z END AS low, CASE WHEN m IN (1, 3) THEN NULL ELSE z + m % 3 END AS high, CASE WHEN m = 0 THEN z + 2 END AS peak FROM p), f AS (SELECT *, coalesce(low, peak) AS a, high AS h FROM b)
+SELECT k AS p_partkey, CASE WHEN m = 5 THEN CASE WHEN k % 2 = 0 THEN 'Theo lịch bay' ELSE 'Giờ không cố định' END WHEN a <> h THEN a || '-' || h || ' phút' WHEN coalesce(a, h) IS NOT NULL THEN coalesce(a, h) || ' phút' ELSE 'Đang cập nhật' END AS frequency,
+ CASE WHEN m = 4 THEN 'Đang cập nhật' ELSE lpad(CAST(z % 24 AS VARCHAR), 2, '0') || ':05 - ' || CASE WHEN m = 2 THEN 'tối' ELSE '21:30' END END AS hours,
+ CAST(CASE WHEN z % 30 < 24 THEN z % 30 * 60 + 5 END AS BIGINT) AS minutes, lpad(CAST((k * 7 % 1440) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(k * 7 % 60 AS VARCHAR), 2, '0') AS clock FROM f""")
+def q_schedule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies, operating hours and times of day as texts, with parts of them missing."""
+    k, z, m = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 7
+    low, high = F.when(~m.isin(0, 3), z), F.when(~m.isin(1, 3), z + (m % 3).cast("int"))
+    frequency = text.frequency_text(low, high, F.when(m == 0, z + 2), F.lit(None).cast("int"), m == 5, F.when(k % 2 == 0, F.lit("theo giờ BAY")))
+    hours = text.hours_text(F.when(m != 4, F.concat((z % 24).cast("string"), F.lit(":5"))).otherwise(F.lit("")), F.when(m == 2, F.lit("tối")).otherwise(F.lit("21:30")))
+    minutes = text.minutes_of(F.concat((z % 30).cast("string"), F.lit(":05")))
+    return table(spark, sf_dir, "part").select("p_partkey", frequency.alias("frequency"), hours.alias("hours"), long(minutes, "minutes"), text.clock(k * 7 + 1440).alias("clock"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'large' WHEN p_type LIKE '%STEEL%' OR p_type = 'ECONOMY' THEN 'steel' ELSE 'other' END AS class FROM part)
+SELECT class, CAST(count(*) AS BIGINT) AS n, round(100.0e0 * count(*) / (SELECT count(*) FROM part), 2) AS pct, md5(string_agg(CAST(k AS VARCHAR), ',' ORDER BY -k)) AS ids FROM r GROUP BY class""")
+def q_coverage_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of parts with their share and the ids of their members, in falling order."""
+    classes = [(F.col("p_size") > 40, "large"), (F.col("p_type").contains("STEEL") | (F.col("p_type") == "ECONOMY"), "steel")]
+    found = quality.coverage_lists(table(spark, sf_dir, "part").withColumn("ordinal", -F.col("p_partkey")), "p_partkey", classes, "ordinal")
+    return found.select("class", long("n", "n"), "pct", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS m FROM orders)
+SELECT k AS o_orderkey, CASE WHEN m IN (1, 2) THEN 'https://example.org/' || k END AS source_url, CASE WHEN m = 1 THEN '2024-01-0' || (1 + k % 9) END AS last_verified_at, CASE WHEN m = 1 THEN 'verified' WHEN m = 2 THEN 'pending' ELSE 'unverified' END AS verification_status, CASE WHEN m = 1 THEN o_orderpriority END AS kept
+FROM o JOIN orders ON o_orderkey = k""")
+def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the provenance of their entry, where they have one; a field of those that aren't verified is emptied."""
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    orders = table(spark, sf_dir, "orders")
+    entries = orders.where(m.isin(1, 2, 3)).select("o_orderkey", F.when(m < 3, F.concat(F.lit("https://example.org/"), k.cast("string"))).alias("source_url"), F.when(m == 1, F.concat(F.lit("2024-01-0"), (1 + k % 9).cast("string"))).alias("last_verified_at"), F.when(m == 1, F.lit("verified")).when(m == 2, F.lit("pending")).alias("verification_status"))
+    rows = enrichment.with_provenance(orders.select("o_orderkey", F.col("o_orderpriority").alias("kept")), entries, "o_orderkey")
+    rows = enrichment.materialised(rows, F.col("verification_status") == "verified", ["kept"])
+    return rows.select("o_orderkey", "source_url", "last_verified_at", "verification_status", "kept")
