@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,19 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-#: Folders that this process has stored tables in.
-_written: list[str] = []
+#: Folders of the tables stored in the innermost ``scratch`` block of this thread; none outside of one.
+_kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at the end of the block, the tables stored in it, for work whose result is by then stored elsewhere."""
-    begin = len(_written)
-    yield
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    while len(_written) > begin:
-        path = hadoop.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    """Deletes, at the end of the block, however it ends, the tables that this thread stored in it, for work whose result is by then stored elsewhere."""
+    token = _kept.set([])
+    try:
+        yield
+    finally:
+        paths = _kept.get()
+        _kept.reset(token)
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            hadoop.Path(path).getFileSystem(conf).delete(hadoop.Path(path), True)
 
 
 #: The setting by which Spark deletes an execution's shuffle files at its end.
@@ -62,7 +66,8 @@ def materialize(df: DataFrame, name: str = "table", read_once: bool = False) ->
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _written.append(path)
+    if (kept := _kept.get()) is not None:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

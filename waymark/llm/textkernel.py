@@ -88,13 +88,3 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
             extra[has] += h[first[short[has]] + k] * multiplier[k + 1]
         docs, out = np.concatenate([docs, short]), np.concatenate([out, mix(extra + GOLDEN * count[short].astype(U64))])
     return docs, out
-
-
-def distinct_pairs(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (text number, 48-bit hash) with counts. Texts per call stay under 2**16."""
-    key = np.sort((docs.astype(U64) << U64(48)) | (hashes >> U64(16)))
-    if not len(key):
-        return docs[:0], key, key.astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    kept = key[at]
-    return (kept >> U64(48)).astype(np.int64), kept & U64((1 << 48) - 1), np.diff(np.append(at, len(key)))
