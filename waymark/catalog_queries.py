@@ -586,9 +586,9 @@ def q_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT p_partkey AS k, p_size AS z FROM part)
 SELECT k AS p_partkey, 'ben ' || k AS origin, 'cho ' || z AS destination, CAST(CASE WHEN z % 24 < 24 THEN z % 24 * 60 + 15 END AS BIGINT) AS starts, CAST(21 * 60 AS BIGINT) AS ends, CAST(CASE WHEN k % 2 = 0 THEN least(z, z + 5) ELSE z END AS BIGINT) AS low, CAST(CASE WHEN k % 2 = 0 THEN z + 5 ELSE z END AS BIGINT) AS high,
  CASE k % 4 WHEN 0 THEN z + 0.5e0 WHEN 1 THEN round((z + z + 1) / 2.0e0, 2) WHEN 2 THEN CAST(z AS DOUBLE) END AS average, CASE k % 4 WHEN 1 THEN CAST(z AS DOUBLE) WHEN 2 THEN z + 1.0e0 END AS outbound, CASE k % 4 WHEN 1 THEN z + 1.0e0 WHEN 2 THEN z + 2.0e0 END AS inbound,
- 'A' || z || ' - B' AS path_out, 'B - A' || z AS path_in, CAST(CASE WHEN k % 3 = 0 OR z % 10 = 8 THEN 8000 END AS BIGINT) AS single, CAST(z * 1000 AS BIGINT) AS regular FROM p""")
+ 'A' || z || ' - B' AS path_out, 'B - A' || z || ' Giá vé:' || CASE WHEN k % 3 = 0 THEN '' ELSE ' xem bảng' END AS path_in, CAST(CASE WHEN k % 3 = 0 OR z % 10 = 8 THEN 8000 END AS BIGINT) AS single, CAST(z * 1000 AS BIGINT) AS regular FROM p""")
 def q_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of a route's description, from texts made up of a part's key and size."""
+    """Fields of a route's description, from texts made up of a part's key and size. The inbound path goes on in the line of fares, as far as that has no digit from 1 to 9."""
     k, z = F.col("p_partkey"), F.col("p_size")
     s = lambda c: c.cast("string")
     km = F.when(k % 4 == 0, F.concat(s(z), F.lit(",5 km"))).when(k % 4 == 1, F.concat(s(z), F.lit(" km và "), s(z + 1), F.lit("km"))).when(k % 4 == 2, F.concat(s(z), F.lit("km ("), s(z + 1), F.lit(" km, "), s(z + 2), F.lit(" km)"))).otherwise(F.concat(F.lit("vé lượt 5 km 8000 đồng")))

@@ -48,9 +48,13 @@ def direction_metrics(stops: DataFrame) -> DataFrame:
     return stops.groupBy(F.concat_ws("_", "route_id", "direction").alias("route")).agg(F.count_if(fine).alias("verified"), F.count("*").alias("total"))
 
 
-def transfer_index(stops: DataFrame) -> DataFrame:
-    """Edges between usable stops of different lines within a transfer's walk."""
-    found = spatial.transfers(stops, TRANSFER_WALK)
+#: Stops that meet in a cell of the transfer index before it is cut into pieces.
+CROWD = 20_000
+
+
+def transfer_index(stops: DataFrame, crowd: int | None = CROWD) -> DataFrame:
+    """Edges between usable stops of different lines within a transfer's walk; crowded cells are spread over tasks."""
+    found = spatial.transfers(stops, TRANSFER_WALK, crowd)
     return found.where(F.col("from_line") != F.col("to_line"))
 
 
