@@ -27,24 +27,35 @@ def resolve(tokens: DataFrame, tiers: list[tuple[str, DataFrame]], token: str =
     return rows.withColumn("status", status).withColumn("id", F.when(F.col("n_candidates") == 1, F.col("id")))
 
 
+#: Hops that are joined before the starts still on their way are stored.
+STEP = 4
+
+
 def successors(starts: DataFrame, links: DataFrame, most: int = MAX_HOPS) -> DataFrame:
     """Follow links (id, next) from each start (id): last, hops and status.
 
-    Status: resolved (no further link), broken_successor_reference (a link to an unknown id), cycle_detected or max_hops_exceeded. Each hop is one join of the
-    starts still on their way, stored before the next one, and there are as many as the longest chain needs.
+    Status: resolved (no further link), broken_successor_reference (a link to an unknown id), cycle_detected or max_hops_exceeded. Each hop is one join; rows carry their state, so nothing is
+    computed twice. After every STEP hops the rows are stored, and only those still on their way go on.
     """
     known = links.select(F.col("id").alias("k_id"), F.col("next").alias("k_next"))
-    way = starts.select(F.col("id").alias("start"), F.col("id").alias("last"), F.array("id").alias("path"))
+    way = starts.select(F.col("id").alias("start"), F.col("id").alias("last"), F.array("id").alias("path"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("status"))
     done: list[DataFrame] = []
     for hop in range(most + 1):
-        status = F.when(F.col("k_id").isNull(), F.lit("broken_successor_reference")).when(F.col("k_next").isNull(), F.lit("resolved")).when(F.array_contains("path", F.col("k_next")), F.lit("cycle_detected"))
+        on_way = F.col("status").isNull()
+        found = F.when(F.col("k_id").isNull(), F.lit("broken_successor_reference")).when(F.col("k_next").isNull(), F.lit("resolved")).when(F.array_contains("path", F.col("k_next")), F.lit("cycle_detected"))
         if hop == most:
-            status = F.coalesce(status, F.lit("max_hops_exceeded"))
-        here = stored(way.join(known, F.col("last") == F.col("k_id"), "left").withColumn("status", status), "hop")
-        done.append(here.where(F.col("status").isNotNull()).select("start", "last", F.lit(hop).alias("hops"), "status"))
-        way = here.where(F.col("status").isNull()).select("start", F.col("k_next").alias("last"), F.concat("path", F.array("k_next")).alias("path"))
-        if way.isEmpty():
-            break
+            found = F.coalesce(found, F.lit("max_hops_exceeded"))
+        goes_on = on_way & found.isNull()
+        way = way.join(known, (F.col("last") == F.col("k_id")) & on_way, "left").select(
+            "start", F.when(goes_on, F.col("k_next")).otherwise(F.col("last")).alias("last"), F.when(goes_on, F.concat("path", F.array("k_next"))).otherwise(F.col("path")).alias("path"),
+            F.when(goes_on, F.lit(hop + 1)).otherwise(F.col("hops")).alias("hops"), F.when(on_way, found).otherwise(F.col("status")).alias("status"),
+        )
+        if hop == most or hop % STEP == STEP - 1:
+            rows = stored(way, "hops")
+            done.append(rows.where(F.col("status").isNotNull()).select("start", "last", "hops", "status"))
+            way = rows.where(F.col("status").isNull())
+            if hop < most and way.isEmpty():
+                break
     return reduce(DataFrame.unionByName, done)
 
 

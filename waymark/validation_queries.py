@@ -24,7 +24,7 @@ m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route, k, name OR
 
 @query(f"""
 WITH {STOPS_SQL}, p AS (SELECT * FROM stops), a AS (SELECT s_suppkey % (SELECT max(route) + 1 FROM stops) AS route, s_suppkey AS k, '' AS name, {LAT.format('(s_suppkey * 11)')} AS y, {LNG.format('(s_suppkey * 11)')} AS x FROM supplier), {PARTS_SQL}
-SELECT k AS anchor, CAST(route AS BIGINT) AS route, floor(off) AS metres_off, floor(progress * 1000) AS progress FROM m""")
+SELECT k AS anchor, CAST(route AS BIGINT) AS route, floor(off) AS metres_off, floor(progress * 1000 + 0.001e0) AS progress FROM m""")
 def q_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors on the polyline of their route: distance and progress, most of them far off the line."""
     network = stops(spark, sf_dir)
@@ -32,7 +32,7 @@ def q_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     rows = at(table(spark, sf_dir, "supplier").select(key.alias("anchor"), (key % routes).alias("route"), (key * 11).alias("p")), "p", "a_lat", "a_lng")
     found = spatial.onto_line(rows.drop("p"), spatial.segments(network, "route", "idx"), "route", "anchor")
-    return found.select("anchor", long("route", "route"), F.floor("metres_off").cast("double").alias("metres_off"), F.floor(F.col("progress") * 1000).cast("double").alias("progress"))
+    return found.select("anchor", long("route", "route"), F.floor("metres_off").cast("double").alias("metres_off"), F.floor(F.col("progress") * 1000 + 0.001).cast("double").alias("progress"))
 
 
 @query(f"""
@@ -44,7 +44,7 @@ off AS (SELECT route, name AS off_name, off AS off_metres FROM (SELECT *, row_nu
 back AS (SELECT route, b AS back_from, progress AS back_to FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY k, name) AS q FROM (SELECT *, lag(progress) OVER (PARTITION BY route ORDER BY k, name) AS b FROM f WHERE off <= 350) WHERE progress < b - 0.05e0) WHERE q = 1),
 most AS (SELECT route, max(off) AS most_off FROM f WHERE off <= 350 GROUP BY 1),
 e AS (SELECT route, CASE route % 4 WHEN 0 THEN 20.0e0 WHEN 1 THEN 45.0e0 WHEN 3 THEN 0.0e0 END AS km FROM np)
-SELECT CAST(route AS BIGINT) AS route, CAST(n_points AS BIGINT) AS n_points, CAST(coalesce(n_anchors, 0) AS BIGINT) AS n_anchors, floor(metres) AS metres, floor(most_off * 10) AS most_off, off_name, floor(off_metres) AS off_metres, floor(back_from * 1000) AS back_from, floor(back_to * 1000) AS back_to,
+SELECT CAST(route AS BIGINT) AS route, CAST(n_points AS BIGINT) AS n_points, CAST(coalesce(n_anchors, 0) AS BIGINT) AS n_anchors, floor(metres) AS metres, floor(most_off * 10) AS most_off, off_name, floor(off_metres) AS off_metres, floor(back_from * 1000 + 0.001e0) AS back_from, floor(back_to * 1000 + 0.001e0) AS back_to,
  CASE WHEN n_points < 15 THEN 'too_few_points' WHEN coalesce(n_anchors, 0) < 5 THEN 'too_few_anchors' WHEN off_metres IS NOT NULL THEN 'anchor_off_line' WHEN back_to IS NOT NULL THEN 'progress_not_monotone' WHEN nullif(km, 0) IS NOT NULL AND NOT metres / 1000 BETWEEN 0.6 * km AND 1.8 * km THEN 'length_out_of_range' END AS code
 FROM np LEFT JOIN na USING (route) LEFT JOIN whole USING (route) LEFT JOIN off USING (route) LEFT JOIN back USING (route) LEFT JOIN most USING (route) LEFT JOIN e USING (route)""")
 def q_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def q_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = kept.select("route", F.when(route % 7 == 5, -idx).otherwise(idx).alias("at"), F.concat(F.lit("s"), F.col("name").cast("string")).alias("name"), (F.col("lat") + moved).alias("lat"), "lng")
     expected = network.select("route").distinct().withColumn("kilometres", F.when(route % 4 == 0, F.lit(20.0)).when(route % 4 == 1, F.lit(45.0)).when(route % 4 == 3, F.lit(0.0)))
     found = geometry.validated(points, anchors, "route", expected)
-    whole = lambda c, k=1: F.floor(F.col(c) * k).cast("double").alias(c)
+    # the ends of a line lie at whole thousandths, which rounding must not cross
+    whole = lambda c, k=1: F.floor(F.col(c) * k + (0.001 if k == 1000 else 0.0)).cast("double").alias(c)
     return found.select(long("route", "route"), long("n_points", "n_points"), long("n_anchors", "n_anchors"), whole("metres"), whole("most_off", 10), "off_name", whole("off_metres"), whole("back_from", 1000), whole("back_to", 1000), "code")
 
 
