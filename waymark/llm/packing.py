@@ -29,7 +29,7 @@ SEQUENCE, END_ID = 4096, 1
 #: Shards that pieces of one length are ranked in.
 SHARDS = 1024
 #: Distinct words whose ids a task keeps before the older half is dropped.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: The normaliser and the splitter for which a text's ids are those of its words. Files with others go to the tokenizer whole.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = {
