@@ -70,9 +70,9 @@ def q_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT event_id, event_id // 30 AS k, event_id % 3 <> 0 AS answer, event_id % 30 // 6 AS n, epoch_ms(ts) AS ms FROM events),
-s AS (SELECT *, coalesce(sum(CASE WHEN ms - before > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ms, answer ROWS UNBOUNDED PRECEDING), 0) AS stretch FROM (SELECT *, lag(ms) OVER (PARTITION BY k ORDER BY ms, answer) AS before FROM e)),
-w AS (SELECT *, max(CASE WHEN NOT answer THEN n END) OVER (PARTITION BY k, stretch ORDER BY ms, answer) AS newest FROM s)
+WITH e AS (SELECT event_id, event_id // 30 AS k, event_id % 3 <> 0 AS answer, event_id % 30 // 6 AS n, epoch_us(ts) AS us, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM events),
+s AS (SELECT *, coalesce(sum(CASE WHEN ms - before > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY us, answer), 0) AS stretch FROM (SELECT *, lag(ms) OVER (PARTITION BY k ORDER BY us, answer) AS before FROM e)),
+w AS (SELECT *, max(CASE WHEN NOT answer THEN n END) OVER (PARTITION BY k, stretch ORDER BY us, answer) AS newest FROM s)
 SELECT event_id, CAST(n AS BIGINT) AS n FROM w WHERE answer AND n = newest""")
 def q_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses to the newest request of their group of thirty events."""
