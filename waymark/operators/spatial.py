@@ -27,55 +27,92 @@ def around(df: DataFrame) -> DataFrame:
     return df.withColumn("step", F.explode(steps)).withColumn("cell_y", F.col("cell_y") + F.col("step.y")).withColumn("cell_x", F.col("cell_x") + F.col("step.x")).drop("step")
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str], right_at: tuple[str, str], greatest_lat: float = 30.0, crowd: int | None = None) -> DataFrame:
-    """Pairs of rows at most ``metres`` apart, with ``metres``; rows without valid coordinates, or beyond ``greatest_lat``, match nothing.
+def within(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str], right_at: tuple[str, str], greatest_lat: float = 30.0, crowd: int | None = None, spread: str = "right", weight: str | None = None) -> DataFrame:
+    """Pairs of rows at most ``metres`` apart, with ``metres``; rows without valid coordinates, or beyond ``greatest_lat``, match nothing. The rows of the side ``spread`` (best the smaller one) stand in the cells around theirs as well.
 
-    With ``crowd`` the right rows that meet in a cell are counted first, and cells with more than so many are cut into pieces of about that size, each a join key of its own, so that a crowded cell is spread over tasks.
+    With ``crowd`` the right rows that meet in a cell are counted first (by their ``weight``), and cells with more than so many are cut into pieces of about that size, each a join key of its own, so that a crowded cell is spread over tasks.
     """
     fine = lambda df, at: df.where(geo.valid_coordinate(F.col(at[0]), F.col(at[1])) & (F.abs(F.col(at[0])) <= greatest_lat))
     a = with_cell(fine(left, left_at), *left_at, metres, greatest_lat)
-    b = around(with_cell(fine(right, right_at), *right_at, metres, greatest_lat))
+    b = with_cell(fine(right, right_at), *right_at, metres, greatest_lat)
+    a, b = (around(a), b) if spread == "left" else (a, around(b))
     distance = geo.haversine(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
     cell = ["cell_y", "cell_x"]
     keys = cell
     if crowd is not None:
-        counts = b.groupBy(*cell).count().where(F.col("count") > crowd)
+        counts = b.groupBy(*cell).agg(F.sum(weight or F.lit(1)).alias("count")).where(F.col("count") > crowd)
         crowded = stored(counts.select(*cell, F.ceil(F.col("count") / crowd).cast("int").alias("pieces")), "crowded")
         if not crowded.isEmpty():
             keys, pieces = [*cell, "piece"], F.coalesce("pieces", F.lit(1))
-            mixed = F.xxhash64(*[F.col(c) for c in right.columns if c not in cell and not dict(right.dtypes)[c].startswith("map")])
+            mixed = F.xxhash64(*[F.col(c) for c in right.columns if c not in cell and "map<" not in dict(right.dtypes)[c]])
             a = a.join(crowded, cell, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
             b = b.join(crowded, cell, "left").withColumn("piece", F.pmod(mixed, pieces).cast("int")).drop("pieces")
     return a.join(b, keys).drop(*keys).withColumn("metres", distance).where(F.col("metres") <= metres)
 
 
-def ranked_by_distance(found: DataFrame, point_id: str, place_id: str, limit: int) -> DataFrame:
-    by = Window.partitionBy(point_id).orderBy("metres", place_id)
+def ranked_by_distance(found: DataFrame, point: list[str], place_id: str, limit: int) -> DataFrame:
+    by = Window.partitionBy(*point).orderBy("metres", place_id)
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
 def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, metres: float, limit: int, point_at: tuple[str, str], place_at: tuple[str, str], crowd: int | None = None) -> DataFrame:
-    """The ``limit`` nearest places within ``metres`` of each point, ranked by distance and id.
+    """The ``limit`` nearest places within ``metres`` of each point, ranked by distance and id. A point has one position; points that share one are looked up once, and of places that share one the first ``limit`` count.
 
     With ``crowd``, where a cell holds more places than that, the search begins with smaller cells: a point that has ``limit`` places within a sixteenth or a fourth of ``metres`` looks no further, so it meets
     a number of places that follows ``limit`` and not the density.
     """
+    spot = list(point_at)
+    spots = stored(points.where(geo.valid_coordinate(*map(F.col, spot))).select(*spot).distinct(), "spots")
+    first = Window.partitionBy(*place_at).orderBy(place_id)
+    kept = stored(places.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("rank"), "places")
+    best = nearest_of_spots(spots, kept, spot, place_id, metres, limit, point_at, place_at, crowd)
+    return points.join(best, spot).select(*points.columns, *places.columns, "metres", "rank")
+
+
+def nearest_of_spots(spots: DataFrame, places: DataFrame, spot: list[str], place_id: str, metres: float, limit: int, point_at: tuple[str, str], place_at: tuple[str, str], crowd: int | None) -> DataFrame:
     if crowd is None or with_cell(places, *place_at, metres).groupBy("cell_y", "cell_x").count().where(F.col("count") > crowd).isEmpty():
-        return ranked_by_distance(within(points, places, metres, point_at, place_at), point_id, place_id, limit)
-    found, left = [], points
+        return ranked_by_distance(within(spots, places, metres, point_at, place_at), spot, place_id, limit)
+    found, left = [], spots
     for part in (16, 4):
-        near = stored(ranked_by_distance(within(left, places, metres / part, point_at, place_at), point_id, place_id, limit), "near")
-        full = near.where(F.col("rank") == limit).select(point_id)
-        found.append(near.join(full, point_id, "left_semi"))
-        left = left.join(full, point_id, "left_anti")
-    found.append(ranked_by_distance(within(left, places, metres, point_at, place_at, crowd=crowd), point_id, place_id, limit))
+        near = stored(ranked_by_distance(within(left, places, metres / part, point_at, place_at), spot, place_id, limit), "near")
+        full = near.where(F.col("rank") == limit).select(*spot)
+        found.append(near.join(full, spot, "left_semi"))
+        left = left.join(full, spot, "left_anti")
+    found.append(ranked_by_distance(within(left, places, metres, point_at, place_at, crowd=crowd), spot, place_id, limit))
     return reduce(DataFrame.unionByName, found)
 
 
-def transfers(stops: DataFrame, metres: float = 400.0, crowd: int | None = None) -> DataFrame:
-    """Edges between stops of different routes at most ``metres`` apart, with whole metres. ``stops``: route, stop, lat, lng; ``crowd`` as in ``within``."""
+#: Rows of one position that a heap holds at most, but for the chance of a hash.
+HEAP = 64
+
+
+def heaped(rows: DataFrame, at: tuple[str, str], name: str) -> DataFrame:
+    """One row for each position, or part of a crowded one: the coordinates ``at``, ``<name>_rows`` with its rows, and how many they are (``<name>_n``)."""
+    others = [c for c in rows.columns if c not in at]
+    fine = rows.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull())
+    counts = fine.groupBy(*at).agg(F.ceil(F.count("*") / HEAP).alias("heaps"))
+    mixed = F.xxhash64(*[c for c in others if "map<" not in dict(rows.dtypes)[c]])
+    dealt = fine.join(counts, [*at]).withColumn("heap", F.pmod(mixed, "heaps"))
+    return dealt.groupBy(*at, "heap").agg(F.collect_list(F.struct(*others)).alias(f"{name}_rows")).drop("heap").withColumn(f"{name}_n", F.size(f"{name}_rows"))
+
+
+def transfers(stops: DataFrame, metres: float = 400.0, crowd: int | None = None, leaving: DataFrame | None = None, entering: DataFrame | None = None) -> DataFrame:
+    """Edges between stops of different routes at most ``metres`` apart, with whole metres. ``stops``: route, stop, lat, lng; ``crowd`` as in ``within``.
+
+    ``leaving`` and ``entering`` (route) keep the edges from and to these routes alone, without looking at others. Without them stops of one position are measured once, as a heap.
+    """
     side = lambda x: stops.select(*[F.col(c).alias(f"{x}_{c}") for c in stops.columns])
-    pairs = within(side("from"), side("to"), metres, ("from_lat", "from_lng"), ("to_lat", "to_lng"), crowd=crowd)
+    few = lambda x, routes: side(x) if routes is None else side(x).join(routes.select(F.col("route").alias(f"{x}_route")).distinct(), f"{x}_route", "left_semi").select(*side(x).columns)
+    at = {x: (f"{x}_lat", f"{x}_lng") for x in ("from", "to")}
+    if leaving is not None or entering is not None:
+        pairs = within(few("from", leaving), few("to", entering), metres, at["from"], at["to"], crowd=crowd, spread="right" if leaving is None else "left")
+    else:
+        met = within(heaped(side("from"), at["from"], "from"), heaped(side("to"), at["to"], "to"), metres, at["from"], at["to"], crowd=crowd, weight="to_n")
+        for x in ("from", "to"):
+            others = [f"{y}_{c}" for y in ("from", "to") for c in stops.columns if f"{y}_{c}" in met.columns]
+            kept = [*others, "metres", *([] if x == "to" else ["to_rows"])]
+            met = met.select(*kept, F.inline(f"{x}_rows"))
+        pairs = met.select(*side("from").columns, *side("to").columns, "metres")
     return pairs.where(F.col("from_route") != F.col("to_route")).withColumn("metres", geo.half_up(F.col("metres")).cast("long"))
 
 
