@@ -1,7 +1,7 @@
 """Journeys with up to two transfers between query points, as joins over (query, route) pairs.
 
 Stops: route, idx, name, lat, lng (usable stops of ready directions only; a direction is a route of its own). Boards and alights are the stops near a query's ends, one for each
-route: the one with the lowest index. Edges come from ``spatial.transfers`` with from_idx and to_idx.
+route: the one with the lowest index. Edges come from ``spatial.transfers`` with from_idx and to_idx, all of them or those that touch the routes of boards and alights.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ STOP_MINUTES, LEAST_DIRECT, LEAST_LEG, BUFFER, TRANSFER_COST, MAX_DETOUR, RESULT
 def ends(queries: DataFrame, stops: DataFrame, prefix: str, metres: float, limit: int = 15) -> DataFrame:
     """The usable stops of each route near an end of the query: query_id, route, idx, name, walk, lat, lng; the ``limit`` nearest stops count."""
     at = (f"{prefix}_lat", f"{prefix}_lng")
-    near = within(queries.select("query_id", *at), stops, metres, at, ("lat", "lng"))
+    near = within(queries.select("query_id", *at), stops, metres, at, ("lat", "lng"), spread="left")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("metres", "route", "idx"))).where(F.col("rank") <= limit)
     first = Window.partitionBy("query_id", "route").orderBy("idx")
     return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") == 1).select("query_id", "route", "idx", "name", F.col("metres").alias("walk"), "lat", "lng")
@@ -71,9 +71,14 @@ def ahead(queries: DataFrame, boards: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def back(alights: DataFrame, edges: DataFrame) -> DataFrame:
-    """Last transfer and ride of each query, seen from its destination: routes that lead to one it can alight from."""
+def back(queries: DataFrame, alights: DataFrame, edges: DataFrame) -> DataFrame:
+    """Last transfer and ride of each query, seen from its destination: routes that lead to one it can alight from. Only what the origin may reach within the detour limit stays."""
     rows = renamed(alights, "a").join(with_penalty(edges, "to_penalty"), (F.col("a_route") == F.col("to_route")) & (F.col("to_idx") < F.col("a_idx")))
+    straight = geo.haversine(F.col("o_lat"), F.col("o_lng"), F.col("d_lat"), F.col("d_lng"))
+    rows = rows.join(queries.select("query_id", "o_lat", "o_lng", straight.alias("o_straight")), "query_id")
+    # as in ``ahead``: the way there is no shorter than the straight line from the origin
+    so_far = F.coalesce(geo.exact_haversine(F.col("o_lat"), F.col("o_lng"), F.col("from_lat"), F.col("from_lng")), F.lit(0.0))
+    rows = rows.where(so_far + F.col("metres") + ride("to", "a") + F.col("a_walk") <= MAX_DETOUR * F.col("o_straight") + 10)
     return rows.select(
         "query_id", F.col("from_route").alias("r2"), F.col("from_idx").alias("i3"), F.col("from_lat"), F.col("from_lng"), F.col("to_route").alias("r3"), F.col("to_idx").alias("i4"), F.col("a_idx").alias("i5"),
         (F.col("metres") + ride("to", "a") + F.col("a_walk")).alias("path_3"), leg_minutes(F.col("to_idx"), F.col("a_idx")).alias("ride_3"), (geo.walking_minutes(F.col("metres")) + geo.walking_minutes(F.col("a_walk"))).alias("walks_3"), (F.col("metres") + F.col("a_walk")).alias("walked_3"), F.col("to_penalty").alias("penalty_3"),
@@ -84,7 +89,7 @@ def finished(rows: DataFrame, transfers: int, routes: list[str], places: list[st
     return rows.select("query_id", F.lit(transfers).alias("transfers"), F.array(*routes).alias("routes"), F.array(*places).alias("places"), walks.cast("int").alias("walk_minutes"), rides.cast("int").alias("ride_minutes"), F.round(walked, 1).alias("walk_metres"), penalty.alias("penalty"))
 
 
-def transferring(queries: DataFrame, boards: DataFrame, alights: DataFrame, edges: DataFrame, transfers: int, first: DataFrame | None = None) -> DataFrame:
+def transferring(queries: DataFrame, boards: DataFrame, alights: DataFrame, edges: DataFrame | None, transfers: int, first: DataFrame | None = None) -> DataFrame:
     """Journeys with one or two transfers on pairwise different routes whose path estimate is at most MAX_DETOUR times the straight line.
 
     Two transfers meet on the route in the middle: what the first transfer reaches (``first``, from ``ahead``) and what the last one needs.
@@ -94,7 +99,9 @@ def transferring(queries: DataFrame, boards: DataFrame, alights: DataFrame, edge
         last = first.join(renamed(alights, "a"), "query_id").where((F.col("r2") == F.col("a_route")) & (F.col("a_idx") > F.col("i2")) & (F.col("r1") != F.col("r2")))
         last = last.where(F.col("path") + ride("at", "a") + F.col("a_walk") <= MAX_DETOUR * F.col("straight"))
         return finished(last, 1, ["r1", "r2"], ["i0", "i1", "i2", "a_idx"], F.col("walks") + geo.walking_minutes(F.col("a_walk")), F.col("rides") + leg_minutes(F.col("i2"), F.col("a_idx")), F.col("walked") + F.col("a_walk"), F.col("penalty"))
-    both = first.join(back(alights, edges), ["query_id", "r2"]).where((F.col("i3") > F.col("i2")) & (F.col("r1") != F.col("r2")) & (F.col("r3") != F.col("r1")) & (F.col("r3") != F.col("r2")))
+    # few rows meet many, so that the work follows the result and is dealt out by number, not by size
+    parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = first.repartition(parts, "query_id", "r2").join(back(queries, alights, edges), ["query_id", "r2"]).where((F.col("i3") > F.col("i2")) & (F.col("r1") != F.col("r2")) & (F.col("r3") != F.col("r1")) & (F.col("r3") != F.col("r2")))
     both = both.where(F.col("path") + ride("at", "from") + F.col("path_3") <= MAX_DETOUR * F.col("straight"))
     return finished(both, 2, ["r1", "r2", "r3"], ["i0", "i1", "i2", "i3", "i4", "i5"], F.col("walks") + F.col("walks_3"), F.col("rides") + leg_minutes(F.col("i2"), F.col("i3")) + F.col("ride_3"), F.col("walked") + F.col("walked_3"), F.col("penalty") + F.col("penalty_3"))
 
@@ -135,16 +142,26 @@ def both_ends(queries: DataFrame, stops: DataFrame, metres: float, metrics: Data
     return stored(with_penalty(boards), "boards"), stored(ends(queries, stops, "d", metres), "alights")
 
 
-def search(queries: DataFrame, stops: DataFrame, edges: DataFrame, metres: float, transfers: int = 2, metrics: DataFrame | None = None) -> DataFrame:
+#: A transfer index, or what finds the edges from some routes (route) or to some; the other one is None.
+Edges = DataFrame | Callable[[DataFrame | None, DataFrame | None], DataFrame]
+
+
+def touching(edges: Edges, leaving: DataFrame | None = None, entering: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """Edges from the routes of boards, or to those of alights, with their penalties. What an index doesn't hold is found for these routes alone, and stored."""
+    if not isinstance(edges, DataFrame):
+        edges = stored(edges(*[None if ends is None else stored(ends.select("route").distinct(), "routes") for ends in (leaving, entering)]), "edges")
+    return penalised(edges, "to_route", "to_penalty", metrics)
+
+
+def search(queries: DataFrame, stops: DataFrame, edges: Edges, metres: float, transfers: int = 2, metrics: DataFrame | None = None) -> DataFrame:
     """All journeys of each query with up to ``transfers`` transfers, boarding and alighting within ``metres`` of its ends.
 
-    ``edges`` is best a stored transfer index (see ``sources.stored``): it is read for the first and for the last transfer.
+    ``edges`` is a stored transfer index (see ``sources.stored``), which is read for the first and for the last transfer, or a function that finds the edges of the routes near the ends: best where queries are few.
     """
     boards, alights = both_ends(queries, stops, metres, metrics)
-    edges = penalised(edges, "to_route", "to_penalty", metrics)
     every = [direct(boards, alights)]
-    first = stored(ahead(queries, boards, edges), "ahead") if transfers else None
-    every += [transferring(queries, boards, alights, edges, k, first) for k in range(1, transfers + 1)]
+    first = stored(ahead(queries, boards, touching(edges, leaving=boards, metrics=metrics)), "ahead") if transfers else None
+    every += [transferring(queries, boards, alights, touching(edges, entering=alights, metrics=metrics) if k == 2 else None, k, first) for k in range(1, transfers + 1)]
     return costed(reduce(DataFrame.unionByName, every))
 
 
@@ -166,15 +183,15 @@ def leading(journeys: DataFrame, limit: int, once: bool) -> DataFrame:
     return rows.drop("order_rank", "order_cost", "order_minutes")
 
 
-def best(queries: DataFrame, stops: DataFrame, edges: DataFrame, metres: float, limit: int = RESULTS, transfers: int = 2, metrics: DataFrame | None = None, fits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def best(queries: DataFrame, stops: DataFrame, edges: Edges, metres: float, limit: int = RESULTS, transfers: int = 2, metrics: DataFrame | None = None, fits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Journeys of each query of which ``ranked`` takes the same ``limit`` as of all that ``search`` finds.
 
     Fewer transfers come first, so there is a layer for each number of them: a query that has ``limit`` journeys after a layer is out of the next ones, and each layer keeps its leading journeys only. Layers are
     stored; nothing is searched once no query is open. ``fits`` drops journeys that don't count.
     """
     boards, alights = both_ends(queries, stops, metres, metrics)
-    edges = penalised(edges, "to_route", "to_penalty", metrics)
-    once = edges.groupBy(*EDGE).count().where("count > 1").isEmpty()
+    once = lambda edges: edges.groupBy(*EDGE).count().where("count > 1").isEmpty()
+    single = True
     fits = fits or (lambda rows: rows)
     layers, open_, first = [], queries, None
     for k in range(transfers + 1):
@@ -182,9 +199,11 @@ def best(queries: DataFrame, stops: DataFrame, edges: DataFrame, metres: float,
             rows = direct(boards, alights)
         else:
             mine = lambda rows: rows.join(open_.select("query_id"), "query_id", "left_semi")  # noqa: E731, B023
-            first = mine(first) if first is not None else stored(ahead(open_, mine(boards), edges), "ahead")
-            rows = transferring(open_, mine(boards), mine(alights), edges, k, first)
-        layers.append(stored(leading(fits(rows), limit, once), "layer"))
+            met = touching(edges, leaving=mine(boards), metrics=metrics) if k == 1 else touching(edges, entering=mine(alights), metrics=metrics)
+            single = single and once(met)
+            first = mine(first) if first is not None else stored(ahead(open_, mine(boards), met), "ahead")
+            rows = transferring(open_, mine(boards), mine(alights), met, k, first)
+        layers.append(stored(leading(fits(rows), limit, single), "layer"))
         if k < transfers:
             found = reduce(DataFrame.unionByName, layers).groupBy("query_id").agg(F.count_distinct("routes", "places").alias("n"))
             open_ = stored(open_.join(found.where(F.col("n") >= limit), "query_id", "left_anti"), "open")
