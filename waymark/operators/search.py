@@ -143,7 +143,8 @@ SAME_DEGREES = 0.0001
 def same_stops(stops: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs of verified stops (stop_id, name, lat, lng, status) and places (place_id, name, lat, lng) that have one name, or coordinates less than SAME_DEGREES apart.
 
-    Two equi-joins: on names, and on cells of twice that width, of which a place stands in its own and the neighbours.
+    Two equi-joins: on names, and on cells of twice that width, of which a place stands in its own and the neighbours. Where ids come once, no pair is found twice: pairs of one name are left to the first join, so
+    the pairs, which may be many more than the rows, are neither gathered nor shuffled.
     """
     s = stops.where(F.col("status") == "verified").select("stop_id", F.col("name").alias("s_name"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
     p = places.select("place_id", F.col("name").alias("p_name"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
@@ -152,5 +153,8 @@ def same_stops(stops: DataFrame, places: DataFrame) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
     cells = p.where(F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull()).withColumn("step", F.explode(steps)).withColumn("y", cell("p_lat") + F.col("step.y")).withColumn("x", cell("p_lng") + F.col("step.x"))
     near = (F.abs(F.col("s_lat") - F.col("p_lat")) < SAME_DEGREES) & (F.abs(F.col("s_lng") - F.col("p_lng")) < SAME_DEGREES)
-    by_place = s.withColumn("y", cell("s_lat")).withColumn("x", cell("s_lng")).join(cells, ["y", "x"]).where(near).select("stop_id", "place_id")
-    return by_name.unionByName(by_place).distinct()
+    by_place = s.withColumn("y", cell("s_lat")).withColumn("x", cell("s_lng")).join(cells.hint("merge"), ["y", "x"])
+    named = F.coalesce((F.col("s_name") == F.col("p_name")) & (F.col("s_name") != ""), F.lit(False))
+    found = by_name.unionByName(by_place.where(near & ~named).select("stop_id", "place_id"))
+    again = lambda rows, key: rows.groupBy(key).count().where("count > 1")
+    return found if again(s, "stop_id").isEmpty() and again(p, "place_id").isEmpty() else found.distinct()
