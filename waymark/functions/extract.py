@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import cleaned, minutes_of
 
 
+def given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def number(text: Column) -> Column:
     """A decimal number with a comma or a dot."""
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
@@ -45,27 +54,35 @@ def distances(text: Column) -> Column:
     One number is the average; two are out and back, averaged to two decimals; of three and more the first is the average and the next two are out and back.
     """
     lines = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DISTANCE), F.lit(1)), cleaned)
-    free = F.filter(lines, lambda x: ~F.exists(F.array(*map(F.lit, FARE_WORDS)), lambda w: F.lower(x).contains(w)))
+    free = F.filter(lines, lambda x: ~given(F.lower(x), lambda low: reduce(or_, [low.contains(w) for w in FARE_WORDS])))
     kilometres = F.transform(free, lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?i)(\d+(?:[.,]\d+)?)\s*km"), F.lit(1)), number))
-    found = F.try_element_at(F.filter(kilometres, lambda n: F.size(n) > 0), F.lit(1))
-    at = lambda k: F.try_element_at(found, F.lit(k))
     one = lambda average, out, back: F.struct(average.cast("double").alias("average"), out.cast("double").alias("outbound"), back.cast("double").alias("inbound"))
     none = F.lit(None)
-    return F.when(F.size(found) == 1, one(at(1), none, none)).when(F.size(found) == 2, one(F.round((at(1) + at(2)) / 2, 2), at(1), at(2))).when(F.size(found) > 2, one(at(1), at(2), at(3)))
+
+    def read(found: Column) -> Column:
+        at = lambda k: F.try_element_at(found, F.lit(k))
+        return F.when(F.size(found) == 1, one(at(1), none, none)).when(F.size(found) == 2, one(F.round((at(1) + at(2)) / 2, 2), at(1), at(2))).when(F.size(found) > 2, one(at(1), at(2), at(3)))
+
+    return given(F.try_element_at(F.filter(kilometres, lambda n: F.size(n) > 0), F.lit(1)), read)
 
 
 def hours(text: Column) -> Column:
     """struct<start, end> in minutes of the day: the first two times such as 5h15 or 05:15 behind the label of operating hours; nulls unless there are two."""
     times = F.transform(F.regexp_extract_all(field(text, HOURS), F.lit(r"(\d{1,2}[h:]\d{2})"), F.lit(1)), lambda x: F.replace(x, F.lit("h"), F.lit(":")))
-    at = lambda k: F.when(F.size(times) > 1, minutes_of(F.try_element_at(times, F.lit(k))))
-    return F.struct(at(1).alias("start"), at(2).alias("end"))
+
+    def read(found: Column) -> Column:
+        at = lambda k: F.when(F.size(found) > 1, minutes_of(F.try_element_at(found, F.lit(k))))
+        return F.struct(at(1).alias("start"), at(2).alias("end"))
+
+    return given(times, read)
 
 
 def headways(text: Column) -> Column:
     """struct<low, high>: the least and greatest number of minutes behind the label of frequency, or else in brackets behind the hours."""
     named, bracket = field(text, FREQUENCY), F.regexp_extract(field(text, HOURS), r"\(([^)]+phút[^)]*)\)", 1)
-    minutes = F.transform(F.regexp_extract_all(F.when(named != "", named).otherwise(bracket), F.lit(r"(\d+)\s*phút"), F.lit(1)), lambda x: x.try_cast("int"))
-    return F.struct(F.array_min(minutes).alias("low"), F.array_max(minutes).alias("high"))
+    phrase = given(named, lambda x: F.when(x != "", x).otherwise(bracket))
+    minutes = F.transform(F.regexp_extract_all(phrase, F.lit(r"(\d+)\s*phút"), F.lit(1)), lambda x: x.try_cast("int"))
+    return given(minutes, lambda x: F.struct(F.array_min(x).alias("low"), F.array_max(x).alias("high")))
 
 
 def paths(text: Column) -> Column:
