@@ -14,20 +14,24 @@ def counts_by(rows: DataFrame, key: str, tests: dict[str, Column]) -> DataFrame:
 SHARDS = 256
 
 
-def postings(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """The distinct pairs of key and token; a row's own repeats go before anything is shuffled."""
-    return rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(tokens)).alias("token")).distinct()
+def postings(rows: DataFrame, key: str, tokens: Column, shards: int = SHARDS) -> DataFrame:
+    """Pairs of key and token with the key's shard; a row's own repeats are gone.
+
+    Rows are dealt to tasks by shard before they are cut into tokens, so they are shuffled in place of their many pairs, and a shard's pairs are in one task.
+    """
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    return rows.repartition(shard).select(F.col(key).alias("key"), shard.alias("shard"), F.explode(F.array_distinct(tokens)).alias("token"))
 
 
 def token_counts(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     """token, n (distinct keys), first_key and last_key, without lists: partial counts come before the shuffle."""
-    return postings(rows, key, tokens).groupBy("token").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    return postings(rows, key, tokens).distinct().groupBy("token").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
 def inverted_index(rows: DataFrame, key: str, tokens: Column, shards: int = SHARDS) -> DataFrame:
-    """token, shard, n and the sorted distinct keys of that shard. A frequent token has up to ``shards`` rows, so no row holds all its keys."""
-    pairs = postings(rows, key, tokens).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return pairs.groupBy("token", "shard").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("key")).alias("keys"))
+    """token, shard, n and the sorted distinct keys of that shard. A frequent token has up to ``shards`` rows, so no row holds all its keys. A null key counts in n as one more, but is not among the keys."""
+    found = postings(rows, key, tokens, shards).groupBy("token", "shard").agg(F.collect_set("key").alias("keys"), F.max(F.col("key").isNull().cast("long")).alias("n"))
+    return found.select("token", "shard", (F.size("keys") + F.col("n")).alias("n"), F.array_sort("keys").alias("keys"))
 
 
 #: Ranges of places that names are numbered in, and how exact their bounds are.
