@@ -1,13 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
-A text is folded to lower-case letters with single spaces between them. For each language, character 4-grams of a bounded hash
-sample of its training texts are counted by Spark; an interpolated Kneser-Ney model of orders 1 to 4 follows. All grams of an order
+A text is folded to lower-case letters with single spaces between them. For each language, character 4-grams of all its training texts are counted by Spark; an interpolated Kneser-Ney model of orders 1 to 4 follows. All grams of an order
 share one sorted array of hashes beside a matrix of log probabilities (a column for each language), so that one binary search
 serves all languages; unseen grams back off. The language with the least cross-entropy per character wins. A logistic map of the margin
-to the runner-up, fitted on a fold that the counts do not use (a quarter of the training ids, unless a language has no others), gives the score; a score under ``reject_below`` sets ``rejected``.
+to the runner-up, fitted on all texts of a fold that the counts do not use (a quarter of the training ids, unless a language has no others), gives the score; a score under ``reject_below`` sets ``rejected``.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any training text every text is ``und``; null ids are
-predicted and never used for training; repeated rows give repeated results, and of a sampled id that occurs more than once one text is learned from; at
+predicted and never used for training; repeated rows give repeated results, and of a training id that occurs more than once one text is learned from; at
 most MAX_LANGUAGES languages are learned, the most frequent ones; an empty table gives an empty result; texts count
 whole, whatever their length; ties go to the first language in sorted order; other columns do not matter.
 """
@@ -17,17 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fold, one_per_id, text_chunks
+from .common import column, fold, materialize, one_per_id, text_chunks
 from .textkernel import GOLDEN, U64, code_points, mix
 
 ORDER = 4
-#: Training texts of each language that the counts use, and those that calibrate, as expected numbers of a hash sample.
-PER_LANGUAGE, PER_LANGUAGE_CALIBRATION = 500, 300
+#: Margins of the calibration fold are counted in bins of this width, in nats.
+BIN = 1e-3
+#: Distinct grams that a task gathers before it hands their counts on.
+HELD_GRAMS = 500_000
 REJECT_BELOW = 0.5
 #: Languages that are learned at most, the most frequent ones; of the training rows' ids, one in so many calibrates.
 MAX_LANGUAGES, CALIBRATES = 200, 4
@@ -156,13 +156,14 @@ def margins(entropy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, two[:, 1] - two[:, 0]
 
 
-def fit_confidence(margin: np.ndarray, right: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Logistic map of the margin, by damped Newton steps with a prior that a margin of 0 is a coin's toss."""
+def fit_confidence(margin: np.ndarray, right: np.ndarray, weight: np.ndarray | None = None, steps: int = 60) -> tuple[float, float]:
+    """Logistic map of the margin, by damped Newton steps with a prior that a margin of 0 is a coin's toss. Rows count ``weight`` times."""
     a, prior = np.array([8.0, 0.0]), np.array([8.0, 0.0])
     x = np.stack([margin, np.ones_like(margin)], axis=1)
+    n = np.ones_like(margin) if weight is None else weight
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        a = a - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.05 * np.eye(2), x.T @ (p - right) + 0.05 * (a - prior))
+        a = a - np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + 0.05 * np.eye(2), x.T @ (n * (p - right)) + 0.05 * (a - prior))
     return float(a[0]), float(a[1])
 
 
@@ -172,41 +173,57 @@ def trainable(docs: DataFrame) -> DataFrame:
     return known.select("doc_id", "text", "lang", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(CALIBRATES)) == 0).alias("calibrates"))
 
 
-def sampled(known: DataFrame, calibrates: bool, per_language: int, counted: DataFrame) -> DataFrame:
-    """lang and text of about ``per_language`` ids of each language, by a hash of the id; an id counts once."""
-    share = F.broadcast(counted.where(F.col("calibrates") == calibrates).select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share")))
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(F.col("calibrates") == calibrates).join(share, "lang").where(unit < F.col("share"))
-    return one_per_id(rows, "doc_id", "lang")
+def learned(docs: DataFrame) -> DataFrame:
+    """The training rows, an id once: only rows of ids that repeat are grouped, the texts of all others stay where they are."""
+    known = trainable(docs)
+    # stored, so that its size is known when the joins are planned
+    repeated = materialize(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    again = one_per_id(known.join(repeated, "doc_id", "left_semi"), "doc_id", "lang", "calibrates")
+    return known.join(repeated, "doc_id", "left_anti").unionByName(again)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, per_calibration: int = PER_LANGUAGE_CALIBRATION) -> dict | None:
+def train(docs: DataFrame) -> dict | None:
     """The model of the languages that the training rows hold, or None if they hold none."""
     spark = docs.sparkSession
-    known = trainable(docs)
-    seen = known.groupBy("lang", "calibrates").agg(F.count("*").alias("n"))
-    common = seen.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES)
-    names = seen.join(F.broadcast(common.select("lang")), "lang").orderBy("lang", "calibrates").toPandas()
+    known = learned(docs)
+    seen = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("calibrates")).alias("counted"))
+    names = seen.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).toPandas()
     if not len(names):
         return None
-    counted = spark.createDataFrame(names)
+    # all rows of a rare language may fall to calibration
+    rare = names["lang"][names["counted"] == 0].tolist()
+    counts_for = ~F.col("calibrates") | F.col("lang").isin(rare)
+    known = known.where(F.col("lang").isin(names["lang"].tolist()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            packed, owner, _ = grams(texts)
-            of = np.array(column(batch, "lang").to_pylist(), dtype=object)[owner]
-            for lang in sorted(set(of)):
-                keys, n = np.unique(packed[of == lang], return_counts=True)
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def merge() -> int:
+            for lang, parts in held.items():
+                if len(parts) > 1:
+                    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                    held[lang] = [(keys, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64))]
+            return sum(len(k) for parts in held.values() for k, _ in parts)
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            merge()
+            for lang, [(keys, n)] in held.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            held.clear()
 
-    def gathered(calibrates: bool):
-        return sampled(known, calibrates, per_language, counted).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-
-    rows = gathered(False)
-    missing = set(names["lang"]) - set(rows["lang"])
-    if missing:  # all rows of a rare language may fall to calibration
-        more = gathered(True)
-        rows = pd.concat([rows, more[more["lang"].isin(missing)]])
+        for batch, texts in text_chunks(batches):
+            packed, owner, _ = grams(texts)
+            kinds, of = np.unique(np.array(column(batch, "lang").to_pylist(), dtype=object), return_inverse=True)
+            for j, lang in enumerate(kinds):
+                held.setdefault(lang, []).append(np.unique(packed[of[owner] == j], return_counts=True))
+                size += len(held[lang][-1][0])
+            if size > 2 * HELD_GRAMS and (size := merge()) > HELD_GRAMS:
+                yield from handed()
+                size = 0
+        yield from handed()
+
+    rows = known.where(counts_for).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None
     langs, counts = [], []
@@ -223,10 +240,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, per_calibration: in
             entropy, lettered = entropies(texts, shared.value)
             best, margin = margins(entropy)
             right = np.array([shared.value["langs"][b] == x for b, x in zip(best, column(batch, "lang").to_pylist(), strict=True)], dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(margin[lettered]), pa.array(right[lettered])], names=["margin", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.rint(margin[lettered] / BIN).astype(np.int64)), pa.array(right[lettered])], names=["bin", "right"])
 
-    tried = sampled(known, True, per_calibration, counted).mapInArrow(test, "margin double, right boolean").toPandas()
-    slope, offset = fit_confidence(tried["margin"].to_numpy(dtype=float), tried["right"].to_numpy(dtype=float))
+    tried = known.where("calibrates").select("text", "lang").mapInArrow(test, "bin long, right boolean").groupBy("bin", "right").agg(F.count("*").alias("n")).toPandas().sort_values(["bin", "right"])
+    slope, offset = fit_confidence(tried["bin"].to_numpy(dtype=float) * BIN, tried["right"].to_numpy(dtype=float), tried["n"].to_numpy(dtype=float))
     return model | {"slope": max(slope, 0.0), "offset": offset}
 
 
