@@ -14,6 +14,8 @@ lengths are broken by the order in which pieces were stored; other columns do no
 from __future__ import annotations
 
 import json
+import re
+import struct
 import threading
 import zlib
 from collections.abc import Iterator
@@ -54,8 +56,8 @@ class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
     A tokenizer with the normaliser and splitter above drops white space and never joins across it, so a text's ids are those of its words (``by_words``). Words between ASCII white space are kept in
-    a bounded cache; a new word of plain Latin letters (with marks at its end) goes straight to the vocabulary's merges, any
-    other to the whole tokenizer.
+    a bounded cache; the pieces of a new word of printable ASCII, or of plain Latin letters (with marks at its end), go straight to the vocabulary's merges, any
+    other word to the whole tokenizer. Pieces of ASCII are cut as SPLITTER says (``by_pieces``: no added token can be among them).
     """
 
     def __init__(self, path: str):
@@ -65,8 +67,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         stated = json.loads(self.tokenizer.to_str())
         self.by_words = stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == SPLITTER and stated["post_processor"] is None
+        self.by_pieces = all(t["content"].startswith("<|") for t in stated["added_tokens"])
+        self.ascii = re.compile(rb"[!-~]+").fullmatch
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+        self.short: dict[str, bytes] = {}
         self.plain = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
         self.symbols = byte_symbols()
+        self.tokenize = self.tokenizer.model.tokenize
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -75,16 +82,28 @@ class WordEncoder:
         self.young, self.old = {}, {}
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merged(self, piece: str) -> bytes:
-        return self.pack([t.id for t in self.tokenizer.model.tokenize("".join(self.symbols[b] for b in piece.encode()))])
+        return self.pack([t.id for t in self.tokenize("".join(self.symbols[b] for b in piece.encode()))])
+
+    def pieced(self, piece: str) -> bytes:
+        """Ids of a piece of printable ASCII, whose bytes stand for themselves; those of at most two symbols are kept."""
+        if len(piece) > 2:
+            return self.pack([t.id for t in self.tokenize(piece)])
+        found = self.short.get(piece)
+        if found is None:
+            found = self.short[piece] = self.merged(piece)
+        return found
 
     def word(self, word: bytes) -> bytes:
         found = self.old.get(word)
         if found is None:
             text = word.decode()
-            if m := self.plain.fullmatch(text):
+            if self.by_pieces and self.ascii(word):
+                low = text.lower()
+                found = self.pieced(low) if low.isalpha() else b"".join(map(self.pieced, self.cut(low)))
+            elif m := self.plain.fullmatch(text):
                 found = self.merged(m[1].lower()) + (self.merged(m[2]) if m[2] else b"")
             else:
                 found = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
