@@ -100,11 +100,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 15
     """Balanced logistic regression by accelerated gradient steps."""
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(x.dtype)
     w = v = np.zeros(x.shape[1], dtype=x.dtype)
-    turned = np.ascontiguousarray(x.T)
     b = c = 0.0
     for k in range(1, steps + 1):
         g = ((1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y) * weight).astype(x.dtype)
-        w_new, b_new = (v - rate * (turned @ g + l2 * v)).astype(x.dtype), c - rate * float(g.sum())
+        w_new, b_new = (v - rate * (g @ x + l2 * v)).astype(x.dtype), c - rate * float(g.sum())
         t = (k - 1) / (k + 2)
         v, c = (w_new + t * (w_new - w)).astype(x.dtype), b_new + t * (b_new - b)
         w, b = w_new, b_new
@@ -142,16 +141,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     rows = one_per_id(picked, "doc_id", "sample_label").mapInArrow(vectors, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")
     if rows["y"].nunique() < 2:
         return None
-    x, y = np.stack([np.frombuffer(r, np.float16) for r in rows["x"]]).astype(np.float32), rows["y"].to_numpy()
-    apart = mix(rows["doc_id"].to_numpy().astype(np.int64).view(U64) + U64(seed)) % U64(4) == 0
+    packed, y, ids = rows["x"].tolist(), rows["y"].to_numpy(), rows["doc_id"].to_numpy().astype(np.int64)
+    del rows
+    apart = mix(ids.view(U64) + U64(seed)) % U64(4) == 0
     if min(len(set(y[apart])), len(set(y[~apart]))) < 2:
         apart[:] = False
-    w, b = fit_logistic(x[~apart], y[~apart])
+    w, b = fit_logistic(matrix(packed, ~apart), y[~apart])
     at = apart if apart.any() else ~apart
-    slope, offset = fit_platt(x[at] @ w + b, y[at])
+    slope, offset = fit_platt(matrix(packed, at) @ w + b, y[at])
     return {"w": (w * slope).astype(np.float32), "b": b * slope + offset}
 
 
+def matrix(packed: list[bytes], at: np.ndarray) -> np.ndarray:
+    """The rows marked by ``at``, unpacked one by one: the driver holds one matrix of them and no copies."""
+    where = np.flatnonzero(at)
+    out = np.empty((len(where), DIMS), dtype=np.float32)
+    for k, i in enumerate(where.tolist()):
+        out[k] = np.frombuffer(packed[i], np.float16)
+    return out
+
+
 def probabilities(words: Words, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(words) @ model["w"] + model["b"], -30, 30)))
 
